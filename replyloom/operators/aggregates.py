@@ -64,17 +64,12 @@ def discovery_tokens(messages: DataFrame, text: str = "text",
 def top_ngrams(tokenized: DataFrame, sizes: Sequence[int] = (1, 2, 3),
                n: int = fixed.TOP_TERMS) -> DataFrame:
     """(size, term, n): the most frequent runs of each size, ties in term order."""
-    runs = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    ngrams("tokens", size),
-                    lambda t, size=size: F.struct(F.lit(size).alias("size"), t.alias("term")),
-                )
-                for size in sizes
-            ]
+    def sized(size: int):
+        return F.transform(
+            ngrams("tokens", size), lambda t: F.struct(F.lit(size).alias("size"), t.alias("term"))
         )
-    )
+
+    runs = F.flatten(F.array(*[sized(size) for size in sizes]))
     counted = (
         tokenized.select(F.inline(runs))
         .groupBy("size", "term")

@@ -340,4 +340,4 @@ def cross_validate_majority(folded: DataFrame, label: str, fold: str = "fold",
         .agg(F.min(F.struct((-F.col("rest")).alias("r"), "label")).alias("best"))
         .select(F.col(fold).alias("_fold"), F.col("best.label").alias(out))
     )
-    return folded.join(outside, F.col(fold) == F.col("_fold"), "left").drop("_fold")
+    return folded.drop(out).join(outside, F.col(fold) == F.col("_fold"), "left").drop("_fold")

@@ -15,6 +15,7 @@ from replyloom.functions.text import normalize_text
 from replyloom.operators.features import CLASSIFIER, Tfidf, TfidfSettings, assemble, class_weights
 from replyloom.operators.sampling import assign_folds
 from replyloom.schema import require_columns
+from replyloom.session import cut_lineage
 
 MAX_CLASSES = 1_000
 KIND = "replyloom.text_classifier"
@@ -143,7 +144,8 @@ class TextClassifier:
 def cross_validate(df: DataFrame, build: Callable[[], TextClassifier], text: str, label: str,
                    n_folds: int = 5, key: str = "tweet_id") -> DataFrame:
     """Out-of-fold predictions: each fold scored by a model fitted on the others."""
-    folded = assign_folds(df, label, n_folds, key)
+    # read several times per fold, so worked out once
+    folded = cut_lineage(assign_folds(df, label, n_folds, key))
     scored = None
     for fold in range(n_folds):
         model = build().fit(folded.where(F.col("fold") != fold), text, label)

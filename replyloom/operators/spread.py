@@ -75,17 +75,19 @@ def hash_position(df: DataFrame, key: str, seed: str, group: Sequence[str] = (),
         ranged.groupBy(*group, "_range")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .select(
+            F.col("_range").alias("_o_range"), "_before",
+            *[F.col(g).alias(f"_o_{i}") for i, g in enumerate(group)],
+        )
     )
     inside = Window.partitionBy(*group, "_range").orderBy("_hash", key)
-    condition = ranged["_range"] == F.col("_o._range")
-    for g in group:
-        condition = condition & ranged[g].eqNullSafe(F.col(f"_o.{g}"))
+    condition = F.col("_range") == F.col("_o_range")
+    for i, g in enumerate(group):
+        condition = condition & F.col(g).eqNullSafe(F.col(f"_o_{i}"))
     return (
-        ranged.join(offsets.alias("_o"), condition)
-        .select(ranged["*"], F.col("_o._before"))
+        ranged.join(offsets, condition)
         .withColumn(out, F.row_number().over(inside).cast("bigint") + F.col("_before"))
-        .drop("_hash", "_range", "_before")
+        .drop("_hash", "_range", "_before", "_o_range", *[f"_o_{i}" for i in range(len(group))])
     )
 
 

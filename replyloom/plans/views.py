@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.functions.lexicon import Lexicon
+from replyloom import fixed_values as fixed
+from replyloom.functions.lexicon import Lexicon, add_candidate, infer_class
+from replyloom.operators.features import terms
+from replyloom.operators.sampling import sample_per_class
 from replyloom.operators.spread import with_neighbour
 
 LEXICON = Lexicon(
@@ -79,3 +82,195 @@ def reply_tree(spark: SparkSession, sf_dir: str, brands: bool = False) -> DataFr
         F.when(F.size(children) > 0, F.array_join(children, ",")).alias("response_tweet_id"),
         F.when(tweet_id > 1, F.floor(tweet_id / 2)).alias("in_response_to_tweet_id"),
     )
+
+
+def reply_tree_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply tree with two brands."""
+    return reply_tree(spark, sf_dir, brands=True)
+
+
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as flat rows (conversation_id, pos, ...)."""
+    return tweets(spark, sf_dir).withColumns(
+        {"conversation_id": F.col("conv_id"), "pos": F.col("turn")}
+    )
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer messages with their candidate class."""
+    return add_candidate(messages(spark, sf_dir), "text", LEXICON)
+
+
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five messages of each candidate class."""
+    return sample_per_class(scored(spark, sf_dir), "candidate_intent", 5)
+
+
+def _pick(k, values: dict, default=None):
+    """CASE over a remainder; the values are columns or text."""
+    out = None
+    for key, value in values.items():
+        value = F.lit(value) if isinstance(value, str) else value
+        out = F.when(k == key, value) if out is None else out.when(k == key, value)
+    if default is None:
+        return out
+    return out.otherwise(F.lit(default) if isinstance(default, str) else default)
+
+
+def _variant(df: DataFrame) -> DataFrame:
+    """Add k, a number that runs through every remainder."""
+    return df.withColumn("k", F.floor(F.col("tweet_id") / 1000) * 7 + F.col("tweet_id") % 1000)
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customer messages as an annotation sheet in every state a sheet may be in."""
+    k, candidate = F.col("k"), F.col("candidate_intent")
+    return _variant(scored(spark, sf_dir)).select(
+        "tweet_id",
+        F.col("conv_id").cast("string").alias("conversation_id"),
+        F.col("text").alias("customer_message"),
+        (F.col("tweet_id") % 1000 + 1).alias("turn_count"),
+        "candidate_intent",
+        "k",
+        _pick(k % 5, {0: "", 1: candidate, 2: "c_en", 3: F.concat(F.lit(" "), candidate)}, "other")
+        .alias("ai_intent"),
+        _pick(k % 6, {0: "", 1: "true", 2: "False", 3: "yes", 4: "0"}).alias("ai_escalation"),
+        _pick(k % 11, {0: "n/a", 5: ""}, (k * 37 % 101).cast("string")).alias("ai_confidence"),
+        F.concat(F.lit("r"), (k % 3).cast("string")).alias("ai_reason"),
+        F.lit("stub").alias("ai_source"),
+        _pick(k % 3, {0: "true", 1: "false"}, "").alias("ai_disagrees_with_candidate"),
+        _pick(k % 2, {0: "true"}, "False").alias("ai_low_confidence"),
+        _pick(F.floor(k / 2) % 4, {0: "", 1: "human_reviewed", 2: "ai_bulk_accepted"}, "ai_suggested")
+        .alias("annotation_status"),
+        _pick(k % 4, {0: "", 1: candidate, 2: "c_de"}).alias("gold_intent"),
+        _pick(k % 7, {0: "true", 1: "false", 2: "", 3: "TRUE ", 4: "no", 5: "1"})
+        .alias("expected_escalation"),
+        _pick(k % 9, {0: fixed.BULK_NOTE, 1: "checked by hand"}, "").alias("annotation_notes"),
+    )
+
+
+def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a labelling model may answer per message, good and bad."""
+    k = F.col("k")
+    good = F.concat(
+        F.lit('{"intent": "'), "candidate_intent", F.lit('", "escalation": false, "confidence": '),
+        (k % 101).cast("string"), F.lit(', "reason": "about '), "conversation_id", F.lit('"}'),
+    )
+    raw = _pick(
+        k % 11,
+        {
+            0: good,
+            1: 'Here it is: {"intent": "c_de", "escalation": "yes", "confidence": "65", '
+               '"reason": " ok "} done',
+            2: '```json\n{"intent": "other", "escalation": true, "confidence": 99.7, "reason": "x"}\n```',
+            3: '{"intent": "other", "confidence": 5}',
+            4: '{"intent": "nonsense", "escalation": true, "confidence": 50, "reason": "x"}',
+            5: '{"intent": "other", "escalation": true, "confidence": 101, "reason": "x"}',
+            6: "no answer",
+            7: '{"intent": "other", "escalation": "maybe", "confidence": 50, "reason": "x"}',
+            8: '{"intent": "other", "escalation": 1, "confidence": "fifty", "reason": "x"}',
+            9: '{"intent": "c_en", "escalation": "N", "confidence": "6x", "reason": "x"}',
+        },
+        '{"intent": "c_fr", "escalation": "0", "confidence": 70, "reason": "  "}',
+    )
+    return annotated(spark, sf_dir).select(
+        "tweet_id", "k", "candidate_intent", "customer_message", raw.alias("raw")
+    )
+
+
+def raw_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scoring model may answer per message, good and bad."""
+    k = F.col("k")
+    first = F.concat(
+        F.lit('{"grounding": '), (1 + k % 5).cast("string"),
+        F.lit(', "resolution_correctness": 2, "relevance": 3, "safety": 4, "style": 5, "overall": '),
+        (1 + k % 4).cast("string"), F.lit(', "reason": "fine"}'),
+    )
+    second = F.concat(
+        F.lit('```json\n{"grounding": 1, "resolution_correctness": '), (1 + k % 5).cast("string"),
+        F.lit(', "relevance": 1, "safety": 1, "style": 1, "overall": 1, "reason": "bad"}\n```'),
+    )
+    raw = _pick(
+        k % 6,
+        {
+            0: first,
+            1: second,
+            2: '{"grounding": 1, "resolution_correctness": 2, "relevance": 3, "safety": 4, '
+               '"style": 5, "reason": "x"}',
+            3: '{"grounding": 1, "resolution_correctness": 2, "relevance": 7, "safety": 4, '
+               '"style": 5, "overall": 3, "reason": "x"}',
+            4: 'Scores: {"grounding": 4, "resolution_correctness": 4, "relevance": 4, "safety": 4, '
+               '"style": 4, "overall": 4, "reason": "ok"} end',
+        },
+        '{"grounding": 1, "resolution_correctness": 2.5, "relevance": 3, "safety": 4, "style": 5, '
+        '"overall": 3, "reason": "x"}',
+    )
+    return annotated(spark, sf_dir).select("tweet_id", "k", raw.alias("raw"))
+
+
+def documents_with_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer_class(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", LEXICON)
+
+
+def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as evaluated examples."""
+    confidence = F.col("doc_id") * 37 % 101
+    return (
+        documents_with_class(spark, sf_dir)
+        .join(table(spark, sf_dir, "labels"), "doc_id")
+        .select(
+            "doc_id",
+            F.col("text").alias("customer_message"),
+            F.concat(F.lit("c_"), "lang").alias("gold_intent"),
+            F.col("inferred").alias("predicted_intent"),
+            (confidence / 100).alias("confidence"),
+            (confidence / 200).alias("confidence_margin"),
+            (F.col("toxic") == 1).alias("expected_escalation"),
+            (F.col("quality") == 0).alias("predicted_escalation"),
+        )
+    )
+
+
+def human_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
+        "doc_id",
+        *[(1 + (F.col("doc_id") + d) % 5).alias(n) for d, n in enumerate(fixed.SCORE_DIMENSIONS)],
+    )
+
+
+def judge_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the other rater; every 13th judgement failed."""
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "labels").select(
+        "doc_id",
+        *[
+            F.when(doc % 13 != 0, 1 + (doc * 7 + F.floor(doc / 3) + d) % 5).alias(n)
+            for d, n in enumerate(fixed.SCORE_DIMENSIONS)
+        ],
+        F.when(doc % 13 == 0, F.lit("no answer")).alias("error"),
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias(key), F.col("embedding").alias("vector")
+    )
+
+
+def routing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    return _variant(scored(spark, sf_dir)).select(
+        "tweet_id",
+        F.col("text").alias("customer_message"),
+        F.col("candidate_intent").alias("intent"),
+        "k",
+        (k * 37 % 101 / 100).alias("confidence"),
+        F.when(k % 9 != 0, k * 53 % 101 / 100).alias("top_similarity"),
+    )
+
+
+def message_vectors(df: DataFrame, text: str, dims: int = 256) -> DataFrame:
+    """Add ``embedding``: hashed word counts of a text, standing in for an encoder's column."""
+    hasher = HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=dims)
+    hashed = hasher.transform(df.withColumn("_words", terms(text, (1,))))
+    return hashed.withColumn("embedding", vector_to_array("_hashed")).drop("_words", "_hashed")
