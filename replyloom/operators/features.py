@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,15 +150,23 @@ class Tfidf:
         counter = CountVectorizerModel.from_vocabulary(
             self.words, inputCol="_terms", outputCol="_counts"
         )
-        idf, sublinear = np.asarray(self.idf), self.settings.sublinear
-
-        def weigh(v: SparseVector) -> SparseVector:
-            values = (1.0 + np.log(v.values) if sublinear else v.values) * idf[v.indices]
+        counted = counter.transform(listed)
+        if not self.settings.sublinear:
+            scale = ElementwiseProduct(
+                scalingVec=Vectors.dense(self.idf), inputCol="_counts", outputCol="_scaled"
+            )
+            unit = Normalizer(inputCol="_scaled", outputCol=out)
+            return unit.transform(scale.transform(counted)).drop("_terms", "_counts", "_scaled")
+        idf = np.asarray(self.idf)
+
+        def weigh(v):
+            values = (1.0 + np.log(v.values)) * idf[v.indices]
             length = np.sqrt(values @ values)
             return SparseVector(v.size, v.indices, values / length if length else values)
 
-        weighted = counter.transform(listed).withColumn(out, F.udf(weigh, VectorUDT())("_counts"))
-        return weighted.drop("_terms", "_counts")
+        # no built-in takes the logarithm of a sparse vector's entries
+        weighted = F.udf(weigh, VectorUDT(), useArrow=True)("_counts")
+        return counted.withColumn(out, weighted).drop("_terms", "_counts")
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame(

@@ -125,11 +125,9 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_KEY_ROWS,
 
     The sample only decides how work is spread, never which rows are in the result.
     """
-    found = (
-        df.select(key)
-        .where(F.col(key).isNotNull())
-        .sample(sample, seed=1) if sample < 1 else df.select(key).where(F.col(key).isNotNull())
-    )
+    found = df.select(key).where(F.col(key).isNotNull())
+    if sample < 1:
+        found = found.sample(sample, seed=1)
     return [
         r[0]
         for r in found.groupBy(key)
@@ -148,28 +146,24 @@ def lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how
     Rows of hot left keys are dealt over ``SALTS`` tasks by ``spread_on``; the right rows of those
     keys, at most ``HOT_KEY_LIMIT``, are copied once per salt. The key of the right side is dropped.
     """
+    if right_key in left.columns:
+        raise ValueError(f"column {right_key} is on both sides")
     if hot is None:
         hot = hot_keys(left, left_key)
+    only_left = how in ("left_semi", "left_anti")
+    same_key = F.col(left_key) == F.col(right_key)
     if not hot:
-        joined = left.join(right, left[left_key] == right[right_key], how)
-        return joined if how in ("left_semi", "left_anti") else joined.drop(right[right_key])
-    dealt = left.withColumn(
-        "_salt",
-        F.when(
-            F.col(left_key).isin(hot), F.pmod(F.xxhash64(spread_on or left_key), F.lit(SALTS))
-        ).otherwise(F.lit(0).cast("bigint")),
-    )
-    copies = right.withColumn(
-        "_copy",
-        F.explode(
-            F.when(
-                F.col(right_key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
-            ).otherwise(F.array(F.lit(0)))
-        ).cast("bigint"),
-    )
-    joined = dealt.join(
-        copies, (dealt[left_key] == copies[right_key]) & (dealt["_salt"] == copies["_copy"]), how
+        joined = left.join(right, same_key, how)
+        return joined if only_left else joined.drop(right_key)
+    salt = F.when(
+        F.col(left_key).isin(hot),
+        F.pmod(F.xxhash64(spread_on or left_key), F.lit(SALTS)).cast("int"),
+    ).otherwise(F.lit(0))
+    copies = F.when(
+        F.col(right_key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    ).otherwise(F.array(F.lit(0)))
+    joined = left.withColumn("_salt", salt).join(
+        right.withColumn("_copy", F.explode(copies)),
+        same_key & (F.col("_salt") == F.col("_copy")), how,
     )
-    if how not in ("left_semi", "left_anti"):
-        joined = joined.drop(copies[right_key], copies["_copy"])
-    return joined.drop("_salt")
+    return joined.drop("_salt") if only_left else joined.drop("_salt", "_copy", right_key)

@@ -117,7 +117,7 @@ FOLDED = f"""
 CV = f"""
     SELECT f.doc_id, f.gold_intent, f.fold, m.gold_intent AS predicted_intent FROM ({FOLDED}) f JOIN (
         SELECT x.fold, o.gold_intent FROM (SELECT DISTINCT fold FROM ({FOLDED})) x
-        JOIN ({FOLDED}) o ON o.fold <> x.fold GROUP BY ALL
+        JOIN ({FOLDED}) o ON o.fold <> x.fold GROUP BY x.fold, o.gold_intent
         QUALIFY row_number() OVER (PARTITION BY x.fold ORDER BY count(*) DESC, o.gold_intent) = 1) m USING (fold)"""
 
 
