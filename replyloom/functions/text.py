@@ -80,11 +80,11 @@ def ngrams(words: Column | str, n: int) -> Column:
     words = _col(words)
     if n == 1:
         return words
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (n - 1)),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    length = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    runs = F.slice(words, 1, length)
+    for k in range(2, n + 1):
+        runs = F.zip_with(runs, F.slice(words, k, length), lambda a, b: F.concat_ws(" ", a, b))
+    return runs
 
 
 def parse_created_at(c: Column | str) -> Column:

@@ -44,15 +44,21 @@ def drop_accents(c: Column) -> Column:
     return F.translate(c, marked, plain)
 
 
-def terms(text: Column | str, sizes: Sequence[int] = (1, 2), strip_accents: bool = False,
-          ascii_only: bool = False) -> Column:
-    """Lower-case words of two or more word characters, and runs of them."""
-    lower = F.lower(F.col(text) if isinstance(text, str) else text)
+def add_terms(df: DataFrame, text: str, out: str = "terms", sizes: Sequence[int] = (1, 2),
+              strip_accents: bool = False, ascii_only: bool = False) -> DataFrame:
+    """Add the lower-case words of two or more word characters, and runs of them."""
+    lower = F.lower(F.col(text))
     if strip_accents:
         lower = drop_accents(lower)
     pattern = r"\w\w+" if ascii_only else r"(?U)\w\w+"
     words = F.regexp_extract_all(lower, F.lit(pattern), 0)
-    return F.flatten(F.array(*[ngrams(words, n) for n in sizes]))
+    if tuple(sizes) == (1,):
+        return df.withColumn(out, words)
+    return (
+        df.withColumn("_words", words)
+        .withColumn(out, F.flatten(F.array(*[ngrams("_words", n) for n in sizes])))
+        .drop("_words")
+    )
 
 
 def term_counts(df: DataFrame, key: str, listed: str = "terms") -> DataFrame:
@@ -129,11 +135,9 @@ class Tfidf:
     def fit(cls, df: DataFrame, text: str, settings: TfidfSettings = CLASSIFIER) -> Tfidf:
         if not settings.max_features or settings.max_features > MAX_VOCABULARY:
             raise ValueError(f"max_features is at most {MAX_VOCABULARY}")
-        numbered = df.select(
-            F.monotonically_increasing_id().alias("_doc"),
-            terms(text, settings.sizes, settings.strip_accents).alias("terms"),
-        )
-        counts = term_counts(numbered, "_doc")
+        numbered = df.select(F.monotonically_increasing_id().alias("_doc"), text)
+        listed = add_terms(numbered, text, "terms", settings.sizes, settings.strip_accents)
+        counts = term_counts(listed, "_doc")
         chosen = vocabulary(counts, settings.min_df, settings.max_features)
         documents = df.agg(F.count(F.lit(1)).cast("double")).scalar()
         rows = chosen.select("term", _idf(F.col("df"), documents).alias("idf")).collect()
@@ -144,9 +148,7 @@ class Tfidf:
 
     def transform(self, df: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
         """Add the sparse unit vector of each text."""
-        listed = df.withColumn(
-            "_terms", terms(text, self.settings.sizes, self.settings.strip_accents)
-        )
+        listed = add_terms(df, text, "_terms", self.settings.sizes, self.settings.strip_accents)
         counter = CountVectorizerModel.from_vocabulary(
             self.words, inputCol="_terms", outputCol="_counts"
         )

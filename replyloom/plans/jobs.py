@@ -27,6 +27,7 @@ from replyloom.operators.sampling import (
 )
 from replyloom.operators.threads import build_conversations, nest_conversations
 from replyloom.schema import require_columns, require_rows
+from replyloom.session import cut_lineage
 
 
 def build_training_set(tweets: DataFrame, golden: DataFrame, lexicon: Lexicon,
@@ -82,7 +83,7 @@ def train_classifier(df: DataFrame, text: str = "text", label: str = "intent",
     require_columns(df, [key, text, label])
     rows = drop_null_pairs(df, [text, label])
     if cap is not None:
-        rows = cap_classes(rows, cap, label, key)
+        rows = cut_lineage(cap_classes(rows, cap, label, key))
     return TextClassifier(**settings).fit(rows, text, label)
 
 

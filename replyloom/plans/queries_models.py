@@ -25,14 +25,14 @@ def _tfidf_sql(min_df: int, tf: str, limit: int | None) -> str:
 
 @query("tfidf_weights", _tfidf_sql(2, "(1 + ln(tf))", 30000))
 def _(spark, d):
-    rows = views.messages(spark, d).withColumn("terms", ft.terms("text", ascii_only=True))
+    rows = ft.add_terms(views.messages(spark, d), "text", ascii_only=True)
     return ft.tfidf_weights(rows, "tweet_id", min_df=2, max_features=30_000, sublinear=True).select(
         "tweet_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("tfidf_weights_plain", _tfidf_sql(1, "tf", 20000))
 def _(spark, d):
-    rows = views.messages(spark, d).withColumn("terms", ft.terms("text", ascii_only=True))
+    rows = ft.add_terms(views.messages(spark, d), "text", ascii_only=True)
     return ft.tfidf_weights(rows, "tweet_id", min_df=1, max_features=20_000).select(
         "tweet_id", "term", F.round("weight", 6).alias("weight"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
 from replyloom.functions.lexicon import Lexicon, add_candidate, infer_class
-from replyloom.operators.features import terms
+from replyloom.operators.features import add_terms
 from replyloom.operators.sampling import sample_per_class
 from replyloom.operators.spread import with_neighbour
 
@@ -272,5 +272,5 @@ def routing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_vectors(df: DataFrame, text: str, dims: int = 256) -> DataFrame:
     """Add ``embedding``: hashed word counts of a text, standing in for an encoder's column."""
     hasher = HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=dims)
-    hashed = hasher.transform(df.withColumn("_words", terms(text, (1,))))
+    hashed = hasher.transform(add_terms(df, text, "_words", (1,)))
     return hashed.withColumn("embedding", vector_to_array("_hashed")).drop("_words", "_hashed")

@@ -281,7 +281,7 @@ def test_tfidf_vectors_equal_the_table_form(spark):
     for settings in (features.TfidfSettings(min_df=2, max_features=12), features.BASELINE):
         fitted = features.Tfidf.fit(rows, "text", settings)
         vectors = fitted.transform(rows, "text").collect()
-        listed = rows.withColumn("terms", features.terms("text", settings.sizes))
+        listed = features.add_terms(rows, "text", sizes=settings.sizes)
         table = features.tfidf_weights(
             listed, "tweet_id", "terms", settings.min_df, settings.max_features, settings.sublinear).collect()
         expected = {(r["tweet_id"], r["term"]): r["weight"] for r in table}
