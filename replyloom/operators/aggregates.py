@@ -71,7 +71,8 @@ def top_ngrams(tokenized: DataFrame, sizes: Sequence[int] = (1, 2, 3),
 
     runs = F.flatten(F.array(*[sized(size) for size in sizes]))
     counted = (
-        tokenized.select(F.inline(runs))
+        tokenized.select(F.inline_outer(runs))
+        .where(F.col("term").isNotNull())
         .groupBy("size", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )

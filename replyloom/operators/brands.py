@@ -28,9 +28,9 @@ def linked_brands(tweets: DataFrame, brands: Sequence[str] | None = None,
         F.col("other_id").isNotNull()
     )
     replies = rows.where(F.col("response_tweet_id").isNotNull()).select(
-        "tweet_id", F.explode(parse_reply_ids("response_tweet_id")).alias("other_id")
+        "tweet_id", F.explode_outer(parse_reply_ids("response_tweet_id")).alias("other_id")
     )
-    links = parents.unionByName(replies)
+    links = parents.unionByName(replies.where(F.col("other_id").isNotNull()))
     return (
         lookup(links, owners.withColumnRenamed("tweet_id", "owner_id"), "other_id", "owner_id",
                spread_on="tweet_id")

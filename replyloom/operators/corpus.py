@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.functions.text import has_text, strip
-from replyloom.operators.spread import lookup, with_neighbour
+from replyloom.operators.spread import lookup, with_neighbours
 
 
 def _id_text(column: str):
@@ -45,7 +45,7 @@ def resolution_pairs(flat: DataFrame) -> DataFrame:
 
     ``flat`` has one row per message with conversation_id and a gapless pos.
     """
-    pairs = with_neighbour(flat, "conversation_id", "pos", ["inbound", "text", "tweet_id"])
+    pairs = with_neighbours(flat, "conversation_id", "pos", ["inbound", "text", "tweet_id"])
     return pairs.where(F.col("inbound") & ~F.col("next_inbound")).where(
         has_text("text") & has_text("next_text")
     ).select(

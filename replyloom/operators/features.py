@@ -63,8 +63,10 @@ def add_terms(df: DataFrame, text: str, out: str = "terms", sizes: Sequence[int]
 
 def term_counts(df: DataFrame, key: str, listed: str = "terms") -> DataFrame:
     """(key, term, tf) per document."""
+    # the outer form keeps Spark from working the list out twice, to drop empty ones early
     return (
-        df.select(key, F.explode(listed).alias("term"))
+        df.select(key, F.explode_outer(listed).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
+from replyloom.session import literal_rows
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -38,7 +39,7 @@ def label_scores(counts: DataFrame, by: Sequence[str] = (),
         .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("support").alias("support"))
     )
     if labels is not None:
-        given = summed.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+        given = literal_rows(summed.sparkSession, ["label"], [(x,) for x in labels])
         summed = given.join(summed, "label", "left").fillna({"tp": 0, "fp": 0, "support": 0})
     precision = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = _ratio(F.col("tp"), F.col("support"))
@@ -90,8 +91,8 @@ def metrics_from_counts(counts: DataFrame, by: Sequence[str] = (),
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, labels: Sequence[str]) -> DataFrame:
     """(actual, predicted, n) for every pair of labels, zeros included."""
-    cells = df.sparkSession.createDataFrame(
-        [(a, p) for a in labels for p in labels], "actual string, predicted string"
+    cells = literal_rows(
+        df.sparkSession, ["actual", "predicted"], [(a, p) for a in labels for p in labels]
     )
     counts = class_counts(df, truth, prediction)
     return cells.join(

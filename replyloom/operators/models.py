@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import astuple
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,15 @@ KIND = "replyloom.text_classifier"
 
 
 class TextClassifier:
-    """TF-IDF, optionally joined to an embedding column, into logistic regression."""
+    """Logistic regression over TF-IDF, an embedding column, or both side by side.
 
-    def __init__(self, settings: TfidfSettings = CLASSIFIER, embedding: str | None = None,
+    ``settings=None`` leaves out TF-IDF; the text then only serves the override phrases.
+    """
+
+    def __init__(self, settings: TfidfSettings | None = CLASSIFIER, embedding: str | None = None,
                  max_iter: int = 1000, balanced: bool = True):
+        if settings is None and embedding is None:
+            raise ValueError("a classifier needs TF-IDF settings or an embedding column")
         self.settings, self.embedding = settings, embedding
         self.max_iter, self.balanced = max_iter, balanced
         self.classes: list[str] | None = None
@@ -33,15 +39,20 @@ class TextClassifier:
         self.model: LogisticRegressionModel | None = None
 
     def _features(self, df: DataFrame, text: str) -> DataFrame:
+        if self.settings is None:
+            return df.withColumn(
+                "features", array_to_vector(F.col(self.embedding).cast("array<double>"))
+            )
         if self.embedding is None:
             return self.tfidf.transform(df, text, "features")
         return assemble(self.tfidf.transform(df, text, "_tfidf"), self.embedding, "_tfidf").drop("_tfidf")
 
     def fit(self, df: DataFrame, text: str = "text", label: str = "intent") -> TextClassifier:
         """Fit on the rows that have text and label; at least two classes are needed."""
-        needed = [text, label] + ([self.embedding] if self.embedding else [])
+        read = [self.embedding if self.settings is None else text, label]
+        needed = [*read, self.embedding] if self.embedding and self.settings else read
         require_columns(df, needed)
-        rows = df.select(needed).dropna(subset=[text, label])
+        rows = df.select(needed).dropna(subset=read)
         weights = class_weights(rows, label).limit(MAX_CLASSES + 1).collect()
         if not weights:
             raise ValueError("Training messages cannot be empty.")
@@ -52,7 +63,8 @@ class TextClassifier:
         total = sum(w["n"] for w in weights)
         self.classes = sorted(w["label"] for w in weights)
         weight = F.create_map(*[F.lit(x) for w in weights for x in (w["label"], w["weight"])])
-        self.tfidf = Tfidf.fit(rows, text, self.settings)
+        if self.settings is not None:
+            self.tfidf = Tfidf.fit(rows, text, self.settings)
         names = F.array(*[F.lit(c) for c in self.classes])
         train = self._features(rows, text).select(
             "features",
@@ -86,7 +98,7 @@ class TextClassifier:
         scored = self.model.transform(self._features(df, text)).withColumn(
             "probabilities", vector_to_array("probability")
         ).drop("features", "rawPrediction", "probability", "prediction")
-        if override is None:
+        if override is None or text not in df.columns:
             fixed_class = F.lit(None).cast("string")
         else:
             fixed_class = override(normalize_text(text))
@@ -111,13 +123,14 @@ class TextClassifier:
         self._check()
         spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/regression")
-        self.tfidf.save(spark, f"{path}/vocabulary")
-        s = self.settings
+        if self.tfidf is not None:
+            self.tfidf.save(spark, f"{path}/vocabulary")
         spark.createDataFrame(
-            [(KIND, self.classes, self.embedding, list(s.sizes), s.min_df, s.max_features,
-              s.sublinear, s.strip_accents, self.max_iter, self.balanced)],
-            "kind string, classes array<string>, embedding string, sizes array<int>, min_df int, "
-            "max_features int, sublinear boolean, strip_accents boolean, max_iter int, balanced boolean",
+            [(KIND, self.classes, self.embedding, self.settings and astuple(self.settings),
+              self.max_iter, self.balanced)],
+            "kind string, classes array<string>, embedding string, settings struct<sizes:array<int>, "
+            "min_df:int, max_features:int, sublinear:boolean, strip_accents:boolean>, max_iter int, "
+            "balanced boolean",
         ).write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
@@ -130,13 +143,14 @@ class TextClassifier:
         if "kind" not in frame.columns or frame.first()["kind"] != KIND:
             raise TypeError(f"{path} holds no text classifier")
         row = frame.first()
-        settings = TfidfSettings(
-            tuple(row["sizes"]), row["min_df"], row["max_features"], row["sublinear"],
-            row["strip_accents"],
+        s = row["settings"]
+        settings = s and TfidfSettings(
+            tuple(s["sizes"]), s["min_df"], s["max_features"], s["sublinear"], s["strip_accents"]
         )
         loaded = cls(settings, row["embedding"], row["max_iter"], row["balanced"])
         loaded.classes = list(row["classes"])
-        loaded.tfidf = Tfidf.load(spark, f"{path}/vocabulary", settings)
+        if settings is not None:
+            loaded.tfidf = Tfidf.load(spark, f"{path}/vocabulary", settings)
         loaded.model = LogisticRegressionModel.load(f"{path}/regression")
         return loaded
 

@@ -14,8 +14,9 @@ from replyloom.functions.text import normalize_text
 from replyloom.operators.spread import lookup
 from replyloom.session import cut_lineage
 
-BLOCK_ROWS = 16_384
-CHUNK_ROWS = 512
+BLOCK_BYTES = 64 * 1024 * 1024
+MIN_BLOCK_ROWS = 1_024
+CHUNK_CELLS = 4_000_000
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -25,47 +26,51 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(wide, lambda x: F.when(length > 0, x / length).otherwise(x))
 
 
-def _best_of_cell(key: tuple, queries: pd.DataFrame, corpus: pd.DataFrame, k: int,
+def _best_of_cell(queries: pd.DataFrame, corpus: pd.DataFrame, k: int,
                   exclude_self: bool) -> pd.DataFrame:
     """Top k of one block of queries against one block of the corpus."""
+    columns = ["query_id", "corpus_id", "similarity"]
     if queries.empty or corpus.empty:
-        return pd.DataFrame({"query_id": [], "corpus_id": [], "similarity": []})
-    ids = corpus["corpus_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    base = np.stack(corpus["vector"].to_numpy()).astype(np.float64)[order].T
-    asked = queries["query_id"].to_numpy()
+        return pd.DataFrame({c: [] for c in columns})
+    corpus = corpus.sort_values("corpus_id")
+    ids, asked = corpus["corpus_id"].to_numpy(), queries["query_id"].to_numpy()
+    base = np.stack(corpus["vector"].to_numpy()).astype(np.float64).T
     vectors = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+    step = max(1, CHUNK_CELLS // len(ids))
     found = []
-    for start in range(0, len(asked), CHUNK_ROWS):
-        part = asked[start:start + CHUNK_ROWS]
-        scores = np.round(vectors[start:start + CHUNK_ROWS] @ base, 9)
+    for start in range(0, len(asked), step):
+        part = asked[start:start + step]
+        scores = np.round(vectors[start:start + step] @ base, 9)
         if exclude_self:
             scores[part[:, None] == ids[None, :]] = -np.inf
-        # columns are in id order, so a stable sort puts the lower id first among equals
-        if scores.shape[1] > 4 * k:
-            bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        if len(ids) > k:
+            bound = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
         else:
             bound = np.full(len(part), -np.inf)
-        for row, query_id in enumerate(part):
-            at = np.flatnonzero((scores[row] >= bound[row]) & (scores[row] > -np.inf))
-            at = at[np.argsort(-scores[row][at], kind="stable")][:k]
-            found.append(
-                pd.DataFrame(
-                    {"query_id": query_id, "corpus_id": ids[at], "similarity": scores[row][at]}
-                )
+        row, column = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+        value = scores[row, column]
+        # columns are in id order: of equal scores the lower id comes first
+        order = np.lexsort((column, -value, row))
+        row, column, value = row[order], column[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < k
+        found.append(
+            pd.DataFrame(
+                {"query_id": part[row[kept]], "corpus_id": ids[column[kept]], "similarity": value[kept]}
             )
+        )
     return pd.concat(found, ignore_index=True)
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = False,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+          block_rows: int | None = None) -> DataFrame:
     """(query_id, corpus_id, similarity, rank): the ``k`` largest inner products of each query.
 
     ``queries`` has query_id and vector, ``corpus`` corpus_id and vector, ids unique, vectors of
-    one length and unit norm. Both sides are dealt into blocks by a hash of the id; each pair of
-    blocks is one group of bounded size that yields at most ``k`` rows per query. Neither side is
-    broadcast or brought to the driver. Equal similarities (to 9 digits) rank by corpus id.
+    one length and unit norm. Both sides are dealt into blocks of about ``BLOCK_BYTES`` by a hash
+    of the id; each pair of blocks is one group of bounded size that yields at most ``k`` rows per
+    query. Neither side is broadcast or brought to the driver. Equal similarities (to 9 digits)
+    rank by corpus id.
     """
     if k < 1:
         raise ValueError("k is at least 1")
@@ -73,8 +78,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool
     corpus_type = corpus.schema["corpus_id"].dataType.simpleString()
     queries = cut_lineage(queries.select("query_id", "vector"))
     corpus = cut_lineage(corpus.select("corpus_id", "vector"))
+    if block_rows is None:
+        sample = corpus.select(F.size("vector").alias("d")).first()
+        block_rows = max(1, BLOCK_BYTES // (8 * max(1, sample["d"] if sample else 1)))
     query_blocks = max(1, -(-queries.count() // block_rows))
-    corpus_blocks = max(1, -(-corpus.count() // block_rows))
+    size = corpus.count()
+    corpus_blocks = max(1, -(-size // block_rows))
+    # few blocks would leave most of the cluster idle
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    if query_blocks * corpus_blocks < tasks:
+        corpus_blocks = max(corpus_blocks, min(tasks, size // MIN_BLOCK_ROWS))
 
     def block(column: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
@@ -89,7 +102,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool
         left.groupBy("q_block", "c_block")
         .cogroup(right.groupBy("q_block", "c_block"))
         .applyInPandas(
-            lambda key, q, c: _best_of_cell(key, q, c, k, exclude_self),
+            lambda q, c: _best_of_cell(q, c, k, exclude_self),
             f"query_id {id_type}, corpus_id {corpus_type}, similarity double",
         )
     )

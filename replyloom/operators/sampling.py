@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
 from replyloom.operators.spread import hash_order, hash_position, top_per_group
+from replyloom.session import literal_rows
 
 
 def sample_rows(df: DataFrame, n: int = fixed.SAMPLE_SIZE, key: str = "tweet_id",
@@ -25,7 +26,9 @@ def sample_per_class(df: DataFrame, label: str, n: int = fixed.CANDIDATES_PER_CL
 
 def quota_shortage(df: DataFrame, quotas: Mapping[str, int], label: str) -> DataFrame:
     """(class, needed, found) of the classes with fewer rows than their quota."""
-    wanted = df.sparkSession.createDataFrame(list(quotas.items()), "class string, needed bigint")
+    wanted = literal_rows(df.sparkSession, ["class", "needed"], list(quotas.items())).withColumn(
+        "needed", F.col("needed").cast("bigint")
+    )
     found = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("found"))
     return (
         wanted.join(found, "class", "left")

@@ -91,29 +91,32 @@ def hash_position(df: DataFrame, key: str, seed: str, group: Sequence[str] = (),
     )
 
 
-def with_neighbour(df: DataFrame, group: str, position: str, columns: Sequence[str],
-                   step: int = 1, prefix: str = "next_", span: int = 4_096) -> DataFrame:
-    """Add columns of the row at ``position + step`` (step 1 or -1) of the same group.
+def with_neighbours(df: DataFrame, group: str, position: str, columns: Sequence[str],
+                    after: str | None = "next_", before: str | None = None,
+                    span: int = 4_096) -> DataFrame:
+    """Add columns of the next row (prefix ``after``) and of the row before (prefix ``before``).
 
     ``position`` numbers the rows of a group without gaps. Groups are cut into stretches of
-    ``span`` positions that are windowed apart; the one row each stretch needs from the next is
-    copied over, so a group of any length is spread over many tasks in one shuffle.
+    ``span`` positions that are windowed apart; the one row each stretch needs from the stretch
+    beside it is copied over, so a group of any length is spread over many tasks in one shuffle.
     """
-    if step not in (1, -1):
-        raise ValueError("step is 1 or -1")
     stretch = F.floor(F.col(position) / span)
-    edge = 0 if step == 1 else span - 1
-    copied = F.when(
-        F.pmod(F.col(position), F.lit(span)) == edge, F.array(stretch, stretch - step)
-    ).otherwise(F.array(stretch))
+    inside = F.pmod(F.col(position), F.lit(span))
+    places = [stretch]
+    if after:
+        places.append(F.when(inside == 0, stretch - 1))
+    if before:
+        places.append(F.when(inside == span - 1, stretch + 1))
+    copied = F.filter(F.array(*places), lambda s: s.isNotNull())
     window = Window.partitionBy(group, "_stretch").orderBy(position)
-    shift = F.lead if step == 1 else F.lag
-    near = shift(F.col(position), 1).over(window) == F.col(position) + step
-    rows = df.withColumn("_stretch", F.explode(copied))
+    found = {}
+    for prefix, shift, step in ((after, F.lead, 1), (before, F.lag, -1)):
+        if prefix:
+            near = shift(F.col(position), 1).over(window) == F.col(position) + step
+            found |= {f"{prefix}{c}": F.when(near, shift(F.col(c), 1).over(window)) for c in columns}
     return (
-        rows.withColumns(
-            {f"{prefix}{c}": F.when(near, shift(F.col(c), 1).over(window)) for c in columns}
-        )
+        df.withColumn("_stretch", F.explode(copied))
+        .withColumns(found)
         .where(F.col("_stretch") == stretch)
         .drop("_stretch")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from replyloom.functions.text import parse_reply_ids
 from replyloom.operators.spread import HOT_KEY_ROWS, HOT_KEY_SAMPLE, hot_keys, lookup
-from replyloom.session import cut_lineage
+from replyloom.session import cut_lineage, literal_rows
 
 
 @dataclass
@@ -157,8 +157,8 @@ class Threads:
         """(seed, customer, ord): inbound rows listing an existing answer of the brand."""
         listed = self.rows.where(F.col("inbound") & F.col("response_tweet_id").isNotNull()).select(
             F.col("node").alias("seed"), F.col("author").alias("customer"), "ord", "brand",
-            F.explode(parse_reply_ids("response_tweet_id")).alias("reply_id"),
-        )
+            F.explode_outer(parse_reply_ids("response_tweet_id")).alias("reply_id"),
+        ).where(F.col("reply_id").isNotNull())
         listed = listed.withColumn("reply", self._node(F.col("reply_id")))
         answers = self.rows.where("is_brand").select(F.col("node").alias("answer"))
         return (
@@ -273,24 +273,27 @@ class Threads:
         located, rest = self._roots()
         if rest is None:
             return located
-        paths = self._hop_backward(rest)
+        paths = self._hop_backward(rest.withColumn("walk", F.col("seed")))
         deepest = paths.groupBy("seed", "customer", "ord").agg(
             F.max_by("node", "off").alias("root"), F.max("off").alias("depth")
         )
         return located.unionByName(deepest)
 
     def backward_paths(self, starts: DataFrame | None = None) -> DataFrame:
-        """(seed, node, off): all rows of each seed's backward walk, counted from the seed.
+        """(walk, node, off): all rows of each seed's backward walk, counted from the seed.
 
-        Of all seeds by default; ``starts`` with one seed per root share next to no rows.
+        Of all seeds by default. ``walk`` holds the columns of the start, so what is known of a
+        walk need not be joined to its rows again. Given ``starts`` have one seed per root and
+        share next to no rows.
         """
         self._prepare_backward()
         seeds = self.seeds() if starts is None else starts
-        shared = starts is None
+        shared = starts is None or self.per_customer
+        carried = F.struct(*seeds.columns)
         plain, looped = self._split_endless(seeds)
         listed = cut_lineage(
             list_walk(
-                plain.select(F.col("seed").alias("walk"), F.col("seed").alias("node"),
+                plain.select(carried.alias("walk"), F.col("seed").alias("node"),
                              F.lit(0).alias("off")),
                 self.back, shared, self.hot_rows, self.hot_sample,
             )
@@ -303,9 +306,10 @@ class Threads:
             ),
             self.runs, shared, self.hot_rows, self.hot_sample,
         ).select(F.col("walk")["walk"].alias("walk"), "node", "off")
-        paths = listed.unionByName(in_runs).select(F.col("walk").alias("seed"), "node", "off")
+        paths = listed.unionByName(in_runs)
         if looped is not None:
-            paths = paths.unionByName(self._hop_backward(looped).select("seed", "node", "off"))
+            hops = self._hop_backward(looped.withColumn("walk", carried))
+            paths = paths.unionByName(hops.select("walk", "node", "off"))
         return paths
 
     def _split_endless(self, seeds):
@@ -329,7 +333,7 @@ class Threads:
             F.col("node").alias("n"), "parent", "p_author", "p_brand"
         )
         walk = cut_lineage(
-            seeds.select("seed", "customer", "ord", F.col("seed").alias("node"),
+            seeds.select("walk", "seed", "customer", "ord", F.col("seed").alias("node"),
                          F.lit(0).cast("bigint").alias("off"), F.array("seed").alias("path"))
         )
         done = walk.drop("path")
@@ -339,7 +343,7 @@ class Threads:
                 walk.join(links, walk["node"] == links["n"])
                 .where(F.coalesce(follows, F.lit(False)))
                 .where(~F.array_contains("path", F.col("parent")))
-                .select("seed", "customer", "ord", F.col("parent").alias("node"),
+                .select("walk", "seed", "customer", "ord", F.col("parent").alias("node"),
                         (F.col("off") + 1).alias("off"),
                         F.array_append("path", F.col("parent")).alias("path"))
             )
@@ -389,8 +393,9 @@ class Threads:
         self._prepare_forward()
         starts = starts.select("walk", "root", "customer")
         brand = self.rows.where("is_brand").select(F.col("node").alias("b"))
-        at_brand = starts.join(brand, starts["root"] == brand["b"]).drop("b")
-        at_customer = starts.join(brand, starts["root"] == brand["b"], "left_anti")
+        # many customers may share one root
+        at_brand = self._lookup(starts, brand, "root", "b", "left_semi", "customer")
+        at_customer = self._lookup(starts, brand, "root", "b", "left_anti", "customer")
         first = at_brand.join(
             self.follow_ups, (F.col("root") == F.col("after")) & (F.col("customer") == F.col("by"))
         ).select("walk", F.col("follow_up").alias("node"), F.lit(1).cast("bigint").alias("off"),
@@ -467,40 +472,43 @@ class Threads:
         Backward chain first, then the forward one; a row in both keeps its earlier place.
         """
         won = self.winners()
-        back = self.backward_paths(won).join(
-            won.select("seed", "root", "customer", "depth"), "seed"
-        ).select("root", "customer", "node", (F.col("depth") - F.col("off")).alias("at"))
+        walk = F.col("walk")
+        back = self.backward_paths(won).select(
+            walk["root"].alias("root"), walk["customer"].alias("customer"),
+            walk["depth"].alias("depth"), "node", (walk["depth"] - F.col("off")).alias("place"),
+        )
         tagged = won.select(
             F.struct("root", "customer", "depth").alias("walk"), "root", "customer"
         )
         ahead = self.forward_paths(tagged).select(
-            F.col("walk")["root"].alias("root"), F.col("walk")["customer"].alias("customer"),
-            "node", (F.col("walk")["depth"] + F.col("off")).alias("at"),
-        )
-        rows = back.unionByName(ahead).groupBy("root", "customer", "node").agg(F.min("at").alias("at"))
-        # the forward chain repeats the backward one up to where they part, so the rows that
-        # follow are moved up by as many places as were repeated
-        return self._close_gaps(rows, won)
-
-    def _close_gaps(self, rows: DataFrame, won: DataFrame) -> DataFrame:
-        depth = won.select(F.col("root").alias("r"), F.col("customer").alias("c"), "depth")
-        placed = cut_lineage(
-            rows.join(depth, (rows["root"] == F.col("r")) & (rows["customer"] == F.col("c")))
-            .drop("r", "c")
+            walk["root"].alias("root"), walk["customer"].alias("customer"),
+            walk["depth"].alias("depth"), "node", (walk["depth"] + F.col("off")).alias("place"),
         )
-        beyond = (
-            placed.where(F.col("at") > F.col("depth"))
-            .groupBy(F.col("root").alias("r"), F.col("customer").alias("c"))
-            .agg((F.min("at")).alias("first_beyond"))
+        rows = cut_lineage(
+            back.unionByName(ahead)
+            .groupBy("root", "customer", "depth", "node")
+            .agg(F.min("place").alias("place"))
+            .withColumn("conversation", F.concat_ws("/", "root", "customer"))
         )
-        moved = placed.join(
-            beyond, (F.col("root") == F.col("r")) & (F.col("customer") == F.col("c")), "left"
-        )
-        gap = F.col("first_beyond") - F.col("depth") - 1
+        return self._close_gaps(rows)
+
+    def _close_gaps(self, rows: DataFrame) -> DataFrame:
+        """Number the rows without gaps.
+
+        The forward chain repeats the backward one up to where they part, so the rows beyond the
+        seed are moved down by as many places as were repeated.
+        """
+        beyond = F.col("place") > F.col("depth")
+        first = (
+            rows.where(beyond)
+            .groupBy(F.col("conversation").alias("of"))
+            .agg(F.min(F.col("place") - F.col("depth") - 1).alias("gap"))
+            .where(F.col("gap") > 0)
+        )
+        moved = self._lookup(rows, first, "conversation", "of", "left", "node")
         return moved.select(
             "root", "customer", "node",
-            F.when(F.col("at") > F.col("depth"), F.col("at") - gap).otherwise(F.col("at"))
-            .alias("pos"),
+            (F.col("place") - F.when(beyond, F.coalesce("gap", F.lit(0))).otherwise(0)).alias("pos"),
         )
 
 
@@ -564,7 +572,7 @@ def conversation_stats(connected: DataFrame, lengths: DataFrame,
 
     A brand without rows or conversations keeps its line with zeros.
     """
-    asked = connected.sparkSession.createDataFrame([(b,) for b in brands], "brand string")
+    asked = literal_rows(connected.sparkSession, ["brand"], [(b,) for b in brands])
     tweets = connected.groupBy("brand").agg(F.count(F.lit(1)).alias("tweets"))
     threads = lengths.groupBy("brand").agg(
         F.count(F.lit(1)).alias("conversations"),

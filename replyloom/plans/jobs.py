@@ -14,10 +14,13 @@ from replyloom.functions.routing import RoutingRules, route
 from replyloom.functions.text import has_text, normalize_bool
 from replyloom.operators import metrics
 from replyloom.operators.aggregates import dedup_text, value_counts
+from replyloom.operators.annotations import (
+    ensure_annotation_columns, has_prediction, merge_predictions, pending_rows,
+)
 from replyloom.operators.brands import connected_rows, linked_brands
 from replyloom.operators.corpus import holdout_conversations, holdout_rows, resolution_pairs
 from replyloom.operators.features import BASELINE
-from replyloom.operators.inference import Provider, generate_replies
+from replyloom.operators.inference import Provider, annotate_with_retry, generate_replies
 from replyloom.operators.messages import drop_null_pairs, flatten_messages, inbound_rows, rows_with_text
 from replyloom.operators.models import TextClassifier, cross_validate
 from replyloom.operators.retrieval import attach_pairs, l2_normalize, nest_evidence, top_k
@@ -38,10 +41,13 @@ def build_training_set(tweets: DataFrame, golden: DataFrame, lexicon: Lexicon,
     rows = rows_with_text(inbound_rows(tweets), "text", ascii_only)
     if brand is not None:
         rows = rows.join(linked_brands(tweets, [brand]).select("tweet_id"), "tweet_id", "left_semi")
-    labelled = label_weakly(
-        holdout_rows(rows, golden).select("tweet_id", "text"), "text", lexicon, other_phrases,
-        ascii_only=ascii_only,
-    ).where(F.col("intent").isNotNull())
+    # few messages get a label; they are read twice below, the whole table only once
+    labelled = cut_lineage(
+        label_weakly(
+            holdout_rows(rows, golden).select("tweet_id", "text"), "text", lexicon, other_phrases,
+            ascii_only=ascii_only,
+        ).where(F.col("intent").isNotNull())
+    )
     return dedup_text(cap_one_class(labelled, other_cap)).select("tweet_id", "text", "intent")
 
 
@@ -76,6 +82,29 @@ def build_corpus(flat: DataFrame, golden: DataFrame,
     return embed(pairs).withColumn("embedding", l2_normalize(F.col("embedding")))
 
 
+def annotate_golden(golden: DataFrame, provider: Provider, source: str, taxonomy: Mapping[str, str],
+                    limit: int | None = None, force: bool = False,
+                    threshold: int = fixed.REVIEW_CONFIDENCE,
+                    key: str = "tweet_id") -> tuple[DataFrame, DataFrame]:
+    """Label the rows still open and merge the labels: (golden, counts of the run).
+
+    Run again after a stop, it goes on with the rows that have no prediction yet.
+    """
+    ready = ensure_annotation_columns(golden)
+    answers = annotate_with_retry(
+        pending_rows(ready, limit, force, key), provider, source, taxonomy, threshold=threshold, key=key
+    )
+    counts = answers.agg(
+        F.count_if(F.col("error").isNull()).alias("processed"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+    ).withColumn(
+        "skipped",
+        F.lit(0).cast("bigint") if force
+        else ready.agg(F.count_if(has_prediction()).alias("skipped")).scalar(),
+    )
+    return merge_predictions(ready, answers, key), counts
+
+
 def train_classifier(df: DataFrame, text: str = "text", label: str = "intent",
                      cap: int | None = fixed.CLASS_CAP, key: str = "tweet_id",
                      **settings) -> TextClassifier:
@@ -111,7 +140,8 @@ def handle_messages(messages: DataFrame, classifier: TextClassifier, corpus: Dat
     prompted = found.withColumn(
         "_prompt", reply_prompt(F.col(message), F.col("intent"), F.col("evidence"), template, k)
     )
-    drafted = generate_replies(prompted, "_prompt", providers).drop("_prompt")
+    # written out, so that no provider is asked twice for one message
+    drafted = cut_lineage(generate_replies(prompted, "_prompt", providers).drop("_prompt"))
     routed = route(drafted, message, "intent", "confidence", evidence="evidence", rules=rules)
     return routed.withColumns(
         {
@@ -126,7 +156,7 @@ def evaluate_classifier(df: DataFrame, classifier: TextClassifier, text: str, la
     """All class scores of a labelled set: overall, per class, confusion, confidence."""
     labels = list(labels or classifier.classes)
     rows = df.where(has_text(text) & has_text(label))
-    scored = top_two(classifier.predict(rows, text), "probabilities", classifier.classes).persist()
+    scored = cut_lineage(top_two(classifier.predict(rows, text), "probabilities", classifier.classes))
     truth, guess = label, "predicted_intent"
     return {
         "predictions": scored,
@@ -182,7 +212,7 @@ def evaluate_end_to_end(golden: DataFrame, classifier: TextClassifier, corpus: D
         F.col("intent").alias("predicted_intent"), "confidence",
         normalize_bool(escalation, accept_y=True).alias("expected_escalation"),
         F.col("escalate").alias("predicted_escalation"), "escalation_reason", "response", "evidence",
-    ).persist()
+    )
     return {
         "examples": examples,
         "intent": metrics.classification_metrics(examples, "gold_intent", "predicted_intent", digits=6),

@@ -227,6 +227,48 @@ VIEWS: dict[str, str] = {
                row_number() OVER (PARTITION BY t.root ORDER BY t.place) - 1 AS pos, t.tweet_id,
                r.author_id, r.inbound, r.text
         FROM thread_rows t JOIN reply_tree r USING (tweet_id)""",
+    "connected": """
+        SELECT c.brand, r.* FROM (
+            SELECT tweet_id, author_id AS brand FROM reply_tree_multi WHERE NOT inbound
+            UNION SELECT tweet_id, brand FROM multi_assoc) c JOIN reply_tree_multi r USING (tweet_id)""",
+    "brand_seeds": """
+        SELECT DISTINCT x.brand, x.tweet_id AS seed, x.author_id AS customer FROM
+            (SELECT brand, tweet_id, author_id, CAST(unnest(string_split(response_tweet_id, ',')) AS BIGINT) AS reply
+             FROM connected WHERE inbound AND response_tweet_id IS NOT NULL) x
+        JOIN connected b ON b.brand = x.brand AND b.tweet_id = x.reply AND b.author_id = b.brand""",
+    "brand_back": """
+        SELECT brand, seed, customer, seed AS cur, 0 AS off FROM brand_seeds
+        UNION ALL
+        SELECT w.brand, w.seed, w.customer, p.tweet_id, w.off + 1 FROM brand_back w
+        JOIN connected c ON c.brand = w.brand AND c.tweet_id = w.cur
+        JOIN connected p ON p.brand = w.brand AND p.tweet_id = c.in_response_to_tweet_id
+        WHERE p.author_id = w.brand OR p.author_id = w.customer""",
+    "brand_roots": """
+        SELECT brand, seed, customer, max(off) AS depth, arg_max(cur, off) AS root FROM brand_back GROUP BY ALL""",
+    "brand_next": """
+        SELECT c.brand, c.tweet_id AS cur, k.author_id AS by, k.tweet_id AS nxt, c.author_id = c.brand AS at_brand
+        FROM connected c JOIN connected k ON k.brand = c.brand AND k.in_response_to_tweet_id = c.tweet_id
+        WHERE c.author_id = c.brand OR k.author_id = c.brand
+        QUALIFY row_number() OVER (PARTITION BY c.brand, c.tweet_id, k.author_id
+                                   ORDER BY k.created_at, k.tweet_id) = 1""",
+    "brand_fore": """
+        SELECT DISTINCT brand, root, customer, root AS cur, 0 AS off FROM brand_roots
+        UNION ALL
+        SELECT w.brand, w.root, w.customer, n.nxt, w.off + 1 FROM brand_fore w JOIN brand_next n
+        ON n.brand = w.brand AND n.cur = w.cur AND n.by = CASE WHEN n.at_brand THEN w.customer ELSE w.brand END""",
+    "brand_winners": """
+        SELECT r.* FROM brand_roots r
+        WHERE r.depth > 0 OR EXISTS (SELECT 1 FROM brand_fore f WHERE f.brand = r.brand AND f.root = r.root
+                                     AND f.customer = r.customer AND f.off > 0)
+        QUALIFY row_number() OVER (PARTITION BY brand, root ORDER BY seed) = 1""",
+    "brand_threads": """
+        SELECT brand, root, customer, cur AS tweet_id, min(place) AS place FROM (
+            SELECT w.brand, w.root, w.customer, b.cur, w.depth - b.off AS place
+            FROM brand_winners w JOIN brand_back b ON b.brand = w.brand AND b.seed = w.seed
+            UNION ALL
+            SELECT w.brand, w.root, w.customer, f.cur, w.depth + f.off FROM brand_winners w
+            JOIN brand_fore f ON f.brand = w.brand AND f.root = w.root AND f.customer = w.customer
+             AND f.off > 0) GROUP BY ALL""",
     "routing_input": """
         SELECT tweet_id, text AS customer_message, candidate_intent AS intent, conv_id * 7 + turn AS k,
                (k * 37 % 101) / 100.0::DOUBLE AS confidence,

@@ -82,6 +82,13 @@ def _(spark, d):
     return model.predict(rows, "customer_message").select("tweet_id", "gold_intent", "predicted_intent")
 
 
+@query("embedding_predict")
+def _(spark, d):
+    rows = views.table(spark, d, "embeddings").withColumn("label", F.concat(F.lit("l"), "label"))
+    model = TextClassifier(None, "embedding", MAX_ITER).fit(rows, label="label")
+    return model.predict(rows).select("vec_id", "label", "predicted_intent")
+
+
 @query("cross_validated_tfidf")
 def _(spark, d):
     scored = cross_validate(
@@ -142,6 +149,25 @@ def _(spark, d):
                        "error")
 
 
+@query("annotate_golden", r"""
+    SELECT tweet_id, CASE WHEN open AND kind < 2 THEN 'c_en' ELSE ai_intent END AS ai_intent,
+           CASE WHEN open AND kind < 2 THEN '60' ELSE ai_confidence END AS ai_confidence,
+           CASE WHEN NOT open THEN CASE WHEN status <> '' THEN status ELSE 'ai_suggested' END
+                WHEN kind > 1 THEN 'ai_failed' WHEN status IN ('human_reviewed', 'ai_bulk_accepted') THEN status
+                ELSE 'ai_suggested' END AS annotation_status
+    FROM (SELECT *, trim(ai_intent) = '' OR coalesce(trim(ai_escalation), '') = '' OR trim(ai_confidence) = '' AS open,
+                 length(regexp_replace(customer_message, '^\s+|\s+$', '', 'g')) % 4 AS kind,
+                 CASE WHEN annotation_status <> '' THEN annotation_status
+                      WHEN contains(annotation_notes, 'Bulk accepted from AI') THEN 'ai_bulk_accepted'
+                      WHEN coalesce(trim(gold_intent), '') <> '' THEN 'human_reviewed'
+                      WHEN trim(ai_intent) <> '' THEN 'ai_suggested' ELSE '' END AS status
+          FROM annotated)""")
+def _(spark, d):
+    done, _counts = jobs.annotate_golden(
+        views.annotated(spark, d), _labeller, "stub", {c: c for c in views.CLASSES})
+    return done.select("tweet_id", "ai_intent", "ai_confidence", "annotation_status")
+
+
 # --- jobs ---------------------------------------------------------------------------------------
 
 def _corpus(spark, d):

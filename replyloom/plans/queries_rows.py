@@ -12,7 +12,7 @@ from replyloom.operators.corpus import (
     golden_conversations, holdout_conversations, holdout_rows, resolution_pairs,
 )
 from replyloom.plans import views
-from replyloom.plans.jobs import build_training_set
+from replyloom.plans.jobs import build_golden_set, build_training_set
 from replyloom.plans.oracle import hash_order, strip
 from replyloom.plans.registry import query
 from replyloom.sources.tables import scan
@@ -290,6 +290,21 @@ def _(spark, d):
         docs.select(F.lit("document").alias("bucket"), F.col("doc_id").alias("id"), "text"))
 
 
+@query("build_golden_set", f"""
+    SELECT row_number() OVER (ORDER BY {hash_order('tweet_id')}) AS shuffle_pos, tweet_id, conversation_id,
+           candidate_intent, '' AS gold_intent FROM (
+        SELECT tweet_id, conversation_id, candidate_intent, quota FROM annotated
+        JOIN (VALUES {', '.join(f"('{c}', {n})" for c, n in QUOTAS.items())}) AS q(class, quota)
+          ON class = candidate_intent
+        QUALIFY row_number() OVER (PARTITION BY candidate_intent ORDER BY {hash_order('tweet_id')}) <= quota)""")
+def _(spark, d):
+    candidates = sampling.sample_per_class(views.annotated(spark, d), "candidate_intent")
+    enough = {c: n for c, n in QUOTAS.items()
+              if candidates.where(F.col("candidate_intent") == c).limit(n).count() == n}
+    golden = build_golden_set(candidates, enough)
+    return golden.select("shuffle_pos", "tweet_id", "conversation_id", "candidate_intent", "gold_intent")
+
+
 # --- training set -------------------------------------------------------------------------------
 
 @query("build_training_set", f"""

@@ -9,6 +9,8 @@ from replyloom.functions import lexicon as lx
 from replyloom.functions import prompts, routing
 from replyloom.functions import text as tx
 from replyloom.operators import aggregates
+from replyloom.operators.features import drop_accents
+from replyloom.operators.spread import with_neighbours
 from replyloom.plans import views
 from replyloom.plans.oracle import norm, quoted, strip
 from replyloom.plans.registry import query
@@ -251,8 +253,6 @@ SHORT = ["of", "the", "heit", "entre"]
            WHEN contains(t, 'entre') THEN 'entre' ELSE '' END AS phrase
     FROM (SELECT tweet_id, strip_accents(lower(text)) AS t FROM messages)""")
 def _(spark, d):
-    from replyloom.operators.features import drop_accents
-
     return views.messages(spark, d).select("tweet_id", F.coalesce(
         routing.first_phrase(drop_accents(F.lower("text")), SHORT), F.lit("")).alias("phrase"))
 
@@ -322,11 +322,7 @@ def _(spark, d):
 
 def _evidence(spark, d):
     """Turns with the pairs before and after them as evidence."""
-    from replyloom.operators.spread import with_neighbour
-
-    rows = views.tweets(spark, d)
-    rows = with_neighbour(rows, "conv_id", "turn", ["text"], -1, "before_")
-    rows = with_neighbour(rows, "conv_id", "turn", ["text"], 1, "after_")
+    rows = with_neighbours(views.tweets(spark, d), "conv_id", "turn", ["text"], "after_", "before_")
 
     def pair(message, response, similarity):
         return F.struct(

@@ -6,20 +6,16 @@ from pyspark.sql import functions as F
 
 from replyloom.operators import brands
 from replyloom.operators import threads as th
+from replyloom.operators.messages import flatten_messages
 from replyloom.plans import views
+from replyloom.plans.jobs import build_corpus, extract_conversations
 from replyloom.plans.registry import query
+from replyloom.session import cut_lineage
 
 BRANDS = ["brand_view", "brand_click", "brand_none"]
 
-CONNECTED = """
-    SELECT tweet_id, author_id AS brand FROM reply_tree_multi WHERE NOT inbound
-    UNION
-    SELECT tweet_id, brand FROM multi_assoc"""
-
-
-@query("brand_connected", f"""
-    SELECT c.brand, c.tweet_id, r.author_id, r.inbound FROM ({CONNECTED}) c JOIN reply_tree_multi r USING (tweet_id)
-    WHERE c.brand = 'brand_view'""")
+@query("brand_connected", """
+    SELECT brand, tweet_id, author_id, inbound FROM connected WHERE brand = 'brand_view'""")
 def _(spark, d):
     connected = brands.connected_rows(views.reply_tree_multi(spark, d), ["brand_view"])
     return connected.select("brand", "tweet_id", "author_id", "inbound")
@@ -68,7 +64,7 @@ def _(spark, d):
 @query("trace_backward", "SELECT seed, cur AS tweet_id, CAST(off AS BIGINT) AS off FROM back_walk")
 def _(spark, d):
     paths = th.Threads(views.reply_tree(spark, d), "brand").backward_paths()
-    return paths.select("seed", F.col("node").alias("tweet_id"), "off")
+    return paths.select("walk.seed", F.col("node").alias("tweet_id"), "off")
 
 
 @query("thread_roots", "SELECT seed, customer, root, CAST(depth AS BIGINT) AS depth FROM seed_roots")
@@ -112,60 +108,41 @@ def _(spark, d):
            count(*) OVER (PARTITION BY conversation_id) AS turn_count
     FROM thread_messages QUALIFY inbound""")
 def _(spark, d):
-    from replyloom.operators.messages import flatten_messages
-
     nested = th.nest_conversations(th.build_conversations(views.reply_tree(spark, d), "brand"))
     return flatten_messages(nested).select("conversation_id", "tweet_id", "customer_message", "turn_count")
 
 
 # The walks of one brand see the other brand's rows as rows of other people.
-@query("conversation_stats", f"""
-    WITH RECURSIVE rt AS (SELECT c.brand, r.* FROM ({CONNECTED}) c JOIN reply_tree_multi r USING (tweet_id)),
-    s AS (SELECT DISTINCT x.brand, x.tweet_id AS seed, x.author_id AS customer FROM
-            (SELECT brand, tweet_id, author_id, CAST(unnest(string_split(response_tweet_id, ',')) AS BIGINT) AS reply
-             FROM rt WHERE inbound AND response_tweet_id IS NOT NULL) x
-          JOIN rt b ON b.brand = x.brand AND b.tweet_id = x.reply AND b.author_id = b.brand),
-    bw AS (SELECT brand, seed, customer, seed AS cur, 0 AS off FROM s
-           UNION ALL
-           SELECT w.brand, w.seed, w.customer, p.tweet_id, w.off + 1 FROM bw w
-           JOIN rt c ON c.brand = w.brand AND c.tweet_id = w.cur
-           JOIN rt p ON p.brand = w.brand AND p.tweet_id = c.in_response_to_tweet_id
-           WHERE p.author_id = w.brand OR p.author_id = w.customer),
-    sr AS (SELECT brand, seed, customer, max(off) AS depth, arg_max(cur, off) AS root FROM bw GROUP BY ALL),
-    nh AS (SELECT c.brand, c.tweet_id AS cur, k.author_id AS by, k.tweet_id AS nxt, c.author_id = c.brand AS at_brand
-           FROM rt c JOIN rt k ON k.brand = c.brand AND k.in_response_to_tweet_id = c.tweet_id
-           WHERE c.author_id = c.brand OR k.author_id = c.brand
-           QUALIFY row_number() OVER (PARTITION BY c.brand, c.tweet_id, k.author_id ORDER BY k.created_at, k.tweet_id) = 1),
-    fw AS (SELECT DISTINCT brand, root, customer, root AS cur, 0 AS off FROM sr
-           UNION ALL
-           SELECT w.brand, w.root, w.customer, n.nxt, w.off + 1 FROM fw w JOIN nh n ON n.brand = w.brand
-           AND n.cur = w.cur AND n.by = CASE WHEN n.at_brand THEN w.customer ELSE w.brand END),
-    win AS (SELECT r.* FROM sr r WHERE r.depth > 0 OR EXISTS (SELECT 1 FROM fw f WHERE f.brand = r.brand
-              AND f.root = r.root AND f.customer = r.customer AND f.off > 0)
-            QUALIFY row_number() OVER (PARTITION BY brand, root ORDER BY seed) = 1),
-    lens AS (SELECT brand, root, count(DISTINCT cur) AS turn_count FROM (
-               SELECT w.brand, w.root, b.cur FROM win w JOIN bw b ON b.brand = w.brand AND b.seed = w.seed
-               UNION ALL
-               SELECT w.brand, w.root, f.cur FROM win w JOIN fw f ON f.brand = w.brand AND f.root = w.root
-                 AND f.customer = w.customer) GROUP BY ALL)
+@query("conversation_stats", """
     SELECT a.brand, coalesce(t.tweets, 0) AS tweets, coalesce(l.conversations, 0) AS conversations, avg_turns,
            median_turns, max_turns, coalesce(c3, 0) AS conversations_3plus, coalesce(c6, 0) AS conversations_6plus
     FROM (VALUES ('brand_view'), ('brand_click'), ('brand_none')) AS a(brand)
-    LEFT JOIN (SELECT brand, count(*) AS tweets FROM rt GROUP BY 1) t USING (brand)
+    LEFT JOIN (SELECT brand, count(*) AS tweets FROM connected GROUP BY 1) t USING (brand)
     LEFT JOIN (SELECT brand, count(*) AS conversations, round(avg(turn_count), 2) AS avg_turns,
                       median(turn_count) AS median_turns, max(turn_count) AS max_turns,
                       count(*) FILTER (turn_count >= 3) AS c3, count(*) FILTER (turn_count >= 6) AS c6
-               FROM lens GROUP BY 1) l USING (brand)""")
+               FROM (SELECT brand, root, count(*) AS turn_count FROM brand_threads GROUP BY 1, 2)
+               GROUP BY 1) l USING (brand)""")
 def _(spark, d):
-    connected = brands.connected_rows(views.reply_tree_multi(spark, d), BRANDS).persist()
+    connected = cut_lineage(brands.connected_rows(views.reply_tree_multi(spark, d), BRANDS))
     lengths = th.conversation_lengths(th.build_conversations(connected))
     return th.conversation_stats(connected, lengths, BRANDS)
 
 
-@query("build_corpus", None)
+@query("extract_conversations", """
+    SELECT 'brand_click_' || t.root AS conversation_id, t.customer AS customer_id,
+           string_agg(t.tweet_id || ':' || r.author_id, '|' ORDER BY t.place) AS messages, count(*) AS turn_count
+    FROM brand_threads t JOIN reply_tree_multi r USING (tweet_id) WHERE t.brand = 'brand_click'
+    GROUP BY t.root, t.customer""")
 def _(spark, d):
-    from replyloom.plans.jobs import build_corpus
+    nested = extract_conversations(views.reply_tree_multi(spark, d), "brand_click")
+    line = F.transform("messages", lambda m: F.concat_ws(":", m["tweet_id"].cast("string"), m["author_id"]))
+    return nested.select("conversation_id", "customer_id", F.array_join(line, "|").alias("messages"),
+                         "turn_count")
+
 
+@query("build_corpus")
+def _(spark, d):
     corpus = build_corpus(views.flat(spark, d), views.golden(spark, d),
                           lambda df: views.message_vectors(df, "customer_message"))
     return corpus.select("conversation_id", "customer_tweet_id", "agent_tweet_id",

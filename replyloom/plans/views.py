@@ -11,7 +11,7 @@ from replyloom import fixed_values as fixed
 from replyloom.functions.lexicon import Lexicon, add_candidate, infer_class
 from replyloom.operators.features import add_terms
 from replyloom.operators.sampling import sample_per_class
-from replyloom.operators.spread import with_neighbour
+from replyloom.operators.spread import with_neighbours
 
 LEXICON = Lexicon(
     {
@@ -45,8 +45,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
             "text",
         )
     )
-    linked = with_neighbour(turns, "conv_id", "turn", ["tweet_id"], -1, "before_")
-    linked = with_neighbour(linked, "conv_id", "turn", ["tweet_id"], 1, "after_")
+    linked = with_neighbours(turns, "conv_id", "turn", ["tweet_id"], "after_", "before_")
     return linked.select(
         "conv_id", "turn", "tweet_id", "author_id", "inbound", "text",
         F.col("before_tweet_id").alias("in_response_to_tweet_id"),

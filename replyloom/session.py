@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app_name: str = "replyloom", master: str | None = None, **settings) -> SparkSession:
@@ -40,3 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder; what follows survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """A few parameter rows as part of the plan."""
+    entries = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))

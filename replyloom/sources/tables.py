@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from replyloom.functions.text import parse_created_at, parse_tweet_id
 from replyloom.schema import CONVERSATIONS, EVALUATED, TWEETS
 
+MAX_REPORT_ROWS = 10_000
+
 
 def read_tweets(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                 limit: int | None = None) -> DataFrame:
@@ -89,8 +91,12 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_report(spark: SparkSession, sections: Mapping[str, DataFrame], path: str) -> None:
     """Metric tables as one JSON object, a list of rows per section.
 
-    Metric tables hold a row per class or bucket; each is gathered by a scalar query.
+    A section holds a row per class or bucket; one with more than ``MAX_REPORT_ROWS`` rows is
+    refused and belongs into a table of its own.
     """
+    for name, df in sections.items():
+        if df.limit(MAX_REPORT_ROWS + 1).count() > MAX_REPORT_ROWS:
+            raise ValueError(f"section {name} has more than {MAX_REPORT_ROWS} rows")
     gathered = {
         name: df.agg(F.collect_list(F.struct(*df.columns)).alias("r")).scalar()
         for name, df in sections.items()

@@ -196,7 +196,7 @@ def test_hot_keys_do_not_change_walks(spark):
     tweets = frame(spark, rows)
     plain = th.Threads(tweets, "Brand").backward_paths()
     dealt = th.Threads(tweets, "Brand", hot_rows=5, hot_sample=1.0).backward_paths()
-    key = ["seed", "node", "off"]
+    key = ["walk.seed", "node", "off"]
     assert sorted(plain.select(key).collect()) == sorted(dealt.select(key).collect())
     assert plain.count() == 82
 
