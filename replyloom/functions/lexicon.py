@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
+from replyloom.functions.columns import settle
 from replyloom.functions.text import normalize_text
 
 MAX_PHRASES = 10_000
@@ -89,11 +90,8 @@ class Lexicon:
 def match_lexicon(df: DataFrame, text: str, lexicon: Lexicon, out: str = "classes",
                   ascii_only: bool = False) -> DataFrame:
     """Add the array of matching classes."""
-    return (
-        df.withColumn("_norm", normalize_text(text, ascii_only))
-        .withColumn(out, lexicon.matching_classes(F.col("_norm")))
-        .drop("_norm")
-    )
+    clean = df.withColumn("_norm", normalize_text(text, ascii_only))
+    return settle(clean, {out: lexicon.matching_classes(F.col("_norm"))}).drop("_norm")
 
 
 def label_weakly(df: DataFrame, text: str, lexicon: Lexicon,
@@ -105,25 +103,25 @@ def label_weakly(df: DataFrame, text: str, lexicon: Lexicon,
     label = F.when(F.size(hits) == 1, F.element_at(hits, 1)).when(
         (F.size(hits) == 0) & contains_any(F.col("_norm"), other_phrases), F.lit(other)
     )
-    return (
-        df.withColumn("_norm", normalize_text(text, ascii_only))
-        .withColumn("_hits", lexicon.matching_classes(F.col("_norm")))
-        .withColumn(out, label)
-        .drop("_norm", "_hits")
-    )
+    clean = df.withColumn("_norm", normalize_text(text, ascii_only))
+    hit = clean.withColumn("_hits", lexicon.matching_classes(F.col("_norm")))
+    return settle(hit, {out: label}).drop("_norm", "_hits")
 
 
 def add_candidate(df: DataFrame, text: str, lexicon: Lexicon, out: str = "candidate_intent",
                   score_out: str = "keyword_score", default: str = fixed.OTHER_CLASS) -> DataFrame:
     """Add the class with most phrases present and its score; the default class with 0 if none."""
     best = F.col("_best")
-    return (
-        df.withColumn("_lower", F.lower(F.col(text)))
-        .withColumn("_best", F.array_max(lexicon.scores(F.col("_lower"))))
-        .withColumn(out, F.when(best["score"] > 0, best["class"]).otherwise(F.lit(default)))
-        .withColumn(score_out, F.greatest(best["score"], F.lit(0)))
-        .drop("_lower", "_best")
+    scored = df.withColumn("_lower", F.lower(F.col(text))).withColumn(
+        "_best", F.array_max(lexicon.scores(F.col("_lower")))
     )
+    return settle(
+        scored,
+        {
+            out: F.when(best["score"] > 0, best["class"]).otherwise(F.lit(default)),
+            score_out: F.greatest(best["score"], F.lit(0)),
+        },
+    ).drop("_lower", "_best")
 
 
 def rank_candidates(df: DataFrame, text: str, lexicon: Lexicon, out: str = "candidates",
@@ -146,12 +144,11 @@ def infer_class(df: DataFrame, text: str, lexicon: Lexicon, out: str = "inferred
                 unknown: str = fixed.UNKNOWN_CLASS, multi_word_weight: int = 2) -> DataFrame:
     """Add the class with the largest weighted score, the first of equals; ``unknown`` if none."""
     best = F.col("_best")
-    return (
-        df.withColumn("_lower", F.lower(F.col(text)))
-        .withColumn("_best", F.array_max(lexicon.scores(F.col("_lower"), multi_word_weight)))
-        .withColumn(out, F.when(best["score"] > 0, best["class"]).otherwise(F.lit(unknown)))
-        .drop("_lower", "_best")
+    scored = df.withColumn("_lower", F.lower(F.col(text))).withColumn(
+        "_best", F.array_max(lexicon.scores(F.col("_lower"), multi_word_weight))
     )
+    found = F.when(best["score"] > 0, best["class"]).otherwise(F.lit(unknown))
+    return settle(scored, {out: found}).drop("_lower", "_best")
 
 
 def override_class(text: Column, signals: Sequence[str] = tuple(fixed.OVERRIDE_SIGNALS),

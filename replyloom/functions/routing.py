@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
+from replyloom.functions.columns import settle
 from replyloom.functions.lexicon import contains_any
 
 
@@ -121,10 +122,11 @@ def route(df: DataFrame, message: str = "customer_message", intent: str = "inten
     decision = None
     for condition, result in cascade:
         decision = F.when(condition, result) if decision is None else decision.when(condition, result)
-    return (
+    prepared = (
         df.withColumn("_message", F.lower(F.col(message)))
         .withColumn("_similarity", evidence_similarity(evidence, similarity))
         .withColumn("_risk", first_phrase(F.col("_message"), r.high_risk, r.short_phrase))
-        .withColumn(out, decision.otherwise(outcome(False, "auto")))
-        .drop("_message", "_similarity", "_risk")
+    )
+    return settle(prepared, {out: decision.otherwise(outcome(False, "auto"))}).drop(
+        "_message", "_similarity", "_risk"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
+from replyloom.functions.columns import settle
 from replyloom.functions.text import blank_to_null, ngrams, normalize_for_discovery, tokens
 from replyloom.operators.spread import first_per_key, top_per_group
 
@@ -53,12 +54,9 @@ def discovery_tokens(messages: DataFrame, text: str = "text",
                      stopwords: Sequence[str] = tuple(fixed.STOPWORDS),
                      ascii_only: bool = False) -> DataFrame:
     """Add the token array of each message; messages without tokens are dropped."""
-    return (
-        messages.withColumn("_clean", normalize_for_discovery(text, ascii_only))
-        .withColumn("tokens", tokens(F.col("_clean"), stopwords))
-        .drop("_clean")
-        .where(F.size("tokens") > 0)
-    )
+    clean = messages.withColumn("_clean", normalize_for_discovery(text, ascii_only))
+    listed = settle(clean, {"tokens": tokens(F.col("_clean"), stopwords)})
+    return listed.drop("_clean").where(F.size("tokens") > 0)
 
 
 def top_ngrams(tokenized: DataFrame, sizes: Sequence[int] = (1, 2, 3),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
+from replyloom.functions.columns import settle
 from replyloom.functions.text import (
     blank_to_null, bool_text, extract_json, extract_json_error, has_text, is_blank, normalize_bool,
     null_to_blank, strict_bool, strip, to_number, unfence_json,
@@ -73,20 +74,19 @@ def validate_annotations(df: DataFrame, raw: str = "raw", candidate: str = "cand
         "_no_json": extract_json_error(raw),
     }
     parsed = df.withColumns(fields).withColumn("_json", F.try_parse_json("_text"))
-    parsed = parsed.withColumn(
-        "_keys",
-        F.when(F.col("_text").rlike(r"(?s)^\s*\{"), F.coalesce(
-            F.json_object_keys("_text"), F.array().cast("array<string>")
-        )),
-    ).withColumns(
+    is_object = F.col("_text").rlike(r"(?s)^\s*\{")
+    keys = F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>"))
+    parsed = settle(
+        parsed,
         {
+            "_keys": F.when(is_object, keys),
             "_intent": _field(v, "intent"),
             "_escalation": _field(v, "escalation"),
             "_confidence": _field(v, "confidence"),
             "_reason": _field(v, "reason"),
             "_escalation_type": F.lower(schema(F.try_variant_get(v, "$.escalation", "variant"))),
             "_confidence_type": F.lower(schema(F.try_variant_get(v, "$.confidence", "variant"))),
-        }
+        },
     )
     checked = parsed.withColumn("error", error)
     out = checked.withColumns(
@@ -111,16 +111,17 @@ def validate_judgements(df: DataFrame, raw: str = "raw",
     """Add the scores and reason of a raw judgement, or ``error``; scores are integers 1 to 5."""
     v = F.col("_json")
     parsed = df.withColumn("_text", unfence_json(raw)).withColumn("_json", F.try_parse_json("_text"))
-    parsed = parsed.withColumn(
-        "_keys", F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>"))
-    )
+    keys = F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>"))
     kinds = {
         f"_kind_{d}": F.lower(F.schema_of_variant(F.try_variant_get(v, f"$.{d}", "variant")))
         for d in dimensions
     }
     values = {f"_value_{d}": F.try_variant_get(v, f"$.{d}", "bigint") for d in dimensions}
-    parsed = parsed.withColumns({**kinds, **values})
-    error = F.when(v.isNull(), F.lit("Invalid JSON"))
+    parsed = settle(
+        parsed,
+        {"_bad": v.isNull(), "_keys": keys, "_reason": _field(v, "reason"), **kinds, **values},
+    )
+    error = F.when(F.col("_bad"), F.lit("Invalid JSON"))
     for name in [*dimensions, "reason"]:
         error = error.when(
             ~F.array_contains("_keys", F.lit(name)),
@@ -136,7 +137,7 @@ def validate_judgements(df: DataFrame, raw: str = "raw",
     ok = F.col("error").isNull()
     out = out.withColumns(
         {**{d: F.when(ok, F.col(f"_value_{d}")) for d in dimensions},
-         "reason": F.when(ok, _field(v, "reason"))}
+         "reason": F.when(ok, F.col("_reason"))}
     )
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
@@ -300,7 +301,7 @@ def review_reason(threshold: int = fixed.REVIEW_CONFIDENCE) -> Column:
 def review_queue(golden: DataFrame, threshold: int = fixed.REVIEW_CONFIDENCE) -> DataFrame:
     require_columns(golden, [*REVIEW_COLUMNS, "ai_disagrees_with_candidate"])
     return (
-        golden.withColumn("review_reason", review_reason(threshold))
+        settle(golden, {"review_reason": review_reason(threshold)})
         .where(F.col("review_reason") != "")
         .select(*REVIEW_COLUMNS, "review_reason")
     )

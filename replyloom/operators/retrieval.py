@@ -19,11 +19,15 @@ MIN_BLOCK_ROWS = 1_024
 CHUNK_CELLS = 4_000_000
 
 
-def l2_normalize(vector: Column) -> Column:
-    """Vector of doubles scaled to length one; a zero vector stays as it is."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(wide, lambda x: F.when(length > 0, x / length).otherwise(x))
+def normalize_vectors(df: DataFrame, column: str) -> DataFrame:
+    """Scale the vectors of a column to length one, as doubles; zero vectors stay as they are."""
+    wide = F.col(column).cast("array<double>")
+    squares = F.aggregate(wide, F.lit(0.0), lambda total, x: total + x * x)
+    measured = df.withColumn("_length", F.sqrt(squares))
+    # the length is a column of its own, not worked out again for each element
+    length = F.col("_length")
+    scaled = F.transform(wide, lambda x: F.when(length > 0, x / length).otherwise(x))
+    return measured.withColumn(column, scaled).drop("_length")
 
 
 def _best_of_cell(queries: pd.DataFrame, corpus: pd.DataFrame, k: int,

@@ -23,7 +23,7 @@ from replyloom.operators.features import BASELINE
 from replyloom.operators.inference import Provider, annotate_with_retry, generate_replies
 from replyloom.operators.messages import drop_null_pairs, flatten_messages, inbound_rows, rows_with_text
 from replyloom.operators.models import TextClassifier, cross_validate
-from replyloom.operators.retrieval import attach_pairs, l2_normalize, nest_evidence, top_k
+from replyloom.operators.retrieval import attach_pairs, nest_evidence, normalize_vectors, top_k
 from replyloom.operators.sampling import (
     assign_folds, cap_classes, cap_one_class, sample_per_class, sample_quotas, shuffle_positions,
     top_two,
@@ -58,10 +58,11 @@ def build_candidates(nested: DataFrame, lexicon: Lexicon,
     return sample_per_class(scored, "candidate_intent", per_class)
 
 
-def build_golden_set(candidates: DataFrame, quotas: Mapping[str, int] | None = None) -> DataFrame:
-    """Quota sample in random order with empty label columns."""
+def build_golden_set(candidates: DataFrame, quotas: Mapping[str, int] | None = None,
+                     check: bool = True) -> DataFrame:
+    """Quota sample in random order with empty label columns; short classes are an error."""
     kept = ["conversation_id", "tweet_id", "customer_message", "turn_count", "candidate_intent"]
-    chosen = sample_quotas(candidates, quotas or fixed.CLASS_QUOTAS)
+    chosen = sample_quotas(candidates, quotas or fixed.CLASS_QUOTAS, check=check)
     empty = [F.lit("").alias(c) for c in ("gold_intent", "expected_escalation", "annotation_notes")]
     return shuffle_positions(chosen.select(*kept)).select("shuffle_pos", *kept, *empty)
 
@@ -79,7 +80,7 @@ def build_corpus(flat: DataFrame, golden: DataFrame,
     ``embed`` adds an array column ``embedding`` computed from customer_message.
     """
     pairs = resolution_pairs(holdout_conversations(flat, golden))
-    return embed(pairs).withColumn("embedding", l2_normalize(F.col("embedding")))
+    return cut_lineage(normalize_vectors(embed(pairs), "embedding"))
 
 
 def annotate_golden(golden: DataFrame, provider: Provider, source: str, taxonomy: Mapping[str, str],

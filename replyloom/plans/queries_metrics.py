@@ -264,8 +264,9 @@ def _(spark, d):
     FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE * 3 + 1 AS e FROM embeddings)""")
 def _(spark, d):
     shifted = F.transform("embedding", lambda x: x.cast("double") * 3 + 1)
-    return views.table(spark, d, "embeddings").select(
-        "vec_id", F.posexplode(rt.l2_normalize(shifted)).alias("i", "x")
+    rows = views.table(spark, d, "embeddings").select("vec_id", shifted.alias("embedding"))
+    return rt.normalize_vectors(rows, "embedding").select(
+        "vec_id", F.posexplode("embedding").alias("i", "x")
     ).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from replyloom.operators import features as ft
 from replyloom.operators.inference import annotate_with_retry, generate_replies
 from replyloom.operators.models import TextClassifier, cross_validate
+from replyloom.operators.retrieval import normalize_vectors
+from replyloom.operators.sampling import top_two
 from replyloom.plans import jobs, views
 from replyloom.plans.registry import query
 
@@ -67,8 +69,6 @@ def _(spark, d):
 
 @query("lr_predict")
 def _(spark, d):
-    from replyloom.operators.sampling import top_two
-
     model = _classifier(spark, d, settings=ft.BASELINE)
     scored = top_two(model.predict(_labelled(spark, d), "customer_message"), "probabilities", model.classes)
     return scored.select("tweet_id", "predicted_intent", "second_intent",
@@ -176,10 +176,7 @@ def _corpus(spark, d):
 
 
 def _with_vectors(rows):
-    from replyloom.operators.retrieval import l2_normalize
-
-    return views.message_vectors(rows, "customer_message").withColumn(
-        "embedding", l2_normalize(F.col("embedding")))
+    return normalize_vectors(views.message_vectors(rows, "customer_message"), "embedding")
 
 
 @query("handle_messages")

@@ -9,7 +9,6 @@ from replyloom.functions import lexicon as lx
 from replyloom.functions import prompts, routing
 from replyloom.functions import text as tx
 from replyloom.operators import aggregates
-from replyloom.operators.features import drop_accents
 from replyloom.operators.spread import with_neighbours
 from replyloom.plans import views
 from replyloom.plans.oracle import norm, quoted, strip
@@ -247,14 +246,14 @@ SHORT = ["of", "the", "heit", "entre"]
 
 
 @query("short_phrase_match", """
-    SELECT tweet_id, CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])of($|[^a-z0-9_])') THEN 'of'
-           WHEN regexp_matches(t, '(^|[^a-z0-9_])the($|[^a-z0-9_])') THEN 'the'
-           WHEN regexp_matches(t, '(^|[^a-z0-9_])heit($|[^a-z0-9_])') THEN 'heit'
+    SELECT tweet_id, CASE WHEN regexp_matches(t, '(^|[^\\pL\\pN_])of($|[^\\pL\\pN_])') THEN 'of'
+           WHEN regexp_matches(t, '(^|[^\\pL\\pN_])the($|[^\\pL\\pN_])') THEN 'the'
+           WHEN regexp_matches(t, '(^|[^\\pL\\pN_])heit($|[^\\pL\\pN_])') THEN 'heit'
            WHEN contains(t, 'entre') THEN 'entre' ELSE '' END AS phrase
-    FROM (SELECT tweet_id, strip_accents(lower(text)) AS t FROM messages)""")
+    FROM (SELECT tweet_id, lower(text) AS t FROM messages)""")
 def _(spark, d):
     return views.messages(spark, d).select("tweet_id", F.coalesce(
-        routing.first_phrase(drop_accents(F.lower("text")), SHORT), F.lit("")).alias("phrase"))
+        routing.first_phrase(F.lower("text"), SHORT), F.lit("")).alias("phrase"))
 
 
 RULES = routing.RoutingRules(
@@ -264,7 +263,7 @@ RULES = routing.RoutingRules(
 )
 CASCADE = [
     ("contains(m, 'ing of')", True, "high_risk"),
-    ("regexp_matches(m, '(^|[^a-z0-9_])was($|[^a-z0-9_])')", True, "high_risk"),
+    ("regexp_matches(m, '(^|[^\\pL\\pN_])was($|[^\\pL\\pN_])')", True, "high_risk"),
     (_any("m", RULES.prior_support), True, "prior_support"),
     (r"regexp_matches(m, '\b\d+\s+(a|the)\b')", True, "repeat_signal"),
     (_any("m", RULES.repeated_attempt), True, "repeated_attempt"),
