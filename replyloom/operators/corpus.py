@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from replyloom.functions.text import has_text, strip
 from replyloom.operators.spread import lookup, with_neighbours
 
 
-def _id_text(column: str):
-    return strip(F.col(column).cast("string"))
+def _id(column: str, both_numbers: bool) -> Column:
+    """The id as a number when both sides have numbers, else as trimmed text."""
+    return F.col(column).cast("bigint") if both_numbers else strip(F.col(column).cast("string"))
+
+
+def _both_numbers(left: DataFrame, right: DataFrame, column: str) -> bool:
+    return all(isinstance(d.schema[column].dataType, IntegralType) for d in (left, right))
 
 
 def holdout_rows(df: DataFrame, golden: DataFrame, key: str = "tweet_id") -> DataFrame:
-    """Rows whose id is not in the golden set; ids are compared as trimmed text."""
-    held = golden.select(_id_text(key).alias("_held")).distinct()
+    """Rows whose id is not in the golden set; ids in text columns are compared trimmed."""
+    numbers = _both_numbers(df, golden, key)
+    held = golden.select(_id(key, numbers).alias("_held")).distinct()
     return (
-        df.withColumn("_id", _id_text(key))
+        df.withColumn("_id", _id(key, numbers))
         .join(held, F.col("_id") == F.col("_held"), "left_anti")
         .drop("_id")
     )
@@ -25,9 +32,10 @@ def holdout_rows(df: DataFrame, golden: DataFrame, key: str = "tweet_id") -> Dat
 
 def golden_conversations(flat: DataFrame, golden: DataFrame) -> DataFrame:
     """Ids of conversations with at least one golden message."""
-    held = golden.select(_id_text("tweet_id").alias("_held")).distinct()
+    numbers = _both_numbers(flat, golden, "tweet_id")
+    held = golden.select(_id("tweet_id", numbers).alias("_held")).distinct()
     return (
-        flat.select("conversation_id", _id_text("tweet_id").alias("_id"))
+        flat.select("conversation_id", _id("tweet_id", numbers).alias("_id"))
         .join(held, F.col("_id") == F.col("_held"), "left_semi")
         .select("conversation_id")
         .distinct()

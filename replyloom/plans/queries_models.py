@@ -136,7 +136,7 @@ def _labeller(prompt: str) -> str:
 
 
 @query("annotate_retry", r"""
-    SELECT tweet_id, CASE WHEN kind < 2 THEN 'c_en' END AS intent, CASE WHEN kind < 2 THEN 60 END AS confidence,
+    SELECT tweet_id, CASE WHEN kind < 2 THEN 'c_en' END AS intent, CASE WHEN kind < 2 THEN CAST(60 AS BIGINT) END AS confidence,
            CASE WHEN kind < 2 THEN kind END AS retry_count,
            CASE WHEN kind = 2 THEN 'Could not get valid annotation after 3 retries: No JSON object found.'
                 WHEN kind = 3 THEN 'Could not get valid annotation after 3 retries: Missing keys: confidence, escalation, reason'

@@ -164,7 +164,7 @@ def _ngram_sql(n: int) -> str:
 
 def _top_ngrams_sql(sizes, keep_size=True) -> str:
     runs = " UNION ALL ".join(_ngram_sql(n) for n in sizes)
-    size = "CAST(size AS INTEGER) AS size, " if keep_size else ""
+    size = "CAST(size AS BIGINT) AS size, " if keep_size else ""
     return f"""
         SELECT {size}term, n FROM (SELECT size, term, count(*) AS n FROM ({runs}) GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY size ORDER BY n DESC, term) <= 100"""
@@ -179,7 +179,7 @@ def _(spark, d):
 @query("top_phrases", _top_ngrams_sql([2, 3]))
 def _(spark, d):
     tokenized = aggregates.discovery_tokens(views.messages(spark, d), ascii_only=True)
-    return aggregates.top_ngrams(tokenized, [2, 3])
+    return aggregates.top_ngrams(tokenized, [2, 3]).withColumn("size", F.col("size").cast("bigint"))
 
 
 @query("discovery_counts", """
@@ -215,7 +215,7 @@ def _(spark, d):
 
 
 @query("quota_shortage", """
-    SELECT class, needed, coalesce(found, 0) AS found
+    SELECT class, CAST(needed AS BIGINT) AS needed, coalesce(found, 0) AS found
     FROM (VALUES ('c_en', 1000000), ('c_de', 1), ('missing', 3)) AS q(class, needed)
     LEFT JOIN (SELECT candidate_intent, count(*) AS found FROM candidates GROUP BY 1) ON candidate_intent = class
     WHERE coalesce(found, 0) < needed""")

@@ -48,7 +48,7 @@ def _(spark, d):
 
 
 @query("parse_created_at", """
-    SELECT tweet_id, strftime(try_strptime(raw, '%a %b %d %H:%M:%S %z %Y'), '%Y-%m-%d %H:%M:%S') AS parsed
+    SELECT tweet_id, CAST(epoch(try_strptime(raw, '%a %b %d %H:%M:%S %z %Y')) AS BIGINT) AS seconds
     FROM (SELECT tweet_id, CASE tweet_id % 7 WHEN 0 THEN 'not a date' WHEN 1 THEN NULL
                  ELSE strftime(created_at, '%a %b %d %H:%M:%S +0000 %Y') END AS raw FROM reply_tree)""")
 def _(spark, d):
@@ -57,8 +57,7 @@ def _(spark, d):
     raw = F.when(F.col("tweet_id") % 7 == 0, F.lit("not a date")).when(
         F.col("tweet_id") % 7 != 1, written)
     return rows.select("tweet_id", raw.alias("raw")).select(
-        "tweet_id",
-        F.date_format(tx.parse_created_at("raw"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+        "tweet_id", tx.parse_created_at("raw").cast("bigint").alias("seconds"))
 
 
 @query("parse_reply_ids", """

@@ -9,6 +9,7 @@ from replyloom.operators import threads as th
 from replyloom.operators.messages import flatten_messages
 from replyloom.plans import views
 from replyloom.plans.jobs import build_corpus, extract_conversations
+from replyloom.plans.queries_rows import PAIRS
 from replyloom.plans.registry import query
 from replyloom.session import cut_lineage
 
@@ -141,9 +142,11 @@ def _(spark, d):
                          "turn_count")
 
 
-@query("build_corpus")
+@query("build_corpus", f"""
+    SELECT conversation_id, customer_tweet_id, agent_tweet_id, CAST(256 AS BIGINT) AS dims
+    FROM ({PAIRS}) WHERE conversation_id NOT IN (SELECT conv_id FROM golden)""")
 def _(spark, d):
     corpus = build_corpus(views.flat(spark, d), views.golden(spark, d),
                           lambda df: views.message_vectors(df, "customer_message"))
     return corpus.select("conversation_id", "customer_tweet_id", "agent_tweet_id",
-                         F.size("embedding").alias("dims"))
+                         F.size("embedding").cast("bigint").alias("dims"))
