@@ -30,40 +30,45 @@ def normalize_vectors(df: DataFrame, column: str) -> DataFrame:
     return measured.withColumn(column, scaled).drop("_length")
 
 
-def _best_of_cell(queries: pd.DataFrame, corpus: pd.DataFrame, k: int,
-                  exclude_self: bool) -> pd.DataFrame:
-    """Top k of one block of queries against one block of the corpus."""
-    columns = ["query_id", "corpus_id", "similarity"]
-    if queries.empty or corpus.empty:
-        return pd.DataFrame({c: [] for c in columns})
-    corpus = corpus.sort_values("corpus_id")
-    ids, asked = corpus["corpus_id"].to_numpy(), queries["query_id"].to_numpy()
-    base = np.stack(corpus["vector"].to_numpy()).astype(np.float64).T
-    vectors = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-    step = max(1, CHUNK_CELLS // len(ids))
-    found = []
-    for start in range(0, len(asked), step):
-        part = asked[start:start + step]
-        scores = np.round(vectors[start:start + step] @ base, 9)
-        if exclude_self:
-            scores[part[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            bound = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            bound = np.full(len(part), -np.inf)
-        row, column = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
-        value = scores[row, column]
-        # columns are in id order: of equal scores the lower id comes first
-        order = np.lexsort((column, -value, row))
-        row, column, value = row[order], column[order], value[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < k
-        found.append(
-            pd.DataFrame(
-                {"query_id": part[row[kept]], "corpus_id": ids[column[kept]], "similarity": value[kept]}
+def _cell_scorer(k: int, exclude_self: bool, cells: int = CHUNK_CELLS):
+    """Top k of one block of queries against one block of the corpus.
+
+    An inner function travels to the workers whole, so they need no copy of this package.
+    """
+
+    def score(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or corpus.empty:
+            return pd.DataFrame({c: [] for c in ("query_id", "corpus_id", "similarity")})
+        corpus = corpus.sort_values("corpus_id")
+        ids, asked = corpus["corpus_id"].to_numpy(), queries["query_id"].to_numpy()
+        base = np.stack(corpus["vector"].to_numpy()).astype(np.float64).T
+        vectors = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+        step = max(1, cells // len(ids))
+        found = []
+        for start in range(0, len(asked), step):
+            part = asked[start:start + step]
+            scores = np.round(vectors[start:start + step] @ base, 9)
+            if exclude_self:
+                scores[part[:, None] == ids[None, :]] = -np.inf
+            if len(ids) > k:
+                bound = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            else:
+                bound = np.full(len(part), -np.inf)
+            row, column = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+            value = scores[row, column]
+            # columns are in id order: of equal scores the lower id comes first
+            order = np.lexsort((column, -value, row))
+            row, column, value = row[order], column[order], value[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append(
+                pd.DataFrame(
+                    {"query_id": part[row[kept]], "corpus_id": ids[column[kept]],
+                     "similarity": value[kept]}
+                )
             )
-        )
-    return pd.concat(found, ignore_index=True)
+        return pd.concat(found, ignore_index=True)
+
+    return score
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = False,
@@ -106,7 +111,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool
         left.groupBy("q_block", "c_block")
         .cogroup(right.groupBy("q_block", "c_block"))
         .applyInPandas(
-            lambda q, c: _best_of_cell(q, c, k, exclude_self),
+            _cell_scorer(k, exclude_self),
             f"query_id {id_type}, corpus_id {corpus_type}, similarity double",
         )
     )

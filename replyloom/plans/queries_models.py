@@ -98,19 +98,32 @@ def _(spark, d):
 
 # --- text models: stand-ins that answer from the prompt ------------------------------------------
 
-def _first(prompt: str) -> str:
-    if len(prompt) % 3 == 0:
-        raise RuntimeError("busy")
-    return "" if len(prompt) % 3 == 1 else f"Response: first {len(prompt)}"
+def _stand_ins():
+    """Two providers and a labeller; as inner functions they need no package on the workers."""
 
+    def first(prompt: str) -> str:
+        if len(prompt) % 3 == 0:
+            raise RuntimeError("busy")
+        return "" if len(prompt) % 3 == 1 else f"Response: first {len(prompt)}"
 
-def _second(prompt: str) -> str:
-    if len(prompt) % 5 == 0:
-        raise RuntimeError("down")
-    return f'"second {len(prompt)}"'
+    def second(prompt: str) -> str:
+        if len(prompt) % 5 == 0:
+            raise RuntimeError("down")
+        return f'"second {len(prompt)}"'
 
+    def label(prompt: str) -> str:
+        """Answers at once, after being told of an error, or never, by the message's length."""
+        told = "could not be used" in prompt
+        message = prompt.split("Message:\n", 1)[1].split("\n\nThe previous answer")[0]
+        kind = len(message.strip()) % 4
+        if kind == 0 or (kind == 1 and told):
+            return 'Sure: {"intent": "c_en", "escalation": "no", "confidence": 60, "reason": "plain"}'
+        return "nothing" if kind < 3 else '{"intent": "c_en"}'
 
-PROVIDERS = [("one", "model-1", _first), ("two", "model-2", _second)]
+    return [("one", "model-1", first), ("two", "model-2", second)], label
+
+
+PROVIDERS, LABELLER = _stand_ins()
 
 
 @query("batch_generate", """
@@ -125,16 +138,6 @@ def _(spark, d):
         "tweet_id", "response", "provider", "model", "error")
 
 
-def _labeller(prompt: str) -> str:
-    """Answers at once, after being told of an error, or never, by what the message ends with."""
-    told = "could not be used" in prompt
-    message = prompt.split("Message:\n", 1)[1].split("\n\nThe previous answer")[0]
-    kind = len(message.strip()) % 4
-    if kind == 0 or (kind == 1 and told):
-        return 'Sure: {"intent": "c_en", "escalation": "no", "confidence": 60, "reason": "plain"}'
-    return "nothing" if kind < 3 else '{"intent": "c_en"}'
-
-
 @query("annotate_retry", r"""
     SELECT tweet_id, CASE WHEN kind < 2 THEN 'c_en' END AS intent, CASE WHEN kind < 2 THEN CAST(60 AS BIGINT) END AS confidence,
            CASE WHEN kind < 2 THEN kind END AS retry_count,
@@ -144,7 +147,7 @@ def _labeller(prompt: str) -> str:
     FROM (SELECT tweet_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) % 4 AS kind FROM candidates)""")
 def _(spark, d):
     rows = views.scored(spark, d).withColumnRenamed("text", "customer_message")
-    done = annotate_with_retry(rows, _labeller, "stub", {c: c for c in views.CLASSES})
+    done = annotate_with_retry(rows, LABELLER, "stub", {c: c for c in views.CLASSES})
     return done.select("tweet_id", "intent", "confidence", F.col("retry_count").cast("bigint").alias("retry_count"),
                        "error")
 
@@ -164,7 +167,7 @@ def _(spark, d):
           FROM annotated)""")
 def _(spark, d):
     done, _counts = jobs.annotate_golden(
-        views.annotated(spark, d), _labeller, "stub", {c: c for c in views.CLASSES})
+        views.annotated(spark, d), LABELLER, "stub", {c: c for c in views.CLASSES})
     return done.select("tweet_id", "ai_intent", "ai_confidence", "annotation_status")
 
 
