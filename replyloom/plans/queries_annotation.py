@@ -122,10 +122,10 @@ MERGE_FIELDS = ["ai_intent", "ai_escalation", "ai_confidence", "ai_reason", "ai_
 
 
 def _predictions(spark, d):
-    """Every row of the sheet whose k is no multiple of 3 gets a new prediction or an error."""
+    """Every open row of the sheet gets a new prediction or an error."""
     k = F.col("k")
     ok = k % 4 != 0
-    return views.annotated(spark, d).where(k % 3 != 0).select(
+    return an.pending_rows(views.annotated(spark, d)).select(
         "tweet_id",
         F.when(ok, "c_fr").alias("intent"), F.when(ok, k % 2 == 0).alias("escalation"),
         F.when(ok, k % 101).alias("confidence"), F.when(ok, "new").alias("reason"),
@@ -135,7 +135,7 @@ def _predictions(spark, d):
         F.when(~ok, "no answer").alias("error"))
 
 
-@query("merge_predictions", """
+@query("merge_predictions", f"""
     SELECT tweet_id,
       CASE WHEN good THEN 'c_fr' ELSE ai_intent END AS ai_intent,
       CASE WHEN good THEN CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END ELSE ai_escalation END AS ai_escalation,
@@ -148,7 +148,8 @@ def _predictions(spark, d):
       CASE WHEN bad THEN 'ai_failed'
            WHEN good AND annotation_status NOT IN ('human_reviewed', 'ai_bulk_accepted') THEN 'ai_suggested'
            ELSE annotation_status END AS annotation_status
-    FROM (SELECT *, k % 3 <> 0 AND k % 4 <> 0 AS good, k % 3 <> 0 AND k % 4 = 0 AS bad FROM annotated)""")
+    FROM (SELECT *, open AND k % 4 <> 0 AS good, open AND k % 4 = 0 AS bad
+          FROM (SELECT *, ({PENDING}) AS open FROM annotated))""")
 def _(spark, d):
     return an.merge_predictions(views.annotated(spark, d), _predictions(spark, d)).select(
         "tweet_id", *MERGE_FIELDS)
@@ -177,14 +178,14 @@ def _(spark, d):
 
 
 @query("apply_decisions", """
-    SELECT tweet_id, CASE WHEN k % 4 = 1 THEN 'other' ELSE gold_intent END AS gold_intent,
-           CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END ELSE expected_escalation END AS expected_escalation,
-           CASE WHEN k % 4 = 1 THEN 'seen' ELSE annotation_notes END AS annotation_notes,
-           CASE WHEN k % 4 = 1 THEN 'human_reviewed' ELSE annotation_status END AS annotation_status
-    FROM annotated""")
+    SELECT tweet_id, CASE WHEN decided THEN 'other' ELSE gold_intent END AS gold_intent,
+           CASE WHEN decided THEN CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END ELSE expected_escalation END AS expected_escalation,
+           CASE WHEN decided THEN 'seen' ELSE annotation_notes END AS annotation_notes,
+           CASE WHEN decided THEN 'human_reviewed' ELSE annotation_status END AS annotation_status
+    FROM (SELECT *, annotation_status = 'ai_suggested' AS decided FROM annotated)""")
 def _(spark, d):
     golden = views.annotated(spark, d)
-    decisions = golden.where(F.col("k") % 4 == 1).select(
+    decisions = golden.where(F.col("annotation_status") == an.SUGGESTED).select(
         "tweet_id", F.lit("other").alias("gold_intent"), (F.col("k") % 3 == 0).alias("escalation"),
         F.lit("seen").alias("note"))
     return an.apply_decisions(golden, decisions).select(
