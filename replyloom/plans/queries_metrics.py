@@ -288,7 +288,9 @@ NO_SELF = _top("WHERE query_id <> corpus_id")
 
 @query("topk_no_self", f"SELECT query_id, corpus_id, round(similarity, 6) AS similarity, rank FROM ({NO_SELF})")
 def _(spark, d):
-    ranked = rt.top_k(views.vectors(spark, d, "query_id"), views.vectors(spark, d, "corpus_id"), 5, True)
+    # the way of many queries, also on few
+    ranked = rt.top_k(views.vectors(spark, d, "query_id"), views.vectors(spark, d, "corpus_id"), 5, True,
+                      scan_queries=0)
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 

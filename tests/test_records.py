@@ -130,10 +130,12 @@ def test_top_k_over_many_blocks(spark):
             order = sorted(range(120), key=lambda c, q=q: (-scores[q, c], c))
             order = [c for c in order if not (exclude and c == q)][:4]
             expected |= {(q, c, r + 1) for r, c in enumerate(order)}
-        for block in (16, 1000):
-            got = retrieval.top_k(queries, pool, 4, exclude, block_rows=block).collect()
+        for way in ({"scan_queries": 0, "block_rows": 16}, {"scan_queries": 0}, {}):
+            got = retrieval.top_k(queries, pool.repartition(3), 4, exclude, **way).collect()
             assert {(r["query_id"], r["corpus_id"], r["rank"]) for r in got} == expected
     assert retrieval.top_k(queries.limit(1), pool.limit(3), 10).count() == 3
+    assert retrieval.top_k(queries.limit(0), pool, 4).count() == 0
+    assert retrieval.top_k(queries, pool.limit(0), 4).count() == 0
 
 
 def test_retrieval_metrics_count_unanswered_queries(spark):
