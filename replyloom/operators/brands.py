@@ -24,13 +24,12 @@ def linked_brands(tweets: DataFrame, brands: Sequence[str] | None = None,
     """(tweet_id, brand), once each: the row answers the brand or lists an answer of the brand."""
     owners = brand_rows(tweets, brands)
     rows = tweets.where("inbound") if inbound_only else tweets
-    parents = rows.select("tweet_id", F.col("in_response_to_tweet_id").alias("other_id")).where(
-        F.col("other_id").isNotNull()
+    others = F.array_append(
+        parse_reply_ids("response_tweet_id"), F.col("in_response_to_tweet_id").cast("bigint")
     )
-    replies = rows.where(F.col("response_tweet_id").isNotNull()).select(
-        "tweet_id", F.explode_outer(parse_reply_ids("response_tweet_id")).alias("other_id")
+    links = rows.select("tweet_id", F.explode_outer(others).alias("other_id")).where(
+        F.col("other_id").isNotNull()
     )
-    links = parents.unionByName(replies.where(F.col("other_id").isNotNull()))
     return (
         lookup(links, owners.withColumnRenamed("tweet_id", "owner_id"), "other_id", "owner_id",
                spread_on="tweet_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
 from replyloom.operators.spread import hash_order, hash_position, top_per_group
-from replyloom.session import literal_rows
+from replyloom.session import cut_lineage, literal_rows
 
 
 def sample_rows(df: DataFrame, n: int = fixed.SAMPLE_SIZE, key: str = "tweet_id",
@@ -40,18 +40,20 @@ def quota_shortage(df: DataFrame, quotas: Mapping[str, int], label: str) -> Data
 def sample_quotas(df: DataFrame, quotas: Mapping[str, int], label: str = "candidate_intent",
                   key: str = "tweet_id", seed: str = fixed.SEED, check: bool = True) -> DataFrame:
     """Exactly the quota of each class; an error names the classes that are short."""
+    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+    ranked = top_per_group(
+        df.where(F.col(label).isin(list(quotas))), [label],
+        [hash_order(key, seed), F.col(key)], max(quotas.values()), [key], rank="_rank",
+    )
     if check:
-        short = quota_shortage(df, quotas, label).limit(len(quotas)).collect()
+        # a class below its quota is whole in the sample, so the sample tells what it has
+        ranked = cut_lineage(ranked)
+        short = quota_shortage(ranked, quotas, label).limit(len(quotas)).collect()
         if short:
             raise ValueError(
                 "Not enough candidates: "
                 + "; ".join(f"{r['class']} needs {r['needed']}, has {r['found']}" for r in short)
             )
-    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    ranked = top_per_group(
-        df.where(F.col(label).isin(list(quotas))), [label],
-        [hash_order(key, seed), F.col(key)], max(quotas.values()), [key], rank="_rank",
-    )
     return ranked.where(F.col("_rank") <= quota[F.col(label)]).drop("_rank")
 
 
@@ -63,7 +65,7 @@ def cap_classes(df: DataFrame, cap: int = fixed.CLASS_CAP, label: str = "intent"
 
 def cap_one_class(df: DataFrame, cap: int = fixed.OTHER_CLASS_CAP, name: str = fixed.OTHER_CLASS,
                   label: str = "intent", key: str = "tweet_id", seed: str = fixed.SEED) -> DataFrame:
-    """At most ``cap`` rows of one class, all rows of the others."""
+    """At most ``cap`` rows of one class, all rows of the others; ``df`` is read twice."""
     capped = df.where(F.col(label) == name).orderBy(hash_order(key, seed), key).limit(cap)
     return df.where(F.col(label) != name).unionByName(capped)
 
@@ -76,7 +78,7 @@ def shuffle_positions(df: DataFrame, key: str = "tweet_id", seed: str = fixed.SE
 
 def assign_folds(df: DataFrame, label: str, n_folds: int = fixed.FOLDS, key: str = "tweet_id",
                  seed: str = fixed.SEED, out: str = "fold") -> DataFrame:
-    """Deal the rows of each class over the folds in random order."""
+    """Deal the rows of each class over the folds in random order; ``df`` is read twice."""
     placed = hash_position(df, key, seed, (label,), "_at")
     return placed.withColumn(out, F.pmod(F.col("_at") - 1, F.lit(n_folds)).cast("bigint")).drop("_at")
 

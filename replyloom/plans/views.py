@@ -208,15 +208,18 @@ def raw_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_with_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer_class(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", LEXICON)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return infer_class(docs, "text", LEXICON)
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as evaluated examples."""
     confidence = F.col("doc_id") * 37 % 101
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(
+        table(spark, sf_dir, "labels"), "doc_id"
+    )
     return (
-        documents_with_class(spark, sf_dir)
-        .join(table(spark, sf_dir, "labels"), "doc_id")
+        infer_class(labelled, "text", LEXICON)
         .select(
             "doc_id",
             F.col("text").alias("customer_message"),
