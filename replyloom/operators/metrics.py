@@ -339,6 +339,7 @@ def cross_validate_majority(folded: DataFrame, label: str, fold: str = "fold",
         .where(F.col("rest") > 0)
         .groupBy(fold)
         .agg(F.min(F.struct((-F.col("rest")).alias("r"), "label")).alias("best"))
-        .select(F.col(fold).alias("_fold"), F.col("best.label").alias(out))
+        .agg(F.map_from_entries(F.collect_list(F.struct(fold, "best.label"))).alias("answers"))
     )
-    return folded.drop(out).join(outside, F.col(fold) == F.col("_fold"), "left").drop("_fold")
+    # an entry per fold: a lookup in the row, no join on a key with a handful of values
+    return folded.withColumn(out, F.try_element_at(outside.scalar(), F.col(fold)))

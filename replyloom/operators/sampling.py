@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
-from replyloom.operators.spread import hash_order, hash_position, top_per_group
+from replyloom.operators.spread import first_by_hash, hash_order, hash_position
 from replyloom.session import cut_lineage, literal_rows
 
 
@@ -21,7 +21,7 @@ def sample_rows(df: DataFrame, n: int = fixed.SAMPLE_SIZE, key: str = "tweet_id"
 def sample_per_class(df: DataFrame, label: str, n: int = fixed.CANDIDATES_PER_CLASS,
                      key: str = "tweet_id", seed: str = fixed.SEED) -> DataFrame:
     """At most ``n`` rows of each class, small classes whole."""
-    return top_per_group(df, [label], [hash_order(key, seed), F.col(key)], n, [key])
+    return first_by_hash(df, [label], key, n, seed)
 
 
 def quota_shortage(df: DataFrame, quotas: Mapping[str, int], label: str) -> DataFrame:
@@ -41,9 +41,8 @@ def sample_quotas(df: DataFrame, quotas: Mapping[str, int], label: str = "candid
                   key: str = "tweet_id", seed: str = fixed.SEED, check: bool = True) -> DataFrame:
     """Exactly the quota of each class; an error names the classes that are short."""
     quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    ranked = top_per_group(
-        df.where(F.col(label).isin(list(quotas))), [label],
-        [hash_order(key, seed), F.col(key)], max(quotas.values()), [key], rank="_rank",
+    ranked = first_by_hash(
+        df.where(F.col(label).isin(list(quotas))), [label], key, max(quotas.values()), seed, "_rank"
     )
     if check:
         # a class below its quota is whole in the sample, so the sample tells what it has

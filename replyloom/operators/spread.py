@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from replyloom.session import cut_lineage
+
 HOT_KEY_LIMIT = 1_000
 HOT_KEY_ROWS = 1_000_000
 HOT_KEY_SAMPLE = 0.01
 SALTS = 64
+# from this n on Spark no longer cuts the rows of a group within the input tasks
+SMALL_TOP = 1_000
+MAX_BROADCAST_ROWS = 100_000
 
 
-def hash_order(key: Column | str, seed: str) -> Column:
+def hash_order(key: str, seed: str) -> Column:
     """Seeded order of a key that does not depend on partitions or engine."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -59,7 +63,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def hash_position(df: DataFrame, key: str, seed: str, group: Sequence[str] = (),
-                  out: str = "position", digits: int = 3) -> DataFrame:
+                  out: str = "position", digits: int = 4) -> DataFrame:
     """Number the rows of each group from 1 in hash order without sorting a group in one task.
 
     The leading hex digits of the hash split every group into ``16 ** digits`` ranges in order;
@@ -91,6 +95,41 @@ def hash_position(df: DataFrame, key: str, seed: str, group: Sequence[str] = (),
     )
 
 
+def first_by_hash(df: DataFrame, group: Sequence[str], key: str, n: int, seed: str,
+                  rank: str | None = None, digits: int = 4,
+                  limit_in_tasks: int = SMALL_TOP) -> DataFrame:
+    """The first ``n`` rows of each group in hash order.
+
+    A small ``n`` is cut down within the input tasks. For a large one the rows per range of the
+    hash are counted first, and only rows of the leading ranges that hold ``n`` rows go on; all
+    others are dropped before any shuffle. ``df`` is then read twice.
+    """
+    order = [hash_order(key, seed), F.col(key)]
+    if n < limit_in_tasks:
+        return top_per_group(df, group, order, n, [key], rank)
+    ranged = df.withColumn("_range", F.substring(hash_order(key, seed), 1, digits))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    last = cut_lineage(
+        ranged.groupBy(*group, "_range")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .where(F.col("_before") < n)
+        .groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+        .agg(F.max("_range").alias("_last"))
+    )
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    if last.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        last = F.broadcast(last)
+    kept = ranged.join(last, same).where(F.col("_range") <= F.col("_last")).drop(
+        "_range", "_last", *[f"_g{i}" for i in range(len(group))]
+    )
+    return top_per_group(kept, group, order, n, [key], rank)
+
+
 def with_neighbours(df: DataFrame, group: str, position: str, columns: Sequence[str],
                     after: str | None = "next_", before: str | None = None,
                     span: int = 4_096) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from replyloom.operators import sampling
 from replyloom.operators.spread import (
-    first_per_key, hash_position, hot_keys, lookup, top_per_group, with_neighbours,
+    first_by_hash, first_per_key, hash_position, hot_keys, lookup, top_per_group, with_neighbours,
 )
 
 
@@ -45,6 +45,19 @@ def test_top_per_group(spark):
     assert {(r["g"], r["id"], r["r"]) for r in kept} == expected
 
 
+def test_first_by_hash_both_ways(spark):
+    rows = skewed(spark).withColumn("g", F.when(F.col("g") != "g9", F.col("g")))
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r["g"], []).append(r["id"])
+    for n in (1, 9, 30, 3000):
+        expected = {(g, i, at + 1) for g, ids in groups.items()
+                    for at, i in enumerate(sorted(ids, key=md5)[:n])}
+        for way in ({"limit_in_tasks": 10_000}, {"limit_in_tasks": 0, "digits": 2}):
+            kept = first_by_hash(rows, ["g"], "id", n, "42", "r", **way).collect()
+            assert {(r["g"], r["id"], r["r"]) for r in kept} == expected
+
+
 def test_hash_position_with_and_without_groups(spark):
     rows = skewed(spark)
     placed = {r["id"]: r["position"] for r in hash_position(rows, "id", "42").collect()}
