@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from replyloom.llm.common import table
+from replyloom.llm.packing import pack
 from replyloom.llm.registry import query
 from replyloom.llm.token_counts import token_counts
 
@@ -13,3 +14,8 @@ from replyloom.llm.token_counts import token_counts
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
