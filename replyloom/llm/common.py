@@ -65,3 +65,39 @@ def sliced(batches: Iterable, column: str, max_bytes: int = 8 << 20) -> Iterator
                 start, total = i, 0
             total += size
         yield batch.slice(start)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_text_struct(
+    df: DataFrame, name: str, fields: str, function: Callable[[list[str]], list], max_bytes: int = 8 << 20
+) -> DataFrame:
+    """All columns of ``df`` and a struct column worked out from ``text`` in Arrow batches.
+
+    ``function`` takes a list of texts (null: empty) and gives an Arrow array or a list for each field;
+    ``fields`` is their DDL.
+    """
+    from pyspark.sql import types as T
+
+    struct = T.StructType.fromDDL(fields)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, struct)])
+    field_names = struct.names
+    place = df.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches, "text", max_bytes):
+            values = [t or "" for t in batch.column(place).to_pylist()]
+            found = [x if isinstance(x, pa.Array) else pa.array(x) for x in function(values)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.StructArray.from_arrays(found, names=field_names)], names=[*batch.schema.names, name]
+            )
+
+    return df.mapInArrow(run, schema)

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from replyloom.llm.common import table
+from replyloom.llm.common import fold, table
+from replyloom.llm.language import identify_language, language_samples
 from replyloom.llm.packing import pack
 from replyloom.llm.registry import query
 from replyloom.llm.token_counts import token_counts
+from replyloom.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def held_out(folds: int = 4, held_fold: int = 2) -> Column:
+    """Whether a document lies in the held fold; one without id does not."""
+    return F.coalesce(fold("doc_id", folds) == held_fold, F.lit(False))
 
 
 @query("op7_token_counts")
@@ -19,3 +27,17 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_packing")
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = identify_language(docs, language_samples(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
