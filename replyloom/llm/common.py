@@ -101,3 +101,10 @@ def with_text_struct(
             )
 
     return df.mapInArrow(run, schema)
+
+
+def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    """Id and digest of the text as one string: equal for repeated rows only, and never null."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    text = F.col(text) if isinstance(text, str) else text
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_key(F.coalesce(text, F.lit(""))))

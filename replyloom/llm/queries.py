@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import fold, table
+from replyloom.llm.credentials import find_secrets, listing
 from replyloom.llm.language import identify_language, language_samples
 from replyloom.llm.packing import pack
 from replyloom.llm.registry import query
@@ -41,3 +42,13 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = fit_toxicity(docs, table(spark, folder, "labels"))
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_credentials")
+def op3_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"),
+    )
