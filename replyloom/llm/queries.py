@@ -11,6 +11,7 @@ from replyloom.llm.credentials import find_secrets, listing
 from replyloom.llm.language import identify_language, language_samples
 from replyloom.llm.packing import pack
 from replyloom.llm.registry import query
+from replyloom.llm.simhash import near_duplicates
 from replyloom.llm.token_counts import token_counts
 from replyloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -52,3 +53,8 @@ def op3_credentials(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
         F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"),
     )
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
