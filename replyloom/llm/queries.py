@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.block_topk import top_k
+from replyloom.llm.chunk_bpe import encode_documents
 from replyloom.llm.common import fold, table
 from replyloom.llm.credentials import find_secrets, listing
 from replyloom.llm.language import identify_language, language_samples
@@ -82,3 +83,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query("op9_block_topk", OP9_SQL)
 def op9_block_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op10_chunk_bpe")
+def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_output=False)
