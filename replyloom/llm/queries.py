@@ -14,6 +14,7 @@ from replyloom.llm.language import identify_language, language_samples
 from replyloom.llm.packing import pack
 from replyloom.llm.registry import query
 from replyloom.llm.simhash import near_duplicates
+from replyloom.llm.syncmers import fingerprints
 from replyloom.llm.token_counts import token_counts
 from replyloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -88,3 +89,8 @@ def op9_block_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_chunk_bpe")
 def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_output=False)
+
+
+@query("op1_syncmers")
+def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
