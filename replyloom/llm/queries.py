@@ -11,6 +11,7 @@ from replyloom.llm.chunk_bpe import encode_documents
 from replyloom.llm.common import fold, table
 from replyloom.llm.credentials import find_secrets, listing
 from replyloom.llm.language import identify_language, language_samples
+from replyloom.llm.ngram_lm import score_texts
 from replyloom.llm.packing import pack
 from replyloom.llm.registry import query
 from replyloom.llm.simhash import near_duplicates
@@ -94,3 +95,8 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_syncmers")
 def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(table(spark, folder, "documents"))
+
+
+@query("op4_ngram_lm")
+def op4_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"), folds=7, held_fold=2)
