@@ -89,7 +89,7 @@ def with_language(
     that; ``score`` is the share of the chosen language when sizes are turned into weights. A null
     text and one without letter give ``und`` with score 0, and so does any text if ``samples`` is empty.
     Ties go to the language with more training rows. ``rejected`` marks ``und`` and margins below
-    ``narrow``. Whole texts are encoded. Null ids and repeated rows stay as they are.
+    ``narrow``, and nothing if ``samples`` is empty. Whole texts are encoded. Null ids and repeated rows stay as they are.
     """
     languages, contents = list(samples), [samples[lang] for lang in samples]
 
@@ -126,7 +126,7 @@ def with_language(
             return languages[best], score, max(0, second - sizes[best]) / least
 
         names, scores, margins = zip(*map(judge, values))
-        rejected = [name == UNKNOWN or margin < narrow for name, margin in zip(names, margins)]
+        rejected = [bool(encoders) and (name == UNKNOWN or margin < narrow) for name, margin in zip(names, margins)]
         return list(names), list(scores), list(margins), rejected
 
     return with_text_struct(docs, name, RESULT, judge_all)

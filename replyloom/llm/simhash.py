@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import cut_lineage, texts, with_text_struct
+from replyloom.llm.common import cut_lineage, free_name, row_key, texts, with_text_struct
 from replyloom.llm.components import connected_components
 
 
@@ -230,19 +230,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tree_siz
     others. Rows with a null ``doc_id`` take part in links; a component of such rows alone has a null id.
     """
     prints = cut_lineage(with_fingerprint(texts(docs), shingle, "found").select("doc_id", F.col("found.value").alias("value")))
-    return with_components(prints, radius, tree_size).select(
+    labelled = with_component(prints, radius, tree_size)
+    least = labelled.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    named = cut_lineage(least)
+    return labelled.join(named, F.col("component") == F.col("of")).select(
         "doc_id", F.lpad(F.lower(F.hex("value")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def with_components(prints: DataFrame, radius: int, tree_size: int = 2048) -> DataFrame:
-    """``prints`` (``doc_id``, ``value``) with ``component_id``."""
-    values = cut_lineage(prints.groupBy("value").agg(F.min("doc_id").alias("smallest")))
-    links = fingerprint_links(values.select("value"), radius, tree_size)
+def with_component(prints: DataFrame, radius: int, tree_size: int = 2048) -> DataFrame:
+    """``prints``, a written table with a fingerprint ``value``, and the smallest fingerprint (as a signed number)
+    that each reaches, ``component``."""
+    links = fingerprint_links(prints.select("value").distinct(), radius, tree_size)
     members = connected_components(links)
-    labelled = values.join(members, F.col("value") == F.col("node"), "left").select(
-        F.col("value").alias("known"), F.coalesce("component", "value").alias("component"), "smallest"
+    return cut_lineage(
+        prints.join(members, F.col("value") == F.col("node"), "left")
+        .withColumn("component", F.coalesce("component", "value")).drop("node")
     )
-    least = labelled.groupBy(F.col("component").alias("of")).agg(F.min("smallest").alias("component_id"))
-    named = cut_lineage(labelled.join(least, F.col("component") == F.col("of")).select("known", "component_id"))
-    return prints.join(named, F.col("value") == F.col("known")).drop("known")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, tree_size: int = 2048) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest ``doc_id`` (null ids last), then text digest.
+
+    Of repeated rows one stays as well. All columns stay as they are.
+    """
+    name, mark = free_name(docs, "row_key"), free_name(docs, "kept_key")
+    keyed = texts(docs).withColumn("key", row_key())
+    prints = cut_lineage(with_fingerprint(keyed, shingle, "found").select("doc_id", "key", F.col("found.value").alias("value")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("key")))
+    chosen = with_component(prints, radius, tree_size).groupBy("component").agg(first.alias("first")).select(
+        F.col("first.key").alias(mark)
+    )
+    keyed = docs.withColumn(name, row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return keyed.join(chosen, F.col(name) == F.col(mark), "left_semi").dropDuplicates([name]).drop(name)
