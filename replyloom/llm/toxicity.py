@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.ml.classification import GBTClassifier
@@ -13,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import cut_lineage, fold, free_name, kept, sliced, texts, with_text_struct, worker_cache
+from replyloom.llm.common import cut_lineage, fold, free_name, kept, sliced, texts, with_text_struct
 
 #: Pronouns of the second person.
 SECOND_PERSON = {
@@ -26,9 +27,8 @@ SECOND_PERSON = {
 DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A word with digits or signs between its letters.
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0134578@$!*.\-_][^\W\d_]+)+|[@$0134578][^\W\d_]{2,}")
-LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
+#: Signs and digits in front of a letter, as in words written to slip past a list.
+SIGN = re.compile(r"[0134578@$!*.\-_](?=[^\W\d_])")
 
 FEATURES = (
     "log_words", "lexicon_density", "stem_density", "lexicon_hits", "weight_density", "top_weight",
@@ -52,8 +52,9 @@ def stems(word: str, lengths=(5, 7)) -> list[str]:
     return [word[:n] + "*" for n in lengths if len(word) > n]
 
 
-def word_counts(sample: DataFrame) -> DataFrame:
-    """``word, toxic, n``: in how many texts of each label a word, or a stem (ending in ``*``), occurs."""
+def word_counts(sample: DataFrame, parts: int) -> DataFrame:
+    """``word, bad, good``: in how many texts of each label, by ``part`` of the sample (two arrays), a word occurs, or
+    a stem (ending in ``*``)."""
 
     def run(batches):
         from collections import Counter
@@ -62,34 +63,50 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
         for batch in sliced(batches, "text", 2 << 20):
             counts: Counter = Counter()
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+            for text, toxic, part in zip(*(batch[c].to_pylist() for c in ("text", "toxic", "part"))):
                 words = set(WORD.findall(text.lower()))
                 words |= {s for w in words for s in stems(w)}
-                counts.update([(w, toxic) for w in words if len(w) <= 64])
-            words, labels = zip(*counts) if counts else ((), ())
+                counts.update([(w, toxic, part) for w in words if len(w) <= 64])
+            words, labels, places = zip(*counts) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(list(counts.values()), pa.int64())],
-                names=["word", "toxic", "n"],
+                [pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(places, pa.int32()),
+                 pa.array(list(counts.values()), pa.int64())], names=["word", "toxic", "part", "n"],
             )
 
-    parts = sample.select("text", "toxic").mapInArrow(run, "word string, toxic int, n long")
-    return parts.groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
-    )
+    counted = sample.select("text", "toxic", "part").mapInArrow(run, "word string, toxic int, part int, n long")
+    of = lambda label: F.array(*[
+        F.sum(F.when((F.col("toxic") == label) & (F.col("part") == p), F.col("n")).otherwise(0)) for p in range(parts)
+    ])
+    return counted.groupBy("word").agg(of(1).alias("bad"), of(0).alias("good"))
+
 
+def learn_lexicon(counts: DataFrame, sizes: list[tuple[int, int]], without: int | None, size: int, least: int, odds: float) -> dict[str, float]:
+    """The ``size`` words and stems with the highest log odds of a toxic text, from at least ``least`` such texts.
 
-def learn_lexicon(sample: DataFrame, bad: int, good: int, size: int = 500, least: int = 4, odds: float = 1.5) -> dict[str, float]:
-    """The ``size`` words and stems with the highest log odds of a toxic text, from at least ``least`` such
-    texts; a stem only where it is more than the words that make it up."""
-    weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+    ``sizes`` are the numbers of toxic and other texts of each part; part ``without`` is left out.
+    """
+    used = [p for p in range(len(sizes)) if p != without]
+    all_bad, all_good = (sum(sizes[p][i] for p in used) for i in (0, 1))
+    bad, good = (sum((F.get(c, F.lit(p)) for p in used), F.lit(0)) for c in ("bad", "good"))
+    rows = counts.select("word", bad.alias("bad"), good.alias("good")).filter(F.col("bad") >= least)
+    weight = F.log((F.col("bad") + 0.5) / (all_bad + 1.0)) - F.log((F.col("good") + 0.5) / (all_good + 1.0))
     # Weights of rare words are drawn to zero.
-    weight = weight * F.col("bad") / (F.col("bad") + 4.0)
-    rows = (
-        word_counts(sample).filter(F.col("bad") >= least).withColumn("weight", weight)
-        .filter(F.col("weight") >= odds).orderBy(F.desc("weight"), "word").limit(size).collect()
-    )
-    return {r["word"]: r["weight"] for r in rows}
+    rows = rows.withColumn("weight", weight * F.col("bad") / (F.col("bad") + 4.0)).filter(F.col("weight") >= odds)
+    return {r["word"]: r["weight"] for r in rows.orderBy(F.desc("weight"), "word").limit(size).collect()}
+
+
+def disguised_words(text: str) -> list[str]:
+    """What stands between blanks and has a sign or digit between letters, or in front of two."""
+    found, end = [], -1
+    for match in SIGN.finditer(text):
+        at = match.start()
+        if at < end:
+            continue
+        if at and text[at - 1].isalpha() or not (at and text[at - 1].isalnum()) and text[at + 1:at + 3].isalpha() and text[at] in "013457@$":
+            start, end = text.rfind(" ", 0, at) + 1, text.find(" ", at)
+            end = len(text) if end < 0 else end
+            found.append(text[start:end])
+    return found
 
 
 def feature_arrays(values: list[str], lexicon: dict[str, float]) -> list:
@@ -98,31 +115,43 @@ def feature_arrays(values: list[str], lexicon: dict[str, float]) -> list:
     import pyarrow as pa
 
     second = {w for words in SECOND_PERSON.values() for w in words}
-    key = kept("toxic words", tuple(lexicon.items()), dict)
-    if len(key) > 500_000:
-        key.clear()
-
-    def weight_of(word):
-        found = lexicon.get(word)
-        stem = max((lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
-        return (found or 0.0, stem if found is None else 0.0)
+    memory = kept("toxic words", tuple(lexicon.items()), lambda: {"seen": set(), "weights": {}})
+    seen, weights = memory["seen"], memory["weights"]
+    if len(seen) > 500_000:
+        seen.clear()
+
+    def look_up(words):
+        """Adds to ``weights`` the weight of a word in the lexicon, or of its best stem there."""
+        for word in words:
+            if len(word) <= 64:
+                found = lexicon.get(word)
+                stem = max((lexicon.get(s, 0.0) for s in stems(word)), default=0.0) if found is None else 0.0
+                if found or stem:
+                    weights[word] = (found or stem, bool(found))
+        seen.update(words)
 
     disguise = str.maketrans(DISGUISES | {c: "" for c in "*.-_8"})
     out = np.zeros((len(values), len(FEATURES)))
-    for row, text in enumerate(values):
-        words = WORD.findall(text)
+    all_words = [list(map(str.lower, WORD.findall(text))) for text in values]
+    new: set = set()
+    for words in all_words:
+        new.update(words)
+    look_up(new - seen)
+    for row, (text, words) in enumerate(zip(values, all_words)):
         if not words:
             continue
-        lower = text.lower()
-        lowered = WORD.findall(lower)
-        n = len(lowered)
-        for word in set(lowered).difference(key):
-            key[word] = weight_of(word) if len(word) <= 64 else (0.0, 0.0)
-        marks = [(i, key[w]) for i, w in enumerate(lowered) if key[w] != (0.0, 0.0)]
-        second_at = [i for i, w in enumerate(lowered) if w in second] if marks else []
-        full = sum(1 for _, (a, _) in marks if a)
-        weights = [a or b for _, (a, b) in marks]
-        near, at = 0, 0
+        n = len(words)
+        data = np.frombuffer(text.encode(), np.uint8)
+        upper = (data >= 65) & (data <= 90)
+        letter = upper | ((data >= 97) & (data <= 122)) | (data >= 192)
+        letters, capitals = int(letter.sum()), int(upper.sum())
+        run = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 128)
+        capital_words = sum(map(str.isupper, WORD.findall(text))) if capitals > n // 4 else 0
+        present = not weights.keys().isdisjoint(words)
+        marks = [(i, weights[w]) for i, w in enumerate(words) if w in weights] if present else []
+        second_at = [i for i, w in enumerate(words) if w in second] if marks else []
+        full = sum(1 for _, (_, whole) in marks if whole)
+        near = at = 0
         for i, _ in marks:
             while at < len(second_at) and second_at[at] < i - 5:
                 at += 1
@@ -132,24 +161,17 @@ def feature_arrays(values: list[str], lexicon: dict[str, float]) -> list:
             while marks[end][0] - marks[start][0] > 100:
                 start += 1
             window = max(window, end - start + 1)
-        hidden = DISGUISED.findall(text)
-        hidden_hits = 0
-        for word in hidden[:10_000]:
-            plain = word.lower().translate(disguise)
-            if plain not in key:
-                key[plain] = weight_of(plain) if len(plain) <= 64 else (0.0, 0.0)
-            hidden_hits += key[plain][0] > 0
-        letters = sum(map(len, words))
+        hidden = [w.lower().translate(disguise).strip(",;:?\"'()") for w in disguised_words(text)]
+        look_up(set(hidden) - seen)
+        weight = [w for _, (w, _) in marks]
         out[row] = (
-            math.log1p(n), 100 * full / n, 100 * (len(marks) - full) / n, math.log1p(len(marks)),
-            100 * sum(weights) / n, max(weights, default=0.0), near / max(1, len(marks)),
-            len(second_at) / n, (sum(map(str.isupper, text))) / letters,
-            sum(map(str.isupper, words)) / n, 100 * text.count("!") / len(text),
-            100 * sum(map(text.count, ".,;:?'\"")) / len(text), 100 * len(hidden) / n, 100 * hidden_hits / n,
-            100 * len(LONG_RUN.findall(lower)) / n, math.log1p(window),
+            math.log1p(n), 100 * full / n, 100 * (len(marks) - full) / n, math.log1p(len(marks)), 100 * sum(weight) / n,
+            max(weight, default=0.0), near / max(1, len(marks)), len(second_at) / n, capitals / max(1, letters),
+            capital_words / n, 100 * text.count("!") / len(text), 100 * sum(map(text.count, ".,;:?'\"")) / len(text),
+            100 * len(hidden) / n, 100 * sum(w in weights for w in hidden) / n, 100 * int(run.sum()) / n, math.log1p(window),
         )
     flat = pa.array(out.ravel(), pa.float64())
-    return [pa.ListArray.from_arrays(pa.array(range(0, flat.__len__() + 1, len(FEATURES)), pa.int32()), flat)]
+    return [pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), flat)]
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], name: str) -> DataFrame:
@@ -158,14 +180,15 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], name: str) -> Data
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, sample_rows: int = 20_000,
-    trees: int = 20, depth: int = 4, seed: int = 7,
+    trees: int = 20, depth: int = 4, parts: int = 4, lexicon_size: int = 500, least: int = 4, odds: float = 1.5, seed: int = 7,
 ) -> ToxicityModel:
     """Lexicon, trees and calibration from a bounded sample of labelled documents.
 
-    About ``sample_rows`` labelled documents, chosen by a hash of their id, outside the held fold. A
-    quarter of them calibrates what the trees learn from the others. Null labels and ids are left
-    out; of several labels of one document the higher counts. Without both labels the model is the
-    rate of label 1, or 0 without labels.
+    About ``sample_rows`` labelled documents, chosen by a hash of their id, outside the held fold, in ``parts``
+    parts. The features that the trees see of a part come from the lexicon of the other parts, as they will for new
+    texts. The last part calibrates what the trees learn from the others. Null labels and ids are left out; of
+    several labels of one document the higher counts. Without both labels the model is the rate of label 1, or 0
+    without labels.
     """
     marked = (
         labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["toxic"].cast("int").alias("toxic"))
@@ -179,24 +202,31 @@ def fit_toxicity(
     sample = cut_lineage(
         texts(docs).join(chosen, F.col("doc_id") == F.col("label_id"))
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)).cast("int"))
     )
-    counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    bad, good = counts.get(1, 0), counts.get(0, 0)
+    sizes = [[0, 0] for _ in range(parts)]
+    for row in sample.groupBy("part", "toxic").count().collect():
+        sizes[row["part"]][1 - row["toxic"]] += row["count"]
+    bad, good = (sum(s[i] for s in sizes) for i in (0, 1))
     rate = bad / max(1, bad + good)
     if not bad or not good:
         return ToxicityModel({}, None, None, rate)
-    lexicon = learn_lexicon(sample, bad, good)
-    ready = cut_lineage(
-        with_features(sample, lexicon, "found").select(
-            array_to_vector("found.features").alias("features"), F.col("toxic").cast("double").alias("label"),
-            (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0).alias("calibrates"),
-        ).coalesce(8)
-    )
-    learned = ready.filter(~F.col("calibrates"))
+    counts = cut_lineage(word_counts(sample, parts).filter(F.aggregate("bad", F.lit(0).cast("long"), lambda a, x: a + x) >= least))
+    lexicon, *of_parts = [
+        learn_lexicon(counts, sizes, p, lexicon_size, max(2, least if p is None else least * (parts - 1) // parts), odds)
+        for p in (None, *range(parts))
+    ]
+    ready = reduce(DataFrame.unionByName, [
+        with_features(sample.filter(F.col("part") == p), of_parts[p], "found").select(
+            "part", array_to_vector("found.features").alias("features"), F.col("toxic").cast("double").alias("label")
+        ) for p in range(parts)
+    ])
+    ready = cut_lineage(ready.coalesce(8))
+    learned = ready.filter(F.col("part") < parts - 1)
     if learned.select("label").distinct().count() < 2:
         learned = ready
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, seed=seed, maxBins=64).fit(learned)
-    judged = model.transform(ready.filter("calibrates")).select("label", vector_to_array("probability")[1].alias("raw"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=64).fit(learned)
+    judged = model.transform(ready.filter(F.col("part") == parts - 1)).select("label", vector_to_array("probability")[1].alias("raw"))
     if judged.isEmpty():
         return ToxicityModel(lexicon, model, None, rate)
     # Two rows keep the ends apart where few rows calibrate.
