@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from replyloom.llm.common import cut_lineage
 
+#: The ends of a long.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 CHUNK = "queries boolean, chunk long, ids binary, vectors binary, highest binary, lowest binary"
 FOUND = "query_id long, vector_hash long, vec_id long, score long"
 
@@ -110,9 +112,9 @@ def make_chunks(vectors: DataFrame, dims: int, pivots: list[list[int]], is_query
                 least = []
                 for i, scores in zip(at, product(vectors[at], vectors)):
                     scores = scores[ids != ids[i]]
-                    least.append(int(np.sort(scores)[-k]) if len(scores) >= k else None)
-                known = np.array([x is not None for x in least])
-                kth = np.array([x or 0 for x in least], dtype="<i8")
+                    least.append(int(np.sort(scores)[-k]) if len(scores) >= k else LEAST - 1)
+                known = np.array([x >= LEAST for x in least])
+                kth = np.array([min(max(x, LEAST), MOST) for x in least], dtype="<i8")
                 rows.append((True, chunk, ids[at].tobytes(), vectors[at].tobytes(), kth.tobytes(), known.tobytes()))
             columns = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
@@ -145,7 +147,7 @@ def top_k(
     ``is_query`` is a condition on ``vec_id``. Vectors are integers (see :func:`integer_vectors`); a
     shorter one counts as ending in zeros. Rows with the query's own id are not among its candidates;
     repeated rows count once; vectors that share an id are each asked for and each found. Ranks start at 1;
-    ties go to the smaller id. ``pivot_rows`` vectors, chosen by a hash of the id, say only which vectors
+    ties go to the smaller id. A score beyond a long is given as the end of its range. ``pivot_rows`` vectors, chosen by a hash of the id, say only which vectors
     lie side by side. ``lane_blocks`` bounds what a task holds: 256 blocks of 1,024 rows of 64 components
     are 128 MB.
     """
@@ -199,14 +201,16 @@ def top_k(
                         all_scores = np.concatenate((found[q][1], scores[keep]))
                         top = best(all_scores, all_ids, k)
                         found[q] = (all_ids[top], all_scores[top])
-                        if len(top) == k:
-                            kth[q] = all_scores[top[-1]] if not known[q] else max(kth[q], all_scores[top[-1]])
+                        if len(top) == k and all_scores[top[-1]] >= LEAST:
+                            now = min(int(all_scores[top[-1]]), MOST)
+                            kth[q] = max(int(kth[q]), now) if known[q] else now
                             known[q] = True
             sizes = [len(f[0]) for f in found]
+            scores = [min(max(int(s), LEAST), MOST) for f in found for s in f[1]]
             hashes = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in queries], dtype=np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(hashes, sizes)),
-                 pa.array(np.concatenate([f[0] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))],
+                 pa.array(np.concatenate([f[0] for f in found]).astype(np.int64)), pa.array(scores, pa.int64())],
                 names=["query_id", "vector_hash", "vec_id", "score"],
             )
 
