@@ -250,7 +250,7 @@ def score_texts(
             # Heads: what needs no shard.
             plain = np.where(w3 == RARE, 0.0, log10[w3])
             firsts = np.cumsum(lengths + 1) - lengths - 1
-            known_words = np.add.reduceat((w3 != RARE).astype(np.int64), firsts)
+            known_words = np.add.reduceat((w3 != RARE).astype(np.int64), firsts) * bool(known.learned)
             head = pa.RecordBatch.from_arrays(
                 [pa.array(keys["k1"]), pa.array(keys["k2"]), batch["doc_id"], batch["held_out"], pa.array(np.ones(len(values), np.int64)),
                  pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(len(values)))],

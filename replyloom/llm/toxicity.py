@@ -96,13 +96,13 @@ def learn_lexicon(counts: DataFrame, sizes: list[tuple[int, int]], without: int
 
 
 def disguised_words(text: str) -> list[str]:
-    """What stands between blanks and has a sign or digit between letters, or in front of two."""
+    """What stands between blanks and has a sign or digit between letters, or in front of three."""
     found, end = [], -1
     for match in SIGN.finditer(text):
         at = match.start()
         if at < end:
             continue
-        if at and text[at - 1].isalpha() or not (at and text[at - 1].isalnum()) and text[at + 1:at + 3].isalpha() and text[at] in "013457@$":
+        if at and text[at - 1].isalpha() or not (at and text[at - 1].isalnum()) and text[at + 1:at + 4].isalpha() and len(text) > at + 3 and text[at] in "013457@$":
             start, end = text.rfind(" ", 0, at) + 1, text.find(" ", at)
             end = len(text) if end < 0 else end
             found.append(text[start:end])

@@ -120,13 +120,16 @@ def test_elias_fano_is_compact():
 
 
 class Plain:
-    """Interpolated absolute discounting, word by word."""
+    """Interpolated absolute discounting, word by word; very long and unknown words are one class."""
 
     def __init__(self, texts, discount=0.75):
         self.d, self.c1, self.c2, self.c3 = discount, Counter(), Counter(), Counter()
         for tokens in texts:
-            stream = ["<", "<", *tokens]
             self.c1.update(tokens)
+        rare = [w for w in self.c1 if len(w.encode()) > 64]
+        self.rare_mass = sum(self.c1[w] + 1 for w in rare) + 1
+        for tokens in texts:
+            stream = ["<", "<", *map(self.name, tokens)]
             self.c3.update(zip(stream, stream[1:], stream[2:]))
         self.t2, self.n2, self.t3, self.n3 = Counter(), Counter(), Counter(), Counter()
         for (a, b, w), n in self.c3.items():
@@ -138,14 +141,17 @@ class Plain:
             self.n2[b] += 1
         self.tokens, self.types = sum(self.c1.values()), len(self.c1)
 
-    def log10(self, a, b, w, unknown="\0"):
-        a, b, w = (x if x in self.c1 or x == "<" else unknown for x in (a, b, w))
-        p = (self.c1[w] + 1) / (self.tokens + self.types + 1)
+    def name(self, word):
+        return word if word == "<" or self.c1[word] and len(word.encode()) <= 64 else "\0"
+
+    def log10(self, a, b, word):
+        a, b, w = map(self.name, (a, b, word))
+        p = (self.rare_mass if w == "\0" else self.c1[w] + 1) / (self.tokens + self.types + 1)
         if self.t2[b]:
             p = max(self.c2[b, w] - self.d, 0) / self.t2[b] + self.d * self.n2[b] / self.t2[b] * p
         if self.t3[a, b]:
             p = max(self.c3[a, b, w] - self.d, 0) / self.t3[a, b] + self.d * self.n3[a, b] / self.t3[a, b] * p
-        return math.log10(p)
+        return math.log10(p * ((self.c1[word] + 1) / self.rare_mass if w == "\0" else 1))
 
 
 def tokens_of(text):
