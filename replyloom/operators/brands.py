@@ -31,8 +31,7 @@ def linked_brands(tweets: DataFrame, brands: Sequence[str] | None = None,
         F.col("other_id").isNotNull()
     )
     return (
-        lookup(links, owners.withColumnRenamed("tweet_id", "owner_id"), "other_id", "owner_id",
-               spread_on="tweet_id")
+        lookup(links, owners.withColumnRenamed("tweet_id", "owner_id"), "other_id", "owner_id")
         .select("tweet_id", "brand")
         .distinct()
     )
@@ -63,6 +62,7 @@ def connected_rows(tweets: DataFrame, brands: Sequence[str]) -> DataFrame:
         "tweet_id", F.col("author_id").alias("brand")
     )
     pairs = own.unionByName(linked_brands(tweets, brands, inbound_only=False)).distinct()
-    # a tweet is linked to at most as many brands as asked for, so this key is never hot
-    unique = first_per_key(tweets, ["tweet_id"], ["author_id"])
+    # only rows that are connected are looked through for copies
+    linked = tweets.join(pairs.select("tweet_id").distinct(), "tweet_id", "left_semi")
+    unique = first_per_key(linked, ["tweet_id"], ["author_id"])
     return pairs.join(unique, "tweet_id")

@@ -45,7 +45,7 @@ def golden_conversations(flat: DataFrame, golden: DataFrame) -> DataFrame:
 def holdout_conversations(flat: DataFrame, golden: DataFrame) -> DataFrame:
     """Rows of conversations without any golden message."""
     held = golden_conversations(flat, golden).select(F.col("conversation_id").alias("_conv"))
-    return lookup(flat, held, "conversation_id", "_conv", "left_anti", spread_on="tweet_id")
+    return lookup(flat, held, "conversation_id", "_conv", "left_anti")
 
 
 def resolution_pairs(flat: DataFrame) -> DataFrame:

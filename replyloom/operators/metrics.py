@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replyloom import fixed_values as fixed
 from replyloom.session import literal_rows
@@ -58,6 +59,21 @@ def per_class_report(df: DataFrame, truth: str, prediction: str,
     return label_scores(class_counts(df, truth, prediction), (), labels).drop("tp")
 
 
+def tidy_report(sections: dict[str, DataFrame]) -> DataFrame:
+    """All sections of a report as one table: section, the text columns of a row as its name, measure, value."""
+    out = None
+    for section, frame in sections.items():
+        numeric = [f.name for f in frame.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+        names = [c for c in frame.columns if c not in numeric]
+        values = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numeric])
+        part = frame.select(
+            F.lit(section).alias("section"), F.concat_ws("/", *[F.col(c).cast("string") for c in names]).alias("name"),
+            F.inline(values),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def classification_metrics(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = (),
                            labels: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """Accuracy, macro F1 and weighted F1.

@@ -168,13 +168,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool
 
 
 def attach_pairs(ranked: DataFrame, pairs: DataFrame, key: str = "customer_tweet_id") -> DataFrame:
-    """Add the pair behind each retrieved id; a pair retrieved by most queries is spread.
-
-    The ranking is written out first, for looking at its ids would search twice.
-    """
-    return lookup(
-        cut_lineage(ranked), pairs.withColumn("_key", F.col(key)), "corpus_id", "_key", spread_on="query_id"
-    )
+    """Add the pair behind each retrieved id."""
+    return lookup(ranked, pairs.withColumn("_key", F.col(key)), "corpus_id", "_key")
 
 
 def nest_evidence(ranked: DataFrame) -> DataFrame:

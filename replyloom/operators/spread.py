@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from replyloom.session import cut_lineage
 
-HOT_KEY_LIMIT = 1_000
-HOT_KEY_ROWS = 1_000_000
-HOT_KEY_SAMPLE = 0.01
 SALTS = 64
 # from this n on Spark no longer cuts the rows of a group within the input tasks
 SMALL_TOP = 1_000
@@ -161,51 +158,12 @@ def with_neighbours(df: DataFrame, group: str, position: str, columns: Sequence[
     )
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_KEY_ROWS,
-             sample: float = HOT_KEY_SAMPLE) -> list:
-    """Keys held by about ``rows`` rows or more, at most ``HOT_KEY_LIMIT`` of them.
+def lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """Join each left row to the one right row with its key; the key of the right side is dropped.
 
-    The sample only decides how work is spread, never which rows are in the result.
-    """
-    found = df.select(key).where(F.col(key).isNotNull())
-    if sample < 1:
-        found = found.sample(sample, seed=1)
-    return [
-        r[0]
-        for r in found.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= max(1, int(rows * sample)))
-        .orderBy(F.desc("n"))
-        .limit(HOT_KEY_LIMIT)
-        .collect()
-    ]
-
-
-def lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner",
-           spread_on: str | None = None, hot: list | None = None) -> DataFrame:
-    """Join each left row to the one right row with its key.
-
-    Rows of hot left keys are dealt over ``SALTS`` tasks by ``spread_on``; the right rows of those
-    keys, at most ``HOT_KEY_LIMIT``, are copied once per salt. The key of the right side is dropped.
+    A plain join: adaptive execution splits a left key that very many rows hold.
     """
     if right_key in left.columns:
         raise ValueError(f"column {right_key} is on both sides")
-    if hot is None:
-        hot = hot_keys(left, left_key)
-    only_left = how in ("left_semi", "left_anti")
-    same_key = F.col(left_key) == F.col(right_key)
-    if not hot:
-        joined = left.join(right, same_key, how)
-        return joined if only_left else joined.drop(right_key)
-    salt = F.when(
-        F.col(left_key).isin(hot),
-        F.pmod(F.xxhash64(spread_on or left_key), F.lit(SALTS)).cast("int"),
-    ).otherwise(F.lit(0))
-    copies = F.when(
-        F.col(right_key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    joined = left.withColumn("_salt", salt).join(
-        right.withColumn("_copy", F.explode(copies)),
-        same_key & (F.col("_salt") == F.col("_copy")), how,
-    )
-    return joined.drop("_salt") if only_left else joined.drop("_salt", "_copy", right_key)
+    joined = left.join(right, F.col(left_key) == F.col(right_key), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(right_key)

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.functions.text import parse_reply_ids
-from replyloom.operators.spread import HOT_KEY_ROWS, HOT_KEY_SAMPLE, hot_keys, lookup
-from replyloom.session import cut_lineage, literal_rows
+from replyloom.operators.spread import lookup
+from replyloom.session import cut_and_count, cut_lineage, literal_rows
 
 
 @dataclass
@@ -30,16 +30,14 @@ class Jumps:
     endless: DataFrame | None
 
 
-def double_hops(edges: DataFrame, hot_rows: int = HOT_KEY_ROWS,
-                hot_sample: float = HOT_KEY_SAMPLE) -> Jumps:
+def double_hops(edges: DataFrame) -> Jumps:
     """Jump tables over (node, jump, dist) edges, one edge per node.
 
     Level i holds the nodes with at least ``2 ** i`` hops ahead. As long as a node outside the
     circles is left, some node runs out of hops in every round; so a round that loses no node
     leaves only nodes that never come to an end.
     """
-    level = cut_lineage(edges.select("node", "jump", "dist"))
-    left = level.count()
+    level, left = cut_and_count(edges.select("node", "jump", "dist"))
     levels: list[DataFrame] = []
     endless = None
     while left:
@@ -47,12 +45,10 @@ def double_hops(edges: DataFrame, hot_rows: int = HOT_KEY_ROWS,
         ahead = level.select(
             F.col("node").alias("mid"), F.col("jump").alias("far"), F.col("dist").alias("more")
         )
-        level = cut_lineage(
-            lookup(level, ahead, "jump", "mid", spread_on="node",
-                   hot=hot_keys(level, "jump", hot_rows, hot_sample) if left >= hot_rows else [])
+        level, remaining = cut_and_count(
+            lookup(level, ahead, "jump", "mid")
             .select("node", F.col("far").alias("jump"), (F.col("dist") + F.col("more")).alias("dist"))
         )
-        remaining = level.count()
         if remaining == left:
             endless = level.select("node")
             levels = [one.join(endless, "node", "left_anti") for one in levels]
@@ -61,22 +57,14 @@ def double_hops(edges: DataFrame, hot_rows: int = HOT_KEY_ROWS,
     return Jumps(levels, endless)
 
 
-def follow(starts: DataFrame, jumps: Jumps, hot_rows: int = HOT_KEY_ROWS,
-           hot_sample: float = HOT_KEY_SAMPLE) -> DataFrame:
+def follow(starts: DataFrame, jumps: Jumps) -> DataFrame:
     """(node) to (node, last, dist): the last node of its walk and how many tweets away it is."""
     walk = starts.select("node", F.col("node").alias("last"), F.lit(0).cast("bigint").alias("dist"))
-    if not jumps.levels:
-        return walk
-    walk = cut_lineage(walk)
-    many = walk.count() >= hot_rows
     for level in reversed(jumps.levels):
         step = level.select(
             F.col("node").alias("at"), F.col("jump").alias("to"), F.col("dist").alias("more")
         )
-        if many:
-            walk = cut_lineage(walk)
-        hot = hot_keys(walk, "last", hot_rows, hot_sample) if many else []
-        walk = lookup(walk, step, "last", "at", "left", spread_on="node", hot=hot).select(
+        walk = lookup(walk, step, "last", "at", "left").select(
             "node",
             F.coalesce("to", "last").alias("last"),
             (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
@@ -84,22 +72,16 @@ def follow(starts: DataFrame, jumps: Jumps, hot_rows: int = HOT_KEY_ROWS,
     return walk
 
 
-def list_walk(starts: DataFrame, jumps: Jumps, shared: bool = False,
-              hot_rows: int = HOT_KEY_ROWS, hot_sample: float = HOT_KEY_SAMPLE) -> DataFrame:
+def list_walk(starts: DataFrame, jumps: Jumps) -> DataFrame:
     """(walk, node, off) to every node of each walk, ``off`` counting tweets from its start.
 
     Larger jumps first: each round adds to every node listed so far the one 2**i hops on, so each
-    node of a walk comes up once. ``shared`` says that many walks may pass one node.
+    node of a walk comes up once.
     """
     listed = starts.select("walk", "node", F.col("off").cast("bigint").alias("off"))
     for level in reversed(jumps.levels):
         step = level.select(F.col("node").alias("at"), F.col("jump").alias("to"), "dist")
-        hot: list = []
-        if shared:
-            listed = cut_lineage(listed)
-            if listed.count() >= hot_rows:
-                hot = hot_keys(listed, "node", hot_rows, hot_sample)
-        further = lookup(listed, step, "node", "at", spread_on="walk", hot=hot).select(
+        further = lookup(listed, step, "node", "at").select(
             "walk", F.col("to").alias("node"), (F.col("off") + F.col("dist")).alias("off")
         )
         listed = listed.unionByName(further)
@@ -115,9 +97,7 @@ class Threads:
     """
 
     def __init__(self, tweets: DataFrame, brand: str | None = None, order_by: str = "tweet_id",
-                 per_customer: bool = False, hot_rows: int = HOT_KEY_ROWS,
-                 hot_sample: float = HOT_KEY_SAMPLE):
-        self.hot_rows, self.hot_sample = hot_rows, hot_sample
+                 per_customer: bool = False):
         self.per_customer = per_customer
         self.scoped = brand is None
         if brand is not None:
@@ -138,19 +118,11 @@ class Threads:
             F.col("node").alias("p_node"), F.col("author").alias("p_author"),
             F.col("is_brand").alias("p_brand"),
         )
-        self.rows = cut_lineage(
-            lookup(rows, parents, "parent", "p_node", "left", "node",
-                   hot_keys(rows, "parent", hot_rows, hot_sample))
-        )
-        self.many = self.rows.count() >= hot_rows
+        self.rows = cut_lineage(lookup(rows, parents, "parent", "p_node", "left"))
 
     def _node(self, tweet_id):
         return F.concat_ws("/", "brand", tweet_id) if self.scoped else tweet_id
 
-    def _lookup(self, left, right, left_key, right_key, how="inner", spread_on=None):
-        hot = hot_keys(left, left_key, self.hot_rows, self.hot_sample) if self.many else []
-        return lookup(left, right, left_key, right_key, how, spread_on, hot)
-
     # --- seeds ---------------------------------------------------------------------------------
 
     def seeds(self) -> DataFrame:
@@ -162,7 +134,7 @@ class Threads:
         listed = listed.withColumn("reply", self._node(F.col("reply_id")))
         answers = self.rows.where("is_brand").select(F.col("node").alias("answer"))
         return (
-            self._lookup(listed, answers, "reply", "answer", "left_semi", "seed")
+            lookup(listed, answers, "reply", "answer", "left_semi")
             .select("seed", "customer", "ord")
             .distinct()
         )
@@ -191,21 +163,19 @@ class Threads:
         self.runs = double_hops(
             self.rows.where(F.col("is_brand") & F.col("p_brand")).select(
                 "node", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("dist")
-            ),
-            self.hot_rows, self.hot_sample,
+            )
         )
         brand = self.rows.where("is_brand").select("node", "parent", "p_author", "p_brand")
         if self.runs.endless is not None:
             brand = brand.join(self.runs.endless, "node", "left_anti")
-        tops = follow(brand, self.runs, self.hot_rows, self.hot_sample)
+        tops = follow(brand, self.runs)
         top_rows = brand.select(
             F.col("node").alias("top"), F.col("parent").alias("exit"),
             F.col("p_author").alias("exit_author"),
         )
         # run(first, top, length, exit, exit_author): a run of brand rows and what comes before it
         runs = cut_lineage(
-            self._lookup(tops, top_rows.withColumn("top_node", F.col("top")), "last", "top_node",
-                         "inner", "node")
+            lookup(tops, top_rows.withColumn("top_node", F.col("top")), "last", "top_node")
             .select(
                 F.col("node").alias("first"), F.col("last").alias("top"),
                 F.col("dist").alias("length"), "exit", "exit_author",
@@ -214,7 +184,7 @@ class Threads:
         walkers = self.rows.where(F.col("inbound") | ~F.col("is_brand")).select(
             "node", "author", "parent", "p_author", "p_brand"
         )
-        steps = self._lookup(walkers, runs, "parent", "first", "left", "node")
+        steps = lookup(walkers, runs, "parent", "first", "left")
         over_run = F.col("p_brand") & F.col("top").isNotNull()
         through = over_run & (F.col("exit_author") == F.col("author"))
         direct = ~F.col("p_brand") & (F.col("p_author") == F.col("author"))
@@ -235,8 +205,7 @@ class Threads:
         self.back = double_hops(
             self.steps.where(F.col("jump").isNotNull()).select(
                 "node", "jump", F.col("dist").cast("bigint").alias("dist")
-            ),
-            self.hot_rows, self.hot_sample,
+            )
         )
 
     def _roots(self):
@@ -248,14 +217,13 @@ class Threads:
             rest = seeds.join(self.back.endless, seeds["seed"] == F.col("node"), "left_semi")
             seeds = seeds.join(self.back.endless, seeds["seed"] == F.col("node"), "left_anti")
         ends = follow(
-            seeds.select(F.col("seed").alias("node")).distinct(), self.back,
-            self.hot_rows, self.hot_sample,
+            seeds.select(F.col("seed").alias("node")).distinct(), self.back
         )
         tails = self.steps.select(
             F.col("node").alias("end"), "tail_root", "tail_dist", "stuck",
             F.col("jump").isNull().alias("is_end"),
         )
-        found = self._lookup(ends, tails, "last", "end", "left", "node").select(
+        found = lookup(ends, tails, "last", "end", "left").select(
             F.col("node").alias("s"),
             F.coalesce("tail_root", "last").alias("root"),
             (F.col("dist") + F.when(F.col("tail_root").isNotNull(), F.col("tail_dist"))
@@ -288,23 +256,22 @@ class Threads:
         """
         self._prepare_backward()
         seeds = self.seeds() if starts is None else starts
-        shared = starts is None or self.per_customer
         carried = F.struct(*seeds.columns)
         plain, looped = self._split_endless(seeds)
         listed = cut_lineage(
             list_walk(
                 plain.select(carried.alias("walk"), F.col("seed").alias("node"),
                              F.lit(0).alias("off")),
-                self.back, shared, self.hot_rows, self.hot_sample,
+                self.back,
             )
         )
         entries = self.steps.where(F.col("run").isNotNull()).select(F.col("node").alias("n"), "run")
         in_runs = list_walk(
-            self._lookup(listed, entries, "node", "n", "inner", "walk").select(
+            lookup(listed, entries, "node", "n").select(
                 F.struct("walk", "off").alias("walk"), F.col("run").alias("node"),
                 (F.col("off") + 1).alias("off"),
             ),
-            self.runs, shared, self.hot_rows, self.hot_sample,
+            self.runs,
         ).select(F.col("walk")["walk"].alias("walk"), "node", "off")
         paths = listed.unionByName(in_runs)
         if looped is not None:
@@ -384,9 +351,7 @@ class Threads:
         self_replies = own.join(
             self.follow_ups, (F.col("node") == F.col("after")) & (F.col("author") == F.col("by"))
         ).select("node", F.col("follow_up").alias("jump"), F.lit(1).cast("bigint").alias("dist"))
-        self.ahead = double_hops(
-            via_answer.unionByName(self_replies), self.hot_rows, self.hot_sample
-        )
+        self.ahead = double_hops(via_answer.unionByName(self_replies))
 
     def forward_paths(self, starts: DataFrame) -> DataFrame:
         """(walk, root, customer) to (walk, node, off): rows after the root, counted from it."""
@@ -394,8 +359,8 @@ class Threads:
         starts = starts.select("walk", "root", "customer")
         brand = self.rows.where("is_brand").select(F.col("node").alias("b"))
         # many customers may share one root
-        at_brand = self._lookup(starts, brand, "root", "b", "left_semi", "customer")
-        at_customer = self._lookup(starts, brand, "root", "b", "left_anti", "customer")
+        at_brand = lookup(starts, brand, "root", "b", "left_semi")
+        at_customer = lookup(starts, brand, "root", "b", "left_anti")
         first = at_brand.join(
             self.follow_ups, (F.col("root") == F.col("after")) & (F.col("customer") == F.col("by"))
         ).select("walk", F.col("follow_up").alias("node"), F.lit(1).cast("bigint").alias("off"),
@@ -505,7 +470,7 @@ class Threads:
             .agg(F.min(F.col("place") - F.col("depth") - 1).alias("gap"))
             .where(F.col("gap") > 0)
         )
-        moved = self._lookup(rows, first, "conversation", "of", "left", "node")
+        moved = lookup(rows, first, "conversation", "of", "left")
         return moved.select(
             "root", "customer", "node",
             (F.col("place") - F.when(beyond, F.coalesce("gap", F.lit(0))).otherwise(0)).alias("pos"),

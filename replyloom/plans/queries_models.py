@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from replyloom.operators import features as ft
+from replyloom.operators import metrics
 from replyloom.operators.inference import annotate_with_retry, generate_replies
 from replyloom.operators.models import TextClassifier, cross_validate
 from replyloom.operators.retrieval import normalize_vectors
@@ -12,9 +13,6 @@ from replyloom.operators.sampling import top_two
 from replyloom.plans import jobs, views
 from replyloom.plans.registry import query
 
-MAX_ITER = 60
-
-
 def _tfidf_sql(min_df: int, tf: str, limit: int | None) -> str:
     top = f"ORDER BY total DESC, term LIMIT {limit}" if limit else ""
     return f"""
@@ -55,7 +53,6 @@ def _labelled(spark, d):
 
 
 def _classifier(spark, d, **settings):
-    settings = {"max_iter": MAX_ITER, **settings}
     return jobs.train_classifier(_labelled(spark, d), "customer_message", "gold_intent", **settings)
 
 
@@ -78,21 +75,21 @@ def _(spark, d):
 @query("hybrid_predict")
 def _(spark, d):
     rows = views.message_vectors(_labelled(spark, d), "customer_message", 128)
-    model = TextClassifier(ft.HYBRID, "embedding", MAX_ITER).fit(rows, "customer_message", "gold_intent")
+    model = TextClassifier(ft.HYBRID, "embedding").fit(rows, "customer_message", "gold_intent")
     return model.predict(rows, "customer_message").select("tweet_id", "gold_intent", "predicted_intent")
 
 
 @query("embedding_predict")
 def _(spark, d):
     rows = views.table(spark, d, "embeddings").withColumn("label", F.concat(F.lit("l"), "label"))
-    model = TextClassifier(None, "embedding", MAX_ITER).fit(rows, label="label")
+    model = TextClassifier(None, "embedding").fit(rows, label="label")
     return model.predict(rows).select("vec_id", "label", "predicted_intent")
 
 
 @query("cross_validated_tfidf")
 def _(spark, d):
     scored = cross_validate(
-        _labelled(spark, d), lambda: TextClassifier(ft.BASELINE, max_iter=20), "customer_message", "gold_intent")
+        _labelled(spark, d), lambda: TextClassifier(ft.BASELINE), "customer_message", "gold_intent")
     return scored.select("tweet_id", "gold_intent", "fold", "predicted_intent")
 
 
@@ -194,17 +191,17 @@ def _(spark, d):
 def _(spark, d):
     rows = _with_vectors(_labelled(spark, d))
     report = jobs.evaluate_end_to_end(rows, _classifier(spark, d), _corpus(spark, d), PROVIDERS)
-    return report["escalation"]
+    return metrics.tidy_report({k: v for k, v in report.items() if k != "examples"})
 
 
 @query("classifier_eval")
 def _(spark, d):
     report = jobs.evaluate_classifier(
         _labelled(spark, d), _classifier(spark, d), "customer_message", "gold_intent", views.CLASSES)
-    return report["overall"]
+    return metrics.tidy_report({k: v for k, v in report.items() if k != "predictions"})
 
 
 @query("baseline_eval")
 def _(spark, d):
-    report = jobs.evaluate_baselines(_labelled(spark, d), max_iter=20)
-    return report["intent_tfidf"]
+    report = jobs.evaluate_baselines(_labelled(spark, d))
+    return metrics.tidy_report(report)

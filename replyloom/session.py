@@ -6,7 +6,7 @@ import tempfile
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,7 @@ def get_spark(app_name: str = "replyloom", master: str | None = None, **settings
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     if master:
         builder = builder.master(master)
@@ -45,6 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`cut_lineage`, and the number of rows, counted while they are written."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]
+
+
 def literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
     """A few parameter rows as part of the plan."""
     entries = [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from replyloom.operators import sampling
 from replyloom.operators.spread import (
-    first_by_hash, first_per_key, hash_position, hot_keys, lookup, top_per_group, with_neighbours,
+    first_by_hash, first_per_key, hash_position, lookup, top_per_group, with_neighbours,
 )
 
 
@@ -22,17 +22,18 @@ def md5(key, seed="42"):
     return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
 
 
-def test_lookup_with_hot_keys(spark):
+def test_lookup(spark):
     left = skewed(spark)
     right = left.select(F.col("g").alias("name")).distinct().where("name <> 'g9'").withColumn(
         "size", F.length("name"))
-    hot = hot_keys(left, "g", 500, 1.0)
-    assert hot == ["big"]
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        plain = lookup(left, right, "g", "name", how, hot=[])
-        dealt = lookup(left, right, "g", "name", how, spread_on="id", hot=hot)
-        assert plain.columns == dealt.columns
-        assert sorted(plain.collect(), key=str) == sorted(dealt.collect(), key=str)
+    for how in ("inner", "left"):
+        found = lookup(left, right, "g", "name", how)
+        assert found.columns == [*left.columns, "size"]
+        assert all(r["size"] == (None if r["g"] in (None, "g9") else len(r["g"])) for r in found.collect())
+    known = left.where("g <> 'g9'").count()
+    assert lookup(left, right, "g", "name").count() == known
+    assert lookup(left, right, "g", "name", "left_semi").count() == known
+    assert lookup(left, right, "g", "name", "left_anti").count() == left.count() - known
 
 
 def test_top_per_group(spark):

@@ -1,7 +1,8 @@
-"""Conversation building against a row-by-row walk written for these tests."""
+"""Conversation building against chains written by hand and against recursive SQL."""
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,58 +27,47 @@ def frame(spark, rows):
     )
 
 
-def expected(rows, brand="Brand", per_customer=False):
-    """The walks, one tweet at a time."""
-    by_id = {r[0]: r for r in rows}
-
-    def is_brand(r):
-        return r[1].lower() == brand.lower()
-
-    def backward(seed):
-        chain, cur, seen = [], seed, set()
-        while cur not in seen:
-            seen.add(cur)
-            chain.append(cur)
-            parent = by_id.get(by_id[cur][5])
-            if parent is None or not (is_brand(parent) or parent[1] == by_id[seed][1]):
-                break
-            cur = parent[0]
-        return chain[::-1]
-
-    def forward(root, customer):
-        chain, cur, seen = [], root, set()
-        while cur not in seen:
-            seen.add(cur)
-            wanted = [
-                r for r in rows if r[5] == cur
-                and (r[1] == customer if is_brand(by_id[cur]) else is_brand(r))
-            ]
-            if not wanted:
-                break
-            nxt = min(wanted, key=lambda r: (r[3] is None, r[3] or 0, r[0]))[0]
-            if nxt in seen:
-                break
-            chain.append(nxt)
-            cur = nxt
-        return chain
-
-    found, taken = {}, set()
-    for r in sorted(rows):
-        if not r[2]:
-            continue
-        replies = [int(x) for x in (r[4] or "").split(",") if x.strip().isdigit()]
-        if not any(x in by_id and is_brand(by_id[x]) for x in replies):
-            continue
-        back = backward(r[0])
-        key = (back[0], r[1]) if per_customer else back[0]
-        if key in taken:
-            continue
-        full = list(dict.fromkeys(back + forward(back[0], r[1])))
-        if len(full) < 2:
-            continue
-        taken.add(key)
-        found[(f"{brand}_{back[0]}", r[1])] = full
-    return found
+CHAINS = """
+    WITH RECURSIVE rows AS (SELECT *, lower(author) = 'brand' AS is_brand FROM tweets),
+    seeds AS (
+        SELECT DISTINCT r.id AS seed, r.author AS customer
+        FROM (SELECT *, unnest(string_split(replies, ',')) AS reply FROM rows WHERE inbound) r
+        JOIN rows b ON b.id = try_cast(trim(r.reply) AS BIGINT) AND b.is_brand),
+    back AS (
+        SELECT seed, customer, seed AS cur, [seed] AS path FROM seeds
+        UNION ALL
+        SELECT w.seed, w.customer, p.id, list_append(w.path, p.id)
+        FROM back w JOIN rows c ON c.id = w.cur JOIN rows p ON p.id = c.parent
+        WHERE (p.is_brand OR p.author = w.customer) AND NOT list_contains(w.path, p.id)),
+    roots AS (SELECT seed, customer, arg_max(path, len(path)) AS path, arg_max(cur, len(path)) AS root FROM back GROUP BY ALL),
+    hops AS (
+        SELECT c.id AS cur, CASE WHEN c.is_brand THEN k.author END AS by, k.id AS nxt
+        FROM rows c JOIN rows k ON k.parent = c.id WHERE c.is_brand OR k.is_brand
+        QUALIFY row_number() OVER (PARTITION BY c.id, CASE WHEN c.is_brand THEN k.author END
+                                   ORDER BY k.minute NULLS LAST, k.id) = 1),
+    ahead AS (
+        SELECT DISTINCT root, customer, root AS cur, CAST([] AS BIGINT[]) AS path FROM roots
+        UNION ALL
+        SELECT w.root, w.customer, h.nxt, list_append(w.path, h.nxt)
+        FROM ahead w JOIN hops h ON h.cur = w.cur AND coalesce(h.by, w.customer) = w.customer
+        WHERE h.nxt <> w.root AND NOT list_contains(w.path, h.nxt)),
+    chains AS (
+        SELECT r.seed, r.customer, r.root,
+               list_concat(list_reverse(r.path), list_filter(a.path, lambda x: NOT list_contains(r.path, x))) AS chain
+        FROM roots r
+        JOIN (SELECT root, customer, arg_max(path, len(path)) AS path FROM ahead GROUP BY ALL) a USING (root, customer))
+    SELECT root, customer, chain FROM chains WHERE len(chain) > 1
+    QUALIFY row_number() OVER (PARTITION BY root, CASE WHEN $per_customer THEN customer END ORDER BY seed) = 1
+"""
+
+
+def expected(rows, per_customer=False):
+    """The conversations as recursive SQL finds them; lists of what was passed guard the circles."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE tweets (id BIGINT, author TEXT, inbound BOOLEAN, minute INT, replies TEXT, parent BIGINT)")
+    con.executemany("INSERT INTO tweets VALUES (?, ?, ?, ?, ?, ?)", rows)
+    found = con.execute(CHAINS, {"per_customer": per_customer}).fetchall()
+    return {(f"Brand_{root}", customer): chain for root, customer, chain in found}
 
 
 def built(spark, rows, **options):
@@ -187,18 +177,30 @@ def test_random_graphs(spark, seed, cyclic):
     assert built(spark, rows, per_customer=True) == expected(rows, per_customer=True)
 
 
-def test_hot_keys_do_not_change_walks(spark):
+def test_parent_with_most_replies(spark):
+    """One tweet of the brand answered by every customer, as a third of a table may be."""
     rows = [(1, "c0", True, 0, None, None), (2, "Brand", False, 1, None, 1)]
     for i in range(40):
         rows.append((10 + 2 * i, f"c{i}", True, 2 + i, None, 2))
         rows.append((11 + 2 * i, "Brand", False, 50 + i, None, 10 + 2 * i))
-    rows = link(rows)
-    tweets = frame(spark, rows)
-    plain = th.Threads(tweets, "Brand").backward_paths()
-    dealt = th.Threads(tweets, "Brand", hot_rows=5, hot_sample=1.0).backward_paths()
-    key = ["walk.seed", "node", "off"]
-    assert sorted(plain.select(key).collect()) == sorted(dealt.select(key).collect())
-    assert plain.count() == 82
+    tweets = frame(spark, link(rows))
+    paths = {}
+    for r in th.Threads(tweets, "Brand").backward_paths().collect():
+        paths.setdefault(r["walk"]["seed"], []).append((r["off"], r["node"]))
+    # c0's own walk goes on to its first tweet, the others end at the brand's
+    wanted = {10 + 2 * i: [(0, 10 + 2 * i), (1, 2)] for i in range(1, 40)}
+    wanted |= {10: [(0, 10), (1, 2), (2, 1)], 1: [(0, 1)]}
+    assert {seed: sorted(path) for seed, path in paths.items()} == wanted
+
+
+def test_volume_starts_no_job_before_it_is_read(spark):
+    tweets = frame(spark, link([(1, "c1", True, 0, None, None), (2, "A", False, 1, None, 1)]))
+    spark.sparkContext.setJobGroup("planning", "planning")
+    volume = brand_volume(tweets)
+    connected_rows(tweets, ["A"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert volume.count() == 1
 
 
 def test_brand_association_both_ways(spark):
