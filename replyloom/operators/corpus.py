@@ -51,7 +51,8 @@ def holdout_conversations(flat: DataFrame, golden: DataFrame) -> DataFrame:
 def resolution_pairs(flat: DataFrame) -> DataFrame:
     """A customer message and the brand message right after it, both with text.
 
-    ``flat`` has one row per message with conversation_id and a gapless pos.
+    ``flat`` has one row per message with conversation_id and pos, which may have gaps: rows that were
+    filtered out before do not part their neighbours.
     """
     pairs = with_neighbours(flat, "conversation_id", "pos", ["inbound", "text", "tweet_id"])
     return pairs.where(F.col("inbound") & ~F.col("next_inbound")).where(

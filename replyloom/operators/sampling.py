@@ -65,7 +65,7 @@ def cap_classes(df: DataFrame, cap: int = fixed.CLASS_CAP, label: str = "intent"
 def cap_one_class(df: DataFrame, cap: int = fixed.OTHER_CLASS_CAP, name: str = fixed.OTHER_CLASS,
                   label: str = "intent", key: str = "tweet_id", seed: str = fixed.SEED) -> DataFrame:
     """At most ``cap`` rows of one class, all rows of the others; ``df`` is read twice."""
-    capped = df.where(F.col(label) == name).orderBy(hash_order(key, seed), key).limit(cap)
+    capped = first_by_hash(df.where(F.col(label) == name), [label], key, cap, seed)
     return df.where(F.col(label) != name).unionByName(capped)
 
 

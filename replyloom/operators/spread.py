@@ -127,34 +127,57 @@ def first_by_hash(df: DataFrame, group: Sequence[str], key: str, n: int, seed: s
     return top_per_group(kept, group, order, n, [key], rank)
 
 
+def place_in_order(df: DataFrame, group: str, position: str, out: str, span: int = 4_096) -> DataFrame:
+    """Number the rows of each group from 0 in the order of ``position``, whatever gaps that has.
+
+    Rows are numbered within stretches of ``span`` positions and moved up by the rows of the stretches
+    before, so a group of any length is spread over many tasks.
+    """
+    parted = df.withColumn("_part", F.floor(F.col(position) / span))
+    before = Window.partitionBy("_in").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parted.groupBy(F.col(group).alias("_in"), F.col("_part").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_in", "_at", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    )
+    same = F.col(group).eqNullSafe(F.col("_in")) & F.col("_part").eqNullSafe(F.col("_at"))
+    inside = Window.partitionBy(group, "_part").orderBy(position)
+    return (
+        parted.join(offsets, same)
+        .withColumn(out, F.row_number().over(inside).cast("bigint") - 1 + F.col("_before"))
+        .drop("_part", "_in", "_at", "_before")
+    )
+
+
 def with_neighbours(df: DataFrame, group: str, position: str, columns: Sequence[str],
                     after: str | None = "next_", before: str | None = None,
                     span: int = 4_096) -> DataFrame:
     """Add columns of the next row (prefix ``after``) and of the row before (prefix ``before``).
 
-    ``position`` numbers the rows of a group without gaps. Groups are cut into stretches of
-    ``span`` positions that are windowed apart; the one row each stretch needs from the stretch
+    Rows of a group follow each other in the order of ``position``, which may have gaps. Groups are cut into
+    stretches of ``span`` rows that are windowed apart; the one row each stretch needs from the stretch
     beside it is copied over, so a group of any length is spread over many tasks in one shuffle.
     """
-    stretch = F.floor(F.col(position) / span)
-    inside = F.pmod(F.col(position), F.lit(span))
+    numbered = place_in_order(df, group, position, "_place", span)
+    stretch = F.floor(F.col("_place") / span)
+    inside = F.pmod(F.col("_place"), F.lit(span))
     places = [stretch]
     if after:
         places.append(F.when(inside == 0, stretch - 1))
     if before:
         places.append(F.when(inside == span - 1, stretch + 1))
     copied = F.filter(F.array(*places), lambda s: s.isNotNull())
-    window = Window.partitionBy(group, "_stretch").orderBy(position)
+    window = Window.partitionBy(group, "_stretch").orderBy("_place")
     found = {}
     for prefix, shift, step in ((after, F.lead, 1), (before, F.lag, -1)):
         if prefix:
-            near = shift(F.col(position), 1).over(window) == F.col(position) + step
+            near = shift(F.col("_place"), 1).over(window) == F.col("_place") + step
             found |= {f"{prefix}{c}": F.when(near, shift(F.col(c), 1).over(window)) for c in columns}
     return (
-        df.withColumn("_stretch", F.explode(copied))
+        numbered.withColumn("_stretch", F.explode(copied))
         .withColumns(found)
         .where(F.col("_stretch") == stretch)
-        .drop("_stretch")
+        .drop("_stretch", "_place")
     )
 
 

@@ -43,12 +43,14 @@ VIEWS: dict[str, str] = {
                role = 'user' AS inbound, text
         FROM conversations WHERE role <> 'system'""",
     "tweets": """
-        SELECT t.*, p.tweet_id AS in_response_to_tweet_id,
-               CAST(n.tweet_id AS VARCHAR) AS response_tweet_id, p.text AS before_text,
-               n.text AS after_text, n.inbound AS after_inbound
-        FROM turns t
-        LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1
-        LEFT JOIN turns n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1""",
+        SELECT t.*, lag(tweet_id) OVER w AS in_response_to_tweet_id,
+               CAST(lead(tweet_id) OVER w AS VARCHAR) AS response_tweet_id, lag(text) OVER w AS before_text,
+               lead(text) OVER w AS after_text, lead(inbound) OVER w AS after_inbound
+        FROM turns t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "gappy": """
+        SELECT t.*, lead(text) OVER w AS after_text, lead(inbound) OVER w AS after_inbound,
+               CAST(lead(tweet_id) OVER w AS VARCHAR) AS response_tweet_id
+        FROM turns t WHERE turn % 3 <> 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "messages": """
         SELECT conv_id * 1000 + turn AS tweet_id, conv_id, turn, text
         FROM conversations WHERE role = 'user'""",

@@ -100,12 +100,17 @@ def _(spark, d):
 # --- holdouts and resolution pairs ------------------------------------------------------------
 
 PAIRS = """
-    SELECT conv_id AS conversation_id, tweet_id AS customer_tweet_id, tweet_id + 1 AS agent_tweet_id,
+    SELECT conv_id AS conversation_id, tweet_id AS customer_tweet_id, CAST(response_tweet_id AS BIGINT) AS agent_tweet_id,
            {m} AS customer_message, {r} AS historical_response
     FROM tweets WHERE inbound AND NOT after_inbound
       AND length({m}) > 0 AND length({r}) > 0""".format(m=strip("text"), r=strip("after_text"))
 
 
+@query("resolution_pairs_gaps", PAIRS.replace("FROM tweets", "FROM gappy"))
+def _(spark, d):
+    return resolution_pairs(views.flat(spark, d).where("turn % 3 <> 0"))
+
+
 @query("resolution_pairs", PAIRS)
 def _(spark, d):
     return resolution_pairs(views.flat(spark, d))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,6 +16,7 @@ def get_spark(app_name: str = "replyloom", master: str | None = None, **settings
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -27,15 +26,20 @@ def get_spark(app_name: str = "replyloom", master: str | None = None, **settings
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; make one up only on a local master."""
+    """Use the shared folder the cluster names; where it names none, one in the warehouse folder.
+
+    A warehouse on one machine's disk is refused on a cluster.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        shared = "://" in warehouse and not warehouse.startswith("file:")
+        if not shared and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="replyloom-")
+        folder = f"{warehouse}/checkpoints"
     context.setCheckpointDir(folder)
     return folder
 
