@@ -21,10 +21,15 @@ MAX_VOCABULARY = 1_000_000
 
 
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Characters that decompose to one base character, and that character; marks are dropped."""
-    marked, plain, marks = [], [], []
-    for code in range(128, min(sys.maxunicode, 0xFFFF) + 1):
+def _accent_table() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one base character, and that character; marks are dropped.
+
+    Those that decompose to more, as ligatures do, are given apart, with what takes their place.
+    """
+    marked, plain, marks, longer = [], [], [], {}
+    for code in range(128, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
         char = chr(code)
         if unicodedata.combining(char):
             marks.append(char)
@@ -35,13 +40,21 @@ def _accent_table() -> tuple[str, str]:
         if len(base) == 1 and base != char:
             marked.append(char)
             plain.append(base)
-    return "".join(marked + marks), "".join(plain)
+        elif len(base) > 1 and not 0xAC00 <= code <= 0xD7A3:
+            longer[char] = base
+    return "".join(marked + marks), "".join(plain), longer
 
 
 def drop_accents(c: Column) -> Column:
-    """Replace accented and compatibility characters by their base character."""
-    marked, plain = _accent_table()
-    return F.translate(c, marked, plain)
+    """Replace accented and compatibility characters by their base characters.
+
+    Hangul syllables stay whole; words are the same with them taken apart.
+    """
+    marked, plain, longer = _accent_table()
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    taken_apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    has_any = c.rlike("[" + "".join(sorted(longer)) + "]")
+    return F.translate(F.when(has_any, taken_apart).otherwise(c), marked, plain)
 
 
 def add_terms(df: DataFrame, text: str, out: str = "terms", sizes: Sequence[int] = (1, 2),

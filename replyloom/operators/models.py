@@ -55,9 +55,9 @@ class TextClassifier:
         rows = df.select(needed).dropna(subset=read)
         weights = class_weights(rows, label).limit(MAX_CLASSES + 1).collect()
         if not weights:
-            raise ValueError("Training messages cannot be empty.")
+            raise ValueError("no row to train on")
         if len(weights) < 2:
-            raise ValueError("Training requires at least two different intent classes.")
+            raise ValueError("one class only: nothing to tell apart")
         if len(weights) > MAX_CLASSES:
             raise ValueError(f"at most {MAX_CLASSES} classes")
         total = sum(w["n"] for w in weights)
