@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
 from replyloom.functions.lexicon import Lexicon, add_candidate, label_weakly
-from replyloom.functions.prompts import REPLY_TEMPLATE, reply_prompt
+from replyloom.functions.prompts import REPLY_TEMPLATE, SCORE_TEMPLATE, reply_prompt, score_prompt
 from replyloom.functions.routing import RoutingRules, route
 from replyloom.functions.text import has_text, normalize_bool
 from replyloom.operators import metrics
 from replyloom.operators.aggregates import dedup_text, value_counts
 from replyloom.operators.annotations import (
-    ensure_annotation_columns, has_prediction, merge_predictions, pending_rows,
+    ensure_annotation_columns, has_prediction, merge_predictions, pending_rows, validate_judgements,
 )
 from replyloom.operators.brands import connected_rows, linked_brands
 from replyloom.operators.corpus import holdout_conversations, holdout_rows, resolution_pairs
 from replyloom.operators.features import BASELINE
-from replyloom.operators.inference import Provider, annotate_with_retry, generate_replies
+from replyloom.operators.inference import Provider, annotate_with_retry, complete, generate_replies
 from replyloom.operators.messages import drop_null_pairs, flatten_messages, inbound_rows, rows_with_text
 from replyloom.operators.models import TextClassifier, cross_validate
 from replyloom.operators.retrieval import attach_pairs, nest_evidence, normalize_vectors, top_k
@@ -201,6 +201,44 @@ def evaluate_baselines(golden: DataFrame, text: str = "customer_message", label:
     }
 
 
+def judge_examples(examples: DataFrame, providers: Sequence[tuple[str, str, Provider]],
+                   message: str = "customer_message", response: str = "response", evidence: str = "evidence",
+                   template: str = SCORE_TEMPLATE) -> dict[str, DataFrame]:
+    """Have a text model score every reply: the judgements, their means and counts.
+
+    An example whose judge failed, or gave no valid scores, stays with an ``error``.
+    """
+    prompted = examples.withColumn(
+        "_prompt", score_prompt(F.col(message), F.col(evidence), F.col(response), template)
+    )
+    # written out, so that no reply is judged twice
+    answered = cut_lineage(
+        complete(prompted, "_prompt", providers)
+        .drop("_prompt").withColumnsRenamed({"answer": "raw", "error": "failure"})
+    )
+    judged = validate_judgements(answered).withColumn("error", F.coalesce("failure", "error")).drop("failure")
+    return {"judgements": judged, "means": metrics.judge_means(judged), "counts": metrics.judge_counts(judged)}
+
+
+def evaluate_without_evidence(reviewed: DataFrame, classifier: TextClassifier, message: str = "customer_message",
+                              label: str = "gold_intent", escalation: str = "expected_escalation",
+                              rules: RoutingRules | None = None) -> dict[str, DataFrame]:
+    """Class and routing scores of a reviewed sheet when nothing was retrieved for its messages."""
+    rows = reviewed.where(has_text(message) & has_text(label))
+    classified = classifier.predict(rows, message)
+    routed = route(classified.withColumn("_none", F.lit(None).cast("double")), message, "predicted_intent",
+                   "confidence", similarity="_none", rules=rules)
+    scored = cut_lineage(routed.withColumns({
+        "expected": normalize_bool(escalation, accept_y=True), "predicted": F.col("decision.escalate"),
+    }).drop("decision", "_none"))
+    return {
+        "intent": metrics.classification_metrics(scored, label, "predicted_intent", digits=6),
+        "escalation": metrics.binary_metrics(scored, "expected", "predicted", digits=6),
+        "predicted_classes": value_counts(scored, "predicted_intent"),
+        "actual_classes": value_counts(scored, label),
+    }
+
+
 def evaluate_end_to_end(golden: DataFrame, classifier: TextClassifier, corpus: DataFrame,
                         providers: Sequence[tuple[str, str, Provider]],
                         message: str = "customer_message", label: str = "gold_intent",

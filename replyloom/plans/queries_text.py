@@ -10,7 +10,7 @@ from replyloom.functions import prompts, routing
 from replyloom.functions import text as tx
 from replyloom.operators import aggregates
 from replyloom.operators.spread import with_neighbours
-from replyloom.plans import views
+from replyloom.plans import jobs, views
 from replyloom.plans.oracle import norm, quoted, strip
 from replyloom.plans.registry import query
 
@@ -360,17 +360,44 @@ def _item_sql(message: str, response: str, similarity: str) -> str:
             f"'Similarity:' || chr(10) || '{similarity}'")
 
 
-@query("judge_prompt", f"""
+JUDGE_PROMPTS = f"""
     SELECT tweet_id, {_filled(prompts.SCORE_TEMPLATE, message='text', evidence='block', response='author_id')} AS prompt
     FROM (SELECT *, {_item_sql('text', 'after_text', '0.913')} || chr(10) || chr(10) || '---' || chr(10) || chr(10)
           || {_item_sql('before_text', 'text', '0.500')} || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-          || {_item_sql('text', 'text', '0.250')} AS block FROM tweets)""")
+          || {_item_sql('text', 'text', '0.250')} AS block FROM tweets)"""
+
+
+@query("judge_prompt", JUDGE_PROMPTS)
 def _(spark, d):
     rows = _evidence(spark, d)
     return rows.select("tweet_id", prompts.score_prompt(
         F.col("text"), F.col("evidence"), F.col("author_id")).alias("prompt"))
 
 
+def _judge():
+    """A stand-in that scores by the length of its prompt, leaves a field out, or is not there."""
+
+    def judge(prompt: str) -> str:
+        n = len(prompt)
+        if n % 3 == 0:
+            raise RuntimeError("busy")
+        scores = f'"grounding": {1 + n % 5}, "resolution_correctness": 2, "relevance": 3, "safety": {1 + n % 4}, "style": 5, "overall": 3'
+        return "Scores: {" + scores + (', "reason": "fine"}' if n % 3 == 1 else "}")
+
+    return [("one", "model-1", judge)]
+
+
+@query("judge_run", f"""
+    SELECT tweet_id, CASE n % 3 WHEN 0 THEN 'All providers failed: one: busy'
+                                WHEN 2 THEN 'Judge response missing required field: reason' END AS error,
+           CASE WHEN n % 3 = 1 THEN 1 + n % 5 END AS grounding, CASE WHEN n % 3 = 1 THEN 1 + n % 4 END AS safety,
+           CASE WHEN n % 3 = 1 THEN 'fine' END AS reason
+    FROM (SELECT tweet_id, length(prompt) AS n FROM ({JUDGE_PROMPTS}))""")
+def _(spark, d):
+    report = jobs.judge_examples(_evidence(spark, d), _judge(), "text", "author_id")
+    return report["judgements"].select("tweet_id", "error", "grounding", "safety", "reason")
+
+
 TAXONOMY = {"c_en": "first kind", "c_de": "second kind", "other": "all else"}
 BULLETS = "\n".join(f"- {k}: {v}" for k, v in TAXONOMY.items())
 RETRY = quoted(prompts.RETRY_TEMPLATE).replace("{error}", "' || problem || '")

@@ -366,3 +366,22 @@ def test_golden_set_job(spark):
     golden = jobs.build_golden_set(candidates, {"ship": 4, "pay": 3})
     assert sorted(r["shuffle_pos"] for r in golden.collect()) == list(range(1, 8))
     assert {r["gold_intent"] for r in golden.collect()} == {""}
+
+
+def test_review_without_evidence(spark):
+    class Fixed:
+        """Says "pay" with a confidence that falls with the id."""
+
+        def predict(self, df, text):
+            return df.withColumns({"predicted_intent": F.lit("pay"), "confidence": 1.0 - F.col("tweet_id") / 10})
+
+    rows = spark.createDataFrame(
+        [(1, "my card was charged", "pay", "yes"), (2, "where is it", "ship", "no"), (3, " ", "pay", "no"), (4, "hello", None, "no")],
+        "tweet_id long, customer_message string, gold_intent string, expected_escalation string")
+    report = jobs.evaluate_without_evidence(rows, Fixed())
+    assert {r["value"]: r["n"] for r in report["predicted_classes"].collect()} == {"pay": 2}
+    assert {r["value"]: r["n"] for r in report["actual_classes"].collect()} == {"pay": 1, "ship": 1}
+    assert report["intent"].first()["accuracy"] == 0.5
+    # weak evidence sends every message to a person
+    escalation = report["escalation"].first()
+    assert (escalation["accuracy"], escalation["recall"]) == (0.5, 1.0)
