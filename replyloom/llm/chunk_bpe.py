@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import cut_lineage, kept, row_key, sliced, texts
+from replyloom.llm.common import cut_lineage, kept, row_hashes, sliced, texts
 from replyloom.llm.token_units import LOWER_WORDS, SAFE_BLANK, Pieces, load_tokenizer, read_vocabulary
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def cut_places(buffer, starts, window_power: int = 5, mask_bits: int = 11, shortest: int = 512, longest: int = 16384):
+def cut_places(buffer, starts, window_power: int = 5, mask_bits: int = 12, shortest: int = 512, longest: int = 16384):
     """For each text of a buffer the ends of its chunks; ``starts`` has the texts' starts and the end of all.
 
     A place is cut where the hash of the 32 bytes before it has ``mask_bits`` zeros, moved on to the next
@@ -78,7 +78,7 @@ def buffer_of(column):
 
 
 def chunks_of(keyed: DataFrame) -> DataFrame:
-    """``key, place, start, length, chunk``: bytes and 128-bit digest of each chunk of each text."""
+    """``k1, k2, place, start, length, chunk``: bytes and 128-bit digest of each chunk of each text."""
 
     def run(batches):
         import pyarrow as pa
@@ -88,18 +88,22 @@ def chunks_of(keyed: DataFrame) -> DataFrame:
         for batch in sliced(batches, "text"):
             buffer, starts = buffer_of(batch["text"])
             content = buffer.tobytes()
-            columns: list[list] = [[], [], [], [], []]
-            for key, first, ends in zip(batch["key"].to_pylist(), starts.tolist(), cut_places(buffer, starts)):
+            columns: list[list] = [[], [], [], []]
+            cut = cut_places(buffer, starts)
+            for first, ends in zip(starts.tolist(), cut):
                 start = 0
                 for place, end in enumerate(ends):
-                    for column, value in zip(columns, (key, place, start, end - start, digest(content[first + start:first + end]))):
+                    for column, value in zip(columns, (place, start, end - start, digest(content[first + start:first + end]))):
                         column.append(value)
                     start = end
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["key", "place", "start", "length", "chunk"])
+            of_text = pa.array([i for i, ends in enumerate(cut) for _ in ends], pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch["k1"].take(of_text), batch["k2"].take(of_text), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                names=["k1", "k2", "place", "start", "length", "chunk"],
+            )
 
-    return keyed.select("key", "text").mapInArrow(run, "key string, place int, start long, length long, chunk binary")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place int, start long, length long, chunk binary")
 
 
 def core(chunk: str) -> tuple[str, list[str], str]:
@@ -177,13 +181,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_output: bool = True)
     repeated rows are kept as they are.
     """
     content = read_vocabulary(vocabulary)
-    keyed = texts(docs).withColumn("key", row_key())
+    keyed = row_hashes(texts(docs))
     chunks = cut_lineage(chunks_of(keyed))
     shared = (
-        chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place", "start", "length")).alias("first"))
+        chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "start", "length")).alias("first"))
         .filter("n > 1")
     )
-    owned = shared.groupBy(F.col("first.key").alias("owner")).agg(
+    owned = shared.groupBy(F.col("first.k1").alias("o1"), F.col("first.k2").alias("o2")).agg(
         F.collect_list(F.struct("first.start", "first.length", "chunk")).alias("pieces")
     )
 
@@ -202,12 +206,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_output: bool = True)
                                              names=["known", "ids"])
 
     encoded = (
-        keyed.join(owned.hint("shuffle_hash"), F.col("key") == F.col("owner"))
-        .select("doc_id", "text", "key", "pieces").mapInArrow(encode_chunks, "known binary, ids binary")
+        keyed.join(owned.hint("shuffle_hash"), (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
+        .select("doc_id", "text", "k1", "k2", "pieces").mapInArrow(encode_chunks, "known binary, ids binary")
     )
     used = (
         chunks.join(encoded, F.col("chunk") == F.col("known"))
-        .groupBy(F.col("key").alias("user")).agg(F.collect_set(F.struct("start", "length", "ids")).alias("cores"))
+        .groupBy(F.col("k1").alias("u1"), F.col("k2").alias("u2")).agg(F.collect_set(F.struct("start", "length", "ids")).alias("cores"))
     )
 
     def assemble(batches):
@@ -252,6 +256,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_output: bool = True)
                                              names=[f.split()[0] for f in (ENCODED if keep_output else DIGESTS).split(", ")])
 
     return (
-        keyed.join(used.hint("shuffle_hash"), F.col("key") == F.col("user"), "left")
-        .select("doc_id", "text", "key", "cores").mapInArrow(assemble, ENCODED if keep_output else DIGESTS)
+        keyed.join(used.hint("shuffle_hash"), (F.col("k1") == F.col("u1")) & (F.col("k2") == F.col("u2")), "left")
+        .select("doc_id", "text", "k1", "k2", "cores").mapInArrow(assemble, ENCODED if keep_output else DIGESTS)
     )

@@ -41,11 +41,10 @@ def worker_cache(name: str) -> dict:
 
 
 def kept(name: str, key, make: Callable):
-    """What ``make`` gives, made once per Python worker; the last few keys stay."""
+    """What ``make`` gives, made once per Python worker; of each name the last key stays."""
     cache = worker_cache(name)
     if key not in cache:
-        while len(cache) >= 4:
-            cache.pop(next(iter(cache)))
+        cache.clear()
         cache[key] = make()
     return cache[key]
 
@@ -103,6 +102,12 @@ def with_text_struct(
     return df.mapInArrow(run, schema)
 
 
+def row_hashes(df: DataFrame) -> DataFrame:
+    """``df`` (``doc_id, text``) with two hashes of both, ``k1`` and ``k2``: equal for repeated rows only."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return df.withColumns({"k1": F.xxhash64(name, "text"), "k2": F.xxhash64(F.lit(1), "text", name)})
+
+
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """Id and digest of the text as one string: equal for repeated rows only, and never null."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
