@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 from replyloom.llm.common import kept
 
 #: Pieces and words remembered per worker (about 200 bytes each), and the longest of them.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 LONGEST = 80
 
 SAFE_BLANK = re.compile(r"(?<=\S)(?= \S)")

@@ -117,7 +117,7 @@ def feature_arrays(values: list[str], lexicon: dict[str, float]) -> list:
     second = {w for words in SECOND_PERSON.values() for w in words}
     memory = kept("toxic words", tuple(lexicon.items()), lambda: {"seen": set(), "weights": {}})
     seen, weights = memory["seen"], memory["weights"]
-    if len(seen) > 500_000:
+    if len(seen) > 200_000:
         seen.clear()
 
     def look_up(words):
