@@ -141,6 +141,7 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     node_of_pair = np.repeat(np.arange(len(nodes)), sizes)
     followers = pairs & ids
     p2 = (pair_counts - discount) / totals[node_of_pair] + node_back[node_of_pair] * 10 ** unigram_log10[followers]
+    del inverse
     # Contexts of each w2.
     contexts, ctx_starts, ctx_of_gram = np.unique(grams >> np.uint64(20), return_index=True, return_inverse=True)
     ctx_sizes = np.diff(np.append(ctx_starts, len(grams)))
@@ -152,6 +153,7 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     # Each range of relative places follows the one before, which makes the level monotone.
     bases = np.concatenate(([0], np.cumsum(sizes[ctx_node])))
     relative = pair_of_gram - starts[ctx_node[ctx_of_gram]] + bases[ctx_of_gram]
+    del w1, w2, w3, pair_of_gram, ctx_of_gram
     node_at = np.arange(len(nodes), dtype=np.uint64)
     levels = [
         EliasFano.encode(nodes, IDS),

@@ -2,14 +2,13 @@
 
 The model interpolates trigrams, bigrams and unigrams by absolute discounting. It lies in Elias-Fano tries
 (:mod:`elias_fano`), one per shard. A trigram belongs to the shard of its middle word, where both its context and
-its suffix live, so a lookup never leaves a shard. One shuffle brings all trigrams of all texts to their shards, packed;
-each shard builds its trie from those of the learned texts, maps it from a file, and scores all that it
-holds. What leaves is one sum per text and shard.
+its suffix live, so a lookup never leaves a shard. One shuffle brings all trigrams of all texts to their shards, packed. A shard goes through its middle words in
+groups of bounded size: it builds a group's trie from the learned texts, maps it from a file, and scores all
+trigrams of the group. What leaves is one sum per text and shard.
 
 Frequent words have ids (at most ``dictionary`` of them, sent to the tasks); the others form one class in
 n-grams, times the word's share of the class. Counts of the rare words are looked up exactly, in the shard their
-hash names. Middle words with more than ``shard_grams`` trigrams are spread over several shards by their left
-neighbour; their followers, which need counts over all of these, are counted before.
+hash names. Middle words with more than ``unit_grams`` trigrams are split into units by their left neighbour; their followers, which need counts over all units, are counted before.
 """
 
 from __future__ import annotations
@@ -23,13 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import cut_lineage, fold, kept, sliced, texts
+from replyloom.llm.common import cut_lineage, fold, kept, sliced, texts, worker_cache
 from replyloom.llm.elias_fano import Trie, build_trie
 
 START, END, RARE, FIRST = 0, 1, 2, 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 PART = "shard int, kind int, payload binary, pair long, n long"
-SUMS = "k1 long, k2 int, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base double, score double"
+SUMS = "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 WORDS, FOLLOWERS, GRAMS, RARES, HEADS = range(5)
 
 
@@ -55,16 +54,11 @@ class Frequencies:
 
 
 def learned_texts(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
-    """``doc_id, text, held_out, k1, k2``; two hashes of id and text tell rows apart, and repeated rows together."""
-    rows = texts(docs)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return rows.select(
-        "doc_id", "text", F.coalesce(fold("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"),
-        F.xxhash64(name, "text").alias("k1"), F.hash(F.lit(7), name, "text").alias("k2"),
-    )
+    """``doc_id, text, held_out``."""
+    return texts(docs).withColumn("held_out", F.coalesce(fold("doc_id", folds) == held_fold, F.lit(False)))
 
 
-def word_counts(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
     """``word, n``: how often each word occurs in the learned texts."""
 
     def run(batches):
@@ -159,6 +153,11 @@ def trigrams(stream, lengths):
     return stream[at - 2], stream[at - 1], stream[at], text
 
 
+def unit_of(w1, w2, starts):
+    """The unit that trigrams belong to: their middle word, and for frequent ones a share of its left neighbours."""
+    return starts[w2] + (w1 * 2654435761 % (1 << 32)) % (starts[w2 + 1] - starts[w2])
+
+
 def planes(ids) -> bytes:
     """Ids below 2 ** 24, byte by byte, which packs well."""
     import numpy as np
@@ -175,15 +174,16 @@ def from_planes(data, n: int, at: int):
 
 
 def score_texts(
-    docs: DataFrame, folds: int = 7, held_fold: int = 2, dictionary: int = 300_000, shard_grams: int = 2_500_000,
-    discount: float = 0.75,
+    docs: DataFrame, folds: int = 7, held_fold: int = 2, dictionary: int = 250_000, shard_grams: int = 1_500_000,
+    unit_grams: int = 500_000, discount: float = 0.75, batch_bytes: int = 3 << 20,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: a row for each row of ``docs``.
 
     Learned are the texts whose crc32 of the id as text, modulo ``folds``, is not ``held_fold``; those without id
     too. Tokens are the words of a text, A-Z in lower case, and one end; so null and empty texts have one
     token. ``base_score`` sums log10((c + 1) / (N + V + 1)), ``score`` the log10 probabilities of the model. Without any
-    learned text both are 0. A repeated row counts, and is scored, as often as it occurs.
+    learned text both are 0. A repeated row counts, and is scored, as often as it occurs. Sums find their text by input
+    split and place in it, so ``docs`` should be a table or a checkpoint, which a task that runs again reads in the same order.
     """
     spark = docs.sparkSession
     rows = learned_texts(docs, folds, held_fold)
@@ -198,20 +198,25 @@ def score_texts(
     rare_tokens = known.tokens - known.learned - sum(known.counts)
     sizes = [share * x for x in (known.learned, known.learned, rare_tokens, *known.counts)]
     shards = max(1, math.ceil(share * known.tokens / shard_grams))
-    begins, unit_shards = shards_of_units(sizes, shards, shard_grams)
+    begins, unit_shards = shards_of_units(sizes, shards, unit_grams)
     hot = [i for i in range(len(sizes)) if begins[i + 1] - begins[i] > 1]
     sent = spark.sparkContext.broadcast((b"\n".join(known.words), begins, unit_shards, unigrams))
     model_key = uuid.uuid4().hex
 
-    def loaded():
+    def loaded(words: bool = True):
+        """Ids by word, begins and shards of units, and unigrams; or begins and unigrams alone."""
         import numpy as np
 
-        def make():
-            words, starts, of_units, log10 = sent.value
-            ids = {w: i + FIRST for i, w in enumerate(words.split(b"\n"))} if words else {}
-            return ids, np.array(starts, np.int64), np.array(of_units, np.int32), np.asarray(log10)
+        def arrays():
+            _, starts, of_units, log10 = sent.value
+            return np.array(starts, np.int64), np.array(of_units, np.int32), np.asarray(log10)
 
-        return kept("n-gram words", model_key, make)
+        def ids():
+            listed = sent.value[0]
+            return {w: i + FIRST for i, w in enumerate(listed.split(b"\n"))} if listed else {}
+
+        starts, of_units, log10 = kept("n-gram units", model_key, arrays)
+        return (kept("n-gram words", model_key, ids), starts, of_units, log10) if words else (starts, log10)
 
     def followers(batches):
         """How often each word follows each hot one in a batch of learned texts."""
@@ -221,7 +226,7 @@ def score_texts(
         ids, *_ = loaded()
         is_hot = np.zeros(len(ids) + FIRST, bool)
         is_hot[hot] = True
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", batch_bytes):
             stream, lengths, *_ = token_stream(batch["text"].to_pylist(), ids)
             _, w2, w3, _ = trigrams(stream, lengths)
             at = is_hot[w2]
@@ -235,14 +240,13 @@ def score_texts(
         import numpy as np
         import pyarrow as pa
         import zstandard
+        from pyspark import TaskContext
 
         ids, starts, of_units, log10 = loaded()
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        turn = 0
-        for batch in sliced(batches, "text"):
+        name = TaskContext.get().partitionId() << 32
+        for batch in sliced(batches, "text", batch_bytes):
             values = batch["text"].to_pylist()
-            keys = np.zeros(len(values), dtype=[("k1", "<i8"), ("k2", "<i4")])
-            keys["k1"], keys["k2"] = batch["k1"].to_numpy(), batch["k2"].to_numpy()
             held = batch["held_out"].to_numpy(zero_copy_only=False)
             stream, lengths, words, of_words, text_of_word = token_stream(values, ids)
             w1, w2, w3, text = trigrams(stream, lengths)
@@ -252,18 +256,16 @@ def score_texts(
             firsts = np.cumsum(lengths + 1) - lengths - 1
             known_words = np.add.reduceat((w3 != RARE).astype(np.int64), firsts) * bool(known.learned)
             head = pa.RecordBatch.from_arrays(
-                [pa.array(keys["k1"]), pa.array(keys["k2"]), batch["doc_id"], batch["held_out"], pa.array(np.ones(len(values), np.int64)),
+                [pa.array(np.full(len(values), name)), pa.array(np.arange(len(values), dtype=np.int32)), batch["doc_id"], batch["held_out"],
                  pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(len(values)))],
                 names=[f.split()[0] for f in SUMS.split(", ")],
             )
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as writer:
                 writer.write_batch(head)
-            out.append((turn % shards, HEADS, sink.getvalue().to_pybytes()))
-            turn += 1
+            out.append((name % shards, HEADS, sink.getvalue().to_pybytes()))
             # Trigrams, by shard; learned and held-out texts stay apart by a mark per text.
-            pieces = starts[w2 + 1] - starts[w2]
-            shard = of_units[starts[w2] + (w1 * 2654435761 % (1 << 32)) % pieces]
+            shard = of_units[unit_of(w1, w2, starts)]
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in range(shards):
@@ -272,8 +274,8 @@ def score_texts(
                     continue
                 here, counts = np.unique(text[mine], return_counts=True)
                 out.append((s, GRAMS, squeeze(
-                    struct.pack("<QQ", len(here), len(mine)) + keys[here].tobytes() + held[here].tobytes()
-                    + counts.astype("<u4").tobytes() + planes(w1[mine]) + planes(w2[mine]) + planes(w3[mine])
+                    struct.pack("<QQQ", name, len(here), len(mine)) + held[here].tobytes() + planes(here) + planes(counts)
+                    + planes(w1[mine]) + planes(w2[mine]) + planes(w3[mine])
                 )))
             # Rare words, by the shard of their hash.
             by_shard: dict[int, list] = {}
@@ -282,9 +284,10 @@ def score_texts(
             for s, places in by_shard.items():
                 here, which = np.unique(text_of_word[places], return_inverse=True)
                 out.append((s, RARES, squeeze(
-                    struct.pack("<QQ", len(here), len(places)) + keys[here].tobytes() + which.astype("<u4").tobytes()
+                    struct.pack("<QQQ", name, len(here), len(places)) + planes(here) + planes(which)
                     + b"\n".join([words[p] for p in places])
                 )))
+            name += 1
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()),
@@ -299,68 +302,91 @@ def score_texts(
         import pyarrow as pa
         import zstandard
 
-        *_, log10 = loaded()
+        # What dealing out needed is not needed here.
+        worker_cache("n-gram words").clear()
+        starts, log10 = loaded(words=False)
         expand = zstandard.ZstdDecompressor().decompress
         names = [f.split()[0] for f in SUMS.split(", ")]
-        key = np.dtype([("k1", "<i8"), ("k2", "<i4")])
 
-        def sums(keys, **columns):
-            n = len(keys)
+        def sums(batch, place, **columns):
+            n = len(place)
             zero, zeros = np.zeros(n, np.int64), np.zeros(n)
-            of = {"rows": zero, "n_tokens": zero, "n_known": zero, "base": zeros, "score": zeros} | columns
+            of = {"n_tokens": zero, "n_known": zero, "base": zeros, "score": zeros} | columns
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(keys["k1"])), pa.array(np.ascontiguousarray(keys["k2"])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
+                [pa.array(batch), pa.array(place.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
                  *[pa.array(of[c]) for c in names[4:]]], names=names,
             )
 
         def grams_of(payload):
             data = expand(payload)
-            texts_here, n = struct.unpack_from("<QQ", data)
-            at = 16
-            keys = np.frombuffer(data, key, texts_here, at)
-            at += key.itemsize * texts_here
-            held = np.frombuffer(data, np.bool_, texts_here, at)
-            at += texts_here
-            counts = np.frombuffer(data, "<u4", texts_here, at)
-            at += 4 * texts_here
-            return keys, held, counts, *[from_planes(data, n, at + i * 3 * n) for i in range(3)]
+            batch, texts_here, n = struct.unpack_from("<QQQ", data)
+            held = np.frombuffer(data, np.bool_, texts_here, 24)
+            at = 24 + texts_here
+            place, counts = (from_planes(data, texts_here, at + i * 3 * texts_here) for i in range(2))
+            at += 6 * texts_here
+            return batch, place, held, counts, *[from_planes(data, n, at + i * 3 * n) for i in range(3)]
 
         def of_shard(words, counts, pairs, pair_counts, grams, rares):
             if grams:
-                learned = []
+                heads = [struct.unpack_from("<QQQ", expand(payload)) for payload in grams]
+                total, all_texts = sum(h[2] for h in heads), sum(h[1] for h in heads)
+                w1, w2, w3, text, units = (np.empty(total, np.int32) for _ in range(5))
+                learned = np.empty(total, np.bool_)
+                batch_of, place_of = np.empty(all_texts, np.int64), np.empty(all_texts, np.int32)
+                at = done = 0
                 for payload in grams:
-                    _, held, sizes, w1, w2, w3 = grams_of(payload)
-                    use = np.repeat(~held, sizes)
-                    learned.append(((w2[use] << 40) | (w1[use] << 20) | w3[use]).astype(np.uint64))
-                found, n = np.unique(np.concatenate(learned), return_counts=True)
-                del learned
+                    batch, place, held, sizes, *ids_here = grams_of(payload)
+                    end, last = at + len(ids_here[0]), done + len(place)
+                    for column, values in zip((w1, w2, w3), ids_here):
+                        column[at:end] = values
+                    units[at:end] = unit_of(ids_here[0], ids_here[1], starts)
+                    batch_of[done:last], place_of[done:last] = batch, place
+                    text[at:end] = np.repeat(np.arange(done, last, dtype=np.int32), sizes)
+                    learned[at:end] = np.repeat(~held, sizes)
+                    at, done = end, last
                 order = np.argsort(pairs)
                 pairs, pair_counts = pairs[order], pair_counts[order]
-                heads, begin = np.unique(pairs >> 20, return_index=True)
-                ends = np.append(begin[1:], len(pairs))
-                split = {int(h): (pairs[a:b] & ((1 << 20) - 1), pair_counts[a:b]) for h, a, b in zip(heads, begin, ends)}
-                with tempfile.TemporaryFile() as file:
-                    file.write(build_trie(found, n, split, log10, discount))
-                    file.flush()
-                    del found, n
-                    trie = Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-                    for payload in grams:
-                        keys, _, sizes, w1, w2, w3 = grams_of(payload)
-                        starts = np.cumsum(sizes, dtype=np.int64) - sizes
-                        yield sums(keys, score=np.add.reduceat(trie.log10(w1, w2, w3, log10), starts))
+                order = np.argsort(units, kind="stable")
+                units = units[order]
+                edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total)
+                del units
+                order = order.astype(np.int32)
+                scores = np.zeros(all_texts)
+                begin = 0
+                for place, end in enumerate(edges):
+                    if place + 1 < len(edges) and edges[place + 1] - begin <= unit_grams:
+                        continue
+                    mine = order[begin:end]
+                    begin = end
+                    a, b, c = (x[mine].astype(np.int64) for x in (w1, w2, w3))
+                    use = learned[mine]
+                    found, n = np.unique(((b[use] << 40) | (a[use] << 20) | c[use]).astype(np.uint64), return_counts=True)
+                    split = {}
+                    for w in np.unique(b).tolist() if len(pairs) else ():
+                        low, high = np.searchsorted(pairs, (w << 20, (w + 1) << 20))
+                        if high > low:
+                            split[w] = (pairs[low:high] & ((1 << 20) - 1), pair_counts[low:high])
+                    with tempfile.TemporaryFile() as file:
+                        file.write(build_trie(found, n, split, log10, discount))
+                        file.flush()
+                        del found, n
+                        trie = Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+                        scores += np.bincount(text[mine], weights=trie.log10(a, b, c, log10), minlength=all_texts)
+                        del trie
+                yield sums(batch_of, place_of, score=scores)
             if rares:
                 count_of = dict(zip(words, counts))
                 for payload in rares:
                     data = expand(payload)
-                    texts_here, n = struct.unpack_from("<QQ", data)
-                    keys = np.frombuffer(data, key, texts_here, 16)
-                    at = 16 + key.itemsize * texts_here
-                    which = np.frombuffer(data, "<u4", n, at)
-                    found = np.array([count_of.get(w, 0) for w in data[at + 4 * n:].split(b"\n")], dtype=np.float64)
+                    batch, texts_here, n = struct.unpack_from("<QQQ", data)
+                    place = from_planes(data, texts_here, 24)
+                    which = from_planes(data, n, 24 + 3 * texts_here)
+                    listed = data[24 + 3 * texts_here + 3 * n:].split(b"\n")
+                    found = np.array([count_of.get(w, 0) for w in listed], dtype=np.float64)
                     add = lambda x: np.bincount(which, weights=x, minlength=texts_here)
                     yield sums(
-                        keys, n_known=add(found > 0).astype(np.int64), base=add(np.log10(found + 1) - log_all),
-                        score=add(np.log10((found + 1) / rare_mass)),
+                        np.full(texts_here, batch, np.int64), place, n_known=add(found > 0).astype(np.int64),
+                        base=add(np.log10(found + 1) - log_all), score=add(np.log10((found + 1) / rare_mass)),
                     )
 
         shard, state = None, None
@@ -405,13 +431,11 @@ def score_texts(
         )
         parts = parts.unionByName(pairs)
     together = parts.repartition("shard").sortWithinPartitions("shard", "kind")
-    total = together.mapInArrow(scored, SUMS).groupBy("k1", "k2").agg(
+    total = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")],
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")],
     )
-    each = lambda c: F.col(c) / F.col("rows")
-    repeated = total.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return repeated.select(
-        "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
-        F.lit(known.tokens).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"),
+    return total.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score",
     )

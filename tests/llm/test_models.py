@@ -183,7 +183,7 @@ def test_scores_equal_a_plain_model(spark, odd, small):
         texts = texts_of(docs)
         plain = Plain([tokens_of(t) for i, t in texts if not is_held(i)])
         expected = sorted(expected_scores(texts, plain), key=key)
-        for settings_ in ({}, {"shard_grams": 5000}):
+        for settings_ in ({}, {"shard_grams": 5000, "unit_grams": 1000}, {"unit_grams": 500, "batch_bytes": 4000}):
             rows = sorted((tuple(r) for r in score_texts(docs, **settings_).collect()), key=key)
             assert len(rows) == len(expected)
             for ours, theirs in zip(rows, expected):
@@ -196,7 +196,7 @@ def test_rare_words_are_a_class(spark, small):
     texts = texts_of(small)
     plain = Plain([tokens_of(t) for i, t in texts if not is_held(i)])
     expected = {r[0]: r for r in expected_scores(texts, plain)}
-    rows = score_texts(small, dictionary=300, shard_grams=4000).collect()
+    rows = score_texts(small, dictionary=300, shard_grams=4000, unit_grams=2000).collect()
     for r in rows:
         assert tuple(r)[:5] == expected[r["doc_id"]][:5] and r["base_score"] == pytest.approx(expected[r["doc_id"]][5], rel=1e-9)
     held = [r for r in rows if r["held_out"]]
