@@ -110,12 +110,13 @@ class EliasFano:
         return found
 
 
-def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75) -> bytes:
+def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75, hot_contexts=()) -> bytes:
     """Trie of the trigrams of a shard.
 
     ``grams`` are sorted different numbers (w2, w1, w3), 20 bits each, ``counts`` how often they occur.
-    ``hot_bigrams`` maps a w2 to its followers (sorted) and their counts over all shards; those of other w2 are
-    complete here. Probabilities are interpolated by absolute discounting with the next shorter context.
+    ``hot_bigrams`` maps a w2 to followers (sorted, those of its trigrams here at least), their counts over all shards, and
+    the sum and number of all its followers; those of other w2 are complete here. ``hot_contexts`` maps a (w2, w1) of 40
+    bits to the sum and number of all its trigrams, of which only some are here. Probabilities are interpolated by absolute discounting with the next shorter context.
 
     Below each w2 lie its followers w3 and its contexts w1. A trigram is stored as the place of its w3 among the
     followers of w2, which is a much smaller number than a word id.
@@ -129,16 +130,20 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     pair_counts = np.bincount(inverse, weights=counts, minlength=len(pairs)).astype(np.int64)
     if hot_bigrams:
         local = ~np.isin(pairs >> np.uint64(20), np.fromiter(hot_bigrams, np.uint64, len(hot_bigrams)))
-        parts = [pairs[local]] + [(np.uint64(w) << np.uint64(20)) | f.astype(np.uint64) for w, (f, _) in hot_bigrams.items()]
-        sizes = [pair_counts[local]] + [c for _, c in hot_bigrams.values()]
+        parts = [pairs[local]] + [(np.uint64(w) << np.uint64(20)) | f.astype(np.uint64) for w, (f, *_) in hot_bigrams.items()]
+        sizes = [pair_counts[local]] + [c for _, c, *_ in hot_bigrams.values()]
         pairs, pair_counts = np.concatenate(parts), np.concatenate(sizes)
         order = np.argsort(pairs)
         pairs, pair_counts = pairs[order], pair_counts[order]
     nodes, starts = np.unique(pairs >> np.uint64(20), return_index=True)
     sizes = np.diff(np.append(starts, len(pairs)))
     totals = np.add.reduceat(pair_counts, starts) if len(nodes) else pair_counts[:0]
-    node_back = discount * sizes / totals
     node_of_pair = np.repeat(np.arange(len(nodes)), sizes)
+    types = sizes.copy()
+    for w, (_, _, total, size) in hot_bigrams.items():
+        at = np.searchsorted(nodes, np.uint64(w))
+        totals[at], types[at] = total, size
+    node_back = discount * types / totals
     followers = pairs & ids
     p2 = (pair_counts - discount) / totals[node_of_pair] + node_back[node_of_pair] * 10 ** unigram_log10[followers]
     del inverse
@@ -146,6 +151,9 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     contexts, ctx_starts, ctx_of_gram = np.unique(grams >> np.uint64(20), return_index=True, return_inverse=True)
     ctx_sizes = np.diff(np.append(ctx_starts, len(grams)))
     ctx_totals = np.add.reduceat(counts, ctx_starts) if len(contexts) else counts[:0]
+    for context in hot_contexts:
+        at = np.searchsorted(contexts, np.uint64(context))
+        ctx_totals[at], ctx_sizes[at] = hot_contexts[context]
     ctx_back = discount * ctx_sizes / ctx_totals
     ctx_node = np.searchsorted(nodes, contexts >> np.uint64(20))
     pair_of_gram = np.searchsorted(pairs, (w2 << np.uint64(20)) | w3)
@@ -186,8 +194,8 @@ class Trie:
         self.starts = self.levels[1].values().astype(np.int64)
         self.bases = self.levels[4].values().astype(np.int64)
 
-    def log10(self, w1, w2, w3, unigram_log10):
-        """log10 of the probability of each w3 after (w1, w2)."""
+    def log10(self, w1, w2, w3, unigram_log10, weights: bool = False):
+        """log10 of the probability of each w3 after (w1, w2); with ``weights`` also of the share of w3's unigram in it."""
         import numpy as np
 
         nodes, _, pairs, contexts, _, grams = self.levels
@@ -195,6 +203,7 @@ class Trie:
         out = unigram_log10[w3].astype(np.float64)
         node = nodes.find(w2)
         known = np.flatnonzero(node >= 0)
+        weight = np.zeros(len(out))
         at = node[known].astype(np.uint64) << np.uint64(20)
         pair = pairs.find(at | w3[known].astype(np.uint64))
         seen = pair >= 0
@@ -202,6 +211,9 @@ class Trie:
         out[known[seen]] = p2[pair[seen]] / -STEPS
         context = contexts.find(at | w1[known].astype(np.uint64))
         inside = context >= 0
+        if weights:
+            weight[known] -= node_back[node[known]] / STEPS
+            weight[known[inside]] -= ctx_back[context[inside]] / STEPS
         # The place of w3 among the followers of w2, searched in the range of (w1, w2).
         both = np.flatnonzero(seen & inside)
         gram = grams.find(pair[both] - self.starts[node[known[both]]] + self.bases[context[both]])
@@ -210,4 +222,4 @@ class Trie:
         out[known[both[gram >= 0]]] = p3[gram[gram >= 0]] / -STEPS
         back = np.flatnonzero(inside & ~exact)
         out[known[back]] -= ctx_back[context[back]] / STEPS
-        return out
+        return (out, weight) if weights else out

@@ -6,9 +6,13 @@ its suffix live, so a lookup never leaves a shard. One shuffle brings all trigra
 groups of bounded size: it builds a group's trie from the learned texts, maps it from a file, and scores all
 trigrams of the group. What leaves is one sum per text and shard.
 
-Frequent words have ids (at most ``dictionary`` of them, sent to the tasks); the others form one class in
-n-grams, times the word's share of the class. Counts of the rare words are looked up exactly, in the shard their
-hash names. Middle words with more than ``unit_grams`` trigrams are split into units by their left neighbour; their followers, which need counts over all units, are counted before.
+Every word of up to 64 bytes has n-grams of its own. Frequent words have short ids (``dictionary`` of them, and all with
+more than a unit of trigrams, sent to the tasks); the others are named by a 64-bit hash, and numbered again within each
+unit's trie. As a shard doesn't know how often such a word occurs, it gives what is left of the probability as a + b p,
+and p comes from a join to the counts of all words. Longer words form one class in n-grams, times the word's share of the class.
+
+Middle words with more than ``unit_grams`` trigrams are split into units by their left neighbour, and pairs of neighbours
+with more than that by text. What follows them, which needs counts over all units, is counted before.
 """
 
 from __future__ import annotations
@@ -17,39 +21,47 @@ import heapq
 import math
 import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import cut_lineage, fold, kept, sliced, texts, worker_cache
-from replyloom.llm.elias_fano import Trie, build_trie
+from replyloom.llm.elias_fano import IDS, Trie, build_trie
 
 START, END, RARE, FIRST = 0, 1, 2, 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-PART = "shard int, kind int, payload binary, pair long, n long"
-SUMS = "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-WORDS, FOLLOWERS, GRAMS, RARES, HEADS = range(5)
+HASHED = -(1 << 63)
+#: log10 of the share of a hashed word that its shard doesn't know.
+NOTHING = -300.0
+PART = "shard int, kind int, payload binary, a long, b long, w long, n long"
+SUMS = (
+    "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+    "late array<struct<word:long,a:double,b:double>>"
+)
+SUM_NAMES = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "late"]
+FOLLOWERS, CONTEXTS, GRAMS, HEADS = range(4)
 
 
 @dataclass
 class Frequencies:
-    """Counts over the learned texts. ``words`` are the frequent ones, most frequent first."""
+    """Counts over the learned texts. ``words`` are the frequent ones, most frequent first; the class is that of words over 64 bytes."""
 
     tokens: int
     types: int
     learned: int
     words: list[bytes]
     counts: list[int]
-    least: int
+    class_tokens: int
+    class_types: int
+    complete: bool
 
     def unigrams(self):
         """log10 probability by id; the start of a text is never asked for."""
         import numpy as np
 
-        rare = self.tokens - self.learned - sum(self.counts)
-        rare_types = self.types - bool(self.learned) - len(self.words)
-        counts = np.array([0, self.learned, rare + rare_types, *self.counts], dtype=np.float64)
+        counts = np.array([0, self.learned, self.class_tokens + self.class_types, *self.counts], dtype=np.float64)
         return np.log10((counts + 1) / (self.tokens + self.types + 1))
 
 
@@ -85,21 +97,26 @@ def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequencies(rows: DataFrame, vocabulary: DataFrame, dictionary: int) -> Frequencies:
-    """Totals, and the words frequent enough for the dictionary, which never holds more than ``dictionary``."""
+def frequencies(rows: DataFrame, vocabulary: DataFrame, dictionary: int, hot: float) -> Frequencies:
+    """Totals, and the words frequent enough for the dictionary: ``dictionary`` at most, and all that occur more than ``hot`` times."""
     learned = rows.select("held_out").filter(~F.col("held_out")).count()
-    total = vocabulary.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    short = vocabulary.filter(F.length("word") <= 64)
+    is_short = F.length("word") <= 64
+    total = vocabulary.agg(
+        F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
+        F.count(F.when(is_short, 1)).alias("short_types"), F.coalesce(F.sum(F.when(is_short, F.col("n"))), F.lit(0)).alias("short_tokens"),
+    ).first()
+    short = vocabulary.filter(is_short)
     steps = F.least("n", F.lit(1_000_000))
     least, room = 1_000_001, dictionary
     for row in sorted(short.groupBy(steps.alias("n")).count().collect(), key=lambda r: -r["n"]):
         room -= row["count"]
-        if room < 0:
+        if room < 0 and row["n"] <= hot:
             break
         least = row["n"]
     frequent = sorted(((r["n"], bytes(r["word"])) for r in short.filter(F.col("n") >= least).toLocalIterator()), key=lambda x: (-x[0], x[1]))
     return Frequencies(
-        total["tokens"] + learned, total["types"] + bool(learned), learned, [w for _, w in frequent], [n for n, _ in frequent], least
+        total["tokens"] + learned, total["types"] + bool(learned), learned, [w for _, w in frequent], [n for n, _ in frequent],
+        total["tokens"] - total["short_tokens"], total["types"] - total["short_types"], len(frequent) == total["short_types"],
     )
 
 
@@ -123,12 +140,16 @@ def shards_of_units(sizes: list[float], shards: int, most: float) -> tuple[list[
     return begins, chosen
 
 
-def token_stream(values: list[str], ids: dict):
-    """Ids of the words of texts in a row, each text with two starts before and an end after; word counts;
-    the words; places of the rare ones in the words."""
+def token_stream(values: list[str], ids: dict, complete: bool):
+    """Codes of the words of texts in a row, each text with two starts before and an end after; words of each text; keys.
+
+    A word with an id has that; others have the number of ids and their place in the keys, two columns: the word's hash, and
+    its code in n-grams, which is the hash or, for words of the class, that of the class.
+    """
     import itertools
 
     import numpy as np
+    import xxhash
 
     words: list = []
     lengths = np.empty(len(values), np.int64)
@@ -137,11 +158,28 @@ def token_stream(values: list[str], ids: dict):
         lengths[i] = len(found)
         words += found
     of_words = np.fromiter(map(ids.get, words, itertools.repeat(RARE)), np.int64, len(words))
+    rare = np.flatnonzero(of_words == RARE)
+    listed = [words[i] for i in rare.tolist()]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, 42) for w in listed), np.uint64, len(listed)).view(np.int64) | HASHED
+    hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    in_class = np.array([complete or len(listed[i]) > 64 for i in first.tolist()], bool)
+    of_words[rare] = which + len(ids) + FIRST
     stream = np.full(len(words) + 3 * len(values), START, np.int64)
     text_of_word = np.repeat(np.arange(len(values)), lengths)
     stream[np.arange(len(words)) + 3 * text_of_word + 2] = of_words
     stream[np.cumsum(lengths) + 3 * np.arange(len(values)) + 2] = END
-    return stream, lengths, words, of_words, text_of_word
+    return stream, lengths, np.stack([hashes, np.where(in_class, RARE, hashes)])
+
+
+def codes(local, keys, n_ids: int):
+    """Codes that hold in all batches: ids, and hashes, which are negative."""
+    import numpy as np
+
+    out = local.astype(np.int64)
+    at = np.flatnonzero(out >= n_ids)
+    out[at] = keys[1][out[at] - n_ids]
+    return out
 
 
 def trigrams(stream, lengths):
@@ -153,23 +191,35 @@ def trigrams(stream, lengths):
     return stream[at - 2], stream[at - 1], stream[at], text
 
 
-def unit_of(w1, w2, starts):
-    """The unit that trigrams belong to: their middle word, and for frequent ones a share of its left neighbours."""
-    return starts[w2] + (w1 * 2654435761 % (1 << 32)) % (starts[w2 + 1] - starts[w2])
-
+def unit_of(w1, w2, batch: int, starts, pairs, pair_starts):
+    """The unit that trigrams belong to: their middle word, for frequent ones a share of its left neighbours, for
+    frequent ``pairs`` of both a share of the batches. Hashed words follow, in groups."""
+    import numpy as np
 
-def planes(ids) -> bytes:
-    """Ids below 2 ** 24, byte by byte, which packs well."""
+    id2 = np.maximum(w2, 0)
+    out = starts[id2] + (w1 * 2654435761 % (1 << 32)) % (starts[id2 + 1] - starts[id2])
+    hashed = w2 < 0
+    out[hashed] = pair_starts[-1] + ((w2[hashed] >> 20) & 0xFFFF)
+    if len(pairs):
+        both = np.where((w1 >= 0) & ~hashed, (w2 << 24) | w1, -1)
+        at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
+        hot = np.flatnonzero(pairs[at] == both)
+        at = at[hot]
+        out[hot] = pair_starts[at] + zlib.crc32(struct.pack("<q", batch)) % (pair_starts[at + 1] - pair_starts[at])
+    return out
+
+
+def planes(numbers) -> bytes:
+    """32-bit numbers, byte by byte, which packs well."""
     import numpy as np
 
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def from_planes(data, n: int, at: int):
     import numpy as np
 
-    out = np.zeros((n, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8, 3 * n, at).reshape(3, n).T
+    out = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T)
     return out.view("<u4").ravel().astype(np.int64)
 
 
@@ -188,84 +238,107 @@ def score_texts(
     spark = docs.sparkSession
     rows = learned_texts(docs, folds, held_fold)
     vocabulary = cut_lineage(word_counts(rows))
-    known = frequencies(rows, vocabulary, dictionary)
+    n_rows = rows.count()
+    n_learned = rows.filter(~F.col("held_out")).count()
+    share = max(1, n_rows) / max(1, n_learned)
+    known = frequencies(rows, vocabulary, dictionary, unit_grams / share)
     unigrams = known.unigrams()
-    log_all = math.log10(known.tokens + known.types + 1)
-    rare_mass = known.tokens - known.learned - sum(known.counts) + known.types - bool(known.learned) - len(known.words) + 1
+    n_ids = len(known.words) + FIRST
+    all_mass = known.tokens + known.types + 1
+    log_all = math.log10(all_mass)
+    class_mass = known.class_tokens + known.class_types + 1
 
-    # Sizes as contexts, over all texts: a start counts twice, and every text has an end.
-    share = rows.count() / max(1, known.learned)
-    rare_tokens = known.tokens - known.learned - sum(known.counts)
-    sizes = [share * x for x in (known.learned, known.learned, rare_tokens, *known.counts)]
+    # Sizes as contexts, over all texts: every text has a start that is a middle word, and an end.
+    sizes = [share * x for x in (known.learned, known.learned, known.class_tokens, *known.counts)]
     shards = max(1, math.ceil(share * known.tokens / shard_grams))
-    begins, unit_shards = shards_of_units(sizes, shards, unit_grams)
-    hot = [i for i in range(len(sizes)) if begins[i + 1] - begins[i] > 1]
-    sent = spark.sparkContext.broadcast((b"\n".join(known.words), begins, unit_shards, unigrams))
+    hot = [i for i, x in enumerate(sizes) if x > unit_grams]
+    sent_words = spark.sparkContext.broadcast(b"\n".join(known.words))
     model_key = uuid.uuid4().hex
 
-    def loaded(words: bool = True):
-        """Ids by word, begins and shards of units, and unigrams; or begins and unigrams alone."""
-        import numpy as np
-
-        def arrays():
-            _, starts, of_units, log10 = sent.value
-            return np.array(starts, np.int64), np.array(of_units, np.int32), np.asarray(log10)
-
+    def loaded_ids():
         def ids():
-            listed = sent.value[0]
+            listed = sent_words.value
             return {w: i + FIRST for i, w in enumerate(listed.split(b"\n"))} if listed else {}
 
-        starts, of_units, log10 = kept("n-gram units", model_key, arrays)
-        return (kept("n-gram words", model_key, ids), starts, of_units, log10) if words else (starts, log10)
+        return kept("n-gram words", model_key, ids)
 
     def followers(batches):
-        """How often each word follows each hot one in a batch of learned texts."""
+        """How often each word follows each hot one in a batch of learned texts, apart by the word before where that is hot too."""
         import numpy as np
         import pyarrow as pa
 
-        ids, *_ = loaded()
-        is_hot = np.zeros(len(ids) + FIRST, bool)
+        ids = loaded_ids()
+        is_hot = np.zeros(n_ids + 1, bool)
         is_hot[hot] = True
         for batch in sliced(batches, "text", batch_bytes):
-            stream, lengths, *_ = token_stream(batch["text"].to_pylist(), ids)
-            _, w2, w3, _ = trigrams(stream, lengths)
-            at = is_hot[w2]
-            pairs, n = np.unique((w2[at] << 20) | w3[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            stream, lengths, keys = token_stream(batch["text"].to_pylist(), ids, known.complete)
+            a, b, w = (codes(x, keys, n_ids) for x in trigrams(stream, lengths)[:3])
+            at = np.flatnonzero(is_hot[np.where(b >= 0, b, n_ids)])
+            a, b, w = a[at], b[at], w[at]
+            a = np.where(is_hot[np.where(a >= 0, a, n_ids)], a, -1)
+            order = np.lexsort((w, a, b))
+            a, b, w = a[order], b[order], w[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (w[1:] != w[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(a)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (a, b, w)] + [pa.array(n.astype(np.int64))], names=["a", "b", "w", "n"])
+
+    hot_pairs: list[tuple[int, int, int]] = []
+    if hot:
+        counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(followers, "a long, b long, w long, n long")
+        counted = cut_lineage(counted.groupBy("a", "b", "w").agg(F.sum("n").alias("n")))
+    begins, unit_shards = shards_of_units(sizes + [share * n for _, _, n in hot_pairs], shards, unit_grams)
+    sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, [(b << 24) | a for b, a, _ in hot_pairs]))
 
-    def dealt(batches):
-        """Packed trigrams and rare words for their shards, and the heads of texts."""
-        import zlib
+    def loaded():
+        """Begins and shards of units, unigrams, hot pairs and where their units begin."""
+        import numpy as np
+
+        def arrays():
+            starts, of_units, log10, pairs = sent.value
+            starts = np.array(starts, np.int64)
+            return starts, np.array(of_units, np.int32), np.asarray(log10), np.array(pairs, np.int64), starts[n_ids:]
+
+        return kept("n-gram units", model_key, arrays)
 
+    def dealt(batches):
+        """Packed trigrams for their shards, and the heads of texts."""
         import numpy as np
         import pyarrow as pa
         import zstandard
         from pyspark import TaskContext
 
-        ids, starts, of_units, log10 = loaded()
+        ids = loaded_ids()
+        starts, of_units, log10, pairs, pair_starts = loaded()
         squeeze = zstandard.ZstdCompressor(level=3).compress
         name = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, "text", batch_bytes):
             values = batch["text"].to_pylist()
             held = batch["held_out"].to_numpy(zero_copy_only=False)
-            stream, lengths, words, of_words, text_of_word = token_stream(values, ids)
+            stream, lengths, keys = token_stream(values, ids, known.complete)
             w1, w2, w3, text = trigrams(stream, lengths)
             out: list[tuple] = []
             # Heads: what needs no shard.
-            plain = np.where(w3 == RARE, 0.0, log10[w3])
+            by_id = w3 < n_ids
+            plain = np.where(by_id, log10[np.where(by_id, w3, 0)], 0.0)
             firsts = np.cumsum(lengths + 1) - lengths - 1
-            known_words = np.add.reduceat((w3 != RARE).astype(np.int64), firsts) * bool(known.learned)
+            known_words = np.add.reduceat(by_id.astype(np.int64), firsts) * bool(known.learned)
             head = pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(values), name)), pa.array(np.arange(len(values), dtype=np.int32)), batch["doc_id"], batch["held_out"],
                  pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(len(values)))],
-                names=[f.split()[0] for f in SUMS.split(", ")],
+                names=SUM_NAMES[:-1],
             )
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as writer:
                 writer.write_batch(head)
             out.append((name % shards, HEADS, sink.getvalue().to_pybytes()))
             # Trigrams, by shard; learned and held-out texts stay apart by a mark per text.
-            shard = of_units[unit_of(w1, w2, starts)]
+            code1, code2 = codes(w1, keys, n_ids), codes(w2, keys, n_ids)
+            unit = unit_of(code1, code2, name, starts, pairs, pair_starts)
+            shard = of_units[np.minimum(unit, pair_starts[-1] - 1)]
+            hashed = code2 < 0
+            shard[hashed] = (code2[hashed] - HASHED) % shards
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in range(shards):
@@ -273,25 +346,20 @@ def score_texts(
                 if not len(mine):
                     continue
                 here, counts = np.unique(text[mine], return_counts=True)
+                three = np.concatenate((w1[mine], w2[mine], w3[mine]))
+                # The keys of other words than those with ids, numbered anew.
+                rare = np.flatnonzero(three >= n_ids)
+                used, which = np.unique(three[rare] - n_ids, return_inverse=True)
+                three[rare] = which + n_ids
                 out.append((s, GRAMS, squeeze(
-                    struct.pack("<QQQ", name, len(here), len(mine)) + held[here].tobytes() + planes(here) + planes(counts)
-                    + planes(w1[mine]) + planes(w2[mine]) + planes(w3[mine])
-                )))
-            # Rare words, by the shard of their hash.
-            by_shard: dict[int, list] = {}
-            for place in np.flatnonzero(of_words == RARE).tolist():
-                by_shard.setdefault(zlib.crc32(words[place]) % shards, []).append(place)
-            for s, places in by_shard.items():
-                here, which = np.unique(text_of_word[places], return_inverse=True)
-                out.append((s, RARES, squeeze(
-                    struct.pack("<QQQ", name, len(here), len(places)) + planes(here) + planes(which)
-                    + b"\n".join([words[p] for p in places])
+                    struct.pack("<QQQQ", name, len(here), len(mine), len(used)) + held[here].tobytes() + planes(here) + planes(counts)
+                    + planes(three) + keys[0][used].tobytes() + (keys[1][used] == RARE).tobytes()
                 )))
             name += 1
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()),
-                 pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], names=["shard", "kind", "payload", "pair", "n"],
+                 *[pa.nulls(len(out), pa.int64())] * 4], names=["shard", "kind", "payload", "a", "b", "w", "n"],
             )
 
     def scored(batches):
@@ -304,90 +372,136 @@ def score_texts(
 
         # What dealing out needed is not needed here.
         worker_cache("n-gram words").clear()
-        starts, log10 = loaded(words=False)
+        starts, _, log10, hot_codes, pair_starts = loaded()
         expand = zstandard.ZstdDecompressor().decompress
-        names = [f.split()[0] for f in SUMS.split(", ")]
-
-        def sums(batch, place, **columns):
-            n = len(place)
-            zero, zeros = np.zeros(n, np.int64), np.zeros(n)
-            of = {"n_tokens": zero, "n_known": zero, "base": zeros, "score": zeros} | columns
-            return pa.RecordBatch.from_arrays(
-                [pa.array(batch), pa.array(place.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
-                 *[pa.array(of[c]) for c in names[4:]]], names=names,
-            )
+        late_type = pa.list_(pa.struct([("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64())]))
 
         def grams_of(payload):
             data = expand(payload)
-            batch, texts_here, n = struct.unpack_from("<QQQ", data)
-            held = np.frombuffer(data, np.bool_, texts_here, 24)
-            at = 24 + texts_here
-            place, counts = (from_planes(data, texts_here, at + i * 3 * texts_here) for i in range(2))
-            at += 6 * texts_here
-            return batch, place, held, counts, *[from_planes(data, n, at + i * 3 * n) for i in range(3)]
-
-        def of_shard(words, counts, pairs, pair_counts, grams, rares):
-            if grams:
-                heads = [struct.unpack_from("<QQQ", expand(payload)) for payload in grams]
-                total, all_texts = sum(h[2] for h in heads), sum(h[1] for h in heads)
-                w1, w2, w3, text, units = (np.empty(total, np.int32) for _ in range(5))
-                learned = np.empty(total, np.bool_)
-                batch_of, place_of = np.empty(all_texts, np.int64), np.empty(all_texts, np.int32)
-                at = done = 0
-                for payload in grams:
-                    batch, place, held, sizes, *ids_here = grams_of(payload)
-                    end, last = at + len(ids_here[0]), done + len(place)
-                    for column, values in zip((w1, w2, w3), ids_here):
-                        column[at:end] = values
-                    units[at:end] = unit_of(ids_here[0], ids_here[1], starts)
-                    batch_of[done:last], place_of[done:last] = batch, place
-                    text[at:end] = np.repeat(np.arange(done, last, dtype=np.int32), sizes)
-                    learned[at:end] = np.repeat(~held, sizes)
-                    at, done = end, last
-                order = np.argsort(pairs)
-                pairs, pair_counts = pairs[order], pair_counts[order]
-                order = np.argsort(units, kind="stable")
-                units = units[order]
-                edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total)
-                del units
-                order = order.astype(np.int32)
-                scores = np.zeros(all_texts)
-                begin = 0
-                for place, end in enumerate(edges):
-                    if place + 1 < len(edges) and edges[place + 1] - begin <= unit_grams:
-                        continue
-                    mine = order[begin:end]
-                    begin = end
-                    a, b, c = (x[mine].astype(np.int64) for x in (w1, w2, w3))
-                    use = learned[mine]
-                    found, n = np.unique(((b[use] << 40) | (a[use] << 20) | c[use]).astype(np.uint64), return_counts=True)
-                    split = {}
-                    for w in np.unique(b).tolist() if len(pairs) else ():
-                        low, high = np.searchsorted(pairs, (w << 20, (w + 1) << 20))
-                        if high > low:
-                            split[w] = (pairs[low:high] & ((1 << 20) - 1), pair_counts[low:high])
-                    with tempfile.TemporaryFile() as file:
-                        file.write(build_trie(found, n, split, log10, discount))
-                        file.flush()
-                        del found, n
-                        trie = Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-                        scores += np.bincount(text[mine], weights=trie.log10(a, b, c, log10), minlength=all_texts)
-                        del trie
-                yield sums(batch_of, place_of, score=scores)
-            if rares:
-                count_of = dict(zip(words, counts))
-                for payload in rares:
-                    data = expand(payload)
-                    batch, texts_here, n = struct.unpack_from("<QQQ", data)
-                    place = from_planes(data, texts_here, 24)
-                    which = from_planes(data, n, 24 + 3 * texts_here)
-                    listed = data[24 + 3 * texts_here + 3 * n:].split(b"\n")
-                    found = np.array([count_of.get(w, 0) for w in listed], dtype=np.float64)
-                    add = lambda x: np.bincount(which, weights=x, minlength=texts_here)
-                    yield sums(
-                        np.full(texts_here, batch, np.int64), place, n_known=add(found > 0).astype(np.int64),
-                        base=add(np.log10(found + 1) - log_all), score=add(np.log10((found + 1) / rare_mass)),
-                    )
+            batch, texts_here, n, n_keys = struct.unpack_from("<QQQQ", data)
+            held = np.frombuffer(data, np.bool_, texts_here, 32)
+            at = 32 + texts_here
+            place, counts = (from_planes(data, texts_here, at + i * 4 * texts_here) for i in range(2))
+            at += 8 * texts_here
+            three = from_planes(data, 3 * n, at)
+            at += 12 * n
+            keys = np.frombuffer(data, np.int64, n_keys, at) if n_keys else np.zeros(0, np.int64)
+            in_class = np.frombuffer(data, np.bool_, n_keys, at + 8 * n_keys) if n_keys else np.zeros(0, bool)
+            keys = np.stack([keys, np.where(in_class, RARE, keys)])
+            of_class = np.zeros(n, bool)
+            last = three[2 * n:]
+            rare = np.flatnonzero(last >= n_ids)
+            of_class[rare] = in_class[last[rare] - n_ids]
+            a, b = codes(three[:n], keys, n_ids), codes(three[n:2 * n], keys, n_ids)
+            return batch, place, held, counts, a, b, codes(last, keys[[0, 0]], n_ids), of_class
+
+        def among(values, wanted):
+            """Which of the sorted values are among the sorted wanted, and their places there."""
+            at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+            same = np.flatnonzero(wanted[at] == values)
+            return same, at[same]
+
+        def of_unit(a, b, key, of_class, use, hot_words, hot_contexts):
+            """log10 of each trigram's probability, and of the weight of the last word's own."""
+            c = np.where(of_class, RARE, key)
+            ua, a = np.unique(a, return_inverse=True)
+            ub, b = np.unique(b, return_inverse=True)
+            words_here = {w: x for w, x in hot_words.items() if among(np.array([w]), ub)[0].size}
+            contexts_here = {
+                p: x for p, x in hot_contexts.items() if among(np.array([p[0]]), ua)[0].size and among(np.array([p[1]]), ub)[0].size
+            }
+            # One follower of each hot word and pair stays where none is asked for, so that they are in the trie.
+            more = [x[0][0] for x in (*words_here.values(), *contexts_here.values())]
+            uc, c_more = np.unique(np.concatenate((c, np.array(more, np.int64))), return_inverse=True)
+            c = c_more[:len(c)]
+            if max(len(ua), len(ub), len(uc)) > IDS:
+                raise ValueError("a unit has too many different words; unit_grams must be smaller")
+            found, n = np.unique(((b[use] << 40) | (a[use] << 20) | c[use]).astype(np.uint64), return_counts=True)
+            split, contexts = {}, {}
+            for w, (follow, counts) in words_here.items():
+                same, at = among(follow, uc)
+                split[int(np.searchsorted(ub, w))] = (at, counts[same], int(counts.sum()), len(follow))
+            for (before, w), (follow, counts) in contexts_here.items():
+                same, at = among(follow, uc)
+                here = (int(np.searchsorted(ub, w)) << 20) | int(np.searchsorted(ua, before))
+                contexts[here] = (int(counts.sum()), len(follow))
+                other = (found >> np.uint64(20)) != here
+                found = np.concatenate((found[other], ((here << 20) | at).astype(np.uint64)))
+                n = np.concatenate((n[other], counts[same]))
+            if contexts:
+                order = np.argsort(found)
+                found, n = found[order], n[order]
+            of_words = np.where(uc >= 0, log10[np.maximum(uc, 0)], NOTHING)
+            with tempfile.TemporaryFile() as file:
+                file.write(build_trie(found, n, split, of_words, discount, contexts))
+                file.flush()
+                del found, n
+                trie = Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+                return trie.log10(a, b, c, of_words, weights=True)
+
+        def grouped(rows_of, names):
+            """Followers (sorted) and counts by hot word or pair."""
+            columns = [np.concatenate([x[i] for x in rows_of]) for i in range(4)] if rows_of else [np.zeros(0, np.int64)] * 4
+            order = np.lexsort((columns[2], columns[0], columns[1])) if names == 2 else np.lexsort((columns[2], columns[1]))
+            a, b, w, n = (x[order] for x in columns)
+            cut = np.flatnonzero((b[1:] != b[:-1]) | ((a[1:] != a[:-1]) if names == 2 else False)) + 1
+            edges = [0, *cut.tolist(), len(b)] if len(b) else [0]
+            return {
+                ((int(a[x]), int(b[x])) if names == 2 else int(b[x])): (w[x:y], n[x:y]) for x, y in zip(edges, edges[1:])
+            }
+
+        def of_shard(follow, contexts, grams):
+            if not grams:
+                return
+            heads = [struct.unpack_from("<QQQ", expand(payload)) for payload in grams]
+            total, all_texts = sum(h[2] for h in heads), sum(h[1] for h in heads)
+            w1, w2, w3 = (np.empty(total, np.int64) for _ in range(3))
+            text, units = np.empty(total, np.int32), np.empty(total, np.int64)
+            learned, of_class = np.empty(total, np.bool_), np.empty(total, np.bool_)
+            batch_of, place_of = np.empty(all_texts, np.int64), np.empty(all_texts, np.int32)
+            at = done = 0
+            for payload in grams:
+                batch, place, held, counts, *columns = grams_of(payload)
+                end, last = at + len(columns[0]), done + len(place)
+                for column, values in zip((w1, w2, w3, of_class), columns):
+                    column[at:end] = values
+                units[at:end] = unit_of(columns[0], columns[1], batch, starts, hot_codes, pair_starts)
+                batch_of[done:last], place_of[done:last] = batch, place
+                text[at:end] = np.repeat(np.arange(done, last, dtype=np.int32), counts)
+                learned[at:end] = np.repeat(~held, counts)
+                at, done = end, last
+            hot_words, hot_contexts = grouped(follow, 1), grouped(contexts, 2)
+            order = np.argsort(units, kind="stable")
+            units = units[order]
+            edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total)
+            del units
+            order = order.astype(np.int32)
+            scores = np.zeros(all_texts)
+            late: list[tuple] = []
+            begin = 0
+            for place, end in enumerate(edges):
+                if place + 1 < len(edges) and edges[place + 1] - begin <= unit_grams:
+                    continue
+                mine = order[begin:end]
+                begin = end
+                key, in_class, texts_here = w3[mine], of_class[mine], text[mine]
+                found, weight = of_unit(w1[mine], w2[mine], key, in_class, learned[mine], hot_words, hot_contexts)
+                scores += np.bincount(texts_here, weights=np.where(key >= 0, found, 0.0), minlength=all_texts)
+                rare = np.flatnonzero(key < 0)
+                found, weight, in_class = 10 ** found[rare], 10 ** weight[rare], in_class[rare]
+                late.append((
+                    texts_here[rare], key[rare], np.where(in_class, 0.0, found), np.where(in_class, found * (all_mass / class_mass), weight)
+                ))
+            of_text, *fields = (np.concatenate(x) for x in zip(*late))
+            order = np.argsort(of_text, kind="stable")
+            ends = np.cumsum(np.bincount(of_text, minlength=all_texts))
+            values = pa.StructArray.from_arrays([pa.array(x[order]) for x in fields], names=["word", "a", "b"])
+            zero = pa.array(np.zeros(all_texts, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch_of), pa.array(place_of), pa.nulls(all_texts, pa.int64()), pa.nulls(all_texts, pa.bool_()), zero, zero,
+                 pa.array(np.zeros(all_texts)), pa.array(scores), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)],
+                names=SUM_NAMES,
+            )
 
         shard, state = None, None
         for batch in batches:
@@ -398,42 +512,52 @@ def score_texts(
             for end in [*edges.tolist(), len(marks)] if len(marks) else []:
                 if marks[at] != shard:
                     if state:
-                        yield from of_shard(state[0], state[1], np.concatenate(state[2]), np.concatenate(state[3]), *state[4:])
-                    shard, state = marks[at], ([], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [])
-                payload, n = batch["payload"].slice(at, end - at), batch["n"].slice(at, end - at)
-                kind = kinds[at]
-                if kind == WORDS:
-                    state[0].extend(payload.to_pylist())
-                    state[1].extend(n.to_pylist())
-                elif kind == FOLLOWERS:
-                    state[2].append(batch["pair"].slice(at, end - at).to_numpy())
-                    state[3].append(n.to_numpy())
-                elif kind == HEADS:
-                    for data in payload.to_pylist():
-                        yield from pa.ipc.open_stream(data)
+                        yield from of_shard(*state)
+                    shard, state = marks[at], ([], [], [])
+                part, kind = batch.slice(at, end - at), kinds[at]
+                if kind == HEADS:
+                    for data in part["payload"].to_pylist():
+                        for head in pa.ipc.open_stream(data):
+                            yield head.append_column("late", pa.nulls(head.num_rows, late_type))
+                elif kind == GRAMS:
+                    state[2].extend(part["payload"].to_pylist())
                 else:
-                    state[4 if kind == GRAMS else 5].extend(payload.to_pylist())
+                    state[kind].append([part[c].to_numpy() for c in ("a", "b", "w", "n")])
                 at = end
         if state:
-            yield from of_shard(state[0], state[1], np.concatenate(state[2]), np.concatenate(state[3]), *state[4:])
+            yield from of_shard(*state)
 
     parts = rows.mapInArrow(dealt, PART)
-    rare = vocabulary.filter((F.col("n") < known.least) | (F.length("word") > 64)).select(
-        (F.crc32("word") % shards).cast("int").alias("shard"), F.lit(WORDS).alias("kind"), F.col("word").alias("payload"), F.lit(None).cast("long").alias("pair"), "n"
-    )
-    parts = parts.unionByName(rare)
     if hot:
-        places = sorted({(i, unit_shards[u]) for i in hot for u in range(begins[i], begins[i + 1])})
-        units = spark.createDataFrame(places, "hot long, shard int")
-        counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(followers, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        pairs = counted.join(F.broadcast(units), F.shiftright("pair", 20) == F.col("hot")).select(
-            "shard", F.lit(FOLLOWERS).alias("kind"), F.lit(None).cast("binary").alias("payload"), "pair", "n"
-        )
-        parts = parts.unionByName(pairs)
+        nothing = F.lit(None).cast("binary").alias("payload")
+        shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
+        places = {(i, s) for i in hot for s in shards_of(i)} | {(b, s) for i, (b, _, _) in enumerate(hot_pairs) for s in shards_of(n_ids + i)}
+        units = spark.createDataFrame(sorted(places), "hot long, shard int")
+        follow = counted.groupBy("b", "w").agg(F.sum("n").alias("n")).join(F.broadcast(units), F.col("b") == F.col("hot"))
+        parts = parts.unionByName(follow.select("shard", F.lit(FOLLOWERS).alias("kind"), nothing, F.lit(-1).cast("long").alias("a"), "b", "w", "n"))
+        if hot_pairs:
+            places = [(a, b, s) for i, (b, a, _) in enumerate(hot_pairs) for s in sorted(shards_of(n_ids + i))]
+            units = spark.createDataFrame(places, "a long, b long, shard int")
+            contexts = counted.join(F.broadcast(units), ["a", "b"])
+            parts = parts.unionByName(contexts.select("shard", F.lit(CONTEXTS).alias("kind"), nothing, "a", "b", "w", "n"))
     together = parts.repartition("shard").sortWithinPartitions("shard", "kind")
-    total = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
+    sums = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")],
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.flatten(F.collect_list("late")).alias("late"),
+    )
+    # A row for each text, under a key that no hashed word has, and one for each of its words without id.
+    own = F.struct(F.xxhash64("batch", "place").bitwiseAND(F.lit(-1 - HASHED)).alias("word"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    is_own = F.col("word") >= 0
+    exploded = sums.select("batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", F.inline(F.concat(F.array(own), "late")))
+    exploded = exploded.withColumns({c: F.when(is_own, F.col(c)) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")})
+    lookup = vocabulary.groupBy(F.xxhash64("word").bitwiseOR(F.lit(HASHED)).alias("code")).agg(F.sum("n").alias("n"))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    rated = exploded.join(lookup, F.col("word") == F.col("code"), "left")
+    total = rated.groupBy("batch", "place").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.when(is_own, F.col("n_known")).otherwise((n > 0).cast("long"))).alias("n_known"),
+        F.sum(F.when(is_own, F.col("base")).otherwise(F.log10(n + 1) - log_all)).alias("base"),
+        F.sum(F.when(is_own, F.col("score")).otherwise(F.log10(F.col("a") + F.col("b") * (n + 1) / all_mass))).alias("score"),
     )
     return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"),

@@ -203,6 +203,23 @@ def test_rare_words_are_a_class(spark, small):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def assert_plain_scores(docs, **settings_):
+    texts = texts_of(docs)
+    plain = Plain([tokens_of(t) for i, t in texts if not is_held(i)])
+    expected = sorted(expected_scores(texts, plain), key=key)
+    rows = sorted((tuple(r) for r in score_texts(docs, **settings_).collect()), key=key)
+    assert len(rows) == len(expected)
+    for ours, theirs in zip(rows, expected):
+        assert ours[:5] == theirs[:5]
+        assert ours[5] == pytest.approx(theirs[5], rel=1e-9)
+        assert abs(ours[6] - theirs[6]) <= 3e-4 * theirs[2]
+
+
+def test_words_beyond_the_dictionary_have_their_own_ngrams(small):
+    for dictionary in (300, 0):
+        assert_plain_scores(small, dictionary=dictionary, shard_grams=4000, unit_grams=2000)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     grams, counts = np.unique((rng.integers(0, 9, 500) << 40 | rng.integers(0, 9, 500) << 20 | rng.integers(0, 20, 500)).astype(np.uint64), return_counts=True)
