@@ -288,6 +288,10 @@ def score_texts(
     if hot:
         counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(followers, "a long, b long, w long, n long")
         counted = cut_lineage(counted.groupBy("a", "b", "w").agg(F.sum("n").alias("n")))
+        most = counted.filter("a >= 0").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") * share > unit_grams)
+        hot_pairs = sorted((r["b"], r["a"], r["n"]) for r in most.collect())
+        for b, _, n in hot_pairs:
+            sizes[b] = max(0.0, sizes[b] - share * n)
     begins, unit_shards = shards_of_units(sizes + [share * n for _, _, n in hot_pairs], shards, unit_grams)
     sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, [(b << 24) | a for b, a, _ in hot_pairs]))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from replyloom.llm import queries
 from replyloom.llm.elias_fano import EliasFano, Trie, build_trie
 from replyloom.llm.language import identify_language, language_samples
-from replyloom.llm.ngram_lm import score_texts, shards_of_units
+from replyloom.llm.ngram_lm import score_texts, shards_of_units, unit_of
 from replyloom.llm.toxicity import disguised_words, fit_toxicity, score_toxicity
 
 from .conftest import texts_of
@@ -220,6 +220,19 @@ def test_words_beyond_the_dictionary_have_their_own_ngrams(small):
         assert_plain_scores(small, dictionary=dictionary, shard_grams=4000, unit_grams=2000)
 
 
+def test_hot_pairs_are_split_by_text(spark, small):
+    passage = "the same passage stands in a third of all rows"
+    rows = [(1000 + i, f"{passage} w{i % 90} {'x y ' * (i % 5)}" if i % 3 == 0 else f"w{i} v{i % 7} the w{i % 50} same") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert_plain_scores(docs, shard_grams=500, unit_grams=100, batch_bytes=2000)
+    assert_plain_scores(docs, dictionary=20, shard_grams=500, unit_grams=100, batch_bytes=2000)
+    # All first words of documents, one pair, go to the four units of the pair, by batch.
+    zeros = np.zeros(10, np.int64)
+    starts = np.array([0, 1, 5])
+    units = Counter(int(u) for batch in range(100) for u in unit_of(zeros, zeros, batch, starts[:2], np.array([0]), starts[1:]))
+    assert sorted(units) == [1, 2, 3, 4] and max(units.values()) < 500
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     grams, counts = np.unique((rng.integers(0, 9, 500) << 40 | rng.integers(0, 9, 500) << 20 | rng.integers(0, 20, 500)).astype(np.uint64), return_counts=True)
