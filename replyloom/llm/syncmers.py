@@ -3,8 +3,8 @@
 A k-mer is k consecutive words, its inner s-mers are s consecutive words. A k-mer is a closed syncmer if its
 smallest s-mer (by hash) is its first or its last. That depends on the k-mer alone, not on what stands
 around it, so a passage has the same anchors in any document and at any place, and about 2 of k - s + 1
-positions are anchors. The fingerprint is the smallest hashes of a text's anchors; two fingerprints tell how
-much the sets of anchors overlap.
+positions are anchors. The fingerprint is all anchors of a text in order, with their positions. Two texts share a place
+where two anchors in a row are in both, equally far apart.
 """
 
 from __future__ import annotations
@@ -72,37 +72,50 @@ def with_anchors(df: DataFrame, text: str, name: str, k: int = 6, s: int = 2, po
     return df.withColumn(name, value).drop(words, hashes, inner, least, found)
 
 
-def with_sketch(df: DataFrame, text: str, name: str, size: int = 128, k: int = 6, s: int = 2) -> DataFrame:
-    """All columns and the ``size`` smallest different anchors, 32 bits each, in order: equal for equal texts."""
-    anchors = free_name(df, f"{name}_anchors")
-    df = with_anchors(df, text, anchors, k, s)
-    short = F.transform(anchors, lambda h: F.shiftrightunsigned(h, 32))
-    return df.withColumn(name, F.slice(F.array_sort(F.array_distinct(short)), 1, size)).drop(anchors)
+def with_places(df: DataFrame, text: str, positions: str, hashes: str, k: int = 6, s: int = 2) -> DataFrame:
+    """All columns, and the positions and the hashes of all anchors of ``text`` as two arrays, in order."""
+    anchors = free_name(df, f"{hashes}_anchors")
+    df = with_anchors(df, text, anchors, k, s, positions=True)
+    return df.withColumns({
+        positions: F.transform(anchors, lambda x: x["position"]), hashes: F.transform(anchors, lambda x: x["hash"]),
+    }).drop(anchors)
 
 
-def sketch_text(sketch: Column) -> Column:
-    """Eight lowercase hex digits for each anchor."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+def fingerprint_text(positions: Column, hashes: Column) -> Column:
+    """For each anchor eight lowercase hex digits of its position and 16 of its hash."""
+    return F.lower(F.array_join(F.zip_with(
+        positions, hashes, lambda p, h: F.concat(F.lpad(F.hex(p), 8, "0"), F.lpad(F.hex(h), 16, "0"))
+    ), ""))
 
 
-def likeness(a: Column, b: Column, size: int = 128) -> Column:
-    """The share of anchors in both of two sketches among the smallest of either; 1 for two empty ones."""
-    smallest = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), smallest))
-    return F.when(F.size(smallest) == 0, 1.0).otherwise(both / F.size(smallest)).cast("double")
+def links(positions: Column, hashes: Column) -> Column:
+    """A hash of each two anchors in a row and the words between their beginnings."""
+    gaps = F.zip_with(shortened(positions, 1), shifted(positions, 1), lambda a, b: b - a)
+    return F.zip_with(F.zip_with(shortened(hashes, 1), gaps, lambda h, g: F.xxhash64(h, g)), shifted(hashes, 1), lambda a, b: F.xxhash64(a, b))
+
+
+def likeness(positions_a: Column, a: Column, positions_b: Column, b: Column) -> Column:
+    """The share of places of either text that are in both, wherever and however often; 1 for two texts without anchors.
+
+    A place is two anchors in a row at their distance. Where a text has a single anchor, anchors alone are compared.
+    """
+    single = (F.size(a) == 1) | (F.size(b) == 1)
+    x = F.when(single, a).otherwise(links(positions_a, a))
+    y = F.when(single, b).otherwise(links(positions_b, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(
+        F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    ).cast("double")
 
 
 def position_matches(a: Column, b: Column) -> Column:
     """Anchors with positions that two texts share: ``position_a, position_b, hash`` for each anchor of ``a``
-    and the first place of its hash in ``b``."""
-    places = F.transform(b, lambda x: x["hash"])
-    return F.filter(
-        F.transform(a, lambda x: F.struct(
-            x["position"].alias("position_a"), F.get(b, (F.array_position(places, x["hash"]) - 1).cast("int"))["position"].alias("position_b"),
-            x["hash"].alias("hash"),
-        )),
-        lambda m: m["position_b"].isNotNull(),
-    )
+    and each place of its hash in ``b``."""
+    shared = F.array_intersect(F.transform(a, lambda x: x["hash"]), F.transform(b, lambda x: x["hash"]))
+    common = lambda anchors: F.filter(anchors, lambda x: F.array_contains(shared, x["hash"]))
+    return F.flatten(F.transform(common(a), lambda x: F.transform(
+        F.filter(common(b), lambda y: y["hash"] == x["hash"]),
+        lambda y: F.struct(x["position"].alias("position_a"), y["position"].alias("position_b"), x["hash"].alias("hash")),
+    )))
 
 
 def with_range(docs: DataFrame, name: str, ranges: int) -> tuple[DataFrame, list, bool]:
@@ -148,26 +161,26 @@ def with_next(docs: DataFrame, ranges: int, prepare=lambda df: df, columns: tupl
     return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter("extra = 0").drop("range", "extra")
 
 
-def fingerprints(docs: DataFrame, size: int = 128, k: int = 6, s: int = 2, ranges: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 6, s: int = 2, ranges: int | None = None) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for each row.
 
     The edited text has the last half of its code points (rounded down) replaced by the first as many of the next
     document by ascending ``doc_id``, then text; null ids come first, and after the last document comes the first. A null text counts as empty: no
-    anchors, an empty fingerprint. ``near_*`` are the :func:`likeness` of the document's sketch to those of
+    anchors, an empty fingerprint. ``near_*`` are the :func:`likeness` of all anchors of the document to those of
     its edited text and of the next document. A repeated row has its twin as next document.
     """
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(texts(docs), ranges, lambda df: with_sketch(df, "text", "sketch", size, k, s), ("text", "sketch"))
+    rows = with_next(texts(docs), ranges, lambda df: with_places(df, "text", "positions", "hashes", k, s), ("text", "positions", "hashes"))
     half = F.floor(F.col("n_chars") / 2)
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(
         F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
         F.substring(F.col("next_text"), F.lit(1), half.cast("int")),
     ))
-    rows = rows.select("doc_id", "n_chars", "edited", "sketch", "next_sketch")
-    rows = with_sketch(rows, "edited", "edited_sketch", size, k, s)
+    rows = rows.select("doc_id", "n_chars", "edited", "positions", "hashes", "next_positions", "next_hashes")
+    rows = with_places(rows, "edited", "edited_positions", "edited_hashes", k, s)
+    own, edited, following = ((F.col(f"{x}positions"), F.col(f"{x}hashes")) for x in ("", "edited_", "next_"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch_text(F.col("sketch")).alias("fingerprint"),
-        sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), size).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch"), size).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint_text(*own).alias("fingerprint"),
+        fingerprint_text(*edited).alias("edited_fingerprint"),
+        likeness(*own, *edited).alias("near_edited"), likeness(*own, *following).alias("near_next"),
     )

@@ -68,6 +68,27 @@ def test_anchors_are_closed_syncmers(spark):
     assert len(matches) == len(closed) and Counter(m["position_b"] - m["position_a"] for m in matches).most_common(1)[0][0] == 4
 
 
+def test_long_texts_share_a_passage(spark):
+    rng = np.random.default_rng(5)
+    first, second, passage = ([f"{x}{i}" for i in rng.integers(0, 10**6, n)] for x, n in (("a", 20_000), ("b", 20_000), ("p", 80)))
+    docs = [(1, " ".join(first[:9000] + passage + first[9000:])), (2, " ".join(second[:300] + passage + second[300:]))]
+    rows = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), ranges=2).collect()}
+    places = {i: [r["fingerprint"][x:x + 24] for x in range(0, len(r["fingerprint"]), 24)] for i, r in rows.items()}
+    assert all(len(x) > 6000 and x == sorted(x) for x in places.values())
+    found = {i: {x[8:]: int(x[:8], 16) for x in at} for i, at in places.items()}
+    shared = found[1].keys() & found[2].keys()
+    assert len(shared) >= 10 and {found[1][h] - found[2][h] for h in shared} == {8700}
+    n = len(shared) - 1
+    assert rows[1]["near_next"] == rows[2]["near_next"] == n / (len(places[1]) + len(places[2]) - 2 - n)
+
+
+def test_matches_at_all_occurrences(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    df = with_anchors(spark.createDataFrame([(line, f"{line} x {line}")], "a string, b string"), "a", "x", positions=True)
+    row = with_anchors(df, "b", "y", positions=True).select(F.size("x").alias("n"), position_matches(F.col("x"), F.col("y")).alias("m")).first()
+    assert Counter(m["position_b"] - m["position_a"] for m in row["m"]) == {0: row["n"], 13: row["n"]}
+
+
 def brute_fingerprint(text, shingle=4):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text)
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
