@@ -13,6 +13,7 @@ from replyloom.llm.credentials import find_secrets, listing
 from replyloom.llm.language import identify_language, language_samples
 from replyloom.llm.ngram_lm import score_texts
 from replyloom.llm.packing import pack
+from replyloom.llm.piece_words import encode_pieces
 from replyloom.llm.registry import query
 from replyloom.llm.simhash import near_duplicates
 from replyloom.llm.syncmers import fingerprints
@@ -100,3 +101,8 @@ def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_ngram_lm")
 def op4_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(table(spark, folder, "documents"), folds=7, held_fold=2)
+
+
+@query("op13_piece_words")
+def op13_piece_words(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_output=False)
