@@ -78,7 +78,7 @@ def read_words(cut: Callable) -> Callable:
 
 
 def encode_pieces(docs: DataFrame, vocabulary: str, keep_output: bool = True, block_size: int = 32 << 20,
-                  shard_size: int = 16 << 20) -> DataFrame:
+                  shard_size: int = 16 << 20, stable: bool = False) -> DataFrame:
     """``doc_id, n_tokens`` and the ids (little-endian, 32 bits each) and decoded text of every whole text.
 
     ``vocabulary`` is the path of a model file of the sentencepiece library. Ids are those the library gives for the
@@ -90,14 +90,16 @@ def encode_pieces(docs: DataFrame, vocabulary: str, keep_output: bool = True, bl
     Null and empty texts have the end id alone. Null ids and repeated rows are kept as they are, ties do not arise. A very long text
     is a block of its own. An empty table gives no row. Other columns are left out, whatever their names.
 
-    ``block_size`` bytes of text make a block, ``shard_size`` bytes of all texts a shard of words.
+    ``block_size`` bytes of text make a block, ``shard_size`` bytes of all texts a shard of words. ``stable`` says that
+    ``docs`` gives the same rows in the same order each time it is read, as files do; blocks need not be written then.
     """
     with open(vocabulary, "rb") as file:
         model = file.read()
     cut = marked_words if words_stand_alone(load_pieces(model)) else whole_text
     rows = texts(docs)
-    shards = max(1, -(-block_bytes(rows) // shard_size))
-    blocks, n_blocks = word_blocks(rows, read_words(cut), shards, block_size)
+    size = block_bytes(rows)
+    shards = max(1, -(-size // shard_size))
+    blocks = word_blocks(rows, read_words(cut), shards, block_size, stable=stable)
 
     def segment(batches):
         """Ids of the words of each row; a word that stood in a row of the shard before is not segmented again."""
@@ -172,4 +174,4 @@ def encode_pieces(docs: DataFrame, vocabulary: str, keep_output: bool = True, bl
         return of_slice
 
     values = by_shard(blocks, shards).mapInArrow(segment, blocks.schema)
-    return with_values(blocks, values, n_blocks, assemble, ENCODED if keep_output else DIGESTS)
+    return with_values(blocks, values, -(-size // block_size), assemble, ENCODED if keep_output else DIGESTS)

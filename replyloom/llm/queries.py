@@ -19,6 +19,7 @@ from replyloom.llm.simhash import near_duplicates
 from replyloom.llm.syncmers import fingerprints
 from replyloom.llm.token_counts import token_counts
 from replyloom.llm.toxicity import fit_toxicity, score_toxicity
+from replyloom.llm.whitening import whiten
 
 
 def held_out(folds: int = 4, held_fold: int = 2) -> Column:
@@ -105,4 +106,10 @@ def op4_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op13_piece_words")
 def op13_piece_words(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_output=False)
+    docs = table(spark, folder, "documents")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_output=False, stable=True)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), components=8)

@@ -11,11 +11,10 @@ A shard holds about the same share of all different words, a block is bounded in
 from __future__ import annotations
 
 import struct
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import cut_lineage, sliced
@@ -106,8 +105,11 @@ class Block:
             parts.append((group, places))
         self.slices.append((head, parts))
 
-    def rows(self, shards: int) -> Iterator[tuple]:
-        """Packed words by shard, then the places of each slice, in which words are numbered by shard."""
+    def rows(self, name: str, shards: int) -> Iterator[tuple]:
+        """Packed words by shard, then the places of each slice, in which words are numbered by shard.
+
+        The block's name tells its place among all blocks and, by a digest, its words.
+        """
         import numpy as np
         import xxhash
 
@@ -124,7 +126,7 @@ class Block:
             for i, (group, places) in enumerate(parts):
                 parts[i] = moved[places + np.uint32(firsts[group])]
                 counts += np.bincount(parts[i], minlength=len(words))
-        name = uuid.uuid4().hex
+        name += xxhash.xxh3_128_hexdigest(b"".join(map(memoryview, join_words([words[i] for i in order.tolist()]))))
         present, starts = np.unique(of[order], return_index=True)
         for shard, a, b in zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)]):
             yield name, WORDS, shard, squeeze(*join_words([words[i] for i in order[a:b].tolist()]), planes(counts[a:b]))
@@ -138,30 +140,32 @@ def block_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def word_blocks(docs: DataFrame, read: Callable, shards: int, block_size: int = 32 << 20, skip=None) -> tuple[DataFrame, int]:
-    """Blocks of ``docs`` as a written table of packed words and places, and how many blocks there are.
+def word_blocks(docs: DataFrame, read: Callable, shards: int, block_size: int = 32 << 20, skip=None,
+                stable: bool = False) -> DataFrame:
+    """Blocks of ``docs`` as rows of packed words and places.
 
     ``read`` takes an Arrow batch and gives its words by group, and bytes that come back with their places.
+    The rows are read twice. ``stable`` says that ``docs`` gives the same rows in the same order each time, as files do:
+    the blocks are then worked out again rather than written, which a digest in their names guards. Otherwise they are
+    written to the checkpoint folder.
     """
 
     def run(batches):
-        block = Block()
+        from pyspark import TaskContext
+
+        task, index, block = TaskContext.get().partitionId(), 0, Block()
         for batch in sliced(batches, "text"):
             block.add(batch["text"].nbytes, *read(batch), skip)
             if block.size >= block_size:
-                for row in block.rows(shards):
+                for row in block.rows(f"{task}.{index}.", shards):
                     yield row_batch([row])
-                block = Block()
+                index, block = index + 1, Block()
         if block.slices:
-            for row in block.rows(shards):
+            for row in block.rows(f"{task}.{index}.", shards):
                 yield row_batch([row])
 
-    seen = Observation()
-    rows = docs.mapInArrow(run, ROW).observe(
-        seen, F.count_if((F.col("kind") == PLACES) & (F.col("shard") == 0)).alias("blocks")
-    )
-    written = cut_lineage(rows)
-    return written, seen.get["blocks"]
+    rows = docs.mapInArrow(run, ROW)
+    return rows if stable else cut_lineage(rows)
 
 
 def by_shard(blocks: DataFrame, shards: int) -> DataFrame:
@@ -171,12 +175,12 @@ def by_shard(blocks: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def with_values(blocks: DataFrame, values: DataFrame, tasks: int, assemble: Callable, schema: str) -> DataFrame:
+def with_values(blocks: DataFrame, values: DataFrame, blocks_about: int, assemble: Callable, schema: str) -> DataFrame:
     """What ``assemble`` makes of the places of each slice of a block.
 
     ``values`` has rows of kind ``VALUES``, one for each row of words, whose payload speaks of the same words in
     the same order. ``assemble`` takes the block's payloads in order of their words and gives a function of (number of words, head, places)
-    that yields Arrow batches.
+    that yields Arrow batches. ``blocks_about`` blocks are expected; most tasks get one or none.
     """
 
     def run(batches):
@@ -187,6 +191,8 @@ def with_values(blocks: DataFrame, values: DataFrame, tasks: int, assemble: Call
                 block, kind = columns[0][i].as_py(), columns[1][i].as_py()
                 payload = batch.column(3)[i].as_py()
                 if block != name:
+                    if payloads:
+                        raise RuntimeError(f"the places of block {name} are lost")
                     name, payloads, make = block, [], None
                 if kind == VALUES:
                     payloads.append(payload)
@@ -197,5 +203,6 @@ def with_values(blocks: DataFrame, values: DataFrame, tasks: int, assemble: Call
                 count, head, places = unsqueeze(payload, 3)
                 yield from make(struct.unpack("<Q", count)[0], head, unplanes(places))
 
-    both = values.unionByName(blocks.filter(F.col("kind") == PLACES))
-    return both.repartition(max(1, tasks), "block").sortWithinPartitions("block", "kind", "shard").mapInArrow(run, schema)
+    # places come first: tasks of a union are numbered on, and blocks are named after their task
+    both = blocks.filter(F.col("kind") == PLACES).unionByName(values)
+    return both.repartition(max(1, 4 * blocks_about), "block").sortWithinPartitions("block", "kind", "shard").mapInArrow(run, schema)

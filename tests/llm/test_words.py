@@ -43,7 +43,8 @@ def expected_pieces(docs):
 def test_pieces(odd, small, none):
     for docs in (odd, small):
         expected = expected_pieces(docs)
-        for sizes in ({}, {"block_size": 3000, "shard_size": 5000}):
+        stable = {"stable": docs is small}
+        for sizes in (stable, {"block_size": 3000, "shard_size": 5000}, stable | {"block_size": 50_000}):
             rows = encode_pieces(docs, PIECES, keep_output=False, **sizes).collect()
             assert Counter(tuple(r) for r in rows) == expected
     assert encode_pieces(none, PIECES).count() == 0
