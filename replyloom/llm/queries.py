@@ -13,6 +13,7 @@ from replyloom.llm.credentials import find_secrets, listing
 from replyloom.llm.language import identify_language, language_samples
 from replyloom.llm.ngram_lm import score_texts
 from replyloom.llm.packing import pack
+from replyloom.llm.phrase_tries import collocations
 from replyloom.llm.piece_words import encode_pieces
 from replyloom.llm.registry import query
 from replyloom.llm.simhash import near_duplicates
@@ -113,3 +114,64 @@ def op13_piece_words(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_whitening")
 def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"), components=8)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT doc, lang, piece, unnest(words) AS word, generate_subscripts(words, 1) AS place
+    FROM (
+        SELECT doc, lang, piece, regexp_extract_all(text, '[^ \t]+') AS words
+        FROM (
+            SELECT doc, lang, unnest(parts) AS text, generate_subscripts(parts, 1) AS piece
+            FROM (
+                SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                       regexp_split_to_array(
+                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[.,;:!?\x0A-\x0D]') AS parts
+                FROM documents
+            )
+        )
+    )
+), followed AS (
+    SELECT lang, word AS w1, lead(word, 1) OVER piece_words AS w2, lead(word, 2) OVER piece_words AS w3,
+           lead(word, 3) OVER piece_words AS w4
+    FROM pieces
+    WINDOW piece_words AS (PARTITION BY doc, piece ORDER BY place)
+), counts AS (
+    SELECT lang, [w1] AS p, count(*) AS f FROM followed GROUP BY ALL
+    UNION ALL SELECT lang, [w1, w2], count(*) FROM followed WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM followed WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM followed WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (
+    SELECT * FROM counts WHERE len(p) > 1
+), cuts AS (
+    SELECT c.lang, c.p, c.f AS a, h.f AS l, t.f AS r, k,
+           CAST((2000000::HUGEINT * c.f) // (h.f::HUGEINT + t.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
+    JOIN counts h ON h.lang = c.lang AND h.p = c.p[1:k]
+    JOIN counts t ON t.lang = c.lang AND t.p = c.p[k + 1:]
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), insides AS (
+    SELECT lang, p[s:s + n - 1] AS p, max(f) AS longer
+    FROM (
+        SELECT lang, p, f, n, unnest(range(1, len(p) - n + 2)) AS s
+        FROM (SELECT *, unnest(range(2, len(p))) AS n FROM candidates WHERE len(p) > 2)
+    )
+    GROUP BY ALL
+), kept AS (
+    SELECT s.* FROM scored s LEFT JOIN insides i ON i.lang = s.lang AND i.p = s.p
+    WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * s.a::HUGEINT
+), totals AS (
+    SELECT lang, count(*) AS n FROM pieces GROUP BY lang
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+       array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrases", OP12_SQL)
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"), least=30, longest=4, first=2000)

@@ -2,12 +2,16 @@
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
+from replyloom.llm.phrase_tries import Trie, collocations, digits_of, double_array, score
 from replyloom.llm.piece_words import encode_pieces, marked_words, words_stand_alone
 
 from .conftest import texts_of
@@ -60,3 +64,59 @@ def test_pieces_give_ids_and_text(odd):
 def test_vocabulary_whose_pieces_cross_words(odd, monkeypatch):
     monkeypatch.setattr("replyloom.llm.piece_words.words_stand_alone", lambda processor: False)
     assert Counter(tuple(r) for r in encode_pieces(odd, PIECES, keep_output=False).collect()) == expected_pieces(odd)
+
+
+def test_trie_holds_its_pairs_and_no_others():
+    rng = np.random.default_rng(0)
+    for n, codes, prefixes in ((10, 5, 3), (20_000, 3000, 500), (1000, 100_000, 1), (2000, 20_000_000, 900)):
+        pairs = np.unique(np.stack([rng.zipf(1.2, 2 * n) % prefixes, rng.zipf(1.3, 2 * n) % codes + 1]), axis=1)
+        roots, base, check, slots = double_array(*pairs)
+        assert len(np.unique(slots)) == pairs.shape[1]
+        trie = Trie(roots.tobytes(), base.tobytes(), check.tobytes(), digits_of(pairs[1].max()))
+        assert (trie.step(*pairs) == slots).all()
+        assert all((a == b).all() for a, b in zip(trie.spell(slots), pairs))
+        known = {(a, b): s for a, b, s in zip(*pairs.tolist(), slots.tolist())}
+        asked = rng.integers(0, prefixes + 5, 5000), rng.integers(1, 3 * codes, 5000)
+        assert trie.step(*asked).tolist() == [known.get(pair, -1) for pair in zip(*(a.tolist() for a in asked))]
+
+
+def plain_collocations(docs, least, longest, first):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, n = defaultdict(Counter), Counter()
+    for r in docs.select("text", "lang").collect():
+        lang = "und" if r["lang"] is None else r["lang"]
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (r["text"] or "").translate(fold)):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for size in range(1, longest + 1):
+                counts[lang].update(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
+    out = []
+    for lang, of in counts.items():
+        chosen = {p: a for p, a in of.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in chosen.items():
+            value, k = min((2_000_000 * a // (of[p[:k]] + of[p[k:]]), k) for k in range(1, len(p)))
+            around = [b for q, b in chosen.items() if len(q) > len(p) and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))]
+            if not any(100 * b >= 80 * a for b in around):
+                rows.append((-value, -a, " ".join(p).encode(), of[p[:k]], of[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, le, r, n[lang], -value) for i, (value, a, p, le, r) in enumerate(sorted(rows)[:first])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_size": 2000, "shard_words": 3000, "shard_size": 400}])
+def test_collocations(odd, none, sizes):
+    source = random.Random(3)
+    words = ["The", "of", "new", "york", "City", "big", "apple", "é", "x\x00y", "漢字"]
+    texts = [" ".join(source.choice(words[:3 + i % 8]) + source.choice(["", "", "", ",", " .", "\t", "\n", "  "]) for _ in range(60)) for i in range(60)]
+    rows = [(i, t, ["en", "de", None, "und"][i % 4]) for i, t in enumerate([*texts, *["one two three four five. "] * 12, "a b " * 3000])]
+    docs = odd.sparkSession.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string").unionByName(odd.select("doc_id", "text", "lang"))
+    for least, longest, first in ((6, 4, 2000),) if sizes else ((3, 3, 10),):
+        expected = plain_collocations(docs, least, longest, first)
+        assert sorted(map(tuple, collocations(docs, least, longest, first, **sizes).collect())) == expected and len(expected) > 20
+    assert collocations(none).count() == 0
+
+
+def test_scores_are_exact(spark):
+    rows = [(9_000_000_000_000_000_000, 9_000_000_000_000_000_000 * 2 + 1), (30, 61), (1, 3_000_000)]
+    found = spark.createDataFrame([(a, str(p)) for a, p in rows], "a long, p string").select(score(F.col("a"), F.col("p").cast("decimal(20,0)"))).collect()
+    assert [r[0] for r in found] == [2_000_000 * a // p for a, p in rows]
