@@ -31,10 +31,11 @@ FOLDED = bytes.maketrans(
 GAP = b"\n"
 #: States or cells summed in one task at a time.
 RANGE = 1 << 20
-#: The largest broadcast of hashed cells: 16 MB of bits.
-MOST_CELLS = 27
-#: Candidates in a shard of a trie, which then takes 32 to 96 MB.
-SHARD = 1_000_000
+#: The largest broadcast of hashed cells: 8 MB of bits. Beyond some 100 million places the cells fill up, and more
+#: candidates are left to the tries; results stay the same.
+MOST_CELLS = 26
+#: Candidates in a shard of a trie, which then takes 10 to 30 MB.
+SHARD = 300_000
 
 CODED = "block string, codes binary, states binary"
 COUNTED = "range long, payload binary"
@@ -195,7 +196,7 @@ def open_block(row: dict):
 
 
 def full_cells(coded: DataFrame, length: int, width: int, least: int) -> bytes:
-    """Bits of the cells that count ``least`` phrases of ``length + 1`` words or more; at most 16 MB."""
+    """Bits of the cells that count ``least`` phrases of ``length + 1`` words or more; at most 8 MB."""
 
     def count(batches):
         for batch in batches:
@@ -210,12 +211,12 @@ def full_cells(coded: DataFrame, length: int, width: int, least: int) -> bytes:
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())],
                                           names=["range", "payload"])
 
-    bits = bytearray(max(1, (1 << width) >> 3))
-    for row in summed(coded.mapInArrow(count, COUNTED), use, COUNTED).collect():
-        start = row["range"] * (RANGE >> 3)
-        part = bytes(row["payload"])[:len(bits) - start]
-        bits[start:start + len(part)] = part
-    return bytes(bits)
+    bits = np.zeros(max(1, (1 << width) >> 3), np.uint8)
+    found = summed(coded.mapInArrow(count, COUNTED), use, COUNTED).toArrow()
+    for number, payload in zip(found["range"], found["payload"]):
+        start = number.as_py() * (RANGE >> 3)
+        bits[start:start + (RANGE >> 3)] = np.frombuffer(payload.as_buffer(), np.uint8)[:len(bits) - start]
+    return bits.tobytes()
 
 
 def candidates(coded: DataFrame, length: int, width: int, bits: bytes) -> DataFrame:
@@ -440,10 +441,11 @@ def next_level(coded: DataFrame, length: int, places: int, least: int, last: boo
     phrases = None
     moved = None if last else with_zeros(coded)
     for shard in range(shards):
-        row = tries.filter(F.col("shard") == shard).first()
-        if row is None:
+        row = tries.filter(F.col("shard") == shard).toArrow()
+        if not row.num_rows:
             continue
-        trie = (bytes(row["roots"]), bytes(row["base"]), bytes(row["check"]), row["digits"])
+        trie = (*(row[c][0].as_py() for c in ("roots", "base", "check")), row["digits"][0].as_py())
+        del row
         sent = context.broadcast(trie)
         counted = cut_lineage(count_shard(coded, length, shard, shards, sent, least))
         own = counted.withColumn("state", F.col("state") * shards + shard + 1)
@@ -454,8 +456,8 @@ def next_level(coded: DataFrame, length: int, places: int, least: int, last: boo
             frequent[counted.select("state").toArrow()["state"].to_numpy()] = True
             told = context.broadcast((*trie, np.packbits(frequent).tobytes()))
             moved = cut_lineage(move_on(moved, length, shard, shards, told))
-            told.unpersist()
-        sent.unpersist()
+            told.destroy()
+        sent.destroy()
     if not last:
         moved = moved.select("block", "codes", F.col("moved").alias("states"))
     return phrases, moved
