@@ -219,13 +219,22 @@ def full_cells(coded: DataFrame, length: int, width: int, least: int) -> bytes:
     return bits.tobytes()
 
 
-def candidates(coded: DataFrame, length: int, width: int, bits: bytes) -> DataFrame:
-    """``prefix, code``: each different phrase of ``length + 1`` words that may be frequent."""
+def candidates(coded: DataFrame, length: int, width: int, bits: bytes, groups: int) -> DataFrame:
+    """``group, n, payload``: the ``n`` different phrases of ``length + 1`` words that may be frequent, packed by group.
+
+    A group holds the phrases whose prefix is one more than its number, modulo ``groups``.
+    """
     sent = coded.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches):
+    def pack(group: int, pairs):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group], pa.int64()), pa.array([pairs.shape[1]], pa.int64()), pa.array([squeeze(pairs[0].tobytes(), pairs[1].tobytes())], pa.binary())],
+            names=["group", "n", "payload"],
+        )
+
+    def find(batches):
         full = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             for row in batch.to_pylist():
@@ -233,10 +242,40 @@ def candidates(coded: DataFrame, length: int, width: int, bits: bytes) -> DataFr
                 at = grown(codes, states, length)
                 cell = cells(states[at], codes[at + length], width)
                 at = at[(full[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
-                pairs = np.unique(np.stack([states[at], codes[at + length].astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["prefix", "code"])
+                if len(at):
+                    yield from by_group(states[at], codes[at + length].astype(np.int64))
+
+    def by_group(prefixes, codes):
+        order = np.lexsort((codes, prefixes, (prefixes - 1) % groups))
+        pairs = np.stack([prefixes[order], codes[order]])
+        pairs = pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]]
+        of = (pairs[0] - 1) % groups
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist()
+        for a, b in zip(starts, [*starts[1:], len(of)]):
+            yield pack(int(of[a]), pairs[:, a:b])
+
+    def merge(batches):
+        at, held, size = None, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["group"] != at:
+                    if held:
+                        yield pack(at, np.unique(np.hstack(held), axis=1))
+                    at, held, size = row["group"], [], 0
+                held.append(unpack_pairs(row["payload"]))
+                size += held[-1].shape[1]
+                if size > 1 << 21:
+                    held = [np.unique(np.hstack(held), axis=1)]
+                    size = 0
+        if held:
+            yield pack(at, np.unique(np.hstack(held), axis=1))
+
+    schema = "group long, n long, payload binary"
+    return coded.mapInArrow(find, schema).repartition("group").sortWithinPartitions("group").mapInArrow(merge, schema)
+
 
-    return coded.mapInArrow(run, "prefix long, code long").distinct()
+def unpack_pairs(payload: bytes):
+    return np.stack([np.frombuffer(x, np.int64) for x in unsqueeze(payload, 2)])
 
 
 # --- the trie --------------------------------------------------------------------------------------------
@@ -349,8 +388,8 @@ def build_tries(found: DataFrame, shards: int) -> DataFrame:
     def build(key, table):
         import pyarrow as pa
 
-        codes = table["code"].to_numpy()
-        parts = double_array((table["prefix"].to_numpy() - 1) // shards, codes)[:3]
+        prefixes, codes = np.hstack([unpack_pairs(p) for p in table["payload"].to_pylist()])
+        parts = double_array((prefixes - 1) // shards, codes)[:3]
         return pa.Table.from_arrays(
             [pa.array([key[0].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in parts],
              pa.array([digits_of(codes.max())], pa.int32())],
@@ -358,7 +397,7 @@ def build_tries(found: DataFrame, shards: int) -> DataFrame:
         )
 
     return (
-        found.withColumn("shard", (F.col("prefix") - 1) % F.lit(shards))
+        found.select((F.col("group") % F.lit(shards)).alias("shard"), "payload")
         .groupBy("shard").applyInArrow(build, "shard long, roots binary, base binary, check binary, digits int")
     )
 
@@ -435,8 +474,11 @@ def next_level(coded: DataFrame, length: int, places: int, least: int, last: boo
     """Frequent phrases of ``length + 1`` words (``state, prefix, code, f``) and the blocks with their states."""
     context = coded.sparkSession.sparkContext
     width = min(MOST_CELLS, max(10, int(2 * places).bit_length()))
-    found = cut_lineage(candidates(coded, length, width, full_cells(coded, length, width, least)))
-    shards = max(1, -(-found.count() // shard_size))
+    # as many groups as places may need shards; shards are made of whole groups
+    groups = 1 << max(6, (int(places) >> 20).bit_length())
+    found = cut_lineage(candidates(coded, length, width, full_cells(coded, length, width, least), groups))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = min(groups, 1 << max(0, (-(-total // shard_size) - 1).bit_length()))
     tries = cut_lineage(build_tries(found, shards))
     phrases = None
     moved = None if last else with_zeros(coded)
