@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyloom.functions.lexicon import Lexicon, infer_class
 from replyloom.functions.text import normalize_text
+from replyloom.operators.cells import top_in_cells
 from replyloom.operators.spread import lookup
-from replyloom.session import cut_lineage
-
-BLOCK_BYTES = 64 * 1024 * 1024
-MIN_BLOCK_ROWS = 1_024
-SCAN_QUERIES = 4_096
-CHUNK_CELLS = 4_000_000
 
 
 def normalize_vectors(df: DataFrame, column: str) -> DataFrame:
@@ -31,134 +24,23 @@ def normalize_vectors(df: DataFrame, column: str) -> DataFrame:
     return measured.withColumn(column, scaled).drop("_length")
 
 
-def _scorer(k: int, exclude_self: bool, cells: int = CHUNK_CELLS):
-    """Top k of some queries against some rows of the corpus, both in memory.
-
-    An inner function travels to the workers whole, so they need no copy of this package.
-    """
-
-    def score(asked, vectors, corpus: pd.DataFrame) -> pd.DataFrame:
-        corpus = corpus.sort_values("corpus_id")
-        ids = corpus["corpus_id"].to_numpy()
-        base = np.stack(corpus["vector"].to_numpy()).astype(np.float64).T
-        step = max(1, cells // len(ids))
-        found = []
-        for start in range(0, len(asked), step):
-            part = asked[start:start + step]
-            scores = np.round(vectors[start:start + step] @ base, 9)
-            if exclude_self:
-                scores[part[:, None] == ids[None, :]] = -np.inf
-            if len(ids) > k:
-                bound = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            else:
-                bound = np.full(len(part), -np.inf)
-            row, column = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
-            value = scores[row, column]
-            # columns are in id order: of equal scores the lower id comes first
-            order = np.lexsort((column, -value, row))
-            row, column, value = row[order], column[order], value[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            found.append(
-                pd.DataFrame(
-                    {"query_id": part[row[kept]], "corpus_id": ids[column[kept]],
-                     "similarity": value[kept]}
-                )
-            )
-        return pd.concat(found, ignore_index=True)
-
-    return score
-
-
-def _scan(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
-    """Best rows of each corpus partition for a few queries; the corpus is read where it lies."""
-    rows = queries.limit(SCAN_QUERIES + 1).collect()
-    if len(rows) > SCAN_QUERIES:
-        raise ValueError(f"a scan takes at most {SCAN_QUERIES} queries")
-    asked = np.array([r["query_id"] for r in rows])
-    vectors = np.array([r["vector"] for r in rows], dtype=np.float64)
-    sent = queries.sparkSession.sparkContext.broadcast((asked, vectors))
-    score = _scorer(k, exclude_self)
-
-    def run(batches):
-        ids, matrix = sent.value
-        best = None
-        for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            found = score(ids, matrix, batch)
-            if best is not None:
-                found = pd.concat([best, found]).sort_values(
-                    ["query_id", "similarity", "corpus_id"], ascending=[True, False, True]
-                )
-                found = found[found.groupby("query_id").cumcount() < k]
-            best = found
-        if best is not None:
-            yield best
-
-    return corpus.mapInPandas(run, schema)
-
-
-def _cells(queries: DataFrame, corpus: DataFrame, query_blocks: int, corpus_blocks: int, k: int,
-           exclude_self: bool, schema: str) -> DataFrame:
-    """Best rows of each block of the corpus for each block of queries."""
-    score = _scorer(k, exclude_self)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("query_id", "corpus_id", "similarity")})
-        vectors = np.stack(left["vector"].to_numpy()).astype(np.float64)
-        return score(left["query_id"].to_numpy(), vectors, right)
-
-    def block(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    asked = queries.withColumn("q_block", block("query_id", query_blocks)).withColumn(
-        "c_block", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))
-    )
-    pool = corpus.withColumn("c_block", block("corpus_id", corpus_blocks)).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-    return (
-        asked.groupBy("q_block", "c_block")
-        .cogroup(pool.groupBy("q_block", "c_block"))
-        .applyInPandas(run, schema)
-    )
-
-
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = False,
-          block_rows: int | None = None, scan_queries: int = SCAN_QUERIES) -> DataFrame:
+          block_rows: int | None = None, scan_queries: int | None = None) -> DataFrame:
     """(query_id, corpus_id, similarity, rank): the ``k`` largest inner products of each query.
 
     ``queries`` has query_id and vector, ``corpus`` corpus_id and vector, ids unique, vectors of
-    one length and unit norm. Equal similarities (to 9 digits) rank by corpus id.
+    one length and unit norm; zero vectors may be among them, rows without vector are left out. Equal similarities
+    (to 9 digits) rank by corpus id.
 
-    At most ``scan_queries`` queries of at most ``BLOCK_BYTES`` are broadcast, and the corpus is
-    read once without a shuffle. More queries, and the corpus with them, are dealt into blocks of
-    about ``BLOCK_BYTES`` by a hash of the id; each pair of blocks is one group of bounded size.
-    Either way a task gives at most ``k`` rows per query, and the result is the same.
+    The corpus is dealt to cells of near vectors, ``block_rows`` in a part at most (by default, 16 MB), and a query visits the
+    cells that can hold one of its best, whatever the sizes (see :mod:`cells`). ``scan_queries`` has no effect.
     """
     if k < 1:
         raise ValueError("k is at least 1")
-    schema = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"corpus_id {corpus.schema['corpus_id'].dataType.simpleString()}, similarity double"
+    queries, corpus = (
+        df.select(name, "vector").where(F.col("vector").isNotNull()) for df, name in ((queries, "query_id"), (corpus, "corpus_id"))
     )
-    queries = cut_lineage(queries.select("query_id", "vector"))
-    corpus = corpus.select("corpus_id", "vector")
-    asked = queries.count()
-    first = queries.select(F.size("vector").alias("d")).first()
-    fit = max(1, BLOCK_BYTES // (8 * max(1, first["d"] if first else 1)))
-    if asked <= min(scan_queries, SCAN_QUERIES, fit):
-        found = _scan(queries, corpus, k, exclude_self, schema)
-    else:
-        block_rows = block_rows or fit
-        size = corpus.count()
-        query_blocks, corpus_blocks = max(1, -(-asked // block_rows)), max(1, -(-size // block_rows))
-        # few blocks would leave most of the cluster idle
-        tasks = queries.sparkSession.sparkContext.defaultParallelism
-        if query_blocks * corpus_blocks < tasks:
-            corpus_blocks = max(corpus_blocks, min(tasks, size // MIN_BLOCK_ROWS))
-        found = _cells(queries, corpus, query_blocks, corpus_blocks, k, exclude_self, schema)
+    found = top_in_cells(queries, corpus, k, exclude_self, block_rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "corpus_id")
     return (
         found.withColumn("rank", F.row_number().over(best))

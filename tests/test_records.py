@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
 from replyloom.operators import annotations as an
-from replyloom.operators import corpus, features, metrics, retrieval, sampling
+from replyloom.operators import cells, corpus, features, metrics, retrieval, sampling
 from replyloom.operators.inference import annotate_with_retry, generate_replies
 from replyloom.operators.messages import blind_sheet
 from replyloom.operators.models import TextClassifier, cross_validate
@@ -138,6 +138,53 @@ def test_top_k_over_many_blocks(spark):
     assert retrieval.top_k(queries, pool.limit(0), 4).count() == 0
 
 
+def test_top_k_visits_cells_that_can_win_only(spark):
+    """Clustered vectors, a third of them and of the queries in one direction; ids are strings."""
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(40, 12))
+    corpus = np.vstack([middles[rng.integers(0, 40, 1200)] + 0.05 * rng.normal(size=(1200, 12)),
+                        middles[0] + 0.02 * rng.normal(size=(600, 12)), np.zeros((1, 12))])
+    asked = np.vstack([corpus[rng.integers(0, 1800, 200)] + 0.02 * rng.normal(size=(200, 12)), np.repeat(corpus[:1], 100, axis=0)])
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    corpus, asked = unit(corpus), unit(asked)
+    pool = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(corpus)] + [("none", None)],
+                                 "corpus_id string, vector array<double>")
+    queries = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(asked)], "query_id string, vector array<double>")
+    scores = np.round(asked @ corpus.T, 9)
+    for exclude in (False, True):
+        found = cells.top_in_cells(queries, pool.dropna(), 3, exclude, part_rows=50, part_queries=20)
+        ranked = retrieval.top_k(queries, pool, 3, exclude, block_rows=50).collect()
+        expected = set()
+        for q in range(300):
+            order = [c for c in np.lexsort((np.arange(1801), -scores[q])).tolist() if not (exclude and c == q)][:3]
+            expected |= {(f"c{q:04d}", f"c{c:04d}", r + 1) for r, c in enumerate(order)}
+        assert {(r["query_id"], r["corpus_id"], r["rank"]) for r in ranked} == expected
+        best = {q: sorted(((-s, c) for s, c in rows))[:3] for q, rows in _by_query(found).items()}
+        assert {(q, c) for q, rows in best.items() for _, c in rows} == {(q, c) for q, c, _ in expected}
+    known = cells.find_cells(pool.dropna(), 50)
+    visits = cells.route(queries, known, 3, False).count()
+    assert known.rows.sum() == 1801 and known.parts.sum() >= 1801 / 50
+    # of all pairs of a query and a part, few are left: most cells can't hold one of the best
+    assert visits < 0.35 * 300 * known.parts.sum()
+
+
+def _by_query(found):
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r["query_id"], []).append((r["similarity"], r["corpus_id"]))
+    return rows
+
+
+def test_top_k_shuffles_the_corpus_once(spark):
+    rows = spark.range(3000).select("id", F.array(*[F.cos(F.col("id") * i) for i in range(1, 9)]).alias("v"))
+    unit = retrieval.normalize_vectors(rows, "v")
+    queries = unit.select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    plan = retrieval.top_k(queries, unit.select(F.col("id").alias("corpus_id"), F.col("v").alias("vector")), 3, block_rows=200)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # one exchange brings corpus rows and queries together, one ranks what was found; none multiplies the corpus
+    assert text.count("Exchange hashpartitioning") == 2 and "Generate" not in text and "Join" not in text
+
+
 def test_retrieval_metrics_count_unanswered_queries(spark):
     ranked = spark.createDataFrame(
         [(1, 1, "b"), (1, 2, "a"), (2, 1, "unknown"), (2, 2, "c")], "query_id int, rank int, inferred string")
