@@ -9,83 +9,13 @@ hops: a thread of a thousand tweets takes ten rounds of joins, not a thousand.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyloom.functions.text import parse_reply_ids
+from replyloom.operators.jumps import Jumps, double_hops, follow, list_into_circle, list_walk
 from replyloom.operators.spread import lookup
-from replyloom.session import cut_and_count, cut_lineage, literal_rows
-
-
-@dataclass
-class Jumps:
-    """``levels[i]`` holds (node, jump, dist): where ``2 ** i`` hops lead and how many tweets on.
-
-    ``endless`` holds the nodes whose walk runs into a circle of replies; they are in no level.
-    """
-
-    levels: list[DataFrame]
-    endless: DataFrame | None
-
-
-def double_hops(edges: DataFrame) -> Jumps:
-    """Jump tables over (node, jump, dist) edges, one edge per node.
-
-    Level i holds the nodes with at least ``2 ** i`` hops ahead. As long as a node outside the
-    circles is left, some node runs out of hops in every round; so a round that loses no node
-    leaves only nodes that never come to an end.
-    """
-    level, left = cut_and_count(edges.select("node", "jump", "dist"))
-    levels: list[DataFrame] = []
-    endless = None
-    while left:
-        levels.append(level)
-        ahead = level.select(
-            F.col("node").alias("mid"), F.col("jump").alias("far"), F.col("dist").alias("more")
-        )
-        level, remaining = cut_and_count(
-            lookup(level, ahead, "jump", "mid")
-            .select("node", F.col("far").alias("jump"), (F.col("dist") + F.col("more")).alias("dist"))
-        )
-        if remaining == left:
-            endless = level.select("node")
-            levels = [one.join(endless, "node", "left_anti") for one in levels]
-            break
-        left = remaining
-    return Jumps(levels, endless)
-
-
-def follow(starts: DataFrame, jumps: Jumps) -> DataFrame:
-    """(node) to (node, last, dist): the last node of its walk and how many tweets away it is."""
-    walk = starts.select("node", F.col("node").alias("last"), F.lit(0).cast("bigint").alias("dist"))
-    for level in reversed(jumps.levels):
-        step = level.select(
-            F.col("node").alias("at"), F.col("jump").alias("to"), F.col("dist").alias("more")
-        )
-        walk = lookup(walk, step, "last", "at", "left").select(
-            "node",
-            F.coalesce("to", "last").alias("last"),
-            (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
-        )
-    return walk
-
-
-def list_walk(starts: DataFrame, jumps: Jumps) -> DataFrame:
-    """(walk, node, off) to every node of each walk, ``off`` counting tweets from its start.
-
-    Larger jumps first: each round adds to every node listed so far the one 2**i hops on, so each
-    node of a walk comes up once.
-    """
-    listed = starts.select("walk", "node", F.col("off").cast("bigint").alias("off"))
-    for level in reversed(jumps.levels):
-        step = level.select(F.col("node").alias("at"), F.col("jump").alias("to"), "dist")
-        further = lookup(listed, step, "node", "at").select(
-            "walk", F.col("to").alias("node"), (F.col("off") + F.col("dist")).alias("off")
-        )
-        listed = listed.unionByName(further)
-    return listed
+from replyloom.session import cut_lineage, literal_rows
 
 
 class Threads:
@@ -118,7 +48,19 @@ class Threads:
             F.col("node").alias("p_node"), F.col("author").alias("p_author"),
             F.col("is_brand").alias("p_brand"),
         )
-        self.rows = cut_lineage(lookup(rows, parents, "parent", "p_node", "left"))
+        self._joined = lookup(rows, parents, "parent", "p_node", "left")
+        self._written = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """All tweets with the author of their parent; written once, when a walk first asks for them."""
+        if self._written is None:
+            self._written = cut_lineage(self._joined)
+        return self._written
+
+    def _once(self) -> DataFrame:
+        """The same rows for those who read them once."""
+        return self._joined if self._written is None else self._written
 
     def _node(self, tweet_id):
         return F.concat_ws("/", "brand", tweet_id) if self.scoped else tweet_id
@@ -127,12 +69,13 @@ class Threads:
 
     def seeds(self) -> DataFrame:
         """(seed, customer, ord): inbound rows listing an existing answer of the brand."""
-        listed = self.rows.where(F.col("inbound") & F.col("response_tweet_id").isNotNull()).select(
+        rows = self._once()
+        listed = rows.where(F.col("inbound") & F.col("response_tweet_id").isNotNull()).select(
             F.col("node").alias("seed"), F.col("author").alias("customer"), "ord", "brand",
             F.explode_outer(parse_reply_ids("response_tweet_id")).alias("reply_id"),
         ).where(F.col("reply_id").isNotNull())
         listed = listed.withColumn("reply", self._node(F.col("reply_id")))
-        answers = self.rows.where("is_brand").select(F.col("node").alias("answer"))
+        answers = rows.where("is_brand").select(F.col("node").alias("answer"))
         return (
             lookup(listed, answers, "reply", "answer", "left_semi")
             .select("seed", "customer", "ord")
@@ -143,28 +86,30 @@ class Threads:
 
     def reply_edges(self) -> DataFrame:
         """(parent, child) for every row whose parent exists."""
-        return self.rows.where(F.col("p_author").isNotNull()).select(
+        return self._once().where(F.col("p_author").isNotNull()).select(
             "parent", F.col("node").alias("child")
         )
 
     def parent_customers(self) -> DataFrame:
         """(tweet_id, customer): author of the parent unless that is missing or the brand."""
-        return self.rows.select(
+        return self._once().select(
             F.col("node").alias("tweet_id"),
             F.when(~F.col("p_brand"), F.col("p_author")).alias("customer"),
         )
 
     # --- backward ------------------------------------------------------------------------------
 
+    def _run_edges(self) -> DataFrame:
+        """Runs of brand rows: brand row to the parent that is a brand row too."""
+        return self.rows.where(F.col("is_brand") & F.col("p_brand")).select(
+            "node", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("dist")
+        )
+
     def _prepare_backward(self):
         if hasattr(self, "back"):
             return
-        # runs of brand rows: brand row -> parent that is a brand row too
-        self.runs = double_hops(
-            self.rows.where(F.col("is_brand") & F.col("p_brand")).select(
-                "node", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("dist")
-            )
-        )
+        if not hasattr(self, "runs"):
+            self.runs = double_hops(self._run_edges())
         brand = self.rows.where("is_brand").select("node", "parent", "p_author", "p_brand")
         if self.runs.endless is not None:
             brand = brand.join(self.runs.endless, "node", "left_anti")
@@ -200,6 +145,7 @@ class Threads:
                 F.when(over_run, F.col("length") + 1).otherwise(F.lit(0)).alias("tail_dist"),
                 F.when(over_run, F.col("parent")).alias("run"),
                 F.coalesce(stuck, F.lit(False)).alias("stuck"),
+                F.when(F.coalesce(stuck, F.lit(False)), F.col("parent")).alias("stuck_at"),
             )
         )
         self.back = double_hops(
@@ -241,7 +187,7 @@ class Threads:
         located, rest = self._roots()
         if rest is None:
             return located
-        paths = self._hop_backward(rest.withColumn("walk", F.col("seed")))
+        paths = self._loop_backward(rest)
         deepest = paths.groupBy("seed", "customer", "ord").agg(
             F.max_by("node", "off").alias("root"), F.max("off").alias("depth")
         )
@@ -275,8 +221,8 @@ class Threads:
         ).select(F.col("walk")["walk"].alias("walk"), "node", "off")
         paths = listed.unionByName(in_runs)
         if looped is not None:
-            hops = self._hop_backward(looped.withColumn("walk", carried))
-            paths = paths.unionByName(hops.select("walk", "node", "off"))
+            hops = self._loop_backward(looped)
+            paths = paths.unionByName(hops.select(carried.alias("walk"), "node", "off"))
         return paths
 
     def _split_endless(self, seeds):
@@ -294,33 +240,46 @@ class Threads:
         bad = cut_lineage(bad.join(ids, "seed", "left_semi").distinct())
         return seeds.join(bad, "seed", "left_anti"), seeds.join(bad, "seed", "left_semi")
 
-    def _hop_backward(self, seeds: DataFrame) -> DataFrame:
-        """Hop by hop with the path in hand, for walks that run into a circle of replies."""
-        links = self.rows.select(
-            F.col("node").alias("n"), "parent", "p_author", "p_brand"
-        )
-        walk = cut_lineage(
-            seeds.select("walk", "seed", "customer", "ord", F.col("seed").alias("node"),
-                         F.lit(0).cast("bigint").alias("off"), F.array("seed").alias("path"))
-        )
-        done = walk.drop("path")
-        while not walk.isEmpty():
-            follows = F.col("p_brand") | (F.col("p_author") == F.col("customer"))
-            walk = cut_lineage(
-                walk.join(links, walk["node"] == links["n"])
-                .where(F.coalesce(follows, F.lit(False)))
-                .where(~F.array_contains("path", F.col("parent")))
-                .select("walk", "seed", "customer", "ord", F.col("parent").alias("node"),
-                        (F.col("off") + 1).alias("off"),
-                        F.array_append("path", F.col("parent")).alias("path"))
-            )
-            done = done.unionByName(walk.drop("path"))
-        return done
+    def _loop_backward(self, seeds: DataFrame) -> DataFrame:
+        """Rows of walks that run into a circle of replies, each at its first place.
+
+        A walk goes over customer rows (:attr:`back`), then maybe into a circle of brand rows alone. It is listed once round its
+        circle and with all runs of brand rows between; from the first row that comes again on, all rows have
+        come before, so the first places are the walk.
+        """
+        carried = F.struct(*[c for c in seeds.columns])
+        starts = seeds.select(carried.alias("walk"), F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("off"))
+        listed = None
+        if self.back.endless is not None:
+            starts = cut_lineage(starts)
+            listed = list_into_circle(starts.join(self.back.endless, "node", "left_semi"), self.back)
+            starts = starts.join(self.back.endless, "node", "left_anti")
+        plain = list_walk(starts, self.back)
+        listed = cut_lineage(plain if listed is None else listed.unionByName(plain))
+        entries = self.steps.where(F.col("run").isNotNull() | F.col("stuck")).select(
+            F.col("node").alias("n"), F.when(F.col("stuck"), F.col("stuck_at")).otherwise(F.col("run")).alias("run"), "stuck"
+        )
+        entered = lookup(listed, entries, "node", "n").select(
+            F.struct("walk", "off").alias("walk"), F.col("run").alias("node"), (F.col("off") + 1).alias("off"), "stuck"
+        )
+        in_runs = list_walk(entered.where(~F.col("stuck")).drop("stuck"), self.runs)
+        if self.runs.endless is not None:
+            in_runs = in_runs.unionByName(list_into_circle(entered.where("stuck").drop("stuck"), self.runs))
+        rows = listed.unionByName(in_runs.select(F.col("walk")["walk"].alias("walk"), "node", "off"))
+        return (
+            rows.groupBy("walk", "node").agg(F.min("off").alias("off"))
+            .select(F.col("walk.*"), "node", "off")
+        )
 
     # --- forward -------------------------------------------------------------------------------
 
     def _prepare_forward(self):
-        if hasattr(self, "ahead"):
+        if not hasattr(self, "ahead"):
+            self._forward_steps()
+            self.ahead = double_hops(self.ahead_edges)
+
+    def _forward_steps(self):
+        if hasattr(self, "ahead_edges"):
             return
         when = F.coalesce(F.col("created_at"), F.lit("9999-12-31 00:00:00").cast("timestamp"))
         earliest = F.min(F.struct(when.alias("t"), F.col("ord").alias("o"), F.col("node").alias("n")))
@@ -351,7 +310,32 @@ class Threads:
         self_replies = own.join(
             self.follow_ups, (F.col("node") == F.col("after")) & (F.col("author") == F.col("by"))
         ).select("node", F.col("follow_up").alias("jump"), F.lit(1).cast("bigint").alias("dist"))
-        self.ahead = double_hops(via_answer.unionByName(self_replies))
+        self.ahead_edges = via_answer.unionByName(self_replies)
+
+    def _prepare_both(self):
+        """Jump tables of runs and of the forward walk, which don't depend on each other, as one."""
+        self._forward_steps()
+        if hasattr(self, "ahead") or hasattr(self, "runs"):
+            return
+        tagged = [
+            edges.select(F.struct(F.lit(kind).alias("of"), F.col("node").alias("id")).alias("node"),
+                         F.struct(F.lit(kind).alias("of"), F.col("jump").alias("id")).alias("jump"), "dist")
+            for kind, edges in enumerate((self._run_edges(), self.ahead_edges))
+        ]
+        both = double_hops(tagged[0].unionByName(tagged[1]))
+
+        def of(kind: int, df: DataFrame) -> DataFrame:
+            names = [F.col(c)["id"].alias(c) if c != "dist" else F.col(c) for c in df.columns]
+            return df.where(F.col("node")["of"] == kind).select(names)
+
+        def only(kind: int) -> Jumps:
+            endless = None if both.endless is None else cut_lineage(of(kind, both.endless))
+            levels = [of(kind, level) for level in both.levels]
+            if endless is None or endless.isEmpty():
+                return Jumps(levels)
+            return Jumps(levels, endless, of(kind, both.cut), [of(kind, level) for level in both.open])
+
+        self.runs, self.ahead = only(0), only(1)
 
     def forward_paths(self, starts: DataFrame) -> DataFrame:
         """(walk, root, customer) to (walk, node, off): rows after the root, counted from it."""
@@ -380,41 +364,26 @@ class Threads:
         )
         paths = listed.where(F.col("off") > 0).unionByName(answered)
         if looped is not None:
-            paths = paths.unionByName(self._hop_forward(looped))
+            paths = paths.unionByName(self._loop_forward(looped))
         return paths
 
-    def _hop_forward(self, begin: DataFrame) -> DataFrame:
-        """Hop by hop with the path in hand, for walks that run into a circle of replies."""
-        kind = self.rows.select(F.col("node").alias("k"), "is_brand")
-        before = F.when(F.col("off") > 0, F.array("root", "node")).otherwise(F.array("node"))
-        walk = cut_lineage(begin.select("walk", "customer", "node", "off", before.alias("path")))
-        done = walk.where(F.col("off") > 0).select("walk", "node", "off")
-        while not walk.isEmpty():
-            here = walk.join(kind, walk["node"] == kind["k"]).drop("k")
-            by_brand = here.where(~F.col("is_brand")).join(
-                self.answers, F.col("node") == F.col("of")
-            ).withColumn("next", F.col("answer"))
-            by_customer = here.where("is_brand").join(
-                self.follow_ups,
-                (F.col("node") == F.col("after")) & (F.col("customer") == F.col("by")),
-            ).withColumn("next", F.col("follow_up"))
-            columns = ["walk", "customer", "off", "path", "next"]
-            walk = cut_lineage(
-                by_brand.select(columns)
-                .unionByName(by_customer.select(columns))
-                .where(~F.array_contains("path", F.col("next")))
-                .select("walk", "customer", F.col("next").alias("node"),
-                        (F.col("off") + 1).alias("off"),
-                        F.array_append("path", F.col("next")).alias("path"))
-            )
-            done = done.unionByName(walk.select("walk", "node", "off"))
-        return done
+    def _loop_forward(self, begin: DataFrame) -> DataFrame:
+        """Rows of walks that run into a circle of replies, each at its first place, the root left out."""
+        root = F.when(F.col("off") > 0, F.col("root"))
+        starts = begin.select(F.struct("walk", root.alias("root")).alias("walk"), "node", "off")
+        listed = cut_lineage(list_into_circle(starts, self.ahead))
+        answered = listed.join(self.answers, listed["node"] == self.answers["of"]).select(
+            "walk", F.col("answer").alias("node"), (F.col("off") + 1).alias("off")
+        )
+        first = listed.unionByName(answered).groupBy("walk", "node").agg(F.min("off").alias("off"))
+        known_root = F.coalesce(F.col("walk")["root"] == F.col("node"), F.lit(False))
+        return first.where((F.col("off") > 0) & ~known_root).select(F.col("walk")["walk"].alias("walk"), "node", "off")
 
     # --- conversations ---------------------------------------------------------------------------
 
     def winners(self) -> DataFrame:
         """One seed per root: the first whose conversation has at least two rows."""
-        self._prepare_forward()
+        self._prepare_both()
         roots = cut_lineage(self.roots())
         has_next = self.answers.select(F.col("of").alias("at")).unionByName(
             self.rows.where("is_brand").select("node", "author").join(
