@@ -11,11 +11,13 @@ from functools import lru_cache
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replyloom.functions.text import ngrams
+from replyloom.session import cut_lineage
 
 MAX_VOCABULARY = 1_000_000
 
@@ -91,10 +93,47 @@ def vocabulary(counts: DataFrame, min_df: int = 1, max_features: int | None = No
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")
     ).where(F.col("df") >= min_df)
     if max_features is not None:
-        table = table.orderBy(F.desc("total"), "term").limit(max_features)
+        table = leading_terms(cut_lineage(table), max_features)
     return table.select("term", "df")
 
 
+def leading_terms(table: DataFrame, n: int, small: int = 1_000) -> DataFrame:
+    """The ``n`` rows of (term, total, ...) with the largest total, of equal ones with the first terms.
+
+    Nothing is sorted whole. Counts of terms by total say which total the cut falls on; among the terms with that
+    total, counts by a growing prefix lead to the last term that is taken. Jobs run while the plan is built, each an aggregate over ``table``.
+    """
+    above = Window.orderBy(F.desc("total"))
+    at = (
+        table.groupBy("total").agg(F.count(F.lit(1)).alias("terms"))
+        .withColumn("upto", F.sum("terms").over(above)).where(F.col("upto") >= n)
+        .orderBy(F.desc("total")).first()
+    )
+    if at is None:
+        return table
+    need, size, prefix = n - (at["upto"] - at["terms"]), at["terms"], ""
+    if need == size:
+        return table.where(F.col("total") >= at["total"])
+    tied = table.where(F.col("total") == at["total"])
+    while size > small:
+        # a term that ends with the prefix is a group of its own, and the first
+        groups = (
+            tied.where(F.col("term").startswith(prefix))
+            .groupBy(F.substring("term", 1, len(prefix) + 1).alias("start")).agg(F.count(F.lit(1)).alias("terms"))
+            .orderBy("start").collect()
+        )
+        for group in groups:
+            if need <= group["terms"]:
+                break
+            need -= group["terms"]
+        prefix, size, ended = group["start"], group["terms"], group["start"] == prefix
+        if ended:
+            break
+    inside = tied.where(F.col("term").startswith(prefix)).select("term").orderBy("term").limit(need).collect()
+    last = inside[need - 1]["term"]
+    return table.where((F.col("total") > at["total"]) | (F.col("total") == at["total"]) & (F.col("term") <= last))
+
+
 def _idf(df: Column, documents: Column) -> Column:
     return F.log((1.0 + documents) / (1.0 + df)) + 1.0
 
@@ -137,6 +176,36 @@ BASELINE = TfidfSettings(min_df=1, max_features=20_000, sublinear=False, strip_a
 HYBRID = TfidfSettings(strip_accents=False)
 
 
+def _weighted(df: DataFrame, counts: str, out: str, idf: np.ndarray) -> DataFrame:
+    """Replace a column of sparse counts by ``out``: (1 + ln count) * idf, scaled to length one.
+
+    No built-in takes the logarithm of a sparse vector's entries. Numpy does, over the entries of all vectors of a batch
+    at once; indices stay as they are.
+    """
+    place = df.columns.index(counts)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != counts], T.StructField(out, VectorUDT())])
+
+    def weigh(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            kind, size, indices, values = batch.column(place).flatten()
+            rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(values), 0).to_numpy())
+            weight = (1.0 + np.log(values.flatten().to_numpy())) * idf[indices.flatten().to_numpy()]
+            length = np.sqrt(np.bincount(rows, weight * weight, minlength=batch.num_rows))
+            weight /= np.where(length > 0, length, 1.0)[rows]
+            starts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+            scaled = pa.StructArray.from_arrays(
+                [kind, size, indices, pa.ListArray.from_arrays(pa.array(starts), pa.array(weight)).cast(values.type)],
+                fields=list(batch.column(place).type),
+            )
+            others = [(c, f) for i, (c, f) in enumerate(zip(batch.columns, batch.schema)) if i != place]
+            yield pa.RecordBatch.from_arrays([*[c for c, _ in others], scaled], names=[*[f.name for _, f in others], out])
+
+    return df.mapInArrow(weigh, schema)
+
+
 class Tfidf:
     """A fitted vocabulary with its idf values, applied to any frame.
 
@@ -162,8 +231,10 @@ class Tfidf:
         return cls([r["term"] for r in rows], [r["idf"] for r in rows], settings)
 
     def transform(self, df: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
-        """Add the sparse unit vector of each text."""
-        listed = add_terms(df, text, "_terms", self.settings.sizes, self.settings.strip_accents)
+        """Add the sparse unit vector of each text; that of a null text is empty."""
+        listed = add_terms(df, text, "_terms", self.settings.sizes, self.settings.strip_accents).withColumn(
+            "_terms", F.coalesce("_terms", F.array().cast("array<string>"))
+        )
         counter = CountVectorizerModel.from_vocabulary(
             self.words, inputCol="_terms", outputCol="_counts"
         )
@@ -174,16 +245,7 @@ class Tfidf:
             )
             unit = Normalizer(inputCol="_scaled", outputCol=out)
             return unit.transform(scale.transform(counted)).drop("_terms", "_counts", "_scaled")
-        idf = np.asarray(self.idf)
-
-        def weigh(v):
-            values = (1.0 + np.log(v.values)) * idf[v.indices]
-            length = np.sqrt(values @ values)
-            return SparseVector(v.size, v.indices, values / length if length else values)
-
-        # no built-in takes the logarithm of a sparse vector's entries
-        weighted = F.udf(weigh, VectorUDT(), useArrow=True)("_counts")
-        return counted.withColumn(out, weighted).drop("_terms", "_counts")
+        return _weighted(counted.drop("_terms"), "_counts", out, np.asarray(self.idf))
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame(

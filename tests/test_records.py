@@ -222,6 +222,31 @@ def test_kappa_uses_places_not_scores(spark):
     assert got == pytest.approx(expected)
 
 
+def test_leading_terms_are_those_of_a_whole_sort(spark):
+    rng = np.random.default_rng(3)
+    terms = sorted({"".join(rng.choice(list("abcé漢"), rng.integers(1, 7))) for _ in range(3000)})
+    rows = [(t, int(n)) for t, n in zip(terms, rng.zipf(1.6, len(terms)).clip(1, 40))]
+    table = spark.createDataFrame(rows, "term string, total long").repartition(3).persist()
+    order = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+    for n in (1, 7, 300, len(rows) - 500, len(rows) - 1, len(rows), len(rows) + 5):
+        found = features.leading_terms(table, n, small=20)
+        assert {tuple(r) for r in found.collect()} == set(order[:n])
+        assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+    table.unpersist()
+
+
+def test_vectors_without_row_functions(spark):
+    rows = spark.createDataFrame([(1, "the cat the cat the dog"), (2, ""), (3, None), (4, "the dog")], "id int, t string").repartition(2)
+    model = features.Tfidf(["cat", "dog", "the", "the cat"], [1.5, 1.2, 1.0, 2.0], features.CLASSIFIER)
+    found = model.transform(rows, "t", "v")
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    vectors = {r["id"]: r["v"].toArray() for r in found.collect()}
+    raw = np.array([(1 + np.log(2)) * 1.5, 1.2, 1 + np.log(3), (1 + np.log(2)) * 2.0])
+    assert vectors[1] == pytest.approx(raw / np.linalg.norm(raw))
+    assert vectors[4] == pytest.approx(np.array([0, 1.2, 1.0, 0]) / np.hypot(1.2, 1.0))
+    assert not vectors[2].any() and not vectors[3].any()
+
+
 def test_top_two(spark):
     rows = spark.createDataFrame([(0, [0.2, 0.5, 0.3]), (1, [0.5, 0.5, 0.0])], "i int, p array<double>")
     got = sampling.top_two(rows, "p", ["a", "b", "c"]).orderBy("i").collect()
