@@ -168,6 +168,18 @@ def _(spark, d):
     return done.select("tweet_id", "ai_intent", "ai_confidence", "annotation_status")
 
 
+@query("annotate_golden_counts", r"""
+    SELECT count(*) FILTER (WHERE open AND kind < 2) AS processed, count(*) FILTER (WHERE open AND kind > 1) AS failed,
+           count(*) FILTER (WHERE NOT open) AS skipped
+    FROM (SELECT trim(ai_intent) = '' OR coalesce(trim(ai_escalation), '') = '' OR trim(ai_confidence) = '' AS open,
+                 length(regexp_replace(customer_message, '^\s+|\s+$', '', 'g')) % 4 AS kind
+          FROM annotated)""")
+def _(spark, d):
+    _done, counts = jobs.annotate_golden(
+        views.annotated(spark, d), LABELLER, "stub", {c: c for c in views.CLASSES})
+    return counts
+
+
 # --- jobs ---------------------------------------------------------------------------------------
 
 def _corpus(spark, d):
@@ -201,6 +213,23 @@ def _(spark, d):
     return metrics.tidy_report({k: v for k, v in report.items() if k != "predictions"})
 
 
+@query("end_to_end_examples")
+def _(spark, d):
+    rows = _with_vectors(_labelled(spark, d))
+    report = jobs.evaluate_end_to_end(rows, _classifier(spark, d), _corpus(spark, d), PROVIDERS)
+    return report["examples"].withColumn("confidence", F.round("confidence", 3)).withColumn(
+        "evidence", F.transform("evidence", lambda e: e["customer_tweet_id"]))
+
+
+@query("classifier_predictions")
+def _(spark, d):
+    report = jobs.evaluate_classifier(
+        _labelled(spark, d), _classifier(spark, d), "customer_message", "gold_intent", views.CLASSES)
+    return report["predictions"].select(
+        "tweet_id", "gold_intent", "predicted_intent", "second_intent", F.round("confidence", 3).alias("confidence"),
+        F.round("confidence_margin", 3).alias("confidence_margin"))
+
+
 @query("baseline_eval")
 def _(spark, d):
     report = jobs.evaluate_baselines(_labelled(spark, d))

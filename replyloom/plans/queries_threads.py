@@ -150,3 +150,25 @@ def _(spark, d):
                           lambda df: views.message_vectors(df, "customer_message"))
     return corpus.select("conversation_id", "customer_tweet_id", "agent_tweet_id",
                          F.size("embedding").cast("bigint").alias("dims"))
+
+
+LETTERS = "aeio"
+
+
+@query("corpus_vectors", f"""
+    SELECT conversation_id, customer_tweet_id, {", ".join(
+        f"round(CASE WHEN size > 0 THEN {c} / sqrt(size) ELSE {c} END, 6) AS v_{c}" for c in LETTERS)}
+    FROM (SELECT *, {" + ".join(f"{c} * {c}" for c in LETTERS)} AS size
+          FROM (SELECT *, {", ".join(
+              f"CAST(length(customer_message) - length(replace(customer_message, '{c}', '')) AS DOUBLE) AS {c}" for c in LETTERS)}
+                FROM ({PAIRS}) WHERE conversation_id NOT IN (SELECT conv_id FROM golden)))""")
+def _(spark, d):
+    """The stored unit vectors, from an encoder that SQL can follow: counts of some letters."""
+    def letters(df):
+        text = F.col("customer_message")
+        return df.withColumn("embedding", F.array(*[
+            (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS]))
+
+    corpus = build_corpus(views.flat(spark, d), views.golden(spark, d), letters)
+    return corpus.select("conversation_id", "customer_tweet_id", *[
+        F.round(F.col("embedding")[i], 6).alias(f"v_{c}") for i, c in enumerate(LETTERS)])
