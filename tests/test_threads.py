@@ -148,6 +148,16 @@ def test_circles(spark, rows):
     assert built(spark, rows) == expected(rows)
 
 
+def test_long_circles(spark):
+    """A circle of 80 tweets with a tail of 9 leading into it, and a circle of brand tweets alone."""
+    rows = [(i, "c1" if i % 2 else "Brand", bool(i % 2), i, None, i - 1 if i > 1 else 80) for i in range(1, 81)]
+    rows += [(100 + i, "c1" if i % 2 else "Brand", bool(i % 2), 200 + i, None, 99 + i if i > 1 else 40) for i in range(1, 10)]
+    rows += [(200 + i, "Brand", False, 300 + i, None, 199 + i if i > 1 else 206) for i in range(1, 7)]
+    rows += [(210, "c2", True, 400, None, 203), (211, "Brand", False, 401, None, 210)]
+    rows = link(rows)
+    assert built(spark, rows) == expected(rows)
+
+
 def test_deep_thread(spark):
     rows = link([(i, "c1" if i % 2 else "Brand", bool(i % 2), i, None, i - 1 if i > 1 else None)
                  for i in range(1, 151)])
