@@ -109,11 +109,22 @@ def disguised_words(text: str) -> list[str]:
     return found
 
 
+def letter_kinds():
+    """A number for every code point: 0 for no letter, 1 for a letter, 3 for a capital."""
+    import sys
+
+    import numpy as np
+
+    signs = map(chr, range(sys.maxunicode + 1))
+    return np.fromiter((c.isalpha() + 2 * c.isupper() if c.isalpha() else 0 for c in signs), np.uint8, sys.maxunicode + 1)
+
+
 def feature_arrays(values: list[str], lexicon: dict[str, float]) -> list:
-    """One Arrow array of features for each text."""
+    """One Arrow array of features for each text. Every feature is counted in every text, in all alphabets."""
     import numpy as np
     import pyarrow as pa
 
+    kinds = kept("letter kinds", (), letter_kinds)
     second = {w for words in SECOND_PERSON.values() for w in words}
     memory = kept("toxic words", tuple(lexicon.items()), lambda: {"seen": set(), "weights": {}})
     seen, weights = memory["seen"], memory["weights"]
@@ -132,24 +143,26 @@ def feature_arrays(values: list[str], lexicon: dict[str, float]) -> list:
 
     disguise = str.maketrans(DISGUISES | {c: "" for c in "*.-_8"})
     out = np.zeros((len(values), len(FEATURES)))
-    all_words = [list(map(str.lower, WORD.findall(text))) for text in values]
+    all_words, shouted = [], []
     new: set = set()
-    for words in all_words:
-        new.update(words)
+    for text in values:
+        words = WORD.findall(text)
+        shouted.append(sum(map(str.isupper, words)))
+        all_words.append(list(map(str.lower, words)))
+        new.update(all_words[-1])
     look_up(new - seen)
-    for row, (text, words) in enumerate(zip(values, all_words)):
+    for row, (text, words, capital_words) in enumerate(zip(values, all_words, shouted)):
         if not words:
             continue
         n = len(words)
-        data = np.frombuffer(text.encode(), np.uint8)
-        upper = (data >= 65) & (data <= 90)
-        letter = upper | ((data >= 97) & (data <= 122)) | (data >= 192)
-        letters, capitals = int(letter.sum()), int(upper.sum())
-        run = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 128)
-        capital_words = sum(map(str.isupper, WORD.findall(text))) if capitals > n // 4 else 0
+        # Code points: one byte each in ASCII texts.
+        data = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = kinds[data]
+        letters, capitals = np.count_nonzero(kind), np.count_nonzero(kind == 3)
+        run = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (kind[2:] > 0)
         present = not weights.keys().isdisjoint(words)
         marks = [(i, weights[w]) for i, w in enumerate(words) if w in weights] if present else []
-        second_at = [i for i, w in enumerate(words) if w in second] if marks else []
+        second_at = [] if second.isdisjoint(words) else [i for i, w in enumerate(words) if w in second]
         full = sum(1 for _, (_, whole) in marks if whole)
         near = at = 0
         for i, _ in marks:
@@ -187,7 +200,7 @@ def fit_toxicity(
     About ``sample_rows`` labelled documents, chosen by a hash of their id, outside the held fold, in ``parts``
     parts. The features that the trees see of a part come from the lexicon of the other parts, as they will for new
     texts. The last part calibrates what the trees learn from the others. Null labels and ids are left out; of
-    several labels of one document the higher counts. Without both labels the model is the rate of label 1, or 0
+    several labels of one document the higher counts. Words of more than 64 letters are not learned. Without both labels the model is the rate of label 1, or 0
     without labels.
     """
     marked = (
@@ -231,7 +244,9 @@ def fit_toxicity(
         return ToxicityModel(lexicon, model, None, rate)
     # Two rows keep the ends apart where few rows calibrate.
     ends = judged.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "label double, raw double")
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(judged.union(ends))
+    # Equal raw scores are one weighted row, so that none brings its rows to one task.
+    steps = judged.union(ends).groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("n"))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="n").fit(steps)
     return ToxicityModel(lexicon, model, calibration, rate)
 
 
