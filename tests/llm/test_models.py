@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from replyloom.llm import queries
 from replyloom.llm.elias_fano import EliasFano, Trie, build_trie
-from replyloom.llm.language import identify_language, language_samples
+from replyloom.llm.language import CodeLength, identify_language, language_samples, with_language
 from replyloom.llm.ngram_lm import score_texts, shards_of_units, unit_of
-from replyloom.llm.toxicity import disguised_words, fit_toxicity, score_toxicity
+from replyloom.llm.toxicity import FEATURES, disguised_words, feature_arrays, fit_toxicity, score_toxicity
 
 from .conftest import texts_of
 
@@ -57,6 +57,55 @@ def test_language_uses_no_held_out_rows(small):
     assert all(len(content) <= 1 << 15 for content in language_samples(small).values())
 
 
+def test_language_of_short_texts(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").filter("lang is not null")
+    samples = language_samples(docs)
+    for words, most, least in ((1, 0.01, 0.93), (2, 0.0, 0.99), (3, 0.0, 0.99)):
+        start = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, words), " ")
+        cut = docs.select("doc_id", start.alias("text"), F.col("lang").alias("truth"))
+        rows = with_language(cut, samples).select("truth", "language.*").filter("lang_pred <> 'und'").collect()
+        assert sum(r["rejected"] for r in rows) <= most * len(rows)
+        assert sum(r["truth"] == r["lang_pred"] for r in rows) >= least * len(rows)
+
+
+def test_code_length():
+    model = CodeLength(b"abcabcabcabd")
+    assert model.bits(b"abc") < model.bits(b"abd") < model.bits(b"zzz")
+    assert model.bits(b"") == model.bits(b"a") == 0.0
+    assert CodeLength(b"").bits(b"xy") == pytest.approx(8, abs=0.1)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(10 * i + j, f"l{i}", f"wort{i} satz{i} ende{i} " * 3) for i in range(300) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    samples = language_samples(docs, held_fold=9, all_bytes=300 * 512)
+    assert len(samples) == 300 and max(map(len, samples.values())) <= 512
+
+
+def test_toxicity_features_have_no_gates():
+    def of(text, lexicon):
+        return dict(zip(FEATURES, feature_arrays([text], lexicon)[0][0].as_py()))
+
+    assert of("calm words here " * 20 + " YOU STOP", {})["capital_words"] == pytest.approx(2 / 62)
+    assert of("ПРИВЕТ ТЫ ДУРАК", {})["capitals"] == 1.0 and of("ПРИВЕТ ТЫ ДУРАК", {})["capital_words"] == 1.0
+    assert of("you you you are bad", {})["second_person"] == of("you you you are idiot", {"idiot": 2.0})["second_person"] == 0.6
+    assert of("дааааа", {})["long_runs"] == pytest.approx(100 * 3 / 1)
+    assert of("日本語 です", {})["capitals"] == 0.0 and of("!!! ---", {})["punctuation"] == 0.0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("aAbB éÉßДд!.1日𝐀\n"), max_size=40))
+def test_toxicity_letters_as_python_counts_them(text):
+    found = dict(zip(FEATURES, feature_arrays([text], {})[0][0].as_py()))
+    words = re.findall(r"[^\W\d_]+", text)
+    if words:
+        letters = [c for c in text if c.isalpha()]
+        assert found["capitals"] == pytest.approx(sum(map(str.isupper, letters)) / max(1, len(letters)))
+        assert found["capital_words"] == pytest.approx(sum(map(str.isupper, words)) / len(words))
+        runs = sum(a == b == c and a.isalpha() for a, b, c in zip(text, text[1:], text[2:]))
+        assert found["long_runs"] == pytest.approx(100 * runs / len(words))
+
+
 def test_toxicity_of_held_out_documents(spark):
     rows = queries.op5_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select(F.col("doc_id").alias("id"), "toxic")
