@@ -17,6 +17,16 @@ def quantise(log10):
     return np.clip(np.rint(-log10 * STEPS), 0, 65535).astype("<u2")
 
 
+def in_runs(find, wanted):
+    """``find`` of ``wanted``, asked once for neighbours that are equal."""
+    import numpy as np
+
+    if not len(wanted):
+        return find(wanted)
+    new = np.concatenate(([True], wanted[1:] != wanted[:-1]))
+    return find(wanted[new])[np.cumsum(new) - 1]
+
+
 class EliasFano:
     """A monotone sequence of n numbers below u in about n (2 + log2(u / n)) bits.
 
@@ -114,9 +124,9 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     """Trie of the trigrams of a shard.
 
     ``grams`` are sorted different numbers (w2, w1, w3), 20 bits each, ``counts`` how often they occur.
-    ``hot_bigrams`` maps a w2 to followers (sorted, those of its trigrams here at least), their counts over all shards, and
-    the sum and number of all its followers; those of other w2 are complete here. ``hot_contexts`` maps a (w2, w1) of 40
-    bits to the sum and number of all its trigrams, of which only some are here. Probabilities are interpolated by absolute discounting with the next shorter context.
+    ``hot_bigrams`` maps a w2 to followers (sorted, those of its trigrams here at least, perhaps none), their counts over all
+    shards, and the sum and number of all its followers; those of other w2 are complete here. ``hot_contexts`` maps a (w2, w1)
+    of 40 bits to the sum and number of all its trigrams, of which only some, or none, are here. Probabilities are interpolated by absolute discounting with the next shorter context.
 
     Below each w2 lie its followers w3 and its contexts w1. A trigram is stored as the place of its w3 among the
     followers of w2, which is a much smaller number than a word id.
@@ -135,9 +145,11 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
         pairs, pair_counts = np.concatenate(parts), np.concatenate(sizes)
         order = np.argsort(pairs)
         pairs, pair_counts = pairs[order], pair_counts[order]
-    nodes, starts = np.unique(pairs >> np.uint64(20), return_index=True)
+    nodes = np.union1d(pairs >> np.uint64(20), np.fromiter(hot_bigrams, np.uint64, len(hot_bigrams)))
+    starts = np.searchsorted(pairs, nodes << np.uint64(20))
     sizes = np.diff(np.append(starts, len(pairs)))
-    totals = np.add.reduceat(pair_counts, starts) if len(nodes) else pair_counts[:0]
+    sums = np.concatenate(([0], np.cumsum(pair_counts)))
+    totals = sums[starts + sizes] - sums[starts]
     node_of_pair = np.repeat(np.arange(len(nodes)), sizes)
     types = sizes.copy()
     for w, (_, _, total, size) in hot_bigrams.items():
@@ -148,9 +160,12 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     p2 = (pair_counts - discount) / totals[node_of_pair] + node_back[node_of_pair] * 10 ** unigram_log10[followers]
     del inverse
     # Contexts of each w2.
-    contexts, ctx_starts, ctx_of_gram = np.unique(grams >> np.uint64(20), return_index=True, return_inverse=True)
+    contexts = np.union1d(grams >> np.uint64(20), np.fromiter(hot_contexts, np.uint64, len(hot_contexts)))
+    ctx_starts = np.searchsorted(grams, contexts << np.uint64(20))
     ctx_sizes = np.diff(np.append(ctx_starts, len(grams)))
-    ctx_totals = np.add.reduceat(counts, ctx_starts) if len(contexts) else counts[:0]
+    ctx_of_gram = np.repeat(np.arange(len(contexts)), ctx_sizes)
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    ctx_totals = sums[ctx_starts + ctx_sizes] - sums[ctx_starts]
     for context in hot_contexts:
         at = np.searchsorted(contexts, np.uint64(context))
         ctx_totals[at], ctx_sizes[at] = hot_contexts[context]
@@ -201,7 +216,7 @@ class Trie:
         nodes, _, pairs, contexts, _, grams = self.levels
         node_back, p2, ctx_back, p3 = self.numbers
         out = unigram_log10[w3].astype(np.float64)
-        node = nodes.find(w2)
+        node = in_runs(nodes.find, w2)
         known = np.flatnonzero(node >= 0)
         weight = np.zeros(len(out))
         at = node[known].astype(np.uint64) << np.uint64(20)
@@ -209,7 +224,7 @@ class Trie:
         seen = pair >= 0
         out[known[~seen]] -= node_back[node[known[~seen]]] / STEPS
         out[known[seen]] = p2[pair[seen]] / -STEPS
-        context = contexts.find(at | w1[known].astype(np.uint64))
+        context = in_runs(contexts.find, at | w1[known].astype(np.uint64))
         inside = context >= 0
         if weights:
             weight[known] -= node_back[node[known]] / STEPS

@@ -11,8 +11,9 @@ more than a unit of trigrams, sent to the tasks); the others are named by a 64-b
 unit's trie. As a shard doesn't know how often such a word occurs, it gives what is left of the probability as a + b p,
 and p comes from a join to the counts of all words. Longer words form one class in n-grams, times the word's share of the class.
 
-Middle words with more than ``unit_grams`` trigrams are split into units by their left neighbour, and pairs of neighbours
-with more than that by text. What follows them, which needs counts over all units, is counted before.
+Middle words with more than ``unit_grams`` trigrams are split into units by their left neighbour, pairs of neighbours
+with more than that by what follows them, and trigrams with more than that by text. What follows such a word needs
+counts over all its units; it is counted before, and a shard gets the counts of those followers that its own trigrams have.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 HASHED = -(1 << 63)
 #: log10 of the share of a hashed word that its shard doesn't know.
 NOTHING = -300.0
-PART = "shard int, kind int, payload binary, a long, b long, w long, n long"
+PART = "shard int, kind int, payload binary, b long, w long, n long"
 SUMS = (
     "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "late array<struct<word:long,a:double,b:double>>"
+    "late array<struct<word:long,a:float,b:float>>"
 )
 SUM_NAMES = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "late"]
-FOLLOWERS, CONTEXTS, GRAMS, HEADS = range(4)
+FOLLOWERS, GRAMS, HEADS = range(3)
 
 
 @dataclass
@@ -120,13 +121,17 @@ def frequencies(rows: DataFrame, vocabulary: DataFrame, dictionary: int, hot: fl
     )
 
 
-def shards_of_units(sizes: list[float], shards: int, most: float) -> tuple[list[int], list[int]]:
+def units_needed(sizes: list[float], most: float) -> list[int]:
+    return [max(1, math.ceil(s / most)) for s in sizes]
+
+
+def shards_of_units(sizes: list[float], shards: int, most: float, pieces: list[int] | None = None) -> tuple[list[int], list[int]]:
     """Where each id's units begin in the second list, and the shard of each unit.
 
-    An id has one unit, or as many as keep each below ``most``; the largest units go first, each to the
-    shard with the least.
+    An id has one unit, or as many as keep each below ``most``, if ``pieces`` doesn't tell how many; the largest units go
+    first, each to the shard with the least.
     """
-    pieces = [max(1, math.ceil(s / most)) for s in sizes]
+    pieces = pieces or units_needed(sizes, most)
     begins = [0]
     for p in pieces:
         begins.append(begins[-1] + p)
@@ -191,24 +196,54 @@ def trigrams(stream, lengths):
     return stream[at - 2], stream[at - 1], stream[at], text
 
 
-def unit_of(w1, w2, batch: int, starts, pairs, pair_starts):
+def share_of(w1, units):
+    """Which of a middle word's units has a left neighbour."""
+    return (w1 * 2654435761 % (1 << 32)) % units
+
+
+def unit_of(w1, w2, batch: int, starts, pairs, pair_starts, w3=None, triples=(), triple_starts=None):
     """The unit that trigrams belong to: their middle word, for frequent ones a share of its left neighbours, for
-    frequent ``pairs`` of both a share of the batches. Hashed words follow, in groups."""
+    frequent ``pairs`` of both a share of the followers ``w3``, for frequent ``triples`` (place of the pair and follower)
+    a share of the batches, as for pairs where no followers are given. Hashed words follow, in groups."""
     import numpy as np
 
     id2 = np.maximum(w2, 0)
-    out = starts[id2] + (w1 * 2654435761 % (1 << 32)) % (starts[id2 + 1] - starts[id2])
+    out = starts[id2] + share_of(w1, starts[id2 + 1] - starts[id2])
     hashed = w2 < 0
-    out[hashed] = pair_starts[-1] + ((w2[hashed] >> 20) & 0xFFFF)
+    out[hashed] = (pair_starts if w3 is None else triple_starts)[-1] + ((w2[hashed] >> 20) & 0xFFFF)
+    of_batch = zlib.crc32(struct.pack("<q", batch))
     if len(pairs):
         both = np.where((w1 >= 0) & ~hashed, (w2 << 24) | w1, -1)
         at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
         hot = np.flatnonzero(pairs[at] == both)
         at = at[hot]
-        out[hot] = pair_starts[at] + zlib.crc32(struct.pack("<q", batch)) % (pair_starts[at + 1] - pair_starts[at])
+        share = of_batch if w3 is None else w3[hot]
+        out[hot] = pair_starts[at] + share % (pair_starts[at + 1] - pair_starts[at])
+        if len(triples):
+            all_three = np.where(w3[hot] >= 0, (at << 24) | w3[hot], -1)
+            at = np.minimum(np.searchsorted(triples, all_three), len(triples) - 1)
+            same = np.flatnonzero(triples[at] == all_three)
+            at = at[same]
+            out[hot[same]] = triple_starts[at] + of_batch % (triple_starts[at + 1] - triple_starts[at])
     return out
 
 
+def numbered(values, n_ids: int):
+    """The different codes, sorted, and the place of each value among them; ids by a table, hashes by sorting."""
+    import numpy as np
+
+    has_id = values >= 0
+    ids = values[has_id]
+    table = np.zeros(n_ids, np.int64)
+    table[ids] = 1
+    listed = np.flatnonzero(table)
+    hashes, places = np.unique(values[~has_id], return_inverse=True)
+    table[listed] = np.arange(len(hashes), len(hashes) + len(listed))
+    out = np.empty(len(values), np.int64)
+    out[has_id], out[~has_id] = table[ids], places
+    return np.concatenate((hashes, listed)), out
+
+
 def planes(numbers) -> bytes:
     """32-bit numbers, byte by byte, which packs well."""
     import numpy as np
@@ -262,47 +297,81 @@ def score_texts(
 
         return kept("n-gram words", model_key, ids)
 
+    pieces = units_needed(sizes, unit_grams)
+    hot_units = {i: (sum(pieces[:i]), pieces[i]) for i in hot}
+
     def followers(batches):
-        """How often each word follows each hot one in a batch of learned texts, apart by the word before where that is hot too."""
+        """How often each word follows each hot one in the learned texts of a batch, apart by unit, and by the word before where
+        that is hot too. What stands in other texts only has count 0."""
         import numpy as np
         import pyarrow as pa
 
         ids = loaded_ids()
-        is_hot = np.zeros(n_ids + 1, bool)
-        is_hot[hot] = True
+        first_unit, n_units = np.zeros(n_ids + 1, np.int64), np.zeros(n_ids + 1, np.int64)
+        for i, (first, n) in hot_units.items():
+            first_unit[i], n_units[i] = first, n
         for batch in sliced(batches, "text", batch_bytes):
+            held = batch["held_out"].to_numpy(zero_copy_only=False)
             stream, lengths, keys = token_stream(batch["text"].to_pylist(), ids, known.complete)
-            a, b, w = (codes(x, keys, n_ids) for x in trigrams(stream, lengths)[:3])
-            at = np.flatnonzero(is_hot[np.where(b >= 0, b, n_ids)])
-            a, b, w = a[at], b[at], w[at]
-            a = np.where(is_hot[np.where(a >= 0, a, n_ids)], a, -1)
-            order = np.lexsort((w, a, b))
-            a, b, w = a[order], b[order], w[order]
+            a, b, w, text = trigrams(stream, lengths)
+            # Only words with ids are hot.
+            at = np.flatnonzero(n_units[np.minimum(b, n_ids)])
+            a, b, w = codes(a[at], keys, n_ids), b[at], codes(w[at], keys, n_ids)
+            learned = ~held[text[at]]
+            unit = first_unit[b] + share_of(a, n_units[b])
+            a = np.where(n_units[np.where(a >= 0, a, n_ids)] > 0, a, -1)
+            order = np.lexsort((w, a, unit))
+            a, b, w, unit = a[order], b[order], w[order], unit[order]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (w[1:] != w[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (unit[1:] != unit[:-1]) | (w[1:] != w[:-1])
             first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(a)))
-            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (a, b, w)] + [pa.array(n.astype(np.int64))], names=["a", "b", "w", "n"])
+            n = np.diff(np.concatenate(([0], np.cumsum(learned[order])))[np.append(first, len(a))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[first]) for x in (a, b, unit, w)] + [pa.array(n.astype(np.int64))], names=["a", "b", "unit", "w", "n"]
+            )
 
-    hot_pairs: list[tuple[int, int, int]] = []
+    # Frequent words, pairs and trigrams, each with its count and the number of its different followers.
+    hot_totals: dict[int, tuple[int, int]] = {}
+    pairs: list[tuple] = []
+    triples: list[tuple] = []
+    loads = list(sizes)
     if hot:
-        counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(followers, "a long, b long, w long, n long")
-        counted = cut_lineage(counted.groupBy("a", "b", "w").agg(F.sum("n").alias("n")))
-        most = counted.filter("a >= 0").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") * share > unit_grams)
-        hot_pairs = sorted((r["b"], r["a"], r["n"]) for r in most.collect())
-        for b, _, n in hot_pairs:
-            sizes[b] = max(0.0, sizes[b] - share * n)
-    begins, unit_shards = shards_of_units(sizes + [share * n for _, _, n in hot_pairs], shards, unit_grams)
-    sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, [(b << 24) | a for b, a, _ in hot_pairs]))
+        counted = rows.select("text", "held_out").mapInArrow(followers, "a long, b long, unit long, w long, n long")
+        counted = cut_lineage(counted.groupBy("a", "b", "unit", "w").agg(F.sum("n").alias("n")))
+        follow_counts = counted.groupBy("b", "w").agg(F.sum("n").alias("n")).filter("n > 0")
+        both = F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")
+        hot_totals = {r["b"]: (r["n"], r["types"]) for r in follow_counts.groupBy("b").agg(*both).collect()}
+        before = counted.filter("a >= 0 and n > 0")
+        pairs = sorted(
+            (r["b"], r["a"], r["n"], r["types"])
+            for r in before.groupBy("a", "b").agg(*both).filter(F.col("n") * share > unit_grams).collect()
+        )
+        place = {(b, a): i for i, (b, a, *_) in enumerate(pairs)}
+        triples = sorted(
+            (place[r["b"], r["a"]], r["w"], r["n"]) for r in before.filter((F.col("n") * share > unit_grams) & (F.col("w") >= 0)).collect()
+        )
+        for b, _, n, _ in pairs:
+            loads[b] = max(0.0, loads[b] - share * n)
+        pieces += units_needed([share * n for _, _, n, _ in pairs], unit_grams)
+        loads += [share * n for _, _, n, _ in pairs]
+        for i, _, n in triples:
+            loads[n_ids + i] = max(0.0, loads[n_ids + i] - share * n)
+        pieces += units_needed([share * n for _, _, n in triples], unit_grams)
+        loads += [share * n for _, _, n in triples]
+    begins, unit_shards = shards_of_units(loads, shards, unit_grams, pieces)
+    sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, pairs, triples, hot_totals))
 
     def loaded():
-        """Begins and shards of units, unigrams, hot pairs and where their units begin."""
+        """Begins and shards of units, unigrams, and what :func:`unit_of` wants to know of pairs and triples."""
         import numpy as np
 
         def arrays():
-            starts, of_units, log10, pairs = sent.value
+            starts, of_units, log10, pairs, triples, _ = sent.value
             starts = np.array(starts, np.int64)
-            return starts, np.array(of_units, np.int32), np.asarray(log10), np.array(pairs, np.int64), starts[n_ids:]
+            pair_codes = np.array([(b << 24) | a for b, a, *_ in pairs], np.int64)
+            triple_codes = np.array([(i << 24) | w for i, w, _ in triples], np.int64)
+            of_pairs, of_triples = starts[n_ids:n_ids + len(pairs) + 1], starts[n_ids + len(pairs):]
+            return starts, np.array(of_units, np.int32), np.asarray(log10), (pair_codes, of_pairs), (triple_codes, of_triples)
 
         return kept("n-gram units", model_key, arrays)
 
@@ -314,7 +383,7 @@ def score_texts(
         from pyspark import TaskContext
 
         ids = loaded_ids()
-        starts, of_units, log10, pairs, pair_starts = loaded()
+        starts, of_units, log10, of_pairs, of_triples = loaded()
         squeeze = zstandard.ZstdCompressor(level=3).compress
         name = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, "text", batch_bytes):
@@ -338,9 +407,9 @@ def score_texts(
                 writer.write_batch(head)
             out.append((name % shards, HEADS, sink.getvalue().to_pybytes()))
             # Trigrams, by shard; learned and held-out texts stay apart by a mark per text.
-            code1, code2 = codes(w1, keys, n_ids), codes(w2, keys, n_ids)
-            unit = unit_of(code1, code2, name, starts, pairs, pair_starts)
-            shard = of_units[np.minimum(unit, pair_starts[-1] - 1)]
+            code1, code2, code3 = (codes(w, keys, n_ids) for w in (w1, w2, w3))
+            unit = unit_of(code1, code2, name, starts, *of_pairs, code3, *of_triples)
+            shard = of_units[np.minimum(unit, starts[-1] - 1)]
             hashed = code2 < 0
             shard[hashed] = (code2[hashed] - HASHED) % shards
             order = np.argsort(shard, kind="stable")
@@ -363,7 +432,7 @@ def score_texts(
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()),
-                 *[pa.nulls(len(out), pa.int64())] * 4], names=["shard", "kind", "payload", "a", "b", "w", "n"],
+                 *[pa.nulls(len(out), pa.int64())] * 3], names=["shard", "kind", "payload", "b", "w", "n"],
             )
 
     def scored(batches):
@@ -376,9 +445,14 @@ def score_texts(
 
         # What dealing out needed is not needed here.
         worker_cache("n-gram words").clear()
-        starts, _, log10, hot_codes, pair_starts = loaded()
+        starts, _, log10, of_pairs, of_triples = loaded()
+        *_, pairs, triples, hot_totals = sent.value
+        pair_words = np.array([(a, b) for b, a, *_ in pairs], np.int64).reshape(-1, 2)
+        triple_words = np.array([(pairs[i][1], pairs[i][0], w) for i, w, _ in triples], np.int64).reshape(-1, 3)
+        triple_counts = np.array([n for *_, n in triples], np.int64)
+        hot_words = np.array(sorted(hot_totals), np.int64)
         expand = zstandard.ZstdDecompressor().decompress
-        late_type = pa.list_(pa.struct([("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64())]))
+        late_type = pa.list_(pa.struct([("word", pa.int64()), ("a", pa.float32()), ("b", pa.float32())]))
 
         def grams_of(payload):
             data = expand(payload)
@@ -405,56 +479,57 @@ def score_texts(
             same = np.flatnonzero(wanted[at] == values)
             return same, at[same]
 
-        def of_unit(a, b, key, of_class, use, hot_words, hot_contexts):
+        def places(values, listed):
+            """Places of values among the sorted ones listed, and which of them are there."""
+            at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
+            return at, listed[at] == values
+
+        def of_unit(a, b, key, of_class, use, follow):
             """log10 of each trigram's probability, and of the weight of the last word's own."""
-            c = np.where(of_class, RARE, key)
-            ua, a = np.unique(a, return_inverse=True)
-            ub, b = np.unique(b, return_inverse=True)
-            words_here = {w: x for w, x in hot_words.items() if among(np.array([w]), ub)[0].size}
-            contexts_here = {
-                p: x for p, x in hot_contexts.items() if among(np.array([p[0]]), ua)[0].size and among(np.array([p[1]]), ub)[0].size
-            }
-            # One follower of each hot word and pair stays where none is asked for, so that they are in the trie.
-            more = [x[0][0] for x in (*words_here.values(), *contexts_here.values())]
-            uc, c_more = np.unique(np.concatenate((c, np.array(more, np.int64))), return_inverse=True)
-            c = c_more[:len(c)]
+            ua, a = numbered(a, n_ids)
+            ub, b = numbered(b, n_ids)
+            uc, c = numbered(np.where(of_class, RARE, key), n_ids)
             if max(len(ua), len(ub), len(uc)) > IDS:
                 raise ValueError("a unit has too many different words; unit_grams must be smaller")
-            found, n = np.unique(((b[use] << 40) | (a[use] << 20) | c[use]).astype(np.uint64), return_counts=True)
+            asked, which = np.unique((b << 40) | (a << 20) | c, return_inverse=True)
+            n = np.bincount(which[use], minlength=len(asked))
+            if len(triple_words):
+                (x, in_a), (y, in_b), (z, in_c) = (places(triple_words[:, i], u) for i, u in enumerate((ua, ub, uc)))
+                at, there = places((y << 40) | (x << 20) | z, asked)
+                there &= in_a & in_b & in_c
+                n[at[there]] = triple_counts[there]
             split, contexts = {}, {}
-            for w, (follow, counts) in words_here.items():
-                same, at = among(follow, uc)
-                split[int(np.searchsorted(ub, w))] = (at, counts[same], int(counts.sum()), len(follow))
-            for (before, w), (follow, counts) in contexts_here.items():
-                same, at = among(follow, uc)
-                here = (int(np.searchsorted(ub, w)) << 20) | int(np.searchsorted(ua, before))
-                contexts[here] = (int(counts.sum()), len(follow))
-                other = (found >> np.uint64(20)) != here
-                found = np.concatenate((found[other], ((here << 20) | at).astype(np.uint64)))
-                n = np.concatenate((n[other], counts[same]))
-            if contexts:
-                order = np.argsort(found)
-                found, n = found[order], n[order]
+            at, there = places(hot_words, ub)
+            for w, node in zip(hot_words[there].tolist(), at[there].tolist()):
+                words, counts = follow.get(w, (hot_words[:0], hot_words[:0]))
+                followers, known_here = places(words, uc)
+                split[node] = (followers[known_here], counts[known_here], *hot_totals[w])
+            if len(pairs):
+                (x, in_a), (y, in_b) = (places(pair_words[:, i], u) for i, u in enumerate((ua, ub)))
+                for i in np.flatnonzero(in_a & in_b).tolist():
+                    contexts[int(y[i] << 20 | x[i])] = pairs[i][2:]
             of_words = np.where(uc >= 0, log10[np.maximum(uc, 0)], NOTHING)
             with tempfile.TemporaryFile() as file:
-                file.write(build_trie(found, n, split, of_words, discount, contexts))
+                file.write(build_trie(asked[n > 0].astype(np.uint64), n[n > 0], split, of_words, discount, contexts))
                 file.flush()
-                del found, n
+                del n
                 trie = Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
-                return trie.log10(a, b, c, of_words, weights=True)
-
-        def grouped(rows_of, names):
-            """Followers (sorted) and counts by hot word or pair."""
-            columns = [np.concatenate([x[i] for x in rows_of]) for i in range(4)] if rows_of else [np.zeros(0, np.int64)] * 4
-            order = np.lexsort((columns[2], columns[0], columns[1])) if names == 2 else np.lexsort((columns[2], columns[1]))
-            a, b, w, n = (x[order] for x in columns)
-            cut = np.flatnonzero((b[1:] != b[:-1]) | ((a[1:] != a[:-1]) if names == 2 else False)) + 1
-            edges = [0, *cut.tolist(), len(b)] if len(b) else [0]
-            return {
-                ((int(a[x]), int(b[x])) if names == 2 else int(b[x])): (w[x:y], n[x:y]) for x, y in zip(edges, edges[1:])
-            }
-
-        def of_shard(follow, contexts, grams):
+                # Each different trigram is asked for once.
+                word = (1 << 20) - 1
+                found, weight = trie.log10((asked >> 20) & word, asked >> 40, asked & word, of_words, weights=True)
+                return found[which], weight[which]
+
+        def grouped(rows_of):
+            """Followers (sorted) and counts by hot word."""
+            if not rows_of:
+                return {}
+            b, w, n = (np.concatenate([x[i] for x in rows_of]) for i in range(3))
+            order = np.lexsort((w, b))
+            b, w, n = b[order], w[order], n[order]
+            edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+            return {int(b[x]): (w[x:y], n[x:y]) for x, y in zip(edges, edges[1:])}
+
+        def of_shard(follow, grams):
             if not grams:
                 return
             heads = [struct.unpack_from("<QQQ", expand(payload)) for payload in grams]
@@ -469,12 +544,13 @@ def score_texts(
                 end, last = at + len(columns[0]), done + len(place)
                 for column, values in zip((w1, w2, w3, of_class), columns):
                     column[at:end] = values
-                units[at:end] = unit_of(columns[0], columns[1], batch, starts, hot_codes, pair_starts)
+                last_words = np.where(columns[3], RARE, columns[2])
+                units[at:end] = unit_of(columns[0], columns[1], batch, starts, *of_pairs, last_words, *of_triples)
                 batch_of[done:last], place_of[done:last] = batch, place
                 text[at:end] = np.repeat(np.arange(done, last, dtype=np.int32), counts)
                 learned[at:end] = np.repeat(~held, counts)
                 at, done = end, last
-            hot_words, hot_contexts = grouped(follow, 1), grouped(contexts, 2)
+            follow = grouped(follow)
             order = np.argsort(units, kind="stable")
             units = units[order]
             edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total)
@@ -489,7 +565,7 @@ def score_texts(
                 mine = order[begin:end]
                 begin = end
                 key, in_class, texts_here = w3[mine], of_class[mine], text[mine]
-                found, weight = of_unit(w1[mine], w2[mine], key, in_class, learned[mine], hot_words, hot_contexts)
+                found, weight = of_unit(w1[mine], w2[mine], key, in_class, learned[mine], follow)
                 scores += np.bincount(texts_here, weights=np.where(key >= 0, found, 0.0), minlength=all_texts)
                 rare = np.flatnonzero(key < 0)
                 found, weight, in_class = 10 ** found[rare], 10 ** weight[rare], in_class[rare]
@@ -499,7 +575,10 @@ def score_texts(
             of_text, *fields = (np.concatenate(x) for x in zip(*late))
             order = np.argsort(of_text, kind="stable")
             ends = np.cumsum(np.bincount(of_text, minlength=all_texts))
-            values = pa.StructArray.from_arrays([pa.array(x[order]) for x in fields], names=["word", "a", "b"])
+            words, *weights = (x[order] for x in fields)
+            values = pa.StructArray.from_arrays(
+                [pa.array(words), *[pa.array(x.astype(np.float32)) for x in weights]], names=["word", "a", "b"]
+            )
             zero = pa.array(np.zeros(all_texts, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch_of), pa.array(place_of), pa.nulls(all_texts, pa.int64()), pa.nulls(all_texts, pa.bool_()), zero, zero,
@@ -517,33 +596,40 @@ def score_texts(
                 if marks[at] != shard:
                     if state:
                         yield from of_shard(*state)
-                    shard, state = marks[at], ([], [], [])
+                    shard, state = marks[at], ([], [])
                 part, kind = batch.slice(at, end - at), kinds[at]
                 if kind == HEADS:
                     for data in part["payload"].to_pylist():
                         for head in pa.ipc.open_stream(data):
                             yield head.append_column("late", pa.nulls(head.num_rows, late_type))
                 elif kind == GRAMS:
-                    state[2].extend(part["payload"].to_pylist())
+                    state[GRAMS].extend(part["payload"].to_pylist())
                 else:
-                    state[kind].append([part[c].to_numpy() for c in ("a", "b", "w", "n")])
+                    state[FOLLOWERS].append([part[c].to_numpy() for c in ("b", "w", "n")])
                 at = end
         if state:
             yield from of_shard(*state)
 
     parts = rows.mapInArrow(dealt, PART)
     if hot:
-        nothing = F.lit(None).cast("binary").alias("payload")
-        shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
-        places = {(i, s) for i in hot for s in shards_of(i)} | {(b, s) for i, (b, _, _) in enumerate(hot_pairs) for s in shards_of(n_ids + i)}
-        units = spark.createDataFrame(sorted(places), "hot long, shard int")
-        follow = counted.groupBy("b", "w").agg(F.sum("n").alias("n")).join(F.broadcast(units), F.col("b") == F.col("hot"))
-        parts = parts.unionByName(follow.select("shard", F.lit(FOLLOWERS).alias("kind"), nothing, F.lit(-1).cast("long").alias("a"), "b", "w", "n"))
-        if hot_pairs:
-            places = [(a, b, s) for i, (b, a, _) in enumerate(hot_pairs) for s in sorted(shards_of(n_ids + i))]
-            units = spark.createDataFrame(places, "a long, b long, shard int")
-            contexts = counted.join(F.broadcast(units), ["a", "b"])
-            parts = parts.unionByName(contexts.select("shard", F.lit(CONTEXTS).alias("kind"), nothing, "a", "b", "w", "n"))
+        # A shard is sent the counts of followers that its trigrams have.
+        of_words = [(u, unit_shards[u]) for i in hot for u in range(begins[i], begins[i + 1])]
+        of_pairs = [(u, unit_shards[u]) for u in range(begins[n_ids], begins[n_ids + len(pairs)])]
+        asked, unit = counted, F.col("unit")
+        if pairs:
+            listed = [(a, b, begins[n_ids + i], pieces[n_ids + i]) for i, (b, a, *_) in enumerate(pairs)]
+            asked = asked.join(spark.createDataFrame(listed, "a long, b long, first long, units long"), ["a", "b"], "left")
+            unit = F.coalesce(F.col("first") + F.pmod("w", "units"), unit)
+        asked = asked.select(unit.alias("unit"), "b", "w").join(spark.createDataFrame(of_words + of_pairs, "unit long, shard int"), "unit")
+        asked = asked.select("shard", "b", "w")
+        if triples:
+            shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
+            listed = [(s, pairs[p][0], w) for i, (p, w, _) in enumerate(triples) for s in sorted(shards_of(n_ids + len(pairs) + i))]
+            asked = asked.unionByName(spark.createDataFrame(listed, "shard int, b long, w long"))
+        follow = asked.join(follow_counts, ["b", "w"]).groupBy("b", "w", "shard").agg(F.max("n").alias("n"))
+        parts = parts.unionByName(
+            follow.select("shard", F.lit(FOLLOWERS).alias("kind"), F.lit(None).cast("binary").alias("payload"), "b", "w", "n")
+        )
     together = parts.repartition("shard").sortWithinPartitions("shard", "kind")
     sums = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
