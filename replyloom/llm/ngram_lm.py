@@ -32,14 +32,13 @@ from replyloom.llm.common import cut_lineage, fold, kept, sliced, texts, worker_
 from replyloom.llm.elias_fano import IDS, Trie, build_trie
 
 START, END, RARE, FIRST = 0, 1, 2, 3
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 HASHED = -(1 << 63)
 #: log10 of the share of a hashed word that its shard doesn't know.
 NOTHING = -300.0
 PART = "shard int, kind int, payload binary, b long, w long, n long"
 SUMS = (
-    "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "late array<struct<word:long,a:float,b:float>>"
+    "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score float, "
+    "late struct<word:array<long>,a:array<float>,b:array<float>>"
 )
 SUM_NAMES = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "late"]
 FOLLOWERS, GRAMS, HEADS = range(3)
@@ -71,6 +70,19 @@ def learned_texts(docs: DataFrame, folds: int, held_fold: int) -> DataFrame:
     return texts(docs).withColumn("held_out", F.coalesce(fold("doc_id", folds) == held_fold, F.lit(False)))
 
 
+def words_of(column):
+    """The words of an Arrow array of texts in a row, as bytes with A-Z in lower case, and the place of each one's text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # A slice is copied first: ascii_lower takes a slice's texts from the wrong place.
+    lowered = pc.ascii_lower(pa.array(column.to_pylist(), pa.large_string()))
+    split = pc.ascii_split_whitespace(lowered)
+    words, texts_ = split.flatten().cast(pa.large_binary()), pc.list_parent_indices(split)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), texts_.filter(full).to_numpy()
+
+
 def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
     """``word, n``: how often each word occurs in the learned texts."""
 
@@ -86,11 +98,11 @@ def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
 
         counts: Counter = Counter()
         for batch in sliced(batches, "text"):
-            for text in batch["text"].to_pylist():
-                counts.update(text.encode().translate(LOWER).split())
-                if len(counts) > most:
-                    yield flushed(counts)
-                    counts.clear()
+            found = words_of(batch["text"])[0].value_counts()
+            counts.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
+            if len(counts) > most:
+                yield flushed(counts)
+                counts.clear()
         if counts:
             yield flushed(counts)
 
@@ -145,8 +157,8 @@ def shards_of_units(sizes: list[float], shards: int, most: float, pieces: list[i
     return begins, chosen
 
 
-def token_stream(values: list[str], ids: dict, complete: bool):
-    """Codes of the words of texts in a row, each text with two starts before and an end after; words of each text; keys.
+def token_stream(column, ids: dict, complete: bool):
+    """Codes of the words of an Arrow array of texts in a row, each text with two starts before and an end after; words of each text; keys.
 
     A word with an id has that; others have the number of ids and their place in the keys, two columns: the word's hash, and
     its code in n-grams, which is the hash or, for words of the class, that of the class.
@@ -156,24 +168,23 @@ def token_stream(values: list[str], ids: dict, complete: bool):
     import numpy as np
     import xxhash
 
-    words: list = []
-    lengths = np.empty(len(values), np.int64)
-    for i, text in enumerate(values):
-        found = text.encode().translate(LOWER).split()
-        lengths[i] = len(found)
-        words += found
-    of_words = np.fromiter(map(ids.get, words, itertools.repeat(RARE)), np.int64, len(words))
-    rare = np.flatnonzero(of_words == RARE)
-    listed = [words[i] for i in rare.tolist()]
+    words, text_of_word = words_of(column)
+    n_texts = len(column)
+    lengths = np.bincount(text_of_word, minlength=n_texts)
+    # Each different word is looked up once.
+    coded = words.dictionary_encode()
+    listed = coded.dictionary.to_pylist()
+    codes_of = np.fromiter(map(ids.get, listed, itertools.repeat(RARE)), np.int64, len(listed))
+    rare = np.flatnonzero(codes_of == RARE)
+    listed = [listed[i] for i in rare.tolist()]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w, 42) for w in listed), np.uint64, len(listed)).view(np.int64) | HASHED
     hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     in_class = np.array([complete or len(listed[i]) > 64 for i in first.tolist()], bool)
-    of_words[rare] = which + len(ids) + FIRST
-    stream = np.full(len(words) + 3 * len(values), START, np.int64)
-    text_of_word = np.repeat(np.arange(len(values)), lengths)
-    stream[np.arange(len(words)) + 3 * text_of_word + 2] = of_words
-    stream[np.cumsum(lengths) + 3 * np.arange(len(values)) + 2] = END
+    codes_of[rare] = which + len(ids) + FIRST
+    stream = np.full(len(words) + 3 * n_texts, START, np.int64)
+    stream[np.arange(len(words)) + 3 * text_of_word + 2] = codes_of[coded.indices.to_numpy()]
+    stream[np.cumsum(lengths) + 3 * np.arange(n_texts) + 2] = END
     return stream, lengths, np.stack([hashes, np.where(in_class, RARE, hashes)])
 
 
@@ -244,6 +255,13 @@ def numbered(values, n_ids: int):
     return np.concatenate((hashes, listed)), out
 
 
+def local_table(spark, names: list[str], rows: list[tuple]) -> DataFrame:
+    """Rows of integers as a table whose size Spark knows, so that it broadcasts a small one and shuffles to a large one."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=names))
+
+
 def planes(numbers) -> bytes:
     """32-bit numbers, byte by byte, which packs well."""
     import numpy as np
@@ -312,7 +330,7 @@ def score_texts(
             first_unit[i], n_units[i] = first, n
         for batch in sliced(batches, "text", batch_bytes):
             held = batch["held_out"].to_numpy(zero_copy_only=False)
-            stream, lengths, keys = token_stream(batch["text"].to_pylist(), ids, known.complete)
+            stream, lengths, keys = token_stream(batch["text"], ids, known.complete)
             a, b, w, text = trigrams(stream, lengths)
             # Only words with ids are hot.
             at = np.flatnonzero(n_units[np.minimum(b, n_ids)])
@@ -387,9 +405,9 @@ def score_texts(
         squeeze = zstandard.ZstdCompressor(level=3).compress
         name = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, "text", batch_bytes):
-            values = batch["text"].to_pylist()
+            n_texts = batch.num_rows
             held = batch["held_out"].to_numpy(zero_copy_only=False)
-            stream, lengths, keys = token_stream(values, ids, known.complete)
+            stream, lengths, keys = token_stream(batch["text"], ids, known.complete)
             w1, w2, w3, text = trigrams(stream, lengths)
             out: list[tuple] = []
             # Heads: what needs no shard.
@@ -398,8 +416,8 @@ def score_texts(
             firsts = np.cumsum(lengths + 1) - lengths - 1
             known_words = np.add.reduceat(by_id.astype(np.int64), firsts) * bool(known.learned)
             head = pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(values), name)), pa.array(np.arange(len(values), dtype=np.int32)), batch["doc_id"], batch["held_out"],
-                 pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(len(values)))],
+                [pa.array(np.full(n_texts, name)), pa.array(np.arange(n_texts, dtype=np.int32)), batch["doc_id"], batch["held_out"],
+                 pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(n_texts, np.float32))],
                 names=SUM_NAMES[:-1],
             )
             sink = pa.BufferOutputStream()
@@ -452,7 +470,7 @@ def score_texts(
         triple_counts = np.array([n for *_, n in triples], np.int64)
         hot_words = np.array(sorted(hot_totals), np.int64)
         expand = zstandard.ZstdDecompressor().decompress
-        late_type = pa.list_(pa.struct([("word", pa.int64()), ("a", pa.float32()), ("b", pa.float32())]))
+        late_type = pa.struct([("word", pa.list_(pa.int64())), ("a", pa.list_(pa.float32())), ("b", pa.list_(pa.float32()))])
 
         def grams_of(payload):
             data = expand(payload)
@@ -576,13 +594,15 @@ def score_texts(
             order = np.argsort(of_text, kind="stable")
             ends = np.cumsum(np.bincount(of_text, minlength=all_texts))
             words, *weights = (x[order] for x in fields)
+            edges = pa.array(np.append(0, ends).astype(np.int32))
             values = pa.StructArray.from_arrays(
-                [pa.array(words), *[pa.array(x.astype(np.float32)) for x in weights]], names=["word", "a", "b"]
+                [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (words, *[x.astype(np.float32) for x in weights])],
+                names=["word", "a", "b"],
             )
             zero = pa.array(np.zeros(all_texts, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch_of), pa.array(place_of), pa.nulls(all_texts, pa.int64()), pa.nulls(all_texts, pa.bool_()), zero, zero,
-                 pa.array(np.zeros(all_texts)), pa.array(scores), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)],
+                 pa.array(np.zeros(all_texts)), pa.array(scores.astype(np.float32)), values],
                 names=SUM_NAMES,
             )
 
@@ -618,10 +638,10 @@ def score_texts(
         asked, unit = counted, F.col("unit")
         if pairs:
             listed = [(a, b, begins[n_ids + i], pieces[n_ids + i]) for i, (b, a, *_) in enumerate(pairs)]
-            asked = asked.join(spark.createDataFrame(listed, "a long, b long, first long, units long"), ["a", "b"], "left")
+            asked = asked.join(local_table(spark, ["a", "b", "first", "units"], listed), ["a", "b"], "left")
             unit = F.coalesce(F.col("first") + F.pmod("w", "units"), unit)
-        asked = asked.select(unit.alias("unit"), "b", "w").join(spark.createDataFrame(of_words + of_pairs, "unit long, shard int"), "unit")
-        asked = asked.select("shard", "b", "w")
+        asked = asked.select(unit.alias("unit"), "b", "w").join(local_table(spark, ["unit", "shard"], of_words + of_pairs), "unit")
+        asked = asked.select(F.col("shard").cast("int").alias("shard"), "b", "w")
         if triples:
             shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
             listed = [(s, pairs[p][0], w) for i, (p, w, _) in enumerate(triples) for s in sorted(shards_of(n_ids + len(pairs) + i))]
@@ -633,12 +653,15 @@ def score_texts(
     together = parts.repartition("shard").sortWithinPartitions("shard", "kind")
     sums = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.flatten(F.collect_list("late")).alias("late"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.collect_list("late").alias("late"),
     )
     # A row for each text, under a key that no hashed word has, and one for each of its words without id.
-    own = F.struct(F.xxhash64("batch", "place").bitwiseAND(F.lit(-1 - HASHED)).alias("word"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    key = F.xxhash64("batch", "place").bitwiseAND(F.lit(-1 - HASHED))
+    own = F.struct(F.array(key).alias("word"), *[F.array(F.lit(x).cast("float")).alias(c) for c, x in (("a", 1.0), ("b", 0.0))])
     is_own = F.col("word") >= 0
-    exploded = sums.select("batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", F.inline(F.concat(F.array(own), "late")))
+    columns = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    exploded = sums.select(*columns, F.explode(F.concat(F.array(own), "late")).alias("late"))
+    exploded = exploded.select(*columns, F.inline(F.arrays_zip(*[F.col("late")[c].alias(c) for c in ("word", "a", "b")])))
     exploded = exploded.withColumns({c: F.when(is_own, F.col(c)) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")})
     lookup = vocabulary.groupBy(F.xxhash64("word").bitwiseOR(F.lit(HASHED)).alias("code")).agg(F.sum("n").alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))

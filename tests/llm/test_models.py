@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from replyloom.llm import queries
 from replyloom.llm.elias_fano import EliasFano, Trie, build_trie
 from replyloom.llm.language import CodeLength, identify_language, language_samples, with_language
-from replyloom.llm.ngram_lm import score_texts, shards_of_units, unit_of
+from replyloom.llm.ngram_lm import score_texts, shards_of_units, unit_of, words_of
 from replyloom.llm.toxicity import FEATURES, disguised_words, feature_arrays, fit_toxicity, score_toxicity
 
 from .conftest import texts_of
@@ -241,6 +241,16 @@ def test_scores_equal_a_plain_model(spark, odd, small):
                 assert abs(ours[6] - theirs[6]) <= 3e-4 * theirs[2]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB É\t\x0b\x0c\r\n\x1c\x85日"), max_size=12), max_size=6), st.integers(0, 6))
+def test_words_of_slices(texts, start):
+    import pyarrow as pa
+
+    words, places = words_of(pa.array(texts, pa.string()).slice(min(start, len(texts))))
+    expected = [(w.encode(), i) for i, t in enumerate(texts[start:]) for w in tokens_of(t)[:-1]]
+    assert list(zip(words.to_pylist(), places.tolist())) == expected
+
+
 def test_rare_words_are_a_class(spark, small):
     texts = texts_of(small)
     plain = Plain([tokens_of(t) for i, t in texts if not is_held(i)])
