@@ -38,10 +38,10 @@ NOTHING = -300.0
 PART = "shard int, kind int, payload binary, b long, w long, n long"
 SUMS = (
     "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score float, "
-    "late struct<word:array<long>,a:array<float>,b:array<float>>"
+    "word long, a float, b float"
 )
-SUM_NAMES = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "late"]
-FOLLOWERS, GRAMS, HEADS = range(3)
+SUM_NAMES = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "a", "b"]
+FOLLOWERS, TYPES, GRAMS, HEADS = range(4)
 
 
 @dataclass
@@ -348,22 +348,18 @@ def score_texts(
                 [pa.array(x[first]) for x in (a, b, unit, w)] + [pa.array(n.astype(np.int64))], names=["a", "b", "unit", "w", "n"]
             )
 
-    # Frequent words, pairs and trigrams, each with its count and the number of its different followers.
-    hot_totals: dict[int, tuple[int, int]] = {}
+    # Frequent words and trigrams with their counts, pairs also with the number of their different followers.
+    middles = [known.learned, 0, known.class_tokens, *known.counts]
+    hot_counts = {i: middles[i] for i in hot}
     pairs: list[tuple] = []
     triples: list[tuple] = []
     loads = list(sizes)
     if hot:
         counted = rows.select("text", "held_out").mapInArrow(followers, "a long, b long, unit long, w long, n long")
         counted = cut_lineage(counted.groupBy("a", "b", "unit", "w").agg(F.sum("n").alias("n")))
-        follow_counts = counted.groupBy("b", "w").agg(F.sum("n").alias("n")).filter("n > 0")
-        both = F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")
-        hot_totals = {r["b"]: (r["n"], r["types"]) for r in follow_counts.groupBy("b").agg(*both).collect()}
         before = counted.filter("a >= 0 and n > 0")
-        pairs = sorted(
-            (r["b"], r["a"], r["n"], r["types"])
-            for r in before.groupBy("a", "b").agg(*both).filter(F.col("n") * share > unit_grams).collect()
-        )
+        by_pair = before.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
+        pairs = sorted((r["b"], r["a"], r["n"], r["types"]) for r in by_pair.filter(F.col("n") * share > unit_grams).collect())
         place = {(b, a): i for i, (b, a, *_) in enumerate(pairs)}
         triples = sorted(
             (place[r["b"], r["a"]], r["w"], r["n"]) for r in before.filter((F.col("n") * share > unit_grams) & (F.col("w") >= 0)).collect()
@@ -377,7 +373,7 @@ def score_texts(
         pieces += units_needed([share * n for _, _, n in triples], unit_grams)
         loads += [share * n for _, _, n in triples]
     begins, unit_shards = shards_of_units(loads, shards, unit_grams, pieces)
-    sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, pairs, triples, hot_totals))
+    sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, pairs, triples, hot_counts))
 
     def loaded():
         """Begins and shards of units, unigrams, and what :func:`unit_of` wants to know of pairs and triples."""
@@ -418,7 +414,7 @@ def score_texts(
             head = pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n_texts, name)), pa.array(np.arange(n_texts, dtype=np.int32)), batch["doc_id"], batch["held_out"],
                  pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(n_texts, np.float32))],
-                names=SUM_NAMES[:-1],
+                names=SUM_NAMES[:-3],
             )
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as writer:
@@ -464,13 +460,13 @@ def score_texts(
         # What dealing out needed is not needed here.
         worker_cache("n-gram words").clear()
         starts, _, log10, of_pairs, of_triples = loaded()
-        *_, pairs, triples, hot_totals = sent.value
+        *_, pairs, triples, hot_counts = sent.value
         pair_words = np.array([(a, b) for b, a, *_ in pairs], np.int64).reshape(-1, 2)
         triple_words = np.array([(pairs[i][1], pairs[i][0], w) for i, w, _ in triples], np.int64).reshape(-1, 3)
         triple_counts = np.array([n for *_, n in triples], np.int64)
-        hot_words = np.array(sorted(hot_totals), np.int64)
+        hot_words = np.array(sorted(hot_counts), np.int64)
         expand = zstandard.ZstdDecompressor().decompress
-        late_type = pa.struct([("word", pa.list_(pa.int64())), ("a", pa.list_(pa.float32())), ("b", pa.list_(pa.float32()))])
+        no_words = [("word", pa.int64()), ("a", pa.float32()), ("b", pa.float32())]
 
         def grams_of(payload):
             data = expand(payload)
@@ -502,7 +498,7 @@ def score_texts(
             at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
             return at, listed[at] == values
 
-        def of_unit(a, b, key, of_class, use, follow):
+        def of_unit(a, b, key, of_class, use, follow, types):
             """log10 of each trigram's probability, and of the weight of the last word's own."""
             ua, a = numbered(a, n_ids)
             ub, b = numbered(b, n_ids)
@@ -521,7 +517,7 @@ def score_texts(
             for w, node in zip(hot_words[there].tolist(), at[there].tolist()):
                 words, counts = follow.get(w, (hot_words[:0], hot_words[:0]))
                 followers, known_here = places(words, uc)
-                split[node] = (followers[known_here], counts[known_here], *hot_totals[w])
+                split[node] = (followers[known_here], counts[known_here], hot_counts[w], types[w])
             if len(pairs):
                 (x, in_a), (y, in_b) = (places(pair_words[:, i], u) for i, u in enumerate((ua, ub)))
                 for i in np.flatnonzero(in_a & in_b).tolist():
@@ -547,7 +543,7 @@ def score_texts(
             edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
             return {int(b[x]): (w[x:y], n[x:y]) for x, y in zip(edges, edges[1:])}
 
-        def of_shard(follow, grams):
+        def of_shard(follow, types, grams):
             if not grams:
                 return
             heads = [struct.unpack_from("<QQQ", expand(payload)) for payload in grams]
@@ -569,6 +565,7 @@ def score_texts(
                 learned[at:end] = np.repeat(~held, counts)
                 at, done = end, last
             follow = grouped(follow)
+            types = {b: n for some, _, numbers in types for b, n in zip(some.tolist(), numbers.tolist())}
             order = np.argsort(units, kind="stable")
             units = units[order]
             edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total)
@@ -583,7 +580,7 @@ def score_texts(
                 mine = order[begin:end]
                 begin = end
                 key, in_class, texts_here = w3[mine], of_class[mine], text[mine]
-                found, weight = of_unit(w1[mine], w2[mine], key, in_class, learned[mine], follow)
+                found, weight = of_unit(w1[mine], w2[mine], key, in_class, learned[mine], follow, types)
                 scores += np.bincount(texts_here, weights=np.where(key >= 0, found, 0.0), minlength=all_texts)
                 rare = np.flatnonzero(key < 0)
                 found, weight, in_class = 10 ** found[rare], 10 ** weight[rare], in_class[rare]
@@ -592,19 +589,18 @@ def score_texts(
                 ))
             of_text, *fields = (np.concatenate(x) for x in zip(*late))
             order = np.argsort(of_text, kind="stable")
-            ends = np.cumsum(np.bincount(of_text, minlength=all_texts))
-            words, *weights = (x[order] for x in fields)
-            edges = pa.array(np.append(0, ends).astype(np.int32))
-            values = pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (words, *[x.astype(np.float32) for x in weights])],
-                names=["word", "a", "b"],
-            )
-            zero = pa.array(np.zeros(all_texts, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch_of), pa.array(place_of), pa.nulls(all_texts, pa.int64()), pa.nulls(all_texts, pa.bool_()), zero, zero,
-                 pa.array(np.zeros(all_texts)), pa.array(scores.astype(np.float32)), values],
-                names=SUM_NAMES,
-            )
+            of_text, words, *weights = (x[order] for x in (of_text, *fields))
+
+            def part(texts_, scores, *of_words):
+                n = len(texts_)
+                zero, none = pa.array(np.zeros(n, np.int64)), [pa.nulls(n, t) for t in (pa.int64(), pa.bool_())]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(batch_of[texts_]), pa.array(place_of[texts_]), *none, zero, zero, pa.array(np.zeros(n)),
+                     pa.array(scores.astype(np.float32)), *of_words], names=SUM_NAMES,
+                )
+
+            yield part(np.arange(all_texts), scores, *[pa.nulls(all_texts, t) for _, t in no_words])
+            yield part(of_text, np.zeros(len(of_text)), pa.array(words), *[pa.array(x.astype(np.float32)) for x in weights])
 
         shard, state = None, None
         for batch in batches:
@@ -616,16 +612,18 @@ def score_texts(
                 if marks[at] != shard:
                     if state:
                         yield from of_shard(*state)
-                    shard, state = marks[at], ([], [])
+                    shard, state = marks[at], ([], [], [])
                 part, kind = batch.slice(at, end - at), kinds[at]
                 if kind == HEADS:
                     for data in part["payload"].to_pylist():
                         for head in pa.ipc.open_stream(data):
-                            yield head.append_column("late", pa.nulls(head.num_rows, late_type))
+                            for name, kind_ in no_words:
+                                head = head.append_column(name, pa.nulls(head.num_rows, kind_))
+                            yield head
                 elif kind == GRAMS:
                     state[GRAMS].extend(part["payload"].to_pylist())
                 else:
-                    state[FOLLOWERS].append([part[c].to_numpy() for c in ("b", "w", "n")])
+                    state[kind].append([part[c].to_numpy() for c in ("b", "w", "n")])
                 at = end
         if state:
             yield from of_shard(*state)
@@ -633,6 +631,7 @@ def score_texts(
     parts = rows.mapInArrow(dealt, PART)
     if hot:
         # A shard is sent the counts of followers that its trigrams have.
+        follow_counts = counted.groupBy("b", "w").agg(F.sum("n").alias("n")).filter("n > 0")
         of_words = [(u, unit_shards[u]) for i in hot for u in range(begins[i], begins[i + 1])]
         of_pairs = [(u, unit_shards[u]) for u in range(begins[n_ids], begins[n_ids + len(pairs)])]
         asked, unit = counted, F.col("unit")
@@ -642,35 +641,33 @@ def score_texts(
             unit = F.coalesce(F.col("first") + F.pmod("w", "units"), unit)
         asked = asked.select(unit.alias("unit"), "b", "w").join(local_table(spark, ["unit", "shard"], of_words + of_pairs), "unit")
         asked = asked.select(F.col("shard").cast("int").alias("shard"), "b", "w")
+        shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
         if triples:
-            shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
             listed = [(s, pairs[p][0], w) for i, (p, w, _) in enumerate(triples) for s in sorted(shards_of(n_ids + len(pairs) + i))]
             asked = asked.unionByName(spark.createDataFrame(listed, "shard int, b long, w long"))
         follow = asked.join(follow_counts, ["b", "w"]).groupBy("b", "w", "shard").agg(F.max("n").alias("n"))
-        parts = parts.unionByName(
-            follow.select("shard", F.lit(FOLLOWERS).alias("kind"), F.lit(None).cast("binary").alias("payload"), "b", "w", "n")
-        )
+        words = [*((i, i) for i in hot), *((n_ids + i, b) for i, (b, *_) in enumerate(pairs))]
+        words += [(n_ids + len(pairs) + i, pairs[p][0]) for i, (p, *_) in enumerate(triples)]
+        of_shards = sorted({(b, s) for i, b in words for s in shards_of(i)})
+        types = follow_counts.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(local_table(spark, ["b", "shard"], of_shards), "b")
+        types = types.select(F.col("shard").cast("int").alias("shard"), "b", F.lit(0).cast("long").alias("w"), "n")
+        for kind, sent_rows in ((FOLLOWERS, follow), (TYPES, types)):
+            parts = parts.unionByName(
+                sent_rows.select("shard", F.lit(kind).alias("kind"), F.lit(None).cast("binary").alias("payload"), "b", "w", "n")
+            )
     together = parts.repartition("shard").sortWithinPartitions("shard", "kind")
-    sums = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.collect_list("late").alias("late"),
-    )
-    # A row for each text, under a key that no hashed word has, and one for each of its words without id.
-    key = F.xxhash64("batch", "place").bitwiseAND(F.lit(-1 - HASHED))
-    own = F.struct(F.array(key).alias("word"), *[F.array(F.lit(x).cast("float")).alias(c) for c, x in (("a", 1.0), ("b", 0.0))])
-    is_own = F.col("word") >= 0
-    columns = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    exploded = sums.select(*columns, F.explode(F.concat(F.array(own), "late")).alias("late"))
-    exploded = exploded.select(*columns, F.inline(F.arrays_zip(*[F.col("late")[c].alias(c) for c in ("word", "a", "b")])))
-    exploded = exploded.withColumns({c: F.when(is_own, F.col(c)) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")})
+    # Rows of texts get a key that no hashed word has.
+    sums = together.mapInArrow(scored, SUMS)
+    key = F.coalesce("word", F.xxhash64("batch", "place").bitwiseAND(F.lit(-1 - HASHED)))
     lookup = vocabulary.groupBy(F.xxhash64("word").bitwiseOR(F.lit(HASHED)).alias("code")).agg(F.sum("n").alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))
-    rated = exploded.join(lookup, F.col("word") == F.col("code"), "left")
+    is_word = F.col("word").isNotNull()
+    rated = sums.withColumn("key", key).join(lookup, F.col("key") == F.col("code"), "left")
     total = rated.groupBy("batch", "place").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(is_own, F.col("n_known")).otherwise((n > 0).cast("long"))).alias("n_known"),
-        F.sum(F.when(is_own, F.col("base")).otherwise(F.log10(n + 1) - log_all)).alias("base"),
-        F.sum(F.when(is_own, F.col("score")).otherwise(F.log10(F.col("a") + F.col("b") * (n + 1) / all_mass))).alias("score"),
+        F.sum(F.when(is_word, (n > 0).cast("long")).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(is_word, F.log10(n + 1) - log_all).otherwise(F.col("base"))).alias("base"),
+        F.sum(F.when(is_word, F.log10(F.col("a") + F.col("b") * (n + 1) / all_mass)).otherwise(F.col("score"))).alias("score"),
     )
     return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"),
