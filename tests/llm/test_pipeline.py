@@ -70,7 +70,7 @@ def test_run_and_registration(spark, stages):
     assert queries["pipeline"] is corpus_pipeline.run
     assert sorted(n for n in queries if n.startswith("op") and n[2].isdigit()) == sorted(
         ["op1_syncmers", "op2_packing", "op3_credentials", "op4_ngram_lm", "op5_toxicity", "op6_language", "op7_token_counts", "op8_simhash",
-         "op9_block_topk", "op10_chunk_bpe"])
+         "op9_block_topk", "op10_chunk_bpe", "op11_whitening", "op12_phrases", "op13_piece_words"])
     rows = corpus_pipeline.run(spark, SMALL).collect()
     expected = Counter((r["doc_id"], r["doc_tokens"]) for r in stages[5].select("doc_id", "doc_tokens").distinct().collect())
     assert Counter({(r["doc_id"], r["doc_tokens"]) for r in rows}) == expected
