@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from uuid import uuid4
 
+from pyspark.sql import functions as F
 
 from replyloom.functions import text as tx
 from replyloom.functions.lexicon import label_weakly
@@ -15,6 +16,8 @@ from replyloom.plans import views
 from replyloom.plans.jobs import build_golden_set, build_training_set
 from replyloom.plans.oracle import hash_order, strip
 from replyloom.plans.registry import query
+from replyloom.session import ensure_checkpoint_dir
+from replyloom.sources.quoted_csv import read_quoted_csv
 from replyloom.sources.tables import scan
 
 QUOTAS = {"c_en": 12, "c_de": 4, "c_fr": 4, "c_es": 2, "other": 1}
@@ -27,6 +30,19 @@ def _(spark, d):
                 ["conv_id", "turn"])
 
 
+@query("quoted_csv_scan", """
+    SELECT doc_id, replace(text, ' ', ',"' || chr(10)) AS text, CAST(n_chars AS BIGINT) AS n_chars FROM documents""")
+def _(spark, d):
+    """Documents written as CSV with a quote and a line break in place of each space, and read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid4().hex}"
+    rows = views.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit(',"\n')).alias("text"), "n_chars")
+    rows.write.options(
+        header=True, escape='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    ).csv(folder)
+    return read_quoted_csv(spark, folder, "doc_id bigint, text string, n_chars bigint")
+
+
 @query("sample_head", "SELECT tweet_id, author_id, inbound, text FROM tweets ORDER BY tweet_id LIMIT 10")
 def _(spark, d):
     return scan(views.tweets(spark, d), ["tweet_id", "author_id", "inbound", "text"], 10, ["tweet_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from replyloom.functions.text import parse_created_at, parse_tweet_id
 from replyloom.schema import CONVERSATIONS, EVALUATED, TWEETS
+from replyloom.sources.quoted_csv import read_quoted_csv
 
 MAX_REPORT_ROWS = 10_000
 
@@ -17,7 +18,8 @@ def read_tweets(spark: SparkSession, path: str, columns: Sequence[str] | None =
                 limit: int | None = None) -> DataFrame:
     """The raw tweet CSV; quoted texts may run over several lines.
 
-    Such a file cannot be split, so convert it once with :func:`convert_tweets` and work on that.
+    This reader gives a whole file to one task, which suits a look at its first rows; :func:`convert_tweets` reads
+    one file with many tasks.
     """
     df = (
         spark.read.schema(TWEETS)
@@ -42,8 +44,8 @@ def typed_tweets(raw: DataFrame) -> DataFrame:
 
 
 def convert_tweets(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
-    """Raw CSV to a typed parquet table that splits and prunes columns."""
-    typed_tweets(read_tweets(spark, csv_path)).write.mode("overwrite").parquet(parquet_path)
+    """Raw CSV to a typed parquet table that prunes columns; large files are read by many tasks."""
+    typed_tweets(read_quoted_csv(spark, csv_path, TWEETS)).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)
 
 
