@@ -1,7 +1,8 @@
 """Phrase lists per class, compiled to column expressions.
 
 A lexicon is a parameter of the plan, like a list of columns. It is bounded: a table of phrases
-larger than ``MAX_PHRASES`` rows is refused rather than pulled to the driver.
+larger than ``MAX_PHRASES`` rows is refused rather than pulled into the plan; it belongs into a
+:class:`~replyloom.operators.phrase_tables.PhraseTable`, which takes lists of any size.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Lexicon:
     def __init__(self, phrases: Mapping[str, Sequence[str]]):
         self.phrases = {name: list(words) for name, words in phrases.items()}
         if sum(map(len, self.phrases.values())) > MAX_PHRASES:
-            raise ValueError(f"a lexicon holds at most {MAX_PHRASES} phrases")
+            raise ValueError(f"a lexicon holds at most {MAX_PHRASES} phrases; a PhraseTable holds any number")
 
     @classmethod
     def from_frame(cls, rows: DataFrame) -> Lexicon:
@@ -49,7 +50,7 @@ class Lexicon:
             rows.select("class", "class_ord", "phrase", "phrase_ord").limit(MAX_PHRASES + 1).collect()
         )
         if len(found) > MAX_PHRASES:
-            raise ValueError(f"a lexicon holds at most {MAX_PHRASES} phrases")
+            raise ValueError(f"a lexicon holds at most {MAX_PHRASES} phrases; a PhraseTable holds any number")
         phrases: dict[str, list[str]] = {}
         for row in sorted(found, key=lambda r: (r["class_ord"], r["phrase_ord"])):
             phrases.setdefault(row["class"], []).append(row["phrase"])

@@ -9,6 +9,7 @@ from replyloom.functions import lexicon as lx
 from replyloom.functions import prompts, routing
 from replyloom.functions import text as tx
 from replyloom.operators import aggregates
+from replyloom.operators import phrase_tables as pt
 from replyloom.operators.spread import with_neighbours
 from replyloom.plans import jobs, views
 from replyloom.plans.oracle import norm, quoted, strip
@@ -412,3 +413,41 @@ def _(spark, d):
     problem = F.when(F.col("tweet_id") % 2 == 1, F.concat(F.lit("wrong "), F.col("tweet_id").cast("string")))
     return views.scored(spark, d).select("tweet_id", prompts.label_prompt(
         F.col("text"), F.col("candidate_intent"), TAXONOMY, problem).alias("prompt"))
+
+
+#: Every run of two to four words of a turn as a phrase; its class goes by its length.
+_RUNS = """
+    words AS (SELECT string_split(lower(text), ' ') AS w FROM conversations WHERE text IS NOT NULL),
+    runs AS (
+        SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase
+        FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (VALUES (2), (3), (4)) AS s(n))),
+    listed AS (SELECT phrase, length(phrase) % 23 AS class_ord FROM runs)"""
+
+
+def _phrase_table(spark, d):
+    turns = views.table(spark, d, "conversations").select(F.split(F.lower("text"), " ").alias("w"))
+    runs = turns.select(F.explode(F.concat(*[tx.ngrams("w", n) for n in (2, 3, 4)])).alias("phrase")).distinct()
+    order = F.length("phrase") % 23
+    return pt.PhraseTable(runs.select(F.concat(F.lit("c"), order).alias("class"), order.alias("class_ord"), "phrase"))
+
+
+@query("phrase_table_scores", f"""
+    WITH {_RUNS}
+    SELECT tweet_id, 'c' || class_ord AS class, count(*) AS score
+    FROM messages JOIN listed ON contains(lower(text), phrase) GROUP BY ALL""")
+def _(spark, d):
+    """All classes of each message by a list of all runs of words, 128,000 phrases at sf0.01."""
+    found = pt.rank_phrase_candidates(views.messages(spark, d), "text", _phrase_table(spark, d))
+    return found.select("tweet_id", F.inline("candidates")).where(F.col("score") > 0).withColumn("score", F.col("score").cast("bigint"))
+
+
+@query("phrase_table_candidates", f"""
+    WITH {_RUNS}, found AS (
+        SELECT tweet_id, class_ord, count(*) AS n FROM messages JOIN listed ON contains(lower(text), phrase) GROUP BY ALL)
+    SELECT tweet_id, coalesce('c' || class_ord, 'other') AS class, coalesce(n, 0) AS score
+    FROM messages LEFT JOIN (
+        SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY n DESC, class_ord) = 1) USING (tweet_id)""")
+def _(spark, d):
+    """The class of each message whose phrases it holds most of, by the same list."""
+    found = pt.add_phrase_candidate(views.messages(spark, d), "text", _phrase_table(spark, d), "class", "score")
+    return found.select("tweet_id", "class", F.col("score").cast("bigint").alias("score"))

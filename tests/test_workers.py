@@ -10,7 +10,7 @@ sys.path.insert(0, sys.argv[1])
 import __spark_entry__ as entry
 from replyloom.session import get_spark
 spark = get_spark("workers", "local[2]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false")
-for name in ("topk_similar", "batch_generate", "annotate_retry", "lr_fit"):
+for name in ("topk_similar", "batch_generate", "annotate_retry", "lr_fit", "quoted_csv_scan", "phrase_table_scores"):
     assert entry.queries()[name](spark, entry.SMOKE_DIR).count() > 0
 print("done")
 """
