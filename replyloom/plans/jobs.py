@@ -31,6 +31,7 @@ from replyloom.operators.sampling import (
 from replyloom.operators.threads import build_conversations, nest_conversations
 from replyloom.schema import require_columns, require_rows
 from replyloom.session import cut_lineage
+from replyloom.sources.tables import write_report
 
 
 def build_training_set(tweets: DataFrame, golden: DataFrame, lexicon: Lexicon,
@@ -153,13 +154,16 @@ def handle_messages(messages: DataFrame, classifier: TextClassifier, corpus: Dat
 
 
 def evaluate_classifier(df: DataFrame, classifier: TextClassifier, text: str, label: str,
-                        labels: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All class scores of a labelled set: overall, per class, confusion, confidence."""
+                        labels: Sequence[str] | None = None, path: str | None = None) -> dict[str, DataFrame]:
+    """All class scores of a labelled set: overall, per class, confusion, confidence.
+
+    With ``path`` they are written there as a report, predictions included.
+    """
     labels = list(labels or classifier.classes)
     rows = df.where(has_text(text) & has_text(label))
     scored = cut_lineage(top_two(classifier.predict(rows, text), "probabilities", classifier.classes))
     truth, guess = label, "predicted_intent"
-    return {
+    report = {
         "predictions": scored,
         "overall": metrics.classification_metrics(scored, truth, guess, labels=labels, digits=6),
         "per_class": metrics.per_class_report(scored, truth, guess, labels),
@@ -167,6 +171,9 @@ def evaluate_classifier(df: DataFrame, classifier: TextClassifier, text: str, la
         "confidence": metrics.confidence_by_correct(scored, truth, guess),
         "buckets": metrics.confidence_buckets(scored, truth, guess),
     }
+    if path is not None:
+        write_report(df.sparkSession, report, path)
+    return report
 
 
 def evaluate_baselines(golden: DataFrame, text: str = "customer_message", label: str = "gold_intent",
@@ -243,8 +250,11 @@ def evaluate_end_to_end(golden: DataFrame, classifier: TextClassifier, corpus: D
                         providers: Sequence[tuple[str, str, Provider]],
                         message: str = "customer_message", label: str = "gold_intent",
                         escalation: str = "expected_escalation", k: int = 3,
-                        rules: RoutingRules | None = None) -> dict[str, DataFrame]:
-    """Handle a labelled set and score classes and routing."""
+                        rules: RoutingRules | None = None, path: str | None = None) -> dict[str, DataFrame]:
+    """Handle a labelled set and score classes and routing.
+
+    With ``path`` the scores and all handled examples are written there as a report.
+    """
     handled = handle_messages(golden, classifier, corpus, providers, k, message, rules=rules)
     examples = handled.select(
         "tweet_id", F.col(message).alias("customer_message"), F.col(label).alias("gold_intent"),
@@ -252,7 +262,7 @@ def evaluate_end_to_end(golden: DataFrame, classifier: TextClassifier, corpus: D
         normalize_bool(escalation, accept_y=True).alias("expected_escalation"),
         F.col("escalate").alias("predicted_escalation"), "escalation_reason", "response", "evidence",
     )
-    return {
+    report = {
         "examples": examples,
         "intent": metrics.classification_metrics(examples, "gold_intent", "predicted_intent", digits=6),
         "per_class": metrics.per_class_report(examples, "gold_intent", "predicted_intent"),
@@ -260,3 +270,6 @@ def evaluate_end_to_end(golden: DataFrame, classifier: TextClassifier, corpus: D
             examples, "expected_escalation", "predicted_escalation", digits=6
         ),
     }
+    if path is not None:
+        write_report(golden.sparkSession, report, path)
+    return report

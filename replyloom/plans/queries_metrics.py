@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from replyloom import fixed_values as fixed
@@ -12,6 +14,8 @@ from replyloom.operators.sampling import assign_folds
 from replyloom.plans import views
 from replyloom.plans.oracle import hash_order
 from replyloom.plans.registry import query
+from replyloom.session import ensure_checkpoint_dir
+from replyloom.sources.tables import read_section, write_report
 
 LABELS = ["c_en", "c_de", "c_fr", "c_es", "unknown"]
 GIVEN = ", ".join(f"('{x}')" for x in LABELS)
@@ -313,3 +317,28 @@ def _(spark, d):
     return scores.select(
         "examples", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")],
         F.col("examples_with_unknown").cast("bigint").alias("examples_with_unknown"))
+
+
+def _report(spark, d) -> str:
+    """A report on the evaluated documents whose examples are a table beside its head."""
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid4().hex}"
+    rows = views.preds(spark, d)
+    matrix = mt.confusion_matrix(rows, "gold_intent", "predicted_intent", LABELS)
+    write_report(spark, {"examples": rows, "confusion": matrix}, path, inline_rows=30)
+    return path
+
+
+@query("report_examples", """
+    SELECT doc_id, gold_intent, predicted_intent, expected_escalation, predicted_escalation, confidence FROM preds""")
+def _(spark, d):
+    return read_section(spark, _report(spark, d), "examples", (
+        "doc_id bigint, gold_intent string, predicted_intent string, expected_escalation boolean, "
+        "predicted_escalation boolean, confidence double"))
+
+
+@query("report_section", f"""
+    SELECT a.label AS actual, p.label AS predicted,
+           (SELECT count(*) FROM preds WHERE gold_intent = a.label AND predicted_intent = p.label) AS n
+    FROM {GIVEN_LABELS} a, {GIVEN_LABELS} p""")
+def _(spark, d):
+    return read_section(spark, _report(spark, d), "confusion", "actual string, predicted string, n bigint")

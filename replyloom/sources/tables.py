@@ -6,12 +6,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replyloom.functions.text import parse_created_at, parse_tweet_id
 from replyloom.schema import CONVERSATIONS, EVALUATED, TWEETS
 from replyloom.sources.quoted_csv import read_quoted_csv
 
+#: Rows of a section that the head of a report holds itself; longer sections are tables beside it.
 MAX_REPORT_ROWS = 10_000
+#: Where a head names those tables.
+TABLES = "tables"
 
 
 def read_tweets(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -90,35 +94,57 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def write_report(spark: SparkSession, sections: Mapping[str, DataFrame], path: str) -> None:
-    """Metric tables as one JSON object, a list of rows per section.
+def write_report(spark: SparkSession, sections: Mapping[str, DataFrame], path: str,
+                 inline_rows: int = MAX_REPORT_ROWS) -> None:
+    """Sections as one JSON object, a list of rows per section, and long sections as tables beside it.
 
-    A section holds a row per class or bucket; one with more than ``MAX_REPORT_ROWS`` rows is
-    refused and belongs into a table of its own.
+    The head at ``path`` holds sections of up to ``inline_rows`` rows. A longer one becomes a parquet table in the
+    folder ``path`` + ``.sections``, of any size; the head names it under ``tables`` in place of its list. Tables are
+    written before the head, so a head that can be read names only what is there. A report written anew replaces
+    its head and the tables of the same names; sections called ``tables`` are refused.
     """
+    if TABLES in sections:
+        raise ValueError(f"no section may be called {TABLES}")
+    path, named, short = path.rstrip("/"), {}, {}
     for name, df in sections.items():
-        if df.limit(MAX_REPORT_ROWS + 1).count() > MAX_REPORT_ROWS:
-            raise ValueError(f"section {name} has more than {MAX_REPORT_ROWS} rows")
+        if df.limit(inline_rows + 1).count() > inline_rows:
+            named[name] = name
+            df.write.mode("overwrite").parquet(f"{path}.sections/{name}")
+        else:
+            short[name] = df
     gathered = {
-        name: df.agg(F.collect_list(F.struct(*df.columns)).alias("r")).scalar()
-        for name, df in sections.items()
+        name: df.agg(F.collect_list(F.struct(*df.columns)).alias("r")).scalar() for name, df in short.items()
     }
-    report = spark.range(1).select(
-        F.to_json(F.struct(*[v.alias(k) for k, v in gathered.items()])).alias("value")
-    )
+    fields = [v.alias(k) for k, v in gathered.items()]
+    if named:
+        fields.append(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]).alias(TABLES))
+    report = spark.range(1).select((F.to_json(F.struct(*fields)) if fields else F.lit("{}")).alias("value"))
     report.write.mode("overwrite").text(path)
 
 
+def read_section(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Rows of one section of a report, wherever :func:`write_report` put them.
+
+    Columns of ``schema`` that the section lacks are NULL; a section that the report does not have gives no rows.
+    """
+    path = path.rstrip("/")
+    head = spark.read.schema(f"{TABLES} map<string,string>").option("multiLine", True).json(path)
+    named = head.select(F.col(TABLES)[name].alias("table")).first()
+    if named is not None and named["table"] is not None:
+        found = spark.read.parquet(f"{path}.sections/{named['table']}")
+        fields = T.StructType.fromDDL(schema).fields
+        return found.select(*[
+            (F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+        ])
+    report = spark.read.schema(f"`{name}` array<struct<{_as_struct(schema)}>>").option("multiLine", True).json(path)
+    return report.select(F.inline(F.col(f"`{name}`")))
+
+
 def read_examples(spark: SparkSession, path: str, schema: str = EVALUATED) -> DataFrame:
-    """Rows of the ``examples`` list of a JSON report."""
-    report = spark.read.schema(f"examples array<struct<{_as_struct(schema)}>>").option(
-        "multiLine", True
-    ).json(path)
-    return report.select(F.inline("examples"))
+    """Rows of the ``examples`` of a report, its own list or a table beside it."""
+    return read_section(spark, path, "examples", schema)
 
 
 def _as_struct(schema: str) -> str:
     """``a int, b string`` as the inside of a struct type."""
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema).simpleString()[len("struct<"):-1]
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<"):-1]

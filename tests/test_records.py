@@ -308,6 +308,24 @@ def test_report_and_examples(spark, tmp_path):
     assert sorted(x["id"] for x in text["counts"]) == [0, 1]
 
 
+def test_long_sections_are_tables_beside_the_report(spark, tmp_path):
+    path = str(tmp_path / "r")
+    long = spark.range(25_000).withColumn("note", F.concat(F.lit("n"), "id"))
+    empty = spark.createDataFrame([], "id bigint")
+    tables.write_report(spark, {"examples": long, "few": spark.range(3), "none": empty}, path)
+    back = tables.read_section(spark, path, "examples", "id bigint, note string, missing int")
+    assert back.count() == 25_000 and back.where("note = concat('n', id) AND missing IS NULL").count() == 25_000
+    assert sorted(r["id"] for r in tables.read_section(spark, path + "/", "few", "id bigint").collect()) == [0, 1, 2]
+    assert tables.read_section(spark, path, "none", "id bigint").count() == 0
+    assert tables.read_section(spark, path, "absent", "id bigint").count() == 0
+    head = json.loads(spark.read.text(path).first()[0])
+    assert head["tables"] == {"examples": "examples"} and "examples" not in head
+    tables.write_report(spark, {"examples": spark.range(2)}, path)
+    assert tables.read_section(spark, path, "examples", "id bigint").count() == 2
+    with pytest.raises(ValueError):
+        tables.write_report(spark, {"tables": empty}, path)
+
+
 def test_providers_fall_back_in_order(spark):
     def good(p):
         return f"Response: {p}"
