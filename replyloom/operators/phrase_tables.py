@@ -1,10 +1,12 @@
 """Phrase lists of any size, looked for in texts by Aho-Corasick automata.
 
 A :class:`~replyloom.functions.lexicon.Lexicon` puts its phrases into the plan, which suits up to some thousands, and
-its work grows with their number. Here the phrases are a table. It is cut by a hash of the phrase into shards of
-bounded size; each shard travels to the tasks once and becomes an automaton that finds all its phrases in one pass
-over a text, however many they are. Texts are never shuffled: a list of one shard is a map over them. A longer list
-takes one pass for each shard, written to the checkpoint folder in between, so that a worker holds one automaton.
+its work grows with their number. Here the phrases are a table. A table of one shard, which is bounded, travels to the tasks once and becomes an
+automaton that finds all its phrases in one pass over a text; texts are not shuffled. A larger table stays where it is and
+is joined: each text tells, of the runs of its words as long as the phrases, those parts that can be a phrase, and these are
+joined to the table. A phrase begins inside or at the start of a word and ends inside or at the end of one, so such a part
+is the end of a word, whole words, and the start of a word; a bitmap of bounded size of the first and last words of all
+phrases leaves out most that are none. Work grows with texts and phrases, not with their product.
 
 Results are those of the functions of the same purpose for a ``Lexicon``. A phrase counts once for a text however
 often it occurs there, and as often as its class lists it. The empty phrase is in every text; a null text has no
@@ -16,7 +18,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 from uuid import uuid4
+from zlib import crc32
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Characters of the phrases of a shard, and what a phrase and a listing of it count for beside them.
 SHARD_CHARACTERS = 2_000_000
 ROW_CHARACTERS = 16
+#: Slots of the bitmap of first and last words, which has a bit for each, and words up to this length whose parts a task keeps.
+WORD_SLOTS = 1 << 23
+KEPT_WORDS = 100_000
+KEPT_CHARACTERS = 64
+#: Parts of texts in a batch.
+PART_ROWS = 50_000
 HITS = T.ArrayType(T.StructType([
     T.StructField("class_ord", T.IntegerType()), T.StructField("class", T.StringType()),
     T.StructField("single", T.IntegerType()), T.StructField("multi", T.IntegerType()),
@@ -63,36 +73,122 @@ class PhraseTable:
         ).first()[0]
         self.shards = -(-(size or 0) // shard_characters)
 
-    def _shard(self, number: int) -> list[tuple[str, list[tuple[int, str, int]]]]:
-        """Phrases of one shard, which :data:`SHARD_CHARACTERS` bounds."""
-        rows = self.phrases.where(F.expr(f"pmod(xxhash64(phrase), {self.shards})") == number)
-        return [(r["phrase"], [tuple(e) for e in r["entries"]]) for r in rows.collect()]
+    def _shard(self) -> list[tuple[str, list[tuple[int, str, int]]]]:
+        """Phrases of a table of one shard, which :data:`SHARD_CHARACTERS` bounds."""
+        return [(r["phrase"], [tuple(e) for e in r["entries"]]) for r in self.phrases.collect()]
 
     def with_hits(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Add an array of (class_ord, class, single, multi), in the order of the classes: how many of a class's
         phrases are substrings of the column ``text``, by whether they are one word or more."""
         if self.shards == 0:
             return df.withColumn(out, F.array().cast(HITS))
-        context = df.sparkSession.sparkContext
-        names = [out] if self.shards == 1 else [f"{out}_{i}" for i in range(self.shards)]
-        for number, name in enumerate(names):
-            if number:
-                df = cut_lineage(df)
-            df = _found(df, text, name, context.broadcast(self._shard(number)))
         if self.shards == 1:
-            return df
-        together = F.flatten(F.array(*names))
-        keys = F.array_sort(F.array_distinct(F.transform("_all", lambda h: F.struct(h["class_ord"], h["class"]))))
-        merged = F.transform(keys, lambda k: F.struct(
-            k["class_ord"].alias("class_ord"), k["class"].alias("class"),
-            *[_total(F.col("_all"), k, kind).alias(kind) for kind in ("single", "multi")],
-        ))
-        return df.withColumn("_all", together).withColumn(out, merged).drop("_all", *names)
-
-
-def _total(hits: Column, key: Column, kind: str) -> Column:
-    own = F.filter(hits, lambda h: h["class"] == key["class"])
-    return F.aggregate(own, F.lit(0), lambda n, h: n + h[kind])
+            return _found(df, text, out, df.sparkSession.sparkContext.broadcast(self._shard()))
+        return self._joined(df, text, out)
+
+    def _joined(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """As :meth:`with_hits`, by a join of the texts' parts to the phrases."""
+        numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+        slots = np.zeros(WORD_SLOTS, bool)
+        slots[self.phrases.select("phrase").mapInArrow(_slots, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+        spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" ")))
+        # one row per number of words, and per length of the phrases of one word
+        kinds = self.phrases.groupBy(
+            spaces.alias("spaces"), F.when(spaces == 0, F.length("phrase")).alias("length"),
+        ).agg(
+            F.max(F.length(F.substring_index("phrase", " ", 1))).alias("first"),
+            F.max(F.length(F.substring_index("phrase", " ", -1))).alias("last"),
+        ).collect()
+        sent = df.sparkSession.sparkContext.broadcast((
+            np.packbits(slots).tobytes(), sorted({r["spaces"] for r in kinds} - {0}),
+            sorted(r["length"] for r in kinds if r["length"] is not None),
+            max((r["first"] for r in kinds if r["spaces"]), default=0), max((r["last"] for r in kinds if r["spaces"]), default=0)))
+        parts = numbered.where(F.col(text).isNotNull()).select("_row", F.col(text).alias("text")).mapInArrow(
+            lambda batches: _parts(batches, *sent.value), "_row bigint, phrase string")
+        multi = F.when(F.contains("phrase", F.lit(" ")), F.col("times")).otherwise(0)
+        hits = (
+            # Spark takes the parts for as small as the texts and would broadcast them
+            parts.join(self.phrases.hint("merge"), "phrase").select("_row", "phrase", F.inline("entries"))
+            .groupBy("_row", "class_ord", "class")
+            .agg(F.sum(F.col("times") - multi).cast("int").alias("single"), F.sum(multi).cast("int").alias("multi"))
+            .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("class_ord", "class", "single", "multi"))).alias(out))
+        )
+        joined = numbered.join(hits, "_row", "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(HITS)))
+        return cut_lineage(joined.select(*df.columns, F.col(out).cast(HITS).alias(out)))
+
+
+def _slot(kind: str, part: str) -> int:
+    return crc32((kind + part).encode("utf-8", "surrogatepass")) % WORD_SLOTS
+
+
+def _slots(batches: Iterable) -> Iterator:
+    """Slots of the first and last words of phrases, and of those that are one word."""
+    import pyarrow as pa
+
+    for batch in batches:
+        found = set()
+        for phrase in batch.column(0).to_pylist():
+            first, space, _ = phrase.partition(" ")
+            if space:
+                found.add(_slot("<", first))
+                found.add(_slot(">", phrase[phrase.rindex(" ") + 1:]))
+            else:
+                found.add(_slot("=", phrase))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32())], names=["slot"])
+
+
+def _parts(batches: Iterable, packed: bytes, spaces: Sequence[int], lengths: Sequence[int], first: int, last: int) -> Iterator:
+    """(row, part) of texts: the different parts of each that may be a phrase, going by the slots of its first and last word.
+
+    ``spaces`` are the numbers of spaces that phrases have, ``lengths`` those of characters of phrases without a space, ``first``
+    and ``last`` the characters of the longest first and last word.
+    """
+    import pyarrow as pa
+
+    kept: dict[str, tuple[list[str], list[str], set[str]]] = {}
+
+    def listed(kind: str, part: str) -> bool:
+        slot = _slot(kind, part)
+        return bool(packed[slot >> 3] & (128 >> (slot & 7)))
+
+    def of(word: str) -> tuple[list[str], list[str], set[str]]:
+        """Ends that begin a phrase, starts that end one, and phrases inside."""
+        found = kept.get(word)
+        if found is None:
+            size = len(word)
+            ends, starts = [], []
+            if spaces:
+                ends = [word[i:] for i in range(max(0, size - first), size + 1) if listed("<", word[i:])]
+                starts = [word[:i] for i in range(min(size, last) + 1) if listed(">", word[:i])]
+            inside = {word[i:i + n] for n in lengths if n <= size for i in range(size - n + 1) if listed("=", word[i:i + n])}
+            found = ends, starts, inside
+            if size <= KEPT_CHARACTERS:
+                if len(kept) >= KEPT_WORDS:
+                    kept.clear()
+                kept[word] = found
+        return found
+
+    rows: list[int] = []
+    parts: list[str] = []
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = text.split(" ")
+            own = [of(word) for word in words]
+            found = {part for _, _, inside in own for part in inside}
+            for n in spaces:
+                for i in range(len(words) - n):
+                    ends, starts = own[i][0], own[i + n][1]
+                    if ends and starts:
+                        middle = " ".join(["", *words[i + 1:i + n], ""])
+                        found.update([end + middle + start for end in ends for start in starts])
+            rows += [row] * len(found)
+            parts += found
+            for a in range(0, len(rows) - PART_ROWS + 1, PART_ROWS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[a:a + PART_ROWS], pa.int64()), pa.array(parts[a:a + PART_ROWS])], names=["_row", "phrase"])
+            left = len(rows) // PART_ROWS * PART_ROWS
+            rows, parts = (rows[left:], parts[left:]) if left else (rows, parts)
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(parts, pa.string())], names=["_row", "phrase"])
 
 
 def _automaton(phrases: Sequence[tuple[str, list]]):

@@ -66,3 +66,19 @@ def test_plan_has_no_join_and_no_shuffle_of_texts(spark, texts):
     found = pt.add_phrase_candidate(texts, "text", pt.PhraseTable(listed))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_many_phrases_take_no_pass_for_each_shard(spark, texts):
+    """Runs that begin and end inside words, as often as listed, in a table of hundreds of shards."""
+    listed = spark.range(3_000).select(
+        F.lit("many").alias("class"), F.lit(0).alias("class_ord"), F.concat(F.lit("o late "), "id").alias("phrase"))
+    extra = spark.createDataFrame(
+        [("a", 1, p) for p in ["o late f", "o late f", "e fund", "e fund é", "late  ", " ", "", "字字 f"]],
+        "class string, class_ord int, phrase string")
+    table = pt.PhraseTable(listed.unionByName(extra), 300)
+    assert table.shards > 300
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    hits = pt.rank_phrase_candidates(texts, "text", table)
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before < 60
+    lexicon = lx.Lexicon({"a": [r["phrase"] for r in extra.collect()]})
+    same(hits, lx.rank_candidates(texts, "text", lexicon))
