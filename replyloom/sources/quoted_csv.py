@@ -3,9 +3,9 @@
 Whether a line break ends a record depends on all quotes before it, so Spark's ``multiLine`` reader gives a whole
 file to one task. Here the file is read as lines, split like any text file. A first pass tells of each split whether
 it holds an odd number of quotes, and which of its lines would be the last to begin a record if the split began
-outside or inside quotes. Running parities over the splits of a file settle which of the two it is. Then every line
-knows its record: lines that are a record by themselves stay where they are, and only those of records that run over
-several lines are shuffled, to be put together.
+outside or inside quotes. Running parities over the splits of a file settle which of the two it is. Then each task
+puts the records of its split together where they lie; only the pieces of records that run over the end of a split are shuffled,
+at most two from a split.
 """
 
 from __future__ import annotations
@@ -19,76 +19,142 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyloom.session import cut_lineage
-
 # functions travel to the workers whole, which need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPLIT = "file string, start bigint"
-LINE = f"{SPLIT}, line bigint, odd int, inside int, outer bigint, inner bigint, filled boolean"
-
+STATE = f"{SPLIT}, odd int, outer bigint, inner bigint, head bigint"
+PIECE = f"{SPLIT}, line bigint, first_start bigint, first_line bigint, value string"
 
-def _numbered(batches: Iterable, keep_text: bool) -> Iterator:
-    """Number the lines of each split and follow the parity of its quotes, as if it began outside quotes.
 
-    ``inside`` tells whether a line begins inside quotes under that assumption; ``outer`` and ``inner`` are the last
-    line so far that begins a record if the split begins outside, or inside, quotes (-1: none).
-    """
-    import pyarrow as pa
+def _runs(batches: Iterable) -> Iterator:
+    """(file, start, lines) of each run of lines of one split."""
     import pyarrow.compute as pc
 
-    split, line, parity, outer, inner = None, 0, 0, -1, -1
     for batch in batches:
         if batch.num_rows == 0:
             continue
         file, start, value = (batch.column(name) for name in ("file", "start", "value"))
-        odd = pc.count_substring(value, '"').to_numpy() & 1
         changed = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1]))
         cuts = np.flatnonzero(changed.to_numpy(zero_copy_only=False)) + 1
-        parts = []
         for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
-            name = (file[int(low)].as_py(), start[int(low)].as_py())
-            if name != split:
-                split, line, parity, outer, inner = name, 0, 0, -1, -1
-            own = odd[low:high]
-            after = (parity + np.cumsum(own)) & 1
-            inside = after ^ own
-            numbers = np.arange(line, line + high - low)
-            outers = np.maximum.accumulate(np.where(inside == 0, numbers, outer))
-            inners = np.maximum.accumulate(np.where(inside == 1, numbers, inner))
-            parts.append((numbers, inside, outers, inners))
-            line, parity, outer, inner = line + int(high - low), int(after[-1]), int(outers[-1]), int(inners[-1])
-        numbers, inside, outers, inners = (np.concatenate(p) for p in zip(*parts))
-        columns = {
-            "file": file, "start": start, "line": pa.array(numbers, pa.int64()), "odd": pa.array(odd, pa.int32()),
-            "inside": pa.array(inside, pa.int32()), "outer": pa.array(outers, pa.int64()),
-            "inner": pa.array(inners, pa.int64()),
-            "filled": pc.invert(pc.is_in(value, pa.array(["", "\r"], value.type))),
-        }
-        if keep_text:
-            columns["value"] = value
-        yield pa.RecordBatch.from_pydict(columns)
-
-
-def _lines(spark: SparkSession, path: str, keep_text: bool) -> DataFrame:
-    read = spark.read.option("lineSep", "\n").text(path).select(
+            yield file[int(low)].as_py(), start[int(low)].as_py(), value.slice(low, high - low)
+
+
+def _odd(value) -> np.ndarray:
+    """1 for each line that holds an odd number of quotes."""
+    import pyarrow.compute as pc
+
+    return pc.count_substring(value, '"').to_numpy() & 1
+
+
+def _filled(value) -> np.ndarray:
+    """Whether a line has content."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.invert(pc.is_in(value, pa.array(["", "\r"], value.type))).to_numpy(zero_copy_only=False)
+
+
+def _states(batches: Iterable) -> Iterator:
+    """One row for each split: the parity of its quotes, the last lines that begin a record if it begins outside, or
+    inside, quotes (-1: none), and the first line with content."""
+    import pyarrow as pa
+
+    found: dict[tuple, list] = {}
+    for file, start, value in _runs(batches):
+        # lines so far, parity, last line outside, last line inside, first line with content
+        seen = found.setdefault((file, start), [0, 0, -1, -1, None])
+        odd, filled = _odd(value), np.flatnonzero(_filled(value))
+        after = (seen[1] + np.cumsum(odd)) & 1
+        inside = after ^ odd
+        for place, state in ((2, 0), (3, 1)):
+            such = np.flatnonzero(inside == state)
+            if len(such):
+                seen[place] = seen[0] + int(such[-1])
+        if seen[4] is None and len(filled):
+            seen[4] = seen[0] + int(filled[0])
+        seen[0], seen[1] = seen[0] + len(value), int(after[-1])
+    columns = list(zip(*((file, start, s[1], s[2], s[3], s[4]) for (file, start), s in found.items()))) or [[]] * 6
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "start", "odd", "outer", "inner", "head"])
+
+
+def _pieces(batches: Iterable, states: dict, heads: dict, closed: bool) -> Iterator:
+    """The records of each split, put together: the whole ones, or the pieces of those that another split has a part of.
+
+    ``line`` is the first line of a piece, ``first_start`` and ``first_line`` say where its record begins. ``states`` are
+    (within, owner's start and line, ends inside) of each split, ``heads`` the records to leave out.
+    """
+    split, held, key, out = None, [], None, []
+
+    def give(line: int, first: tuple, whole: bool, lines: list) -> None:
+        if whole == closed and heads.get(split[0]) != first:
+            out.append((*split, line, *first, "\n".join(lines)))
+
+    def end(whole: bool) -> None:
+        """The piece whose lines are held: whole if it begins in this split and is not open at its end."""
+        if held:
+            line, first = key
+            give(line, first, whole and first == (split[1], line), [x for chunk in held for x in chunk])
+
+    for file, start, value in _runs(batches):
+        if (file, start) != split:
+            if split is not None:
+                end(not states[split][3])
+            split, held, key = (file, start), [], None
+            if split not in states:
+                raise RuntimeError("the splits of the file changed while it was read")
+            parity, number = states[split][0], 0
+        odd = _odd(value)
+        after = (parity + np.cumsum(odd)) & 1
+        begins = np.flatnonzero((after ^ odd) == 0).tolist()
+        lines = value.to_pylist()
+        before = begins[0] if begins else len(lines)
+        if before:
+            if not held:
+                # lines that go on with a record of a split before
+                key = number, states[split][1:3]
+            held.append(lines[:before])
+        if begins:
+            end(True)
+            for low, high in zip(begins[:-1], begins[1:]):
+                give(number + low, (start, number + low), True, lines[low:high])
+            held, key = [lines[begins[-1]:]], (number + begins[-1], (start, number + begins[-1]))
+        parity, number = int(after[-1]), number + len(lines)
+        if out:
+            yield _batch(out)
+            out.clear()
+    if split is not None:
+        end(not states[split][3])
+    if out:
+        yield _batch(out)
+
+
+def _batch(rows: list):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+        names=["file", "start", "line", "first_start", "first_line", "value"])
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
-    return read.mapInArrow(
-        lambda batches: _numbered(batches, keep_text), f"{LINE}, value string" if keep_text else LINE
-    )
 
 
 def split_states(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, within, owner, head): one row per split of the files under ``path``.
+    """(file, start, within, odd, owner, head): one row per split of the files under ``path``.
 
-    ``within`` is 1 where the split begins inside quotes; ``owner`` is the (start, line) of the record that is open
+    ``within`` is 1 where the split begins inside quotes, ``odd`` where it holds an odd number of them; ``owner`` is the (start, line) of the record that is open
     there, and ``head`` that of the first line with content in the file.
     """
-    found = _lines(spark, path, False).groupBy("file", "start").agg(
-        (F.sum("odd") % 2).cast("int").alias("odd"), F.max("outer").alias("outer"), F.max("inner").alias("inner"),
-        F.min(F.when(F.col("filled"), F.struct("start", "line"))).alias("head"),
-    )
+    found = _lines(spark, path).mapInArrow(_states, STATE).withColumn(
+        "head", F.when(F.col("head").isNotNull(), F.struct("start", F.col("head").alias("line"))))
     # one row per split of up to 128 MB, so the splits of a file fit in a task
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     begun = F.when(F.col("within") == 0, F.col("outer")).otherwise(F.col("inner"))
@@ -98,7 +164,7 @@ def split_states(spark: SparkSession, path: str) -> DataFrame:
     return (
         found.withColumn("within", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int"))
         .withColumns({"owner": owner, "head": F.min("head").over(Window.partitionBy("file"))})
-        .select("file", "start", "within", "owner", "head")
+        .select("file", "start", "within", "odd", "owner", "head")
     )
 
 
@@ -111,25 +177,27 @@ def read_records(spark: SparkSession, path: str, header: bool = False) -> DataFr
     Splits that differ from those of the first pass (as when the cluster changes size between the two and files are
     cut by its size) stop the job rather than lose lines.
     """
-    states = cut_lineage(split_states(spark, path))
-    outside = (F.col("inside") == F.col("within"))
-    begun = F.when(F.col("within") == 0, F.col("outer")).otherwise(F.col("inner"))
-    placed = _lines(spark, path, True).join(states, ["file", "start"], "left").withColumn(
-        "within", F.coalesce("within", F.raise_error(F.lit("the splits of the file changed while it was read")).cast("int"))
-    )
-    placed = placed.withColumn(
-        "first", F.when(begun >= 0, F.struct("start", begun.alias("line"))).otherwise(F.col("owner"))
-    )
-    if header:
-        placed = placed.where(F.col("first").eqNullSafe(F.col("head")) == F.lit(False))
-    alone = placed.where(outside & (F.col("odd") == 0)).select("file", "start", "line", "value")
+    # a row for each split of up to 128 MB
+    splits = split_states(spark, path).collect()
+    states, heads = {}, {}
+    for r in splits:
+        owner = r["owner"] or (r["start"], 0)
+        states[r["file"], r["start"]] = (r["within"], owner[0], owner[1], bool((r["within"] + r["odd"]) % 2))
+        if r["head"] is not None:
+            heads[r["file"]] = (r["head"]["start"], r["head"]["line"])
+    sent = spark.sparkContext.broadcast((states, heads if header else {}))
+
+    def pieces(closed: bool) -> DataFrame:
+        return _lines(spark, path).mapInArrow(lambda batches: _pieces(batches, *sent.value, closed), PIECE)
+
+    whole = pieces(True).select("file", "start", "line", "value")
+    # two pieces at most of each split
     several = (
-        placed.where(~outside | (F.col("odd") == 1))
-        .groupBy("file", "first")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "line", "value"))).alias("parts"))
-        .select("file", "first.*", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"))
+        pieces(False).groupBy("file", F.col("first_start").alias("start"), F.col("first_line").alias("line"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), F.col("line").alias("number"), "value"))).alias("parts"))
+        .select("file", "start", "line", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"))
     )
-    return alone.unionByName(several).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    return whole.unionByName(several).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
 
 
 def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:

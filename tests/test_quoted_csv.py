@@ -69,3 +69,27 @@ def test_odd_files(spark, tmp_path):
     (tmp_path / "bare").mkdir()
     write(tmp_path / "bare" / "b.csv", [(1, "a\n", 2)] * 3, "\n", header=None)
     assert rows(read_quoted_csv(spark, str(tmp_path / "bare"), SCHEMA, header=False)) == [(1, "a\n", 2)] * 3
+
+
+def test_records_inside_a_split_are_not_shuffled(spark, small_splits, tmp_path):
+    """Records over several lines, most of them in one split: only pieces at the ends of splits reach the exchange."""
+    write(tmp_path / "a.csv", [(i, "a\nb\nc", 1) for i in range(400)], "\n")
+    frame = read_records(spark, str(tmp_path), header=True)
+    written = frame.where("file is not null")
+    assert written.count() == 400
+    shuffled = written._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in shuffled and "Join" not in shuffled
+    splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    lines = read_quoted_lines(spark, tmp_path)
+    assert 0 < lines <= 2 * splits < 400
+
+
+def read_quoted_lines(spark, path):
+    """Rows that the grouping of records takes in."""
+    from replyloom.sources import quoted_csv as qc
+
+    states = {
+        (r["file"], r["start"]): (r["within"], *(r["owner"] or (r["start"], 0)), bool((r["within"] + r["odd"]) % 2))
+        for r in qc.split_states(spark, str(path)).collect()
+    }
+    return qc._lines(spark, str(path)).mapInArrow(lambda batches: qc._pieces(batches, states, {}, False), qc.PIECE).count()
