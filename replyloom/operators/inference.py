@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,9 @@ from replyloom.session import cut_lineage
 
 Provider = Callable[[str], str]
 
+#: Rows whose answers are held at once.
+ASKED_ROWS = 256
+
 
 def complete(df: DataFrame, prompt: str, providers: Sequence[tuple[str, str, Provider]]) -> DataFrame:
     """Add answer, provider, model and error by asking (name, model, function) providers in order.
@@ -41,17 +43,20 @@ def complete(df: DataFrame, prompt: str, providers: Sequence[tuple[str, str, Pro
             problems.append(f"{name}: empty answer")
         return None, None, None, "All providers failed: " + "; ".join(problems)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = df.columns.index(prompt)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        # the other columns stay as they came, in Arrow
         for batch in batches:
-            answers = [ask(text) for text in batch[prompt]]
-            yield batch.assign(
-                **{
-                    column: pd.Series([a[i] for a in answers], index=batch.index, dtype="object")
-                    for i, column in enumerate(("answer", "provider", "model", "error"))
-                }
-            )
+            for start in range(0, batch.num_rows, ASKED_ROWS):
+                some = batch.slice(start, ASKED_ROWS)
+                answers = [ask(text) for text in some.column(place).to_pylist()]
+                added = [pa.array([a[i] for a in answers], pa.string()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def generate_replies(df: DataFrame, prompt: str, providers: Sequence[tuple[str, str, Provider]]) -> DataFrame:
