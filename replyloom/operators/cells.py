@@ -7,7 +7,8 @@ at less than a - r. And a query's k best centres are rows of the corpus, so the
 at least. A query is sent to the cells whose bound reaches that score and to no others; every corpus row is
 shuffled once, to its cell.
 
-A cell with more rows than fit is cut into parts by a hash of the id; a part that very many queries ask for is
+Cells that lie near each other share a part as far as they fit, so a query travels once for each part and not for each
+cell; a cell with more rows than fit is cut into parts by a hash of the id. A part that very many queries ask for is
 given to several tasks, a copy for each ``PART_QUERIES`` of them.
 """
 
@@ -28,9 +29,13 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of vectors in a part, queries that a task takes for it, and centres, which travel to all tasks.
-PART_BYTES = 16 << 20
-PART_QUERIES = 65_536
+PART_BYTES = 64 << 20
+PART_QUERIES = 32_768
+#: A copy is not made for fewer queries than these.
+FEW_QUERIES = 4_096
 MOST_CENTRES = 4_096
+#: Rows of a part that a chunk of queries meets at once.
+BLOCK_ROWS = 8_192
 #: Inner products worked out at once.
 CHUNK_CELLS = 4_000_000
 #: More than floating point and rounding to 9 digits can take from a bound.
@@ -39,7 +44,7 @@ SLACK = 1e-7
 
 def matrix(column) -> np.ndarray:
     """A list column of an Arrow batch as rows of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -56,8 +61,8 @@ def named(df: DataFrame, name: str) -> str:
 
 @dataclass
 class Cells:
-    """Centres of a corpus (id, vector), and of each the rows of its cell, their least product with it, and the
-    number and the first of its parts."""
+    """Centres of a corpus (id, vector), and of each the rows of its cell, their least product with it, the
+    number and the first of its parts, which small cells share; and the number of all parts."""
 
     ids: np.ndarray
     centres: np.ndarray
@@ -65,6 +70,32 @@ class Cells:
     least: np.ndarray
     parts: np.ndarray
     first: np.ndarray
+    all_parts: int
+
+
+def in_line(centres: np.ndarray) -> list[int]:
+    """Numbers of the centres, each followed by the nearest one that is left."""
+    left, at, line = np.ones(len(centres), bool), 0, []
+    for _ in range(len(centres)):
+        line.append(at)
+        left[at] = False
+        at = int(np.where(left, centres @ centres[at], -np.inf).argmax())
+    return line
+
+
+def packed(centres: np.ndarray, rows: np.ndarray, part_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Number and first of the parts of each cell, and the number of all: cells in line share a part while they fit."""
+    parts, first = -(-rows // part_rows), np.zeros(len(rows), np.int64)
+    number, filled = 0, 0
+    for cell in in_line(centres):
+        if filled and filled + rows[cell] > part_rows:
+            number, filled = number + 1, 0
+        first[cell] = number
+        if rows[cell] > part_rows:
+            number += int(parts[cell])
+        else:
+            filled += rows[cell]
+    return parts, first, int(number + (filled > 0))
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +140,7 @@ def find_cells(corpus: DataFrame, part_rows: int | None = None) -> Cells | None:
     rows, least = np.zeros(len(centres), np.int64), np.full(len(centres), 1.0)
     for r in stats:
         rows[r["centre"]], least[r["centre"]] = r["n"], r["least"]
-    parts = -(-rows // part_rows)
-    return Cells(plain(chosen["corpus_id"].combine_chunks()), centres, rows, least, parts, np.cumsum(parts) - parts)
+    return Cells(plain(chosen["corpus_id"].combine_chunks()), centres, rows, least, *packed(centres, rows, part_rows))
 
 
 def bounds(products: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -146,6 +176,8 @@ def route(queries: DataFrame, cells: Cells, k: int, exclude_self: bool) -> DataF
                 many = cells.parts[cell]
                 row = np.repeat(row, many)
                 part = np.repeat(cells.first[cell] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                # cells of one part need it once
+                row, part = np.divmod(np.unique(row * cells.all_parts + part), cells.all_parts)
                 for a in range(0, len(row), 16_384):
                     taken = pa.array(row[a:a + 16_384])
                     yield pa.RecordBatch.from_arrays(
@@ -164,20 +196,39 @@ def part_of(cells: Cells) -> Column:
     return (F.get(first, at) + F.pmod(F.xxhash64("corpus_id"), F.get(many, at))).cast("int")
 
 
-def best_of(ids, order, base, asked, vectors, k: int, exclude_self: bool):
-    """Query row, corpus row and score of the ``k`` best corpus rows of each query; of equal scores the lower id comes first."""
-    scores = np.round(vectors @ base.T, 9)
-    if exclude_self:
-        scores[asked[:, None] == ids[None, :]] = -np.inf
-    bound = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(vectors), -np.inf)
-    row, column = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
-    value = scores[row, column]
+def leading(row, column, value, order, k: int):
+    """The ``k`` largest values of each row; of equal ones those of the lower id."""
     sort = np.lexsort((order[column], -value, row))
     row, column, value = row[sort], column[sort], value[sort]
     kept = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[kept], column[kept], value[kept]
 
 
+def best_of(ids, order, base, asked, vectors, k: int, exclude_self: bool):
+    """Query row, corpus row and score of the ``k`` best corpus rows of each query; of equal scores the lower id comes first.
+
+    The rows come in blocks; of a block only scores that reach the k-th best so far are looked at.
+    """
+    bound = np.full(len(vectors), -np.inf)
+    row, column, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for start in range(0, len(ids), BLOCK_ROWS):
+        scores = vectors @ base[start:start + BLOCK_ROWS].T
+        if exclude_self:
+            scores[asked[:, None] == ids[None, start:start + BLOCK_ROWS]] = -np.inf
+        if start == 0 and scores.shape[1] > k:
+            bound = np.round(np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k], 9)
+        # rounding may lift a score to the bound
+        new, at = np.nonzero(scores >= (bound - 1e-9)[:, None])
+        score = scores[new, at]
+        real = score > -np.inf
+        if real.any():
+            row, column, value = leading(
+                np.r_[row, new[real]], np.r_[column, at[real] + start], np.r_[value, np.round(score[real], 9)], order, k)
+            last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            bound[row[last]] = value[last]
+    return row, column, value
+
+
 def search(sent: DataFrame, rows: DataFrame, tasks: int, k: int, exclude_self: bool) -> DataFrame:
     """The ``k`` best rows of each (part, copy) for each query sent there: ``query_id, corpus_id, similarity``.
 
@@ -209,7 +260,7 @@ def search(sent: DataFrame, rows: DataFrame, tasks: int, k: int, exclude_self: b
                     ids, base = plain(name), matrix(whole["vector"].combine_chunks())
                     order = np.empty(len(ids), np.int64)
                     order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                step = max(1, CHUNK_CELLS // len(ids))
+                step = max(1, CHUNK_CELLS // min(len(ids), BLOCK_ROWS))
                 for start in range(0, piece.num_rows, step):
                     some = piece.slice(start, step)
                     row, column, value = best_of(ids, order, base, plain(some["query_id"]), matrix(some["vector"]), k, exclude_self)
@@ -231,8 +282,11 @@ def top_in_cells(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bo
         return queries.sparkSession.createDataFrame([], kind)
     sent = route(queries, cells, k, exclude_self)
     # a row for each part: some thousands, or as many as the corpus has blocks
-    load = sent.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / part_queries).cast("int").alias("copies")).collect()
-    hot = {r["part"]: r["copies"] for r in load if r["copies"] > 1}
+    load = {r["part"]: r["queries"] for r in sent.groupBy("part").agg(F.count(F.lit(1)).alias("queries")).collect()}
+    # few parts are copied so far that all cores have work
+    spread = -(-sum(load.values()) // (2 * queries.sparkSession.sparkContext.defaultParallelism))
+    taken = min(part_queries, max(FEW_QUERIES, spread))
+    hot = {part: -(-n // taken) for part, n in load.items() if n > taken}
     rows = assign(corpus, cells.centres).withColumn("part", part_of(cells))
     if hot:
         copies = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("part")], F.lit(1))
@@ -240,6 +294,6 @@ def top_in_cells(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bo
         rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     else:
         sent, rows = sent.withColumn("copy", F.lit(0)), rows.withColumn("copy", F.lit(0))
-    tasks = max(1, int(cells.parts.sum()) + sum(n - 1 for n in hot.values()))
+    tasks = max(1, cells.all_parts + sum(n - 1 for n in hot.values()))
     tasks = min(tasks, max(queries.sparkSession.sparkContext.defaultParallelism * 4, tasks // 4))
     return search(sent, rows, tasks, k, exclude_self)

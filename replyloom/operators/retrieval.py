@@ -32,8 +32,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool
     one length and unit norm; zero vectors may be among them, rows without vector are left out. Equal similarities
     (to 9 digits) rank by corpus id.
 
-    The corpus is dealt to cells of near vectors, ``block_rows`` in a part at most (by default, 16 MB), and a query visits the
-    cells that can hold one of its best, whatever the sizes (see :mod:`cells`). ``scan_queries`` has no effect.
+    The corpus is dealt to cells of near vectors, ``block_rows`` in a part at most (by default, 64 MB), and a query visits the
+    parts of cells that can hold one of its best, whatever the sizes (see :mod:`cells`). ``scan_queries`` has no effect.
     """
     if k < 1:
         raise ValueError("k is at least 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from replyloom import fixed_values as fixed
 from replyloom.operators import annotations as an
 from replyloom.operators import cells, corpus, features, metrics, retrieval, sampling
-from replyloom.operators.inference import annotate_with_retry, generate_replies
+from replyloom.operators.inference import annotate_with_retry, complete, generate_replies
 from replyloom.operators.messages import blind_sheet
 from replyloom.operators.models import TextClassifier, cross_validate
 from replyloom.plans import jobs
@@ -168,6 +168,34 @@ def test_top_k_visits_cells_that_can_win_only(spark):
     assert visits < 0.35 * 300 * known.parts.sum()
 
 
+def test_a_query_travels_once_for_each_part(spark):
+    """Vectors without clusters, in many small cells: the rows sent are bounded by the parts, not by the cells."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(900, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    pool = spark.createDataFrame(rows, "corpus_id bigint, vector array<double>")
+    queries = spark.createDataFrame(rows[:200], "query_id bigint, vector array<double>")
+    known = cells.find_cells(pool, 300)
+    assert len(known.centres) == 30 and 3 <= known.all_parts <= 6
+    sent = cells.route(queries, known, 3, False)
+    assert sent.count() == sent.select("query_id", "part").distinct().count() <= 200 * known.all_parts
+    best = cells.best_of(np.arange(900), np.arange(900), vectors, np.arange(200), vectors[:200], 3, False)
+    assert (best[1].reshape(200, 3) == np.argsort(-np.round(vectors[:200] @ vectors.T, 9), axis=1, kind="stable")[:, :3]).all()
+
+
+def test_answers_leave_other_columns_in_arrow(spark):
+    rows = spark.range(1_000).select("id", F.concat(F.lit("p"), "id").alias("prompt"), F.array(F.struct("id")).alias("nested"))
+
+    def shout(prompt):
+        return prompt.upper()
+
+    answered = complete(rows.coalesce(1), "prompt", [("one", "m", shout)])
+    assert "MapInPandas" not in answered._jdf.queryExecution().executedPlan().toString()
+    got = answered.where("answer = upper(prompt) and nested[0].id = id and error is null and provider = 'one'")
+    assert got.count() == 1_000
+
+
 def _by_query(found):
     rows = {}
     for r in found.collect():
