@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import astuple
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -160,9 +162,15 @@ def cross_validate(df: DataFrame, build: Callable[[], TextClassifier], text: str
     """Out-of-fold predictions: each fold scored by a model fitted on the others."""
     # read several times per fold, so worked out once
     folded = cut_lineage(assign_folds(df, label, n_folds, key))
+
+    def fitted(fold: int) -> TextClassifier:
+        return build().fit(folded.where(F.col("fold") != fold), text, label)
+
+    # a step of a fit is a job of few tasks, so the steps of all folds share the cluster
+    with ThreadPoolExecutor(max(1, n_folds)) as pool:
+        models = list(pool.map(inheritable_thread_target(df.sparkSession)(fitted), range(n_folds)))
     scored = None
-    for fold in range(n_folds):
-        model = build().fit(folded.where(F.col("fold") != fold), text, label)
+    for fold, model in enumerate(models):
         part = model.predict(folded.where(F.col("fold") == fold), text, override=None)
         scored = part if scored is None else scored.unionByName(part)
     return scored

@@ -503,3 +503,21 @@ def test_review_without_evidence(spark):
     # weak evidence sends every message to a person
     escalation = report["escalation"].first()
     assert (escalation["accuracy"], escalation["recall"]) == (0.5, 1.0)
+
+
+def test_folds_are_fitted_at_the_same_time(spark):
+    from threading import Barrier
+
+    meeting = Barrier(3)
+
+    class Waits:
+        def fit(self, df, text, label):
+            meeting.wait(30)
+            return self
+
+        def predict(self, df, text, override):
+            return df.withColumn("predicted_intent", F.lit("a"))
+
+    rows = spark.range(12).select(F.col("id").alias("tweet_id"), F.lit("x").alias("text"), F.lit("a").alias("intent"))
+    scored = cross_validate(rows, Waits, "text", "intent", 3)
+    assert sorted(r["tweet_id"] for r in scored.collect()) == list(range(12))
