@@ -9,7 +9,8 @@ shuffled once, to its cell.
 
 Cells that lie near each other share a part as far as they fit, so a query travels once for each part and not for each
 cell; a cell with more rows than fit is cut into parts by a hash of the id. A part that very many queries ask for is
-given to several tasks, a copy for each ``PART_QUERIES`` of them.
+given to several tasks, a copy for each ``PART_QUERIES`` of them. Every copy of a part has a task of its own, and beyond
+``OWN_TASKS`` at most four share one, so what a task holds does not grow with the tables.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # functions travel to the workers whole, which need no copy of this package
@@ -33,6 +34,8 @@ PART_BYTES = 64 << 20
 PART_QUERIES = 32_768
 #: A copy is not made for fewer queries than these.
 FEW_QUERIES = 4_096
+#: So many copies of parts have each a task of their own.
+OWN_TASKS = 4_096
 MOST_CENTRES = 4_096
 #: Rows of a part that a chunk of queries meets at once.
 BLOCK_ROWS = 8_192
@@ -229,11 +232,24 @@ def best_of(ids, order, base, asked, vectors, k: int, exclude_self: bool):
     return row, column, value
 
 
-def search(sent: DataFrame, rows: DataFrame, tasks: int, k: int, exclude_self: bool) -> DataFrame:
+def keys_of_tasks(spark: SparkSession, tasks: int) -> list[int]:
+    """A number for each of ``tasks`` partitions; a repartition by these sends each of them to another partition."""
+    found = spark.range(32 * tasks).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.min("id").alias("id")).collect()
+    keys = {r["task"]: r["id"] for r in found}
+    return [keys.get(task, task) for task in range(tasks)]
+
+
+def search(sent: DataFrame, rows: DataFrame, copies: list[int], k: int, exclude_self: bool) -> DataFrame:
     """The ``k`` best rows of each (part, copy) for each query sent there: ``query_id, corpus_id, similarity``.
 
-    The corpus rows of a part come first and are held, its queries stream past them.
+    ``copies`` has the number of copies of each part. They are dealt to the tasks one after the other, as a hash of part
+    and copy would give many to some tasks and none to others. The corpus rows of a part come first and are held, its
+    queries stream past them.
     """
+    places = sum(copies)
+    tasks = min(places, max(OWN_TASKS, -(-places // 4)))
+    begins = F.array(*[F.lit(int(x)) for x in np.cumsum([0, *copies[:-1]])])
+    keys = F.array(*[F.lit(x).cast("bigint") for x in keys_of_tasks(sent.sparkSession, tasks)])
     query_kind, corpus_kind = named(sent, "query_id").split()[1], named(rows, "corpus_id").split()[1]
     vector = F.col("vector").cast("array<double>").alias("vector")
     both = rows.select(
@@ -270,7 +286,9 @@ def search(sent: DataFrame, rows: DataFrame, tasks: int, k: int, exclude_self: b
                     )
 
     schema = f"query_id {query_kind}, corpus_id {corpus_kind}, similarity double"
-    return both.repartition(tasks, "part", "copy").sortWithinPartitions("part", "copy", "kind").mapInArrow(run, schema)
+    dealt = both.withColumn("slot", F.get(keys, F.pmod(F.get(begins, F.col("part")) + F.col("copy"), F.lit(tasks))))
+    ordered = dealt.repartition(tasks, "slot").drop("slot").sortWithinPartitions("part", "copy", "kind")
+    return ordered.mapInArrow(run, schema)
 
 
 def top_in_cells(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, part_rows: int | None = None,
@@ -294,6 +312,4 @@ def top_in_cells(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bo
         rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     else:
         sent, rows = sent.withColumn("copy", F.lit(0)), rows.withColumn("copy", F.lit(0))
-    tasks = max(1, cells.all_parts + sum(n - 1 for n in hot.values()))
-    tasks = min(tasks, max(queries.sparkSession.sparkContext.defaultParallelism * 4, tasks // 4))
-    return search(sent, rows, tasks, k, exclude_self)
+    return search(sent, rows, [hot.get(part, 1) for part in range(cells.all_parts)], k, exclude_self)

@@ -184,6 +184,21 @@ def test_a_query_travels_once_for_each_part(spark):
     assert (best[1].reshape(200, 3) == np.argsort(-np.round(vectors[:200] @ vectors.T, 9), axis=1, kind="stable")[:, :3]).all()
 
 
+def test_each_copy_of_a_part_has_a_task(spark):
+    """By a hash of part and copy some tasks held several of them, and others none."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    pool = spark.createDataFrame(rows, "corpus_id bigint, vector array<double>")
+    queries = spark.createDataFrame(rows, "query_id bigint, vector array<double>")
+    found = cells.top_in_cells(queries, pool, 2, True, part_rows=100, part_queries=80)
+    held = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    # four to seven parts, five copies of each
+    assert 20 <= found.rdd.getNumPartitions() == len(held) <= 35
+    assert max(r["count"] for r in held) <= 2 * 2 * 80
+
+
 def test_answers_leave_other_columns_in_arrow(spark):
     rows = spark.range(1_000).select("id", F.concat(F.lit("p"), "id").alias("prompt"), F.array(F.struct("id")).alias("nested"))
 
