@@ -23,7 +23,8 @@ REMEMBERED = 300_000
 LONGEST = 80
 
 SAFE_BLANK = re.compile(r"(?<=\S)(?= \S)")
-SAFE_SPACE = re.compile(r"(?<=\S)(?=\s\S)")
+#: U+001C to U+001F are white space to Python, but not to the vocabularies' patterns.
+SAFE_SPACE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f]\S)")
 PLAIN = re.compile("[\n !-~À-įı-ſ]+").fullmatch
 SPECIAL = "<|"
 
@@ -111,7 +112,7 @@ class Pieces:
         for piece in pieces:
             if piece.isascii() and piece[1:].isalpha():
                 parts = words(piece.lower() if lower else piece) if "'" in piece else (
-                    [piece.strip().lower()] if lower else [piece])
+                    [piece.lstrip(" ").lower()] if lower else [piece])
             elif PLAIN(piece) and SPECIAL not in piece:
                 parts = words(piece.lower() if lower else piece)
             else:

@@ -39,6 +39,15 @@ def test_pieces_equal_whole_texts(values):
         assert pieces.texts(values) == expected  # now from memory
 
 
+def test_separators_are_no_white_space_to_the_vocabularies():
+    """U+001C to U+001F next to a word, and in a long piece without blanks."""
+    values = [f"{c}a" for c in "\x1c\x1d\x1e\x1f"] + ["b \x1fa", "!!\x1ca" * 30_000]
+    for tokenizer, words, lower in ((byte_tokenizer, BYTE_WORDS, False), (word_tokenizer, LOWER_WORDS, True)):
+        pieces = Pieces(lambda parts: [e.ids for e in tokenizer.encode_batch(parts, add_special_tokens=False)],
+                        lambda lists: [i for ids in lists for i in ids], words, lower)
+        assert pieces.texts(values) == [e.ids for e in tokenizer.encode_batch(values, add_special_tokens=False)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(TEXTS)
 def test_fast_encoder_equals_library(text):
