@@ -124,8 +124,8 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     """Trie of the trigrams of a shard.
 
     ``grams`` are sorted different numbers (w2, w1, w3), 20 bits each, ``counts`` how often they occur.
-    ``hot_bigrams`` maps a w2 to followers (sorted, those of its trigrams here at least, perhaps none), their counts over all
-    shards, and the sum and number of all its followers; those of other w2 are complete here. ``hot_contexts`` maps a (w2, w1)
+    ``hot_bigrams`` maps a w2 to followers whose counts over all shards are others than those here (sorted, perhaps none), these
+    counts, and the sum and number of all its followers; those of other w2 are complete here. ``hot_contexts`` maps a (w2, w1)
     of 40 bits to the sum and number of all its trigrams, of which only some, or none, are here. Probabilities are interpolated by absolute discounting with the next shorter context.
 
     Below each w2 lie its followers w3 and its contexts w1. A trigram is stored as the place of its w3 among the
@@ -139,10 +139,10 @@ def build_trie(grams, counts, hot_bigrams, unigram_log10, discount: float = 0.75
     pairs, inverse = np.unique((w2 << np.uint64(20)) | w3, return_inverse=True)
     pair_counts = np.bincount(inverse, weights=counts, minlength=len(pairs)).astype(np.int64)
     if hot_bigrams:
-        local = ~np.isin(pairs >> np.uint64(20), np.fromiter(hot_bigrams, np.uint64, len(hot_bigrams)))
-        parts = [pairs[local]] + [(np.uint64(w) << np.uint64(20)) | f.astype(np.uint64) for w, (f, *_) in hot_bigrams.items()]
-        sizes = [pair_counts[local]] + [c for _, c, *_ in hot_bigrams.values()]
-        pairs, pair_counts = np.concatenate(parts), np.concatenate(sizes)
+        told = np.concatenate([(np.uint64(w) << np.uint64(20)) | f.astype(np.uint64) for w, (f, *_) in hot_bigrams.items()])
+        local = ~np.isin(pairs, told)
+        pairs = np.concatenate((pairs[local], told))
+        pair_counts = np.concatenate((pair_counts[local], *[c for _, c, *_ in hot_bigrams.values()]))
         order = np.argsort(pairs)
         pairs, pair_counts = pairs[order], pair_counts[order]
     nodes = np.union1d(pairs >> np.uint64(20), np.fromiter(hot_bigrams, np.uint64, len(hot_bigrams)))

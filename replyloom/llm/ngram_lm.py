@@ -8,12 +8,14 @@ trigrams of the group. What leaves is one sum per text and shard.
 
 Every word of up to 64 bytes has n-grams of its own. Frequent words have short ids (``dictionary`` of them, and all with
 more than a unit of trigrams, sent to the tasks); the others are named by a 64-bit hash, and numbered again within each
-unit's trie. As a shard doesn't know how often such a word occurs, it gives what is left of the probability as a + b p,
-and p comes from a join to the counts of all words. Longer words form one class in n-grams, times the word's share of the class.
+unit's trie. As a shard doesn't know how often such a word occurs, it gives what is left of the probability as a + b p.
+The counts of these words are dealt to the shards by hash, each shard answers the words that a batch of texts asks of it, and
+counts and shares meet where the batch's sums do. Longer words form one class in n-grams, times the word's share of the class.
 
 Middle words with more than ``unit_grams`` trigrams are split into units by their left neighbour, pairs of neighbours
 with more than that by what follows them, and trigrams with more than that by text. What follows such a word needs
-counts over all its units; it is counted before, and a shard gets the counts of those followers that its own trigrams have.
+counts over all its units; it is counted before, and a shard gets the counts of those followers of its own trigrams that other
+units have as well.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ START, END, RARE, FIRST = 0, 1, 2, 3
 HASHED = -(1 << 63)
 #: log10 of the share of a hashed word that its shard doesn't know.
 NOTHING = -300.0
-PART = "shard int, kind int, payload binary, b long, w long, n long"
-SUMS = (
-    "batch long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score float, "
-    "late struct<word:array<long>,a:array<float>,b:array<float>>"
-)
-SUM_NAMES = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "late"]
-FOLLOWERS, GRAMS, HEADS = range(3)
+PART = "shard int, kind int, payload binary, b long, n long"
+COUNTS, FOLLOWERS, GRAMS, HEADS = range(4)
+#: What leaves a shard for a batch of texts: the head of the batch, or sums of its texts with shares and counts of words.
+SUMS = "batch long, kind int, payload binary"
+HEAD_NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+#: Counts of what follows hot words, packed, and their sums by word, by pair and by trigram.
+FOLLOWED = "kind int, payload binary, b long, a long, w long, n long, types long"
+PACKED, WORDS, PAIRS, TRIPLES = range(4)
 
 
 @dataclass
@@ -255,13 +259,6 @@ def numbered(values, n_ids: int):
     return np.concatenate((hashes, listed)), out
 
 
-def local_table(spark, names: list[str], rows: list[tuple]) -> DataFrame:
-    """Rows of integers as a table whose size Spark knows, so that it broadcasts a small one and shuffles to a large one."""
-    import pyarrow as pa
-
-    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=names))
-
-
 def planes(numbers) -> bytes:
     """32-bit numbers, byte by byte, which packs well."""
     import numpy as np
@@ -276,6 +273,44 @@ def from_planes(data, n: int, at: int):
     return out.view("<u4").ravel().astype(np.int64)
 
 
+def in_part(b, w, parts: int):
+    """The part that counts of a follower are summed in."""
+    import numpy as np
+
+    mixed = (w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(7)) % np.uint64(parts)
+
+
+def pack_followers(unit, a, w, n) -> bytes:
+    """Counts by unit, word before (-1: not told) and follower; sorted by follower they pack well."""
+    return struct.pack("<Q", len(unit)) + planes(unit) + planes(a + 1) + n.astype("<i8").tobytes() + w.astype("<i8").tobytes()
+
+
+def followers_packed(data):
+    import numpy as np
+
+    size, = struct.unpack_from("<Q", data)
+    unit, a = (from_planes(data, size, 8 + i * 4 * size) for i in range(2))
+    n, w = (np.frombuffer(data, "<i8", size, 8 + (8 + i * 8) * size) for i in range(2))
+    return unit, a - 1, w, n
+
+
+def runs(*columns):
+    """Where runs of equal rows begin in sorted columns."""
+    import numpy as np
+
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def summed(values, first):
+    """Sums of the runs that begin at ``first``."""
+    import numpy as np
+
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[np.append(first, len(values))])
+
+
 def score_texts(
     docs: DataFrame, folds: int = 7, held_fold: int = 2, dictionary: int = 250_000, shard_grams: int = 1_500_000,
     unit_grams: int = 500_000, discount: float = 0.75, batch_bytes: int = 3 << 20,
@@ -318,13 +353,19 @@ def score_texts(
     pieces = units_needed(sizes, unit_grams)
     hot_units = {i: (sum(pieces[:i]), pieces[i]) for i in hot}
 
+    # Units of hot words, in order, and their words.
+    hot_firsts, hot_ids = [hot_units[i][0] for i in hot], list(hot)
+    follow_parts = max(1, shards // 3)
+
     def followers(batches):
         """How often each word follows each hot one in the learned texts of a batch, apart by unit, and by the word before where
-        that is hot too. What stands in other texts only has count 0."""
+        that is hot too, packed by part. What stands in other texts only has count 0."""
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
         ids = loaded_ids()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         first_unit, n_units = np.zeros(n_ids + 1, np.int64), np.zeros(n_ids + 1, np.int64)
         for i, (first, n) in hot_units.items():
             first_unit[i], n_units[i] = first, n
@@ -338,15 +379,67 @@ def score_texts(
             learned = ~held[text[at]]
             unit = first_unit[b] + share_of(a, n_units[b])
             a = np.where(n_units[np.where(a >= 0, a, n_ids)] > 0, a, -1)
-            order = np.lexsort((w, a, unit))
-            a, b, w, unit = a[order], b[order], w[order], unit[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (unit[1:] != unit[:-1]) | (w[1:] != w[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.concatenate(([0], np.cumsum(learned[order])))[np.append(first, len(a))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[first]) for x in (a, b, unit, w)] + [pa.array(n.astype(np.int64))], names=["a", "b", "unit", "w", "n"]
+            part = in_part(b, w, follow_parts)
+            # Units are numbered by word, and a word before belongs to one unit, so these two tell all.
+            order = np.lexsort(((unit << 24) | (a + 1), w, part))
+            a, w, unit, part = a[order], w[order], unit[order], part[order]
+            first = runs(w, unit, a)
+            a, w, unit, part, n = a[first], w[first], unit[first], part[first], summed(learned[order], first)
+            edges = np.searchsorted(part, np.arange(follow_parts + 1, dtype=np.uint64))
+            mine = [p for p in range(follow_parts) if edges[p] < edges[p + 1]]
+            packed = [squeeze(pack_followers(*[x[edges[p]:edges[p + 1]] for x in (unit, a, w, n)])) for p in mine]
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int32()), pa.array(packed, pa.binary())], names=["part", "payload"])
+
+    def added(batches):
+        """The counts of a part over all batches, and its shares of the sums by word, pair and trigram."""
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        firsts, words = np.array(hot_firsts), np.array(hot_ids)
+
+        def rows_of(kind, **columns):
+            size = len(next(iter(columns.values())))
+            values = [pa.array(columns[c]) if c in columns else pa.nulls(size, t) for c, t in (
+                ("payload", pa.binary()), ("b", pa.int64()), ("a", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("types", pa.int64()))]
+            names = ["kind", "payload", "b", "a", "w", "n", "types"]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *values], names=names)
+
+        def of_part(payloads):
+            unit, a, w, n = (np.concatenate(x) for x in zip(*(followers_packed(expand(p)) for p in payloads)))
+            order = np.lexsort(((unit << 24) | (a + 1), w))
+            unit, a, w, n = unit[order], a[order], w[order], n[order]
+            first = runs(w, unit, a)
+            unit, a, w, n = unit[first], a[first], w[first], summed(n, first)
+            yield rows_of(PACKED, payload=pa.array([squeeze(pack_followers(unit, a, w, n))], pa.binary()))
+            # Sorted by follower and unit, a hot word's rows lie together.
+            b = words[np.searchsorted(firsts, unit, side="right") - 1]
+            first = runs(w, b)
+            total, of = summed(n, first), b[first]
+            sums = np.bincount(of, weights=total, minlength=1).astype(np.int64)
+            types = np.bincount(of, weights=total > 0, minlength=1).astype(np.int64)
+            there = np.flatnonzero(sums)
+            yield rows_of(WORDS, b=there, n=sums[there], types=types[there])
+            both = np.flatnonzero((a >= 0) & (n > 0))
+            pair, which = np.unique((b[both] << 24) | a[both], return_inverse=True)
+            yield rows_of(
+                PAIRS, b=pair >> 24, a=pair & ((1 << 24) - 1),
+                n=np.bincount(which, weights=n[both], minlength=len(pair)).astype(np.int64), types=np.bincount(which, minlength=len(pair)),
             )
+            often = np.flatnonzero((a >= 0) & (n * share > unit_grams) & (w >= 0))
+            yield rows_of(TRIPLES, b=b[often], a=a[often], w=w[often], n=n[often])
+
+        part, payloads = None, []
+        for batch in batches:
+            for p, payload in zip(batch["part"].to_pylist(), batch["payload"].to_pylist()):
+                if p != part and payloads:
+                    yield from of_part(payloads)
+                    payloads = []
+                part = p
+                payloads.append(payload)
+        if payloads:
+            yield from of_part(payloads)
 
     # Frequent words, pairs and trigrams, each with its count and the number of its different followers.
     hot_totals: dict[int, tuple[int, int]] = {}
@@ -354,20 +447,14 @@ def score_texts(
     triples: list[tuple] = []
     loads = list(sizes)
     if hot:
-        counted = rows.select("text", "held_out").mapInArrow(followers, "a long, b long, unit long, w long, n long")
-        counted = cut_lineage(counted.groupBy("a", "b", "unit", "w").agg(F.sum("n").alias("n")))
-        follow_counts = counted.groupBy("b", "w").agg(F.sum("n").alias("n")).filter("n > 0")
-        both = F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")
-        hot_totals = {r["b"]: (r["n"], r["types"]) for r in follow_counts.groupBy("b").agg(*both).collect()}
-        before = counted.filter("a >= 0 and n > 0")
-        pairs = sorted(
-            (r["b"], r["a"], r["n"], r["types"])
-            for r in before.groupBy("a", "b").agg(*both).filter(F.col("n") * share > unit_grams).collect()
-        )
+        counted = rows.select("text", "held_out").mapInArrow(followers, "part int, payload binary")
+        counted = cut_lineage(counted.repartition("part").sortWithinPartitions("part").mapInArrow(added, FOLLOWED))
+        both = F.sum("n").alias("n"), F.sum("types").alias("types")
+        hot_totals = {r["b"]: (r["n"], r["types"]) for r in counted.filter(F.col("kind") == WORDS).groupBy("b").agg(*both).collect()}
+        before = counted.filter(F.col("kind") == PAIRS).groupBy("a", "b").agg(*both)
+        pairs = sorted((r["b"], r["a"], r["n"], r["types"]) for r in before.filter(F.col("n") * share > unit_grams).collect())
         place = {(b, a): i for i, (b, a, *_) in enumerate(pairs)}
-        triples = sorted(
-            (place[r["b"], r["a"]], r["w"], r["n"]) for r in before.filter((F.col("n") * share > unit_grams) & (F.col("w") >= 0)).collect()
-        )
+        triples = sorted((place[r["b"], r["a"]], r["w"], r["n"]) for r in counted.filter(F.col("kind") == TRIPLES).collect())
         for b, _, n, _ in pairs:
             loads[b] = max(0.0, loads[b] - share * n)
         pieces += units_needed([share * n for _, _, n, _ in pairs], unit_grams)
@@ -416,14 +503,13 @@ def score_texts(
             firsts = np.cumsum(lengths + 1) - lengths - 1
             known_words = np.add.reduceat(by_id.astype(np.int64), firsts) * bool(known.learned)
             head = pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n_texts, name)), pa.array(np.arange(n_texts, dtype=np.int32)), batch["doc_id"], batch["held_out"],
-                 pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts)), pa.array(np.zeros(n_texts, np.float32))],
-                names=SUM_NAMES[:-1],
+                [batch["doc_id"], batch["held_out"], pa.array(lengths + 1), pa.array(known_words), pa.array(np.add.reduceat(plain, firsts))],
+                names=HEAD_NAMES[:-1],
             )
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as writer:
                 writer.write_batch(head)
-            out.append((name % shards, HEADS, sink.getvalue().to_pybytes()))
+            out.append((name % shards, HEADS, struct.pack("<qq", name, keys.shape[1]) + sink.getvalue().to_pybytes()))
             # Trigrams, by shard; learned and held-out texts stay apart by a mark per text.
             code1, code2, code3 = (codes(w, keys, n_ids) for w in (w1, w2, w3))
             unit = unit_of(code1, code2, name, starts, *of_pairs, code3, *of_triples)
@@ -432,9 +518,13 @@ def score_texts(
             shard[hashed] = (code2[hashed] - HASHED) % shards
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            # The words that a shard is asked to count: those whose hash is its own.
+            asked_of = (keys[0] - HASHED) % shards
+            asked = np.argsort(asked_of, kind="stable")
+            asked_edges = np.searchsorted(asked_of[asked], np.arange(shards + 1))
             for s in range(shards):
-                mine = order[edges[s]:edges[s + 1]]
-                if not len(mine):
+                mine, ask = order[edges[s]:edges[s + 1]], asked[asked_edges[s]:asked_edges[s + 1]]
+                if not len(mine) and not len(ask):
                     continue
                 here, counts = np.unique(text[mine], return_counts=True)
                 three = np.concatenate((w1[mine], w2[mine], w3[mine]))
@@ -442,15 +532,15 @@ def score_texts(
                 rare = np.flatnonzero(three >= n_ids)
                 used, which = np.unique(three[rare] - n_ids, return_inverse=True)
                 three[rare] = which + n_ids
-                out.append((s, GRAMS, squeeze(
-                    struct.pack("<QQQQ", name, len(here), len(mine), len(used)) + held[here].tobytes() + planes(here) + planes(counts)
-                    + planes(three) + keys[0][used].tobytes() + (keys[1][used] == RARE).tobytes()
+                out.append((s, GRAMS, struct.pack("<QQQQQ", name, len(here), len(mine), len(used), len(ask)) + squeeze(
+                    held[here].tobytes() + planes(here) + planes(counts) + planes(three) + keys[0][used].tobytes()
+                    + (keys[1][used] == RARE).tobytes() + planes(used) + planes(ask) + keys[0][ask].tobytes()
                 )))
             name += 1
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()),
-                 *[pa.nulls(len(out), pa.int64())] * 3], names=["shard", "kind", "payload", "b", "w", "n"],
+                 *[pa.nulls(len(out), pa.int64())] * 2], names=["shard", "kind", "payload", "b", "n"],
             )
 
     def scored(batches):
@@ -469,27 +559,33 @@ def score_texts(
         triple_words = np.array([(pairs[i][1], pairs[i][0], w) for i, w, _ in triples], np.int64).reshape(-1, 3)
         triple_counts = np.array([n for *_, n in triples], np.int64)
         hot_words = np.array(sorted(hot_totals), np.int64)
-        expand = zstandard.ZstdDecompressor().decompress
-        late_type = pa.struct([("word", pa.list_(pa.int64())), ("a", pa.list_(pa.float32())), ("b", pa.list_(pa.float32()))])
+        expand, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        head_size = struct.calcsize("<QQQQQ")
 
         def grams_of(payload):
-            data = expand(payload)
-            batch, texts_here, n, n_keys = struct.unpack_from("<QQQQ", data)
-            held = np.frombuffer(data, np.bool_, texts_here, 32)
-            at = 32 + texts_here
+            """Batch, texts, trigrams, and the words asked for, of which the last two columns are."""
+            batch, texts_here, n, n_keys, n_asked = struct.unpack_from("<QQQQQ", payload)
+            data = expand(memoryview(payload)[head_size:])
+            held = np.frombuffer(data, np.bool_, texts_here)
+            at = texts_here
             place, counts = (from_planes(data, texts_here, at + i * 4 * texts_here) for i in range(2))
             at += 8 * texts_here
             three = from_planes(data, 3 * n, at)
             at += 12 * n
             keys = np.frombuffer(data, np.int64, n_keys, at) if n_keys else np.zeros(0, np.int64)
             in_class = np.frombuffer(data, np.bool_, n_keys, at + 8 * n_keys) if n_keys else np.zeros(0, bool)
+            at += 9 * n_keys
+            used, asked = from_planes(data, n_keys, at), from_planes(data, n_asked, at + 4 * n_keys)
+            asked_keys = np.frombuffer(data, np.int64, n_asked, at + 4 * (n_keys + n_asked))
             keys = np.stack([keys, np.where(in_class, RARE, keys)])
             of_class = np.zeros(n, bool)
             last = three[2 * n:]
             rare = np.flatnonzero(last >= n_ids)
             of_class[rare] = in_class[last[rare] - n_ids]
+            key_at = np.zeros(n, np.int32)
+            key_at[rare] = used[last[rare] - n_ids]
             a, b = codes(three[:n], keys, n_ids), codes(three[n:2 * n], keys, n_ids)
-            return batch, place, held, counts, a, b, codes(last, keys[[0, 0]], n_ids), of_class
+            return batch, place, held, counts, (asked, asked_keys), a, b, codes(last, keys[[0, 0]], n_ids), of_class, key_at
 
         def among(values, wanted):
             """Which of the sorted values are among the sorted wanted, and their places there."""
@@ -541,44 +637,51 @@ def score_texts(
             """Followers (sorted) and counts by hot word."""
             if not rows_of:
                 return {}
-            b, w, n = (np.concatenate([x[i] for x in rows_of]) for i in range(3))
+            packed = [followers_packed(expand(x)) for x in rows_of]
+            b, w, n = (np.concatenate([x[i] for x in packed]) for i in (0, 2, 3))
             order = np.lexsort((w, b))
             b, w, n = b[order], w[order], n[order]
             edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
             return {int(b[x]): (w[x:y], n[x:y]) for x, y in zip(edges, edges[1:])}
 
-        def of_shard(follow, grams):
+        def of_shard(counted, follow, grams):
             if not grams:
                 return
-            heads = [struct.unpack_from("<QQQ", expand(payload)) for payload in grams]
+            heads = [struct.unpack_from("<QQQ", payload) for payload in grams]
             total, all_texts = sum(h[2] for h in heads), sum(h[1] for h in heads)
             w1, w2, w3 = (np.empty(total, np.int64) for _ in range(3))
-            text, units = np.empty(total, np.int32), np.empty(total, np.int64)
+            text, units, key_at = np.empty(total, np.int32), np.empty(total, np.int64), np.empty(total, np.int32)
             learned, of_class = np.empty(total, np.bool_), np.empty(total, np.bool_)
-            batch_of, place_of = np.empty(all_texts, np.int64), np.empty(all_texts, np.int32)
+            word, n_of = (np.concatenate([x[i] for x in counted]) if counted else np.zeros(0, np.int64) for i in range(2))
+            order = np.argsort(word)
+            word, n_of = word[order], n_of[order]
+            batch_of: list[tuple] = []
             at = done = 0
-            for payload in grams:
-                batch, place, held, counts, *columns = grams_of(payload)
+            while grams:
+                batch, place, held, counts, (asked, asked_keys), *columns = grams_of(grams.pop())
                 end, last = at + len(columns[0]), done + len(place)
-                for column, values in zip((w1, w2, w3, of_class), columns):
+                for column, values in zip((w1, w2, w3, of_class, key_at), columns):
                     column[at:end] = values
                 last_words = np.where(columns[3], RARE, columns[2])
                 units[at:end] = unit_of(columns[0], columns[1], batch, starts, *of_pairs, last_words, *of_triples)
-                batch_of[done:last], place_of[done:last] = batch, place
+                # What words never learned count is 0, and is not sent.
+                there, places_ = among(asked_keys, word) if len(word) else (np.zeros(0, np.int64),) * 2
+                batch_of.append((batch, done, last, place, asked[there], n_of[places_]))
                 text[at:end] = np.repeat(np.arange(done, last, dtype=np.int32), counts)
                 learned[at:end] = np.repeat(~held, counts)
                 at, done = end, last
+            del word, n_of
             follow = grouped(follow)
             order = np.argsort(units, kind="stable")
             units = units[order]
-            edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total)
+            edges = np.append(np.flatnonzero(units[1:] != units[:-1]) + 1, total) if total else []
             del units
             order = order.astype(np.int32)
             scores = np.zeros(all_texts)
-            late: list[tuple] = []
+            late = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32))]
             begin = 0
-            for place, end in enumerate(edges):
-                if place + 1 < len(edges) and edges[place + 1] - begin <= unit_grams:
+            for i, end in enumerate(edges):
+                if i + 1 < len(edges) and edges[i + 1] - begin <= unit_grams:
                     continue
                 mine = order[begin:end]
                 begin = end
@@ -588,23 +691,26 @@ def score_texts(
                 rare = np.flatnonzero(key < 0)
                 found, weight, in_class = 10 ** found[rare], 10 ** weight[rare], in_class[rare]
                 late.append((
-                    texts_here[rare], key[rare], np.where(in_class, 0.0, found), np.where(in_class, found * (all_mass / class_mass), weight)
+                    texts_here[rare], key_at[mine[rare]], np.where(in_class, 0.0, found).astype(np.float32),
+                    np.where(in_class, found * (all_mass / class_mass), weight).astype(np.float32),
                 ))
             of_text, *fields = (np.concatenate(x) for x in zip(*late))
             order = np.argsort(of_text, kind="stable")
-            ends = np.cumsum(np.bincount(of_text, minlength=all_texts))
-            words, *weights = (x[order] for x in fields)
-            edges = pa.array(np.append(0, ends).astype(np.int32))
-            values = pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (words, *[x.astype(np.float32) for x in weights])],
-                names=["word", "a", "b"],
-            )
-            zero = pa.array(np.zeros(all_texts, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch_of), pa.array(place_of), pa.nulls(all_texts, pa.int64()), pa.nulls(all_texts, pa.bool_()), zero, zero,
-                 pa.array(np.zeros(all_texts)), pa.array(scores.astype(np.float32)), values],
-                names=SUM_NAMES,
-            )
+            n_late = np.bincount(of_text, minlength=all_texts)
+            ends = np.concatenate(([0], np.cumsum(n_late)))
+            fields = [x[order] for x in fields]
+            for batch, first, last, place, asked, n in batch_of:
+                words, a, b = (x[ends[first]:ends[last]] for x in fields)
+                payload = squeeze(
+                    struct.pack("<QQQ", len(place), len(words), len(asked)) + planes(place) + planes(n_late[first:last]) + planes(words)
+                    + planes(asked) + n.astype("<i8").tobytes()
+                    + b"".join(planes(x.view(np.uint32)) for x in (scores[first:last].astype(np.float32), a, b))
+                )
+                yield out_row(batch, GRAMS, payload)
+
+        def out_row(batch, kind, payload):
+            columns = [pa.array([batch], pa.int64()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "kind", "payload"])
 
         shard, state = None, None
         for batch in batches:
@@ -616,63 +722,143 @@ def score_texts(
                 if marks[at] != shard:
                     if state:
                         yield from of_shard(*state)
-                    shard, state = marks[at], ([], [])
+                    shard, state = marks[at], ([], [], [])
                 part, kind = batch.slice(at, end - at), kinds[at]
                 if kind == HEADS:
                     for data in part["payload"].to_pylist():
-                        for head in pa.ipc.open_stream(data):
-                            yield head.append_column("late", pa.nulls(head.num_rows, late_type))
-                elif kind == GRAMS:
-                    state[GRAMS].extend(part["payload"].to_pylist())
+                        yield out_row(struct.unpack_from("<q", data)[0], HEADS, data)
+                elif kind == COUNTS:
+                    state[COUNTS].append([part[c].to_numpy() for c in ("b", "n")])
                 else:
-                    state[FOLLOWERS].append([part[c].to_numpy() for c in ("b", "w", "n")])
+                    state[kind].extend(part["payload"].to_pylist())
                 at = end
         if state:
             yield from of_shard(*state)
 
-    parts = rows.mapInArrow(dealt, PART)
+    def merged(batches):
+        """The texts of each batch with their sums over all shards."""
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+
+        def of_batch(head, payloads):
+            n_keys = struct.unpack_from("<qq", head)[1]
+            rows_ = pa.ipc.open_stream(head[16:]).read_all()
+            doc_id, held_out, n_tokens, n_known, base = (rows_[c].combine_chunks() for c in HEAD_NAMES[:-1])
+            n_known, base = n_known.to_numpy().copy(), base.to_numpy().copy()
+            score, n = np.zeros(len(base)), np.zeros(n_keys, np.int64)
+            late = []
+            for payload in payloads:
+                data = expand(payload)
+                texts_here, entries, asked = struct.unpack_from("<QQQ", data)
+                at, columns = 24, []
+                for size in (texts_here, texts_here, entries, asked):
+                    columns.append(from_planes(data, size, at))
+                    at += 4 * size
+                n[columns[3]] = np.frombuffer(data, "<i8", asked, at)
+                at += 8 * asked
+                for size in (texts_here, entries, entries):
+                    columns.append(from_planes(data, size, at).astype(np.uint32).view(np.float32))
+                    at += 4 * size
+                place, counts, word, _, sums, a, b = columns
+                score[place] += sums
+                late.append((np.repeat(place, counts).astype(np.int32), word.astype(np.int32), a, b))
+            for text, word, a, b in late:
+                times = n[word]
+                n_known += np.bincount(text, weights=times > 0, minlength=len(base)).astype(np.int64)
+                base += np.bincount(text, weights=np.log10(times + 1) - log_all, minlength=len(base))
+                p = a + (b * (times + 1).astype(np.float32)).astype(np.float64) / all_mass
+                score += np.bincount(text, weights=np.log10(p), minlength=len(base))
+            return pa.RecordBatch.from_arrays([doc_id, held_out, n_tokens, pa.array(n_known), pa.array(base), pa.array(score)], names=HEAD_NAMES)
+
+        batch_now, head, payloads = None, None, []
+        for batch in batches:
+            for name, kind, payload in zip(*(batch[c].to_pylist() for c in ("batch", "kind", "payload"))):
+                if name != batch_now and batch_now is not None:
+                    yield of_batch(head, payloads)
+                    payloads = []
+                batch_now = name
+                if kind == HEADS:
+                    head = payload
+                else:
+                    payloads.append(payload)
+        if batch_now is not None:
+            yield of_batch(head, payloads)
+
+    def replied(batches):
+        """For each shard the counts of followers that its units don't know: those that other units have as well."""
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        starts, of_units, _, (pair_codes, pair_starts), _ = loaded()
+        *_, pairs, triples, _ = sent.value
+        squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        firsts, words = np.array(hot_firsts), np.array(hot_ids)
+        first_triple = n_ids + len(pairs)
+        of_triples = [
+            (s, pairs[p][0], w) for i, (p, w, _) in enumerate(triples)
+            for s in sorted(set(of_units[starts[first_triple + i]:starts[first_triple + i + 1]].tolist()))
+        ]
+        triple_shards, triple_b, triple_w = np.array(of_triples, np.int64).reshape(-1, 3).T
+        for batch in batches:
+            for payload in batch["payload"].to_pylist():
+                unit, a, w, n = followers_packed(expand(payload))
+                b = words[np.searchsorted(firsts, unit, side="right") - 1]
+                if len(pair_codes):
+                    both = np.where(a >= 0, (b << 24) | a, -1)
+                    at = np.minimum(np.searchsorted(pair_codes, both), len(pair_codes) - 1)
+                    hot_ones = np.flatnonzero(pair_codes[at] == both)
+                    at = at[hot_ones]
+                    unit[hot_ones] = pair_starts[at] + w[hot_ones] % (pair_starts[at + 1] - pair_starts[at])
+                order = np.lexsort((unit, b, w))
+                unit, b, w, n = unit[order], b[order], w[order], n[order]
+                first = runs(w, b, unit)
+                unit, b, w, own = unit[first], b[first], w[first], summed(n, first)
+                first = runs(w, b)
+                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(unit))))
+                total = summed(own, first)
+                needed = total[of] != own
+                shard = of_units[unit].astype(np.int64)
+                if len(triple_w):
+                    # The parts of a trigram split by text have its count from the driver, so its follower's is sent to all.
+                    key = {(x, y): i for i, (x, y) in enumerate(zip(b[first].tolist(), w[first].tolist()))}
+                    own_triples = [(s, key[x, y]) for s, x, y in zip(triple_shards.tolist(), triple_b.tolist(), triple_w.tolist()) if (x, y) in key]
+                    if own_triples:
+                        more_shards, more = np.array(own_triples, np.int64).T
+                        needed |= np.isin(of, more)
+                        shard, of, needed = np.concatenate((shard, more_shards)), np.concatenate((of, more)), np.append(needed, np.ones(len(more), bool))
+                shard, of = shard[needed], of[needed]
+                asked = np.unique(shard * len(first) + of)
+                shard, of = asked // len(first), asked % len(first)
+                known_ = np.flatnonzero(total[of] > 0)
+                shard, of = shard[known_], of[known_]
+                edges = np.searchsorted(shard, np.arange(shards + 1))
+                out = [
+                    (s, squeeze(pack_followers(b[first[x]], np.full(len(x), -1), w[first[x]], total[x])))
+                    for s in np.unique(shard).tolist() for x in (of[edges[s]:edges[s + 1]],)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in out], pa.int32()), pa.array(np.full(len(out), FOLLOWERS, np.int32)), pa.array([x for _, x in out], pa.binary()),
+                     *[pa.nulls(len(out), pa.int64())] * 2], names=["shard", "kind", "payload", "b", "n"],
+                )
+
+    # Words without id are counted by the shard of their hash.
+    least = known.counts[-1] if known.counts else None
+    others = vocabulary.filter((F.length("word") > 64) | (F.col("n") < least)) if least is not None else vocabulary
+    code = F.xxhash64("word").bitwiseOR(F.lit(HASHED))
+    word_rows = others.groupBy(code.alias("b")).agg(F.sum("n").alias("n")).select(
+        (F.col("b").bitwiseAND(F.lit(-1 - HASHED)) % shards).cast("int").alias("shard"), F.lit(COUNTS).alias("kind"),
+        F.lit(None).cast("binary").alias("payload"), "b", "n",
+    )
+    parts = rows.mapInArrow(dealt, PART).unionByName(word_rows)
     if hot:
-        # A shard is sent the counts of followers that its trigrams have.
-        of_words = [(u, unit_shards[u]) for i in hot for u in range(begins[i], begins[i + 1])]
-        of_pairs = [(u, unit_shards[u]) for u in range(begins[n_ids], begins[n_ids + len(pairs)])]
-        asked, unit = counted, F.col("unit")
-        if pairs:
-            listed = [(a, b, begins[n_ids + i], pieces[n_ids + i]) for i, (b, a, *_) in enumerate(pairs)]
-            asked = asked.join(local_table(spark, ["a", "b", "first", "units"], listed), ["a", "b"], "left")
-            unit = F.coalesce(F.col("first") + F.pmod("w", "units"), unit)
-        asked = asked.select(unit.alias("unit"), "b", "w").join(local_table(spark, ["unit", "shard"], of_words + of_pairs), "unit")
-        asked = asked.select(F.col("shard").cast("int").alias("shard"), "b", "w")
-        if triples:
-            shards_of = lambda i: {unit_shards[u] for u in range(begins[i], begins[i + 1])}
-            listed = [(s, pairs[p][0], w) for i, (p, w, _) in enumerate(triples) for s in sorted(shards_of(n_ids + len(pairs) + i))]
-            asked = asked.unionByName(spark.createDataFrame(listed, "shard int, b long, w long"))
-        follow = asked.join(follow_counts, ["b", "w"]).groupBy("b", "w", "shard").agg(F.max("n").alias("n"))
-        parts = parts.unionByName(
-            follow.select("shard", F.lit(FOLLOWERS).alias("kind"), F.lit(None).cast("binary").alias("payload"), "b", "w", "n")
-        )
+        parts = parts.unionByName(counted.filter(F.col("kind") == PACKED).select("payload").mapInArrow(replied, PART))
     together = parts.repartition("shard").sortWithinPartitions("shard", "kind")
-    sums = together.mapInArrow(scored, SUMS).groupBy("batch", "place").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")], F.collect_list("late").alias("late"),
-    )
-    # A row for each text, under a key that no hashed word has, and one for each of its words without id.
-    key = F.xxhash64("batch", "place").bitwiseAND(F.lit(-1 - HASHED))
-    own = F.struct(F.array(key).alias("word"), *[F.array(F.lit(x).cast("float")).alias(c) for c, x in (("a", 1.0), ("b", 0.0))])
-    is_own = F.col("word") >= 0
-    columns = ["batch", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    exploded = sums.select(*columns, F.explode(F.concat(F.array(own), "late")).alias("late"))
-    exploded = exploded.select(*columns, F.inline(F.arrays_zip(*[F.col("late")[c].alias(c) for c in ("word", "a", "b")])))
-    exploded = exploded.withColumns({c: F.when(is_own, F.col(c)) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")})
-    lookup = vocabulary.groupBy(F.xxhash64("word").bitwiseOR(F.lit(HASHED)).alias("code")).agg(F.sum("n").alias("n"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    rated = exploded.join(lookup, F.col("word") == F.col("code"), "left")
-    total = rated.groupBy("batch", "place").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(is_own, F.col("n_known")).otherwise((n > 0).cast("long"))).alias("n_known"),
-        F.sum(F.when(is_own, F.col("base")).otherwise(F.log10(n + 1) - log_all)).alias("base"),
-        F.sum(F.when(is_own, F.col("score")).otherwise(F.log10(F.col("a") + F.col("b") * (n + 1) / all_mass))).alias("score"),
-    )
-    return total.select(
+    sums = together.mapInArrow(scored, SUMS).repartition("batch").sortWithinPartitions("batch")
+    return sums.mapInArrow(merged, SCORES).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score",
     )
