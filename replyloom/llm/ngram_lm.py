@@ -323,6 +323,8 @@ def score_texts(
     learned text both are 0. A repeated row counts, and is scored, as often as it occurs. Sums find their text by input
     split and place in it, so ``docs`` should be a table or a checkpoint, which a task that runs again reads in the same order.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     rows = learned_texts(docs, folds, held_fold)
     vocabulary = cut_lineage(word_counts(rows))
@@ -464,7 +466,7 @@ def score_texts(
         pieces += units_needed([share * n for _, _, n in triples], unit_grams)
         loads += [share * n for _, _, n in triples]
     begins, unit_shards = shards_of_units(loads, shards, unit_grams, pieces)
-    sent = spark.sparkContext.broadcast((begins, unit_shards, unigrams, pairs, triples, hot_totals))
+    sent = spark.sparkContext.broadcast((np.array(begins, np.int64), np.array(unit_shards, np.int32), unigrams, pairs, triples, hot_totals))
 
     def loaded():
         """Begins and shards of units, unigrams, and what :func:`unit_of` wants to know of pairs and triples."""
@@ -472,11 +474,10 @@ def score_texts(
 
         def arrays():
             starts, of_units, log10, pairs, triples, _ = sent.value
-            starts = np.array(starts, np.int64)
             pair_codes = np.array([(b << 24) | a for b, a, *_ in pairs], np.int64)
             triple_codes = np.array([(i << 24) | w for i, w, _ in triples], np.int64)
             of_pairs, of_triples = starts[n_ids:n_ids + len(pairs) + 1], starts[n_ids + len(pairs):]
-            return starts, np.array(of_units, np.int32), np.asarray(log10), (pair_codes, of_pairs), (triple_codes, of_triples)
+            return starts, of_units, np.asarray(log10), (pair_codes, of_pairs), (triple_codes, of_triples)
 
         return kept("n-gram units", model_key, arrays)
 
@@ -551,8 +552,9 @@ def score_texts(
         import pyarrow as pa
         import zstandard
 
-        # What dealing out needed is not needed here.
+        # What dealing out needed is not needed here, nor what Arrow has kept for it.
         worker_cache("n-gram words").clear()
+        pa.default_memory_pool().release_unused()
         starts, _, log10, of_pairs, of_triples = loaded()
         *_, pairs, triples, hot_totals = sent.value
         pair_words = np.array([(a, b) for b, a, *_ in pairs], np.int64).reshape(-1, 2)
@@ -606,6 +608,7 @@ def score_texts(
             if max(len(ua), len(ub), len(uc)) > IDS:
                 raise ValueError("a unit has too many different words; unit_grams must be smaller")
             asked, which = np.unique((b << 40) | (a << 20) | c, return_inverse=True)
+            del a, b, c
             n = np.bincount(which[use], minlength=len(asked))
             if len(triple_words):
                 (x, in_a), (y, in_b), (z, in_c) = (places(triple_words[:, i], u) for i, u in enumerate((ua, ub, uc)))
@@ -650,7 +653,7 @@ def score_texts(
             heads = [struct.unpack_from("<QQQ", payload) for payload in grams]
             total, all_texts = sum(h[2] for h in heads), sum(h[1] for h in heads)
             w1, w2, w3 = (np.empty(total, np.int64) for _ in range(3))
-            text, units, key_at = np.empty(total, np.int32), np.empty(total, np.int64), np.empty(total, np.int32)
+            text, units, key_at = (np.empty(total, np.int32) for _ in range(3))
             learned, of_class = np.empty(total, np.bool_), np.empty(total, np.bool_)
             word, n_of = (np.concatenate([x[i] for x in counted]) if counted else np.zeros(0, np.int64) for i in range(2))
             order = np.argsort(word)

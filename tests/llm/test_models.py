@@ -302,6 +302,25 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1, abs=2e-3)
 
 
+def test_followers_not_told_are_counted_in_place():
+    rng = np.random.default_rng(2)
+    grams, counts = np.unique((rng.integers(0, 3, 300) << 40 | rng.integers(0, 9, 300) << 20 | rng.integers(0, 20, 300)).astype(np.uint64), return_counts=True)
+    unigrams = np.log10(np.full(20, 1 / 20))
+    followers = Counter()
+    for gram, n in zip(grams.tolist(), counts.tolist()):
+        if gram >> 40 == 1:
+            followers[gram & 0xFFFFF] += n
+    told = np.array(sorted(followers)[::3], np.int64)
+    for words in (told, told[:0]):
+        of = {1: (words, np.array([followers[w] for w in words.tolist()], np.int64), sum(followers.values()), len(followers))}
+        assert build_trie(grams, counts, of, unigrams) == build_trie(grams, counts, {}, unigrams)
+
+
+def test_no_row_for_each_word_beyond_the_dictionary(small):
+    plan = score_texts(small, dictionary=300, shard_grams=4000, unit_grams=2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_scores_of_empty_and_unlearned_tables(spark, none):
     assert score_texts(none).count() == 0
     held = [i for i in range(100) if is_held(i)][:3]
