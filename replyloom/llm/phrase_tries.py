@@ -2,12 +2,12 @@
 
 Texts become blocks of word codes (see :mod:`word_blocks`; words that are too rare have none). Then phrases
 grow level by level. A phrase can only be frequent if both phrases it becomes without its first or last word are, and if the cells
-that a first pass counts hashed phrases in are full enough: those are its candidates. They are laid out as a double-array
-trie, in shards of bounded size that are broadcast one after the other. Numpy advances the states of all places of a
+that a first pass counts hashed phrases in are full enough: those are its candidates. They are laid out as double-array
+tries, in shards of bounded size that are broadcast packed, many at a time. Numpy advances the states of all places of a
 block at once by one word, and counts the states reached; counts are summed by ranges of states.
 
 A state is the place of a phrase in the tries of its level, so that next to the codes each block keeps one number a word: the state of
-the frequent phrase that begins there, or 0.
+the frequent phrase that begins there, or 0. A level writes the blocks anew for each broadcast, and what it replaces is deleted.
 """
 
 from __future__ import annotations
@@ -23,19 +23,23 @@ from replyloom.llm.word_blocks import (
     VALUES, block_bytes, by_shard, cut_words, planes, squeeze, unplanes, unsqueeze, with_values, word_blocks,
 )
 from replyloom.operators.spread import top_per_group
+from replyloom.session import drop_checkpoints
 
 #: A-Z in lower case, all that ends a piece as a line feed, a tab as a blank.
 FOLDED = bytes.maketrans(
     bytes(range(65, 91)) + b".,;:!?\x0b\x0c\x0d\t", bytes(range(97, 123)) + b"\n" * 9 + b" "
 )
 GAP = b"\n"
-#: States or cells summed in one task at a time.
+#: States summed in one task at a time.
 RANGE = 1 << 20
-#: The largest broadcast of hashed cells: 8 MB of bits. Beyond some 100 million places the cells fill up, and more
-#: candidates are left to the tries; results stay the same.
-MOST_CELLS = 26
-#: Candidates in a shard of a trie, which then takes 10 to 30 MB.
+#: Hashed cells counted in one task at a time, as a power of two.
+MOST_CELLS = 22
+#: Candidates in a shard of a trie, which then takes 10 to 30 MB, and 1 to 4 MB packed.
 SHARD = 300_000
+#: Bytes of packed tries in a broadcast; a level reads the blocks twice for each.
+WAVE = 32 << 20
+#: Places that a task holds at a time, for which each trie is opened once.
+HELD = 1 << 21
 
 CODED = "block string, codes binary, states binary"
 COUNTED = "range long, payload binary"
@@ -195,87 +199,103 @@ def open_block(row: dict):
     return unplanes(unsqueeze(row["codes"], 1)[0]), np.frombuffer(unsqueeze(row["states"], 1)[0], "<i8")
 
 
-def full_cells(coded: DataFrame, length: int, width: int, least: int) -> bytes:
-    """Bits of the cells that count ``least`` phrases of ``length + 1`` words or more; at most 8 MB."""
+def held_blocks(batches) -> Iterable[list]:
+    """Rows of blocks, opened, in lists of about :data:`HELD` places: (row, codes, states)."""
+    rows, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            rows.append((row, *open_block(row)))
+            size += len(rows[-1][1])
+            if size >= HELD:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
 
-    def count(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, states = open_block(row)
-                at = grown(codes, states, length)
-                yield from counted_rows(*np.unique(cells(states[at], codes[at + length], width), return_counts=True))
 
-    def use(number, total):
-        import pyarrow as pa
+def distinct(prefixes, codes):
+    """Different pairs in rising order, and how often each comes."""
+    if not len(codes):
+        return prefixes, codes, np.zeros(0, np.int64)
+    bits = int(codes.max()).bit_length()
+    if int(prefixes.max()).bit_length() + bits < 64:
+        keys, counts = np.unique((prefixes << bits) | codes, return_counts=True)
+        return keys >> bits, keys & ((1 << bits) - 1), counts
+    order = np.lexsort((codes, prefixes))
+    prefixes, codes = prefixes[order], codes[order]
+    starts = np.flatnonzero(np.r_[True, (prefixes[1:] != prefixes[:-1]) | (codes[1:] != codes[:-1])])
+    return prefixes[starts], codes[starts], np.diff(np.r_[starts, len(codes)])
+
 
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())],
-                                          names=["range", "payload"])
+def pack_pairs(prefixes, codes, *counts) -> bytes:
+    """Pairs with rising prefixes, and their counts, as bytes; the prefixes as steps."""
+    steps = np.diff(prefixes, prepend=0).astype("<i8")
+    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), planes(codes), *[planes(c) for c in counts])
 
-    bits = np.zeros(max(1, (1 << width) >> 3), np.uint8)
-    found = summed(coded.mapInArrow(count, COUNTED), use, COUNTED).toArrow()
-    for number, payload in zip(found["range"], found["payload"]):
-        start = number.as_py() * (RANGE >> 3)
-        bits[start:start + (RANGE >> 3)] = np.frombuffer(payload.as_buffer(), np.uint8)[:len(bits) - start]
-    return bits.tobytes()
 
+def unpack_pairs(payload: bytes, counts: int = 0) -> list:
+    steps, codes, *more = unsqueeze(payload, 2 + counts)
+    steps = np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return [np.cumsum(steps), *[unplanes(x).astype(np.int64) for x in (codes, *more)]]
 
-def candidates(coded: DataFrame, length: int, width: int, bits: bytes, groups: int) -> DataFrame:
-    """``group, n, payload``: the ``n`` different phrases of ``length + 1`` words that may be frequent, packed by group.
 
-    A group holds the phrases whose prefix is one more than its number, modulo ``groups``.
+def candidates(coded: DataFrame, length: int, width: int, least: int) -> DataFrame:
+    """``n, payload``: the ``n`` different phrases of ``length + 1`` words that may be frequent, packed by range of cells.
+
+    Different phrases are dealt by ranges of their cells, of which there are 2**width. Where a cell counts ``least`` phrases or more, those in
+    it are candidates. A task holds the counts of one range, so there can be as many cells as the places need.
     """
-    sent = coded.sparkSession.sparkContext.broadcast(bits)
+    inside = min(MOST_CELLS, max(0, width - 6))
 
-    def pack(group: int, pairs):
+    def count(batches):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays(
-            [pa.array([group], pa.int64()), pa.array([pairs.shape[1]], pa.int64()), pa.array([squeeze(pairs[0].tobytes(), pairs[1].tobytes())], pa.binary())],
-            names=["group", "n", "payload"],
-        )
-
-    def find(batches):
-        full = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, states = open_block(row)
-                at = grown(codes, states, length)
-                cell = cells(states[at], codes[at + length], width)
-                at = at[(full[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
-                if len(at):
-                    yield from by_group(states[at], codes[at + length].astype(np.int64))
-
-    def by_group(prefixes, codes):
-        order = np.lexsort((codes, prefixes, (prefixes - 1) % groups))
-        pairs = np.stack([prefixes[order], codes[order]])
-        pairs = pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]]
-        of = (pairs[0] - 1) % groups
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist()
-        for a, b in zip(starts, [*starts[1:], len(of)]):
-            yield pack(int(of[a]), pairs[:, a:b])
+        for rows in held_blocks(batches):
+            ats = [grown(codes, states, length) for _, codes, states in rows]
+            prefixes, found, counts = distinct(
+                np.concatenate([states[at] for at, (_, _, states) in zip(ats, rows)]),
+                np.concatenate([codes[at + length] for at, (_, codes, _) in zip(ats, rows)]).astype(np.int64),
+            )
+            if not len(found):
+                continue
+            of = cells(prefixes, found, width) >> inside
+            order = np.argsort(of, kind="stable")
+            prefixes, found, counts, of = prefixes[order], found[order], counts[order], of[order]
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            ends = [*starts[1:].tolist(), len(of)]
+            packed = [pack_pairs(prefixes[a:b], found[a:b], counts[a:b]) for a, b in zip(starts.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[starts], pa.int64()), pa.array(packed, pa.binary())], names=["range", "payload"])
 
     def merge(batches):
-        at, held, size = None, [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["group"] != at:
-                    if held:
-                        yield pack(at, np.unique(np.hstack(held), axis=1))
-                    at, held, size = row["group"], [], 0
-                held.append(unpack_pairs(row["payload"]))
-                size += held[-1].shape[1]
-                if size > 1 << 21:
-                    held = [np.unique(np.hstack(held), axis=1)]
-                    size = 0
-        if held:
-            yield pack(at, np.unique(np.hstack(held), axis=1))
+        import pyarrow as pa
 
-    schema = "group long, n long, payload binary"
-    return coded.mapInArrow(find, schema).repartition("group").sortWithinPartitions("group").mapInArrow(merge, schema)
+        def full(payloads, total):
+            kept = []
+            for payload in payloads:
+                prefixes, codes, _ = unpack_pairs(payload, 1)
+                keep = total[cells(prefixes, codes, width) & ((1 << inside) - 1)] >= least
+                kept.append((prefixes[keep], codes[keep]))
+            prefixes, codes, _ = distinct(*[np.concatenate(x) for x in zip(*kept)])
+            if len(codes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(codes)], pa.int64()), pa.array([pack_pairs(prefixes, codes)], pa.binary())], names=["n", "payload"]
+                )
 
+        at, payloads, total = None, [], None
+        for batch in batches:
+            for number, payload in zip(batch["range"].to_pylist(), batch["payload"].to_pylist()):
+                if number != at:
+                    if payloads:
+                        yield from full(payloads, total)
+                    at, payloads, total = number, [], np.zeros(1 << inside, np.int64)
+                prefixes, codes, counts = unpack_pairs(payload, 1)
+                np.add.at(total, cells(prefixes, codes, width) & ((1 << inside) - 1), counts)
+                payloads.append(payload)
+        if payloads:
+            yield from full(payloads, total)
 
-def unpack_pairs(payload: bytes):
-    return np.stack([np.frombuffer(x, np.int64) for x in unsqueeze(payload, 2)])
+    dealt = coded.mapInArrow(count, COUNTED).repartition("range").sortWithinPartitions("range")
+    return dealt.mapInArrow(merge, "n long, payload binary")
 
 
 # --- the trie --------------------------------------------------------------------------------------------
@@ -383,126 +403,174 @@ class Trie:
 
 
 def build_tries(found: DataFrame, shards: int) -> DataFrame:
-    """``shard, roots, base, check, digits``: a double array of the candidates of each shard, built in one task each."""
+    """``shard, payload, digits``: a packed double array of the candidates of each shard, built in one task each.
+
+    A shard holds the phrases whose prefix is one more than its number, modulo ``shards``.
+    """
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for payload in batch["payload"].to_pylist():
+                prefixes, codes = unpack_pairs(payload)
+                of = (prefixes - 1) % shards
+                order = np.argsort(of, kind="stable")
+                prefixes, codes, of = prefixes[order], codes[order], of[order]
+                starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                packed = [pack_pairs(prefixes[a:b], codes[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)])]
+                yield pa.RecordBatch.from_arrays([pa.array(of[starts], pa.int64()), pa.array(packed, pa.binary())], names=["shard", "payload"])
 
     def build(key, table):
         import pyarrow as pa
 
         prefixes, codes = np.hstack([unpack_pairs(p) for p in table["payload"].to_pylist()])
-        parts = double_array((prefixes - 1) // shards, codes)[:3]
         return pa.Table.from_arrays(
-            [pa.array([key[0].as_py()], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in parts],
+            [pa.array([key[0].as_py()], pa.int64()), pa.array([squeeze(*double_array((prefixes - 1) // shards, codes)[:3])], pa.binary()),
              pa.array([digits_of(codes.max())], pa.int32())],
-            names=["shard", "roots", "base", "check", "digits"],
+            names=["shard", "payload", "digits"],
         )
 
     return (
-        found.select((F.col("group") % F.lit(shards)).alias("shard"), "payload")
-        .groupBy("shard").applyInArrow(build, "shard long, roots binary, base binary, check binary, digits int")
+        found.mapInArrow(deal, "shard long, payload binary")
+        .groupBy("shard").applyInArrow(build, "shard long, payload binary, digits int")
     )
 
 
-def advance(codes, states, length: int, shard: int, shards: int, trie: Trie):
-    """Places whose phrase goes on by an edge of this shard's trie, and the slots the edges lead to."""
-    at = grown(codes, states, length)
-    at = at[(states[at] - 1) % shards == shard]
-    slots = trie.step((states[at] - 1) // shards, codes[at + length].astype(np.int64))
-    return at[slots >= 0], slots[slots >= 0]
+def open_trie(packed: tuple[bytes, int]) -> Trie:
+    payload, digits = packed
+    return Trie(*unsqueeze(payload, 3), digits)
+
 
+class Ahead:
+    """The places of a block whose phrase may go on, dealt to the shards of the tries."""
 
-def count_shard(coded: DataFrame, length: int, shard: int, shards: int, sent, least: int) -> DataFrame:
-    """``state, prefix, code, f`` of the frequent phrases of a shard, ``state`` being the slot in the shard."""
+    def __init__(self, codes, states, length: int, shards: int):
+        at = grown(codes, states, length)
+        prefixes = states[at] - 1
+        of = prefixes % shards
+        order = np.argsort(of, kind="stable")
+        self.at, self.prefixes = at[order], prefixes[order] // shards
+        self.codes = codes[self.at + length].astype(np.int64)
+        self.starts = np.searchsorted(of[order], np.arange(shards + 1))
+
+    def advance(self, shard: int, trie: Trie):
+        """Places whose phrase goes on by an edge of this shard's trie, and the slots the edges lead to."""
+        own = slice(self.starts[shard], self.starts[shard + 1])
+        slots = trie.step(self.prefixes[own], self.codes[own])
+        return self.at[own][slots >= 0], slots[slots >= 0]
+
+
+def count_shards(coded: DataFrame, length: int, shards: int, sent, least: int) -> DataFrame:
+    """``state, prefix, code, f`` of the frequent phrases of the shards whose tries are ``sent``."""
 
     def count(batches):
-        trie = Trie(*sent.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, states = open_block(row)
-                _, slots = advance(codes, states, length, shard, shards, trie)
-                counts = np.bincount(slots, minlength=1)
+        for rows in held_blocks(batches):
+            ahead = [Ahead(codes, states, length, shards) for _, codes, states in rows]
+            for shard, packed in sent.value.items():
+                trie = open_trie(packed)
+                counts = np.bincount(np.concatenate([x.advance(shard, trie)[1] for x in ahead]))
                 numbers = np.flatnonzero(counts)
-                yield from counted_rows(numbers, counts[numbers])
+                yield from counted_rows((shard << 40) | numbers, counts[numbers])
 
     def use(number, total):
         import pyarrow as pa
 
+        shard, part = number >> 20, number & ((1 << 20) - 1)
         slots = np.flatnonzero(total >= least)
-        at = slots + number * RANGE
-        prefixes, found = Trie(*sent.value).spell(at)
-        columns = (at, prefixes * shards + shard + 1, found, total[slots])
+        at = slots + part * RANGE
+        prefixes, found = open_trie(sent.value[shard]).spell(at)
+        columns = (at * shards + shard + 1, prefixes * shards + shard + 1, found, total[slots])
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in columns], names=["state", "prefix", "code", "f"])
 
     return summed(coded.mapInArrow(count, COUNTED), use, "state long, prefix long, code long, f long")
 
 
-def move_on(coded: DataFrame, length: int, shard: int, shards: int, sent) -> DataFrame:
-    """States of the frequent phrases one word longer that this shard holds, beside those of other shards in ``moved``."""
+def move_on(coded: DataFrame, length: int, shards: int, sent, told, last: bool) -> DataFrame:
+    """The blocks with states one word longer for the phrases that ``told`` has bits for, by shard and slot.
+
+    They stand in ``moved`` beside the old states, and after the ``last`` tries of a level in their stead.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        *parts, bits = sent.value
-        trie, frequent = Trie(*parts), np.frombuffer(bits, np.uint8)
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, states = open_block(row)
-                moved = np.frombuffer(unsqueeze(row["moved"], 1)[0], "<i8").copy()
-                at, slots = advance(codes, states, length, shard, shards, trie)
-                good = (frequent[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
-                moved[at[good]] = slots[good] * shards + shard + 1
+        for rows in held_blocks(batches):
+            ahead = [Ahead(codes, states, length, shards) for _, codes, states in rows]
+            moved = [
+                np.frombuffer(unsqueeze(row["moved"], 1)[0], "<i8").copy() if "moved" in row else np.zeros(len(states), "<i8")
+                for row, _, states in rows
+            ]
+            for shard, bits in told.value.items():
+                trie = open_trie(sent.value[shard])
+                frequent = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(trie.check)).view(bool)
+                for x, to in zip(ahead, moved):
+                    at, slots = x.advance(shard, trie)
+                    good = frequent[slots]
+                    to[at[good]] = slots[good] * shards + shard + 1
+            for (row, _, _), to in zip(rows, moved):
+                columns = [row["codes"], squeeze(to)] if last else [row["codes"], row["states"], squeeze(to)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]]), pa.array([row["codes"]], pa.binary()), pa.array([row["states"]], pa.binary()),
-                     pa.array([squeeze(moved)], pa.binary())], names=["block", "codes", "states", "moved"],
+                    [pa.array([row["block"]]), *[pa.array([c], pa.binary()) for c in columns]],
+                    names=["block", "codes", "states", "moved"][:1 + len(columns)],
                 )
 
-    return coded.mapInArrow(run, CODED + ", moved binary")
+    return coded.mapInArrow(run, CODED if last else CODED + ", moved binary")
 
 
-def with_zeros(coded: DataFrame) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sizes = [len(unsqueeze(s, 1)[0]) for s in batch["states"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([squeeze(b"\0" * n) for n in sizes], pa.binary())],
-                                             names=[*batch.schema.names, "moved"])
-
-    return coded.mapInArrow(run, CODED + ", moved binary")
+def waves(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Shards, given with the bytes of their packed tries, in lists of up to :data:`WAVE` bytes or one."""
+    out, size = [], 0
+    for shard, n in sorted(sizes):
+        if not out or size + n > WAVE:
+            out.append([])
+            size = 0
+        out[-1].append(shard)
+        size += n
+    return out
 
 
 def next_level(coded: DataFrame, length: int, places: int, least: int, last: bool, shard_size: int):
-    """Frequent phrases of ``length + 1`` words (``state, prefix, code, f``) and the blocks with their states."""
+    """Frequent phrases of ``length + 1`` words (``state, prefix, code, f``) and the blocks with their states; those given are deleted."""
     context = coded.sparkSession.sparkContext
-    width = min(MOST_CELLS, max(10, int(2 * places).bit_length()))
-    # as many groups as places may need shards; shards are made of whole groups
-    groups = 1 << max(6, (int(places) >> 20).bit_length())
-    found = cut_lineage(candidates(coded, length, width, full_cells(coded, length, width, least), groups))
+    width = max(10, int(2 * places).bit_length())
+    found = cut_lineage(candidates(coded, length, width, least))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = min(groups, 1 << max(0, (-(-total // shard_size) - 1).bit_length()))
+    shards = max(1, -(-total // shard_size))
     tries = cut_lineage(build_tries(found, shards))
+    drop_checkpoints(found)
+    plan = waves([tuple(r) for r in tries.select("shard", F.octet_length("payload")).collect()])
     phrases = None
-    moved = None if last else with_zeros(coded)
-    for shard in range(shards):
-        row = tries.filter(F.col("shard") == shard).toArrow()
-        if not row.num_rows:
-            continue
-        trie = (*(row[c][0].as_py() for c in ("roots", "base", "check")), row["digits"][0].as_py())
-        del row
-        sent = context.broadcast(trie)
-        counted = cut_lineage(count_shard(coded, length, shard, shards, sent, least))
-        own = counted.withColumn("state", F.col("state") * shards + shard + 1)
-        phrases = own if phrases is None else phrases.unionByName(own)
+    for i, wave in enumerate(plan):
+        rows = tries.filter(F.col("shard").between(wave[0], wave[-1])).toArrow().to_pylist()
+        sent = context.broadcast({r["shard"]: (r["payload"], r["digits"]) for r in rows})
+        del rows
+        counted = cut_lineage(count_shards(coded, length, shards, sent, least))
+        phrases = counted if phrases is None else phrases.unionByName(counted)
         if not last:
-            # a bit for each slot of a frequent phrase travels with the trie
-            frequent = np.zeros(len(trie[2]) // 4, bool)
-            frequent[counted.select("state").toArrow()["state"].to_numpy()] = True
-            told = context.broadcast((*trie, np.packbits(frequent).tobytes()))
-            moved = cut_lineage(move_on(moved, length, shard, shards, told))
+            told = context.broadcast(frequent_bits(counted, shards))
+            moved = cut_lineage(move_on(coded, length, shards, sent, told, i + 1 == len(plan)))
             told.destroy()
+            drop_checkpoints(coded)
+            coded = moved
         sent.destroy()
-    if not last:
-        moved = moved.select("block", "codes", F.col("moved").alias("states"))
-    return phrases, moved
+    drop_checkpoints(tries, *([coded] if last or not plan else []))
+    return phrases, coded
+
+
+def frequent_bits(counted: DataFrame, shards: int) -> dict[int, bytes]:
+    """A bit for each slot of a frequent phrase, by shard; shards without any are left out."""
+    states = counted.select("state").toArrow()["state"].to_numpy() - 1
+    order = np.argsort(states % shards, kind="stable")
+    states = states[order]
+    of, slots = states % shards, states // shards
+    out = {}
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][:len(of)])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+        bits = np.zeros(int(slots[a:b].max()) + 1, bool)
+        bits[slots[a:b]] = True
+        out[int(of[a])] = np.packbits(bits).tobytes()
+    return out
 
 
 # --- the operator ----------------------------------------------------------------------------------------
@@ -528,7 +596,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int
     may fill a block. An empty table, or one without candidates, gives no row. Other columns are left out, whatever their names.
 
     ``block_size`` bytes of text make a block, ``shard_words`` bytes of all texts a shard of words, and ``shard_size`` candidates
-    a trie; a trie is read back over all blocks, so a level takes as many passes as it has tries. Jobs run while the plan is built.
+    a trie. A broadcast holds some ten tries, and a level reads all blocks twice for each broadcast. Jobs run while the plan is built.
     """
     spark = docs.sparkSession
     rows = texts(docs, "lang").select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
@@ -545,6 +613,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int
         .groupBy(F.col("lang").alias("of_lang")).agg(F.sum("f").alias("n"))
     )
     coded = cut_lineage(with_values(blocks, values, -(-size // block_size), place_codes, CODED))
+    drop_checkpoints(blocks)
+    del blocks, values
 
     # phrases as lists of codes, with their counts
     counts = words.select(F.array("code").alias("codes"), "f")

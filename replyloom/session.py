@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -50,6 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_checkpoints(*tables: DataFrame) -> None:
+    """Delete the files behind tables of :func:`cut_lineage` that nothing reads any more.
+
+    Otherwise files go when the driver happens to collect its garbage, which may be long after. It is asked to, so that Spark also lets go of the
+    shuffles behind such tables.
+    """
+    for df in tables:
+        context, jvm = df.sparkSession.sparkContext, df.sparkSession._jvm
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     """As :func:`cut_lineage`, and the number of rows, counted while they are written."""
     seen = Observation()

@@ -1,6 +1,7 @@
 """Encoding by different words, and phrases counted by tries, held against the library and brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,8 +12,11 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from replyloom.llm import phrase_tries
 from replyloom.llm.phrase_tries import Trie, collocations, digits_of, double_array, score
 from replyloom.llm.piece_words import encode_pieces, marked_words, words_stand_alone
+from replyloom.llm.word_blocks import planes, squeeze
+from replyloom.session import ensure_checkpoint_dir
 
 from .conftest import texts_of
 
@@ -116,6 +120,55 @@ def test_collocations(odd, none, sizes):
     assert collocations(none).count() == 0
 
 
+def test_replaced_blocks_are_deleted(spark, monkeypatch):
+    source = random.Random(5)
+    texts = [" ".join(source.choice("abcdefghij") for _ in range(300)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    written, there, cut = [], [], phrase_tries.cut_lineage
+
+    def watched(df):
+        before = set(os.listdir(folder))
+        out = cut(df)
+        if df.columns[:2] == ["block", "codes"]:
+            written.extend(set(os.listdir(folder)) - before)
+            there.append(len(set(written) & set(os.listdir(folder))))
+        return out
+
+    monkeypatch.setattr(phrase_tries, "cut_lineage", watched)
+    monkeypatch.setattr(phrase_tries, "WAVE", 1, raising=False)
+    found = sorted(map(tuple, collocations(docs, 3, 4, 50, shard_size=30).collect()))
+    assert found == plain_collocations(docs, 3, 4, 50)
+    assert len(written) > 10 and max(there) <= 2 and not set(written) & set(os.listdir(folder))
+
+
+def test_tries_of_a_broadcast(monkeypatch):
+    monkeypatch.setattr(phrase_tries, "WAVE", 10)
+    assert phrase_tries.waves([(3, 4), (0, 6), (2, 30), (1, 4), (7, 9)]) == [[0, 1], [2], [3], [7]]
+    assert phrase_tries.waves([]) == []
+
+
+def test_candidates_of_more_cells_than_a_broadcast_held(spark):
+    source = np.random.default_rng(2)
+    codes = [source.integers(0, 40, 500).astype("<u4") for _ in range(6)]
+    rows = [("", bytearray(squeeze(planes(c))), bytearray(squeeze(c.astype("<i8")))) for c in codes]
+    coded = spark.createDataFrame(rows, phrase_tries.CODED).repartition(3)
+    counts = Counter(pair for c in codes for pair in zip(c[:-1].tolist(), c[1:].tolist()) if min(pair) > 0)
+    payloads = [r["payload"] for r in phrase_tries.candidates(coded, 1, 30, 3).collect()]
+    pairs = [pair for p in payloads for pair in zip(*(x.tolist() for x in phrase_tries.unpack_pairs(p)))]
+    assert sorted(pairs) == sorted(pair for pair, n in counts.items() if n >= 3) and len(pairs) > 100
+
+
+@pytest.mark.parametrize("top", [50, 1 << 31])
+def test_pairs_travel_packed(top):
+    source = np.random.default_rng(4)
+    prefixes, codes = source.integers(1, 20 * top * top // 50, 3000), source.integers(1, top, 3000)
+    prefixes[:1000], codes[:1000] = prefixes[1000:2000], codes[1000:2000]
+    found = phrase_tries.distinct(prefixes, codes)
+    assert {(a, b): n for a, b, n in zip(*(x.tolist() for x in found))} == Counter(zip(prefixes.tolist(), codes.tolist()))
+    assert all((a == b).all() for a, b in zip(phrase_tries.unpack_pairs(phrase_tries.pack_pairs(*found), 1), found))
+
+
 def test_scores_are_exact(spark):
     rows = [(9_000_000_000_000_000_000, 9_000_000_000_000_000_000 * 2 + 1), (30, 61), (1, 3_000_000)]
     found = spark.createDataFrame([(a, str(p)) for a, p in rows], "a long, p string").select(score(F.col("a"), F.col("p").cast("decimal(20,0)"))).collect()
